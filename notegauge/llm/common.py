@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -62,6 +63,12 @@ def ship(spark: SparkSession) -> None:
     sc._notegauge_shipped = True
 
 
+def widened(schema: T.StructType, **columns: str) -> T.StructType:
+    """``schema`` with more columns (name=type); the given schema, which a DataFrame caches, is left as it is."""
+    more = [T.StructField(k, T._parse_datatype_string(v)) for k, v in columns.items()]
+    return T.StructType([*schema.fields, *more])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
