@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegauge.llm import lines, mixing, packing, simhash, tokens, toxicity
+from notegauge.llm import imatch, lines, mixing, packing, simhash, tiff, tokens, toxicity, warc
 from notegauge.llm.common import table
 
 
@@ -14,6 +14,25 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op5_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tiff.encode_texts(table(spark, sf_dir, "documents"))
+    files = files.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    pages = tiff.pages(files)
+    size = F.octet_length("samples")
+    return pages.select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -64, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -39,6 +58,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_imatch_fingerprints": op2_imatch_fingerprints,
+    "op4_warc": op4_warc,
+    "op5_tiff_pages": op5_tiff_pages,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_source_mix": op8_source_mix,
@@ -47,12 +69,3 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {}
-
-ORACLES["op6_line_dedup"] = r"""
-WITH line AS (
-    SELECT doc_id, n, s, lower_az(trim(s, e' \t\n\x0b\x0c\r')) AS k
-    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents)
-)
-SELECT 1
-"""
-del ORACLES["op6_line_dedup"]

@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from notegauge.llm.common import ship, widened
 
 #: Labelled rows per class that the classifier is fitted on: the bound of the training sample.
-SAMPLE_PER_CLASS = 1500
-BUCKETS, DIM, EPOCHS, RATE, DECAY, SEED = 1 << 17, 8, 60, 0.05, 1e-4, 7
-NGRAMS = (3, 4, 5)
+SAMPLE_PER_CLASS = 3000
+BUCKETS, DIM, EPOCHS, MINIBATCH, RATE, DECAY, SCALE, SEED = 1 << 17, 6, 6, 64, 0.005, 1e-6, 0.1, 7
+NGRAMS = (3, 4, 5, 6)
+#: Standard errors by which the share of texts with a bucket must differ between the classes.
+Z = 7.0
 THRESHOLD = 0.7
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#%&$-_/\\<>"
 #: Distinct words remembered by a scoring task before it starts afresh (memory only, no effect on scores).
@@ -43,75 +45,78 @@ def subwords(word: str) -> list[int]:
     return [crc(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (*grams, w)]
 
 
-class Bag:
-    """Sums of rows of a matrix by group, and the sums the other way round for gradients."""
-
-    def __init__(self, groups: np.ndarray, items: np.ndarray, weights: np.ndarray, n_groups: int, n_items: int):
-        self.n_groups, self.n_items = n_groups, n_items
-        self.ways = []
-        for key, val in ((groups, items), (items, groups)):
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
-            self.ways.append((k[starts], starts, val[order], weights[order, None].astype(np.float32)))
-
-    def _sum(self, way: int, rows: np.ndarray, n: int) -> np.ndarray:
-        keys, starts, val, w = self.ways[way]
-        out = np.zeros((n, rows.shape[1]), np.float32)
-        if len(keys):
-            out[keys] = np.add.reduceat(rows[val] * w, starts, axis=0)
-        return out
-
-    def forward(self, rows):
-        return self._sum(0, rows, self.n_groups)
-
-    def backward(self, rows):
-        return self._sum(1, rows, self.n_items)
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, weights) of each text: the mean over its words of the mean over a word's subwords."""
+    memo: dict[str, np.ndarray] = {}
+    out = []
+    for text in texts:
+        counts = Counter(text.split())
+        subs = [memo[w] if w in memo else memo.setdefault(w, np.array(subwords(w), np.int32)) for w in counts]
+        if not subs:
+            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
+            continue
+        lens = np.fromiter(map(len, subs), np.int64, len(subs))
+        share = np.fromiter(counts.values(), np.float64, len(subs)) / sum(counts.values())
+        buckets, at = np.unique(np.concatenate(subs), return_inverse=True)
+        out.append((buckets, np.bincount(at, np.repeat(share / lens, lens)).astype(np.float32)))
+    return out
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """(logit of each bucket, bias). Without both classes: nothing is toxic."""
-    y = np.asarray(labels, np.float32)
+    y = np.asarray(labels, np.int64)
+    logit = np.zeros(BUCKETS, np.float32)
     if len(y) == 0 or y.min() == y.max():
-        return np.zeros(BUCKETS, np.float32), -4.0
-    ids: dict[str, int] = {}
-    docs, words, weights = [], [], []
-    for d, text in enumerate(texts):
-        counts = Counter(text.split())
-        total = sum(counts.values())
-        for w, c in counts.items():
-            docs.append(d)
-            words.append(ids.setdefault(w, len(ids)))
-            weights.append(c / total)
-    subs = [subwords(w) for w in ids]
-    lens = np.fromiter(map(len, subs), np.int64, len(subs))
-    word_of = np.repeat(np.arange(len(subs)), lens)
-    flat = np.fromiter((s for x in subs for s in x), np.int64, int(lens.sum()))
-    used, flat = np.unique(flat, return_inverse=True)  # only buckets that occur are trained
-    by_word = Bag(word_of, flat, 1 / lens[word_of] if len(lens) else np.zeros(0), len(subs), len(used))
-    by_doc = Bag(np.array(docs, np.int64), np.array(words, np.int64), np.array(weights), len(texts), len(subs))
+        return logit, -4.0
+    rows = features(texts)
+    # buckets that the classes hold alike carry no signal: only those with a significant difference are trained
+    by_class = [np.bincount(np.concatenate([b for (b, _), c in zip(rows, y) if c == k]), minlength=BUCKETS) for k in (0, 1)]
+    n, hold = np.bincount(y, minlength=2), by_class[0] + by_class[1]
+    pooled = hold / len(y)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1])) + 1e-12
+    keep = (np.abs(by_class[1] / n[1] - by_class[0] / n[0]) >= Z * error) & (hold >= 3)
+    if not keep.any():
+        return logit, -4.0
+    used = np.flatnonzero(keep)
+    place = np.cumsum(keep) - 1
+    # every bucket is measured by its usual share where it occurs, else the commonest words drown all others
+    usual = np.bincount(np.concatenate([b for b, _ in rows]), np.concatenate([w for _, w in rows]), BUCKETS)[used] / hold[used]
+    unit = SCALE / usual
+    rows = [(x := place[b[keep[b]]], w[keep[b]] * unit[x]) for b, w in rows]
     rng = np.random.default_rng(SEED)
-    p = {"e": rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), "c": rng.normal(0, 1, (DIM, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
+    p = {"e": rng.normal(0, 1e-3, (len(used), DIM)), "c": rng.normal(0, 1, (DIM, 2)), "b": np.zeros(2)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    want = np.stack([1 - y, y], axis=1)
-    share = want.mean(axis=0)
-    weigh = (0.5 / share)[y.astype(int)][:, None] / len(y)
-    for t in range(1, epochs + 1):
-        h = by_doc.forward(by_word.forward(p["e"]))
-        z = h @ p["c"] + p["b"]
-        q = np.exp(z - z.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        dz = ((q - want) * weigh).astype(np.float32)
-        g = {"c": h.T @ dz + DECAY * p["c"], "b": dz.sum(axis=0), "e": by_word.backward(by_doc.backward(dz @ p["c"].T)) + DECAY * p["e"] / len(used)}
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
-    logit = np.zeros(BUCKETS, np.float32)
-    logit[used] = p["e"] @ (p["c"][:, 1] - p["c"][:, 0])
+    weigh = 0.5 / np.bincount(y, minlength=2)[y] * len(y)
+    t = 0
+    for _ in range(epochs):
+        order = rng.permutation(len(y))
+        for i in range(0, len(y), MINIBATCH):
+            part = order[i : i + MINIBATCH]
+            n = np.array([len(rows[d][0]) for d in part])
+            idx, w = np.concatenate([rows[d][0] for d in part]), np.concatenate([rows[d][1] for d in part])
+            text_of = np.repeat(np.arange(len(part)), n)
+            h = _sums(text_of, p["e"][idx] * w[:, None], len(part))
+            z = h @ p["c"] + p["b"]
+            q = np.exp(z - z.max(axis=1, keepdims=True))
+            q /= q.sum(axis=1, keepdims=True)
+            q[np.arange(len(part)), y[part]] -= 1
+            dz = q * weigh[part][:, None] / len(part)
+            dh = dz @ p["c"].T
+            g = {"c": h.T @ dz, "b": dz.sum(axis=0), "e": _sums(idx, dh[text_of] * w[:, None], len(used)) + DECAY * p["e"]}
+            t += 1
+            for k in p:
+                # one step size for all embeddings: a rare bucket does not move as far as a frequent one
+                m[k] += 0.1 * (g[k] - m[k])
+                v[k] += 0.02 * (np.mean(g[k] ** 2) - v[k])
+                p[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.98**t)) + 1e-12)
+    logit[used] = unit * (p["e"] @ (p["c"][:, 1] - p["c"][:, 0]))
     return logit, float(p["b"][1] - p["b"][0])
 
 
+def _sums(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(keys, x, n) for x in rows.T], axis=1)
+
+
 class Scorer(dict):
     """word -> its mean bucket logit, filled as words come."""
 
