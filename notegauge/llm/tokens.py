@@ -14,6 +14,10 @@ parallel prefix scan.
 
 from __future__ import annotations
 
+import gc
+import json
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +29,15 @@ from pyspark.sql import functions as F
 from notegauge.llm.common import ship
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct runs remembered by a worker before it starts afresh (memory only).
-MEMO = 600_000
-#: Runs encoded by one call of the library.
+#: Distinct runs, and pieces of them, remembered by a worker before it starts afresh (memory only).
+MEMO = 1_000_000
+#: Pieces to a line for the library, and lines to a call.
 BATCH = 512
+#: Runs whose normal form is their lower case: printable ASCII but the apostrophe, and Latin-1 letters.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+#: Their pieces, in lower case, as the tokenizer splits: letters, one digit, marks.
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PIECEWISE = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Bytes to a chunk of the transducer.
 CHUNK = 1 << 16
 LIMIT = 2048
@@ -41,35 +50,71 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """run of non-space characters -> its ids as little-endian unsigned 32-bit bytes."""
+    """run of non-space characters -> its ids as little-endian unsigned 32-bit bytes.
+
+    Runs of plain characters are taken apart into the tokenizer's own pieces (letters,
+    single digits, other marks), so that case and punctuation variants share a word;
+    every piece ends in a token with the end-of-word mark, which tells the pieces of
+    one call apart. All other runs go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
-        self.mark_id, self.mark = special[0]
-        self.memo: dict[str, bytes] = {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.tokenizer = Tokenizer.from_str(json.dumps(config | {"truncation": None, "padding": None}))
+        # the same model without normalising and splitting, which plain pieces have behind them
+        self.pieces = Tokenizer.from_str(json.dumps(config | {"truncation": None, "padding": None, "normalizer": None, "pre_tokenizer": PIECEWISE}))
+        suffix = config["model"]["end_of_word_suffix"]
+        self.closing = np.zeros(1 + max(config["model"]["vocab"].values()), bool)
+        self.closing[[i for w, i in config["model"]["vocab"].items() if w.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
 
     def learn(self, runs: set[bytes]) -> None:
-        """Encode what is new, many runs to a call, with a special token between them."""
+        """Encode what is new, many pieces to a call."""
+        on = gc.isenabled()
+        gc.disable()  # many small objects without cycles: the collector would only walk them again and again
+        try:
+            self._learn(runs)
+        finally:
+            if on:
+                gc.enable()
+
+    def _learn(self, runs: set[bytes]) -> None:
         new = [r for r in runs if r not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = list(runs)
-        plain = [r for r in new if b"<|" not in r]
-        for part in _parts(plain, BATCH):
-            ids = np.array(self.tokenizer.encode(self.mark.join([r.decode() for r in part]), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            data = ids.astype("<u4").tobytes()
-            starts, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(data)]
-            for r, s, e in zip(part, starts, ends, strict=True):
-                self.memo[r] = data[s:e]
+        plain, split, rest = [], [], []
         for r in new:
-            if b"<|" in r:
-                self.memo[r] = np.array(self.tokenizer.encode(r.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            t = r.decode()
+            if PLAIN.fullmatch(t) and "<|" not in t:
+                plain.append(r)
+                split.append(PIECE.findall(t.lower()))
+            else:
+                rest.append(r)
+        self._learn_words(set().union(*split))
+        get = self.words.__getitem__
+        self.memo.update(zip(plain, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in split]))
+        for part in _parts(rest, BATCH):
+            for r, e in zip(part, self.tokenizer.encode_batch_fast([r.decode() for r in part], add_special_tokens=False), strict=True):
+                self.memo[r] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_words(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > MEMO:
+            self.words.clear()
+            new = list(words)
+        for part in _parts(new, 16 * BATCH):
+            lines = [" ".join(x) for x in _parts(part, BATCH)]
+            ids = np.array([i for e in self.pieces.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.uint32)
+            ends = ((np.flatnonzero(self.closing[ids]) + 1) * 4).tolist()
+            data = ids.astype("<u4").tobytes()
+            for w, s, e in zip(part, [0, *ends[:-1]], ends, strict=True):
+                self.words[w] = data[s:e]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
@@ -97,7 +142,7 @@ class ChunkMap:
     """
 
     head: bytes
-    emitted: int
+    emitted: int | list[bytes]  # before its runs are compiled, these runs
     tail: bytes
     open: bool
 
@@ -130,26 +175,24 @@ class CountTransducer:
             self.compile({run})
         return self.transitions[run]
 
-    def chunk(self, data: bytes, parts: list[bytes]) -> ChunkMap:
-        """The state map of one chunk; its runs must be compiled."""
-        if not parts and not data or len(parts) == 1 and len(parts[0]) == len(data):
+    def chunk(self, data: bytes, inner: list[bytes]) -> ChunkMap:
+        """The state map of one chunk. ``inner``: its runs; those that touch an edge are taken out, the others must be compiled."""
+        if not data or len(inner) == 1 and len(inner[0]) == len(data):
             return ChunkMap(data, 0, b"", True)
-        total = sum(map(self.transitions.__getitem__, parts))
-        head = tail = b""
-        if parts and not data[:1].isspace():
-            head = parts[0]
-            total -= self.transitions[head]
-        if parts and not data[-1:].isspace():
-            tail = parts[-1]
-            total -= self.transitions[tail]
-        return ChunkMap(head, total, tail, False)
+        head = inner.pop(0) if inner and not data[:1].isspace() else b""
+        tail = inner.pop() if inner and not data[-1:].isspace() else b""
+        return ChunkMap(head, inner or 0, tail, False)
 
     def counts(self, texts: list[bytes]) -> list[int]:
         """Tokens of each text: chunk maps, then a scan by doubling over the chunks of each text."""
         cut = [[t[i : i + CHUNK] for i in range(0, len(t), CHUNK)] or [b""] for t in texts]
-        split = [[c.split() for c in chunks] for chunks in cut]
-        self.compile(set().union(*(s for each in split for s in each)))
-        return [self._finish(self.scan(list(map(self.chunk, chunks, each)))[-1]) for chunks, each in zip(cut, split)]
+        maps = [[self.chunk(c, c.split()) for c in chunks] for chunks in cut]
+        self.compile(set().union(*(m.emitted for each in maps for m in each if m.emitted)))
+        emit = self.transitions.__getitem__
+        maps = [[ChunkMap(m.head, sum(map(emit, m.emitted)), m.tail, False) if m.emitted else m for m in each] for each in maps]
+        whole = [self.scan(each)[-1] for each in maps]
+        self.compile({r for m in whole for r in (m.head, m.tail)})
+        return [self.count(m.head) + m.emitted + self.count(m.tail) for m in whole]
 
     def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
         """Inclusive prefix compositions, in log2(n) rounds of independent steps."""
@@ -159,9 +202,6 @@ class CountTransducer:
             step *= 2
         return maps
 
-    def _finish(self, m: ChunkMap) -> int:
-        return self.count(m.head) + m.emitted + self.count(m.tail)
-
 
 def _parts(items: list, n: int) -> Iterator[list]:
     return (items[i : i + n] for i in range(0, len(items), n))
