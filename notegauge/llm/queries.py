@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegauge.llm import imatch, lines, mixing, packing, simhash, tiff, tokens, toxicity, warc
+from notegauge.llm import imatch, lines, lm, mixing, packing, simhash, tiff, tokens, toxicity, warc
 from notegauge.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_imatch_fingerprints": op2_imatch_fingerprints,
+    "op3_lm_scores": op3_lm_scores,
     "op4_warc": op4_warc,
     "op5_tiff_pages": op5_tiff_pages,
     "op6_line_dedup": op6_line_dedup,
