@@ -1,6 +1,529 @@
-"""The registered queries of the note-quality engine and their SQL oracles."""
+"""The registered queries of the note-quality engine and their SQL oracles.
+
+Documents play the notes. Where a rule needs structure that plain documents lack,
+both sides synthesise the same Markdown around the whole text.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from notegauge.functions import text as X
+from notegauge.functions.lexer import lexed
+from notegauge.operators import anki, audit, batching, judgments, remediation, rules, scoring, tasks, validate, views
+from notegauge.vocab import COMPONENT_CODES, DIMENSIONS, LOSSES, MODES, PENALTIES, PROMPT_VERSION, ROW_STATUSES
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cases(values: dict, of: str, default: str = "NULL") -> str:
+    return f"CASE {of} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {default} END"
+
+
+# --- documents as audited notes -------------------------------------------------
+
+#: Conditions that give a document its findings, in order; SQL that both engines read alike.
+CODED = (
+    ("missing_frontmatter", "n_chars % 3 = 0"),
+    ("definition_too_long", "n_chars BETWEEN 800 AND 1500"),
+    ("invalid_dae", "n_chars < 400"),
+    ("missing_parent", "n_chars % 7 = 0"),
+    ("multi_note", "n_chars > 6000"),
+    ("weak_dae", "n_chars BETWEEN 300 AND 1200"),
+    ("not_atomic", "n_chars % 2 = 0 AND n_chars > 5000"),
+    ("weak_example", "n_chars % 5 = 0"),
+    ("factual_risk", "lang = 'en' AND n_chars % 4 = 0"),
+    ("duplicate_overlap", "n_chars % 13 = 0"),
+)
+COMPONENTS = ", ".join(f"'{c}'" for c in COMPONENT_CODES)
+
+#: Documents with their codes (raw), canonical codes, loss, score and priority.
+BASE = f"""
+WITH raw AS (
+    SELECT *, list_filter([{", ".join(f"CASE WHEN {test} THEN '{c}' END" for c, test in CODED)}], lambda x: x IS NOT NULL) AS raw_codes FROM documents
+), canon AS (
+    SELECT *, list_filter(raw_codes, lambda x: NOT (x = 'not_atomic' AND list_contains(raw_codes, 'multi_note')) AND NOT (x IN ({COMPONENTS}) AND list_contains(raw_codes, 'invalid_dae'))) AS codes FROM raw
+), lost AS (
+    SELECT *, (coalesce(list_sum(list_transform(list_filter(codes, lambda x: x NOT IN ({COMPONENTS})), lambda x: {cases(LOSSES, "x")})), 0)
+        + least(coalesce(list_sum(list_transform(list_filter(codes, lambda x: x IN ({COMPONENTS})), lambda x: {cases(LOSSES, "x")})), 0), 35))::INTEGER AS loss FROM canon
+), scored AS (
+    SELECT *, greatest(1, least(100, 100 - loss))::INTEGER AS score FROM lost
+), base AS (
+    SELECT *, CASE WHEN score < 50 THEN 'P0' WHEN score < 70 THEN 'P1' WHEN score < 85 THEN 'P2' WHEN score < 100 THEN 'P3' END AS priority,
+        list_contains(raw_codes, 'factual_risk') AS risky FROM scored
+)
+"""
+
+
+def coded(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(doc_id, source, n_chars, findings, codes, raw_codes, loss, score, priority) and ``more`` columns of documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = F.array_compact(F.array(*[F.when(F.expr(test), F.struct(F.lit(c).alias("code"), F.lit(rules.MESSAGES[c]).alias("message"))) for c, test in CODED]))
+    df = docs.select("doc_id", "source", "n_chars", *more, found.alias("findings")).withColumn("raw_codes", scoring.codes(F.col("findings")))
+    df = df.withColumn("codes", scoring.canonical(F.col("raw_codes"))).withColumn("loss", scoring.loss(F.col("codes")))
+    return df.withColumn("score", scoring.score(F.col("loss"))).withColumn("priority", scoring.bucket(F.col("score")))
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as full audit rows."""
+    df = coded(spark, sf_dir, "text")
+    path = F.concat(F.lit("notes/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md"))
+    return audit.rows(df.select(path.alias("note_path"), F.col("doc_id").cast("string").alias("stem"), X.content_hash(F.col("text")).alias("content_hash"), F.lit(None).cast("timestamp").alias("modified_time"), "findings"), "run-1", {}, True)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as judgments: low quality is unclear, toxic is a factual risk."""
+    lab = table(spark, sf_dir, "labels")
+    code = lambda c, m: F.struct(F.lit(c).alias("code"), F.lit(m).alias("message"))
+    found = F.array_compact(F.array(F.when(F.col("quality") == 0, code("unclear", "unclear")), F.when(F.col("toxic") == 1, code("factual_risk", "risk"))))
+    path = F.concat(F.lit("notes/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md"))
+    evidence = F.lit(None).cast("array<struct<excerpt:string,reason:string>>")
+    return lab.select(
+        F.lit("2.0.0").alias("schema_version"), F.lit(PROMPT_VERSION).alias("prompt_version"), path.alias("note_path"),
+        F.struct(*[F.lit(-10 if d == "clarity" else 0).alias(d) for d in DIMENSIONS]).alias("dimension_adjustments"),
+        F.transform(found, lambda f: F.struct(f["code"].alias("code"), f["message"].alias("message"), evidence.alias("evidence"))).alias("findings"),
+        (F.col("toxic") == 1).alias("factual_risk"), F.when(F.col("toxic") == 1, "risk").alias("factual_risk_reason"), (F.col("toxic") == 1).alias("fact_check_required"),
+        F.array().cast("array<struct<excerpt:string,reason:string>>").alias("evidence"),
+    )
+
+
+
+def doc_id() -> Column:
+    return F.regexp_extract("note_path", r"(\d+)\.md$", 1).cast("long").alias("doc_id")
+
+
+def joined(c: Column) -> Column:
+    return F.array_join(c, ",")
+
+
+@query(BASE + "SELECT source, coalesce(priority, 'no_change') AS bucket, count(*) AS notes, avg(score) AS mean_score FROM base GROUP BY ALL")
+def bucket_histogram(spark, sf_dir):
+    df = coded(spark, sf_dir)
+    return df.groupBy("source", scoring.bucket_key(F.col("priority")).alias("bucket")).agg(F.count("*").alias("notes"), F.avg("score").alias("mean_score"))
+
+
+@query("SELECT " + ", ".join(f"{'count(*)' if s == 'complete' else '0::BIGINT'} AS {s}" for s in ROW_STATUSES) + " FROM documents")
+def status_counts_zero_filled(spark, sf_dir):
+    return audit.counts(audited(spark, sf_dir)).select(*ROW_STATUSES)
+
+
+@query(BASE + "SELECT source, avg(score) AS mean_score, count(*) AS notes FROM base GROUP BY source")
+def mean_score_by_source(spark, sf_dir):
+    return coded(spark, sf_dir).groupBy("source").agg(F.avg("score").alias("mean_score"), F.count("*").alias("notes"))
+
+
+@query(BASE + "SELECT count_if(priority IS NULL)::BIGINT AS no_change, count(*) AS total, 100.0 * count_if(priority IS NULL) / count(*) AS no_change_percent FROM base")
+def no_change_share(spark, sf_dir):
+    return audit.kpis(audited(spark, sf_dir)).select("no_change", "total", "no_change_percent")
+
+
+@query(BASE + """SELECT count(*) AS total, avg(score) AS mean_score, count_if(priority IS NULL)::BIGINT AS no_change, 0::BIGINT AS reviewed, 0::BIGINT AS pending,
+count_if(risky)::BIGINT AS risky, count_if(list_contains(raw_codes, 'duplicate_overlap'))::BIGINT AS duplicates FROM base""")
+def kpi_summary(spark, sf_dir):
+    return audit.kpis(audited(spark, sf_dir)).drop("no_change_percent")
+
+
+@query(BASE + "SELECT doc_id, score, priority FROM base ORDER BY CASE priority WHEN 'P0' THEN 1 WHEN 'P1' THEN 2 WHEN 'P2' THEN 3 WHEN 'P3' THEN 4 ELSE 5 END, score, doc_id LIMIT 50")
+def worst_k(spark, sf_dir):
+    df = coded(spark, sf_dir)
+    return df.orderBy(scoring.bucket_rank(F.col("priority")), "score", "doc_id").limit(50).select("doc_id", "score", "priority")
+
+
+@query(BASE + "SELECT doc_id, loss, score FROM base")
+def loss_capped(spark, sf_dir):
+    return coded(spark, sf_dir).select("doc_id", "loss", "score")
+
+
+@query(BASE + "SELECT doc_id, array_to_string(codes, ',') AS codes, len(codes)::INTEGER AS n FROM base")
+def canonical_codes(spark, sf_dir):
+    return coded(spark, sf_dir).select("doc_id", joined(F.col("codes")).alias("codes"), F.size("codes").alias("n"))
+
+
+@query(BASE + "SELECT doc_id, " + ", ".join(f"greatest(0, 100 - coalesce(list_sum(list_transform(raw_codes, lambda x: {cases({c: p.get(d, 0) for c, p in PENALTIES.items()}, 'x', '0')})), 0))::INTEGER AS {d}" for d in DIMENSIONS) + " FROM base")
+def dimensions(spark, sf_dir):
+    return coded(spark, sf_dir).select("doc_id", scoring.dimensions(F.col("raw_codes")).alias("d")).select("doc_id", "d.*")
+
+
+@query(BASE + "SELECT doc_id, array_to_string(list_transform(raw_codes, lambda x: " + cases({k: f"'{v}'" for k, v in MODES.items()}, "x") + "), ',') AS modes FROM base")
+def recommendations(spark, sf_dir):
+    return coded(spark, sf_dir).select("doc_id", joined(F.transform(scoring.recommendations(F.col("findings")), lambda r: r["mode"])).alias("modes"))
+
+
+# --- joins ----------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+def parent_anti(spark, sf_dir):
+    """J1 at scale: orders (notes) that no large line (structure link) names."""
+    targets = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(targets, "o_orderkey", "left_anti")
+
+
+MERGED = BASE + """
+, judged AS (
+    SELECT b.doc_id, l.doc_id IS NOT NULL AS has_label, raw_codes, b.score AS old_score, b.priority AS old_priority,
+        list_filter(raw_codes, lambda x: x IN ('missing_frontmatter', 'missing_parent', 'malformed_anki', 'duplicate_overlap'))
+        || CASE WHEN quality = 0 THEN ['unclear'] ELSE [] END || CASE WHEN toxic = 1 THEN ['factual_risk'] ELSE [] END AS new_codes, coalesce(toxic = 1, false) AS toxic
+    FROM base b LEFT JOIN labels l USING (doc_id)
+), rescored AS (
+    SELECT *, greatest(1, 100 - list_sum(list_transform(new_codes || ['none'], lambda x: """ + cases(LOSSES, "x", "0") + """)))::INTEGER AS new_score FROM judged
+)
+"""  # noqa: S608
+
+
+@query(MERGED + """SELECT doc_id, CASE WHEN has_label THEN new_score ELSE old_score END AS score,
+CASE WHEN NOT has_label THEN old_priority WHEN new_score < 50 THEN 'P0' WHEN new_score < 70 THEN 'P1' WHEN new_score < 85 THEN 'P2' WHEN new_score < 100 THEN 'P3' END AS priority,
+array_to_string(CASE WHEN has_label THEN new_codes ELSE raw_codes END, ',') AS codes, NOT has_label AS pending_model, has_label AND new_score = 100 AND NOT toxic AS clean FROM rescored""")
+def judgment_merge(spark, sf_dir):
+    merged = judgments.merge(audited(spark, sf_dir), labelled(spark, sf_dir))
+    return merged.select(doc_id(), "score", "priority", joined(scoring.codes(F.col("findings"))).alias("codes"), "pending_model", "clean")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def judgment_missing(spark, sf_dir):
+    return judgments.missing(audited(spark, sf_dir), labelled(spark, sf_dir)).select(doc_id())
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def judgment_extra(spark, sf_dir):
+    """Orders with lines (judgments) that are no filled orders (rows)."""
+    rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("note_path"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("note_path")).distinct()
+    return judgments.extra(rows, found).select(F.col("note_path").alias("l_orderkey"))
+
+
+@query("SELECT doc_id, '1.0.2' AS expected, CASE WHEN quality = 1 THEN '1.0.1' ELSE '1.0.2' END AS got FROM labels JOIN documents USING (doc_id) WHERE quality = 1")
+def prompt_mismatch(spark, sf_dir):
+    found = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("note_path"), F.when(F.col("quality") == 1, "1.0.1").otherwise(PROMPT_VERSION).alias("prompt_version"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_path"), F.lit(PROMPT_VERSION).alias("prompt_version"))
+    return judgments.prompt_mismatches(rows, found).withColumnRenamed("note_path", "doc_id")
+
+
+@query("SELECT l_partkey, count(*) AS \"count\" FROM lineitem GROUP BY l_partkey HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return judgments.duplicates(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+def resume_anti(spark, sf_dir):
+    """Parts (selected notes) without a large line (completed judgment)."""
+    done = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("note_path")).distinct()
+    return judgments.unfinished(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("note_path")), done).select(F.col("note_path").alias("p_partkey"))
+
+
+@query("""WITH a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role AS expected FROM conversations),
+b AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role AS got FROM conversations WHERE role <> 'system')
+SELECT conv_id, pos, expected, got, expected IS NOT DISTINCT FROM got AS ok FROM a FULL JOIN b USING (conv_id, pos)""")
+def positional_zip(spark, sf_dir):
+    """Turns against the turns that are no system turns, by position."""
+    conv = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("batch_id"), "turn", F.col("role").alias("note_path"))
+    numbered = lambda df: df.withColumn("pos", F.row_number().over(Window.partitionBy("batch_id").orderBy("turn")).cast("long"))
+    return judgments.positional(numbered(conv), numbered(conv.filter("note_path <> 'system'"))).withColumnRenamed("batch_id", "conv_id")
+
+
+@query(BASE + "SELECT count(*) AS total_notes, count_if(priority = 'P0')::BIGINT AS \"P0\", count_if(priority = 'P1')::BIGINT AS \"P1\", count_if(priority = 'P2')::BIGINT AS \"P2\", count_if(priority = 'P3')::BIGINT AS \"P3\", count_if(priority IS NULL)::BIGINT AS no_change FROM base")
+def pair_consistency(spark, sf_dir):
+    return audit.counts(audited(spark, sf_dir)).select("total_notes", "P0", "P1", "P2", "P3", "no_change")
+
+
+# --- filters --------------------------------------------------------------------
+
+
+@query(BASE + "SELECT doc_id, score FROM base WHERE priority = 'P1'")
+def queue_filter(spark, sf_dir):
+    return views.queue(coded(spark, sf_dir), "P1").select("doc_id", "score")
+
+
+@query(BASE + "SELECT doc_id FROM base WHERE risky")
+def risk_filter(spark, sf_dir):
+    return audited(spark, sf_dir).filter(views.is_risky()).select(doc_id())
+
+
+@query(BASE + "SELECT doc_id FROM base WHERE list_contains(raw_codes, 'multi_note')")
+def has_finding(spark, sf_dir):
+    return coded(spark, sf_dir).filter(scoring.has(F.col("findings"), "multi_note")).select("doc_id")
+
+
+@query(BASE + """, named AS (SELECT doc_id, priority, risky, raw_codes FROM base)
+SELECT 'All Audited Notes' AS view, count(*) AS notes, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM named HAVING count(*) > 0
+UNION ALL SELECT CASE priority WHEN 'P0' THEN 'P0 Critical' WHEN 'P1' THEN 'P1 High Impact' WHEN 'P2' THEN 'P2 Improvements' WHEN 'P3' THEN 'P3 Polish' ELSE 'No Changes' END, count(*), min(doc_id), max(doc_id) FROM named GROUP BY priority
+UNION ALL SELECT 'Factual Risk', count(*), min(doc_id), max(doc_id) FROM named WHERE risky HAVING count(*) > 0
+UNION ALL SELECT 'Multi-Note Split Candidates', count(*), min(doc_id), max(doc_id) FROM named WHERE list_contains(raw_codes, 'multi_note') HAVING count(*) > 0
+UNION ALL SELECT 'Missing Parent Candidates', count(*), min(doc_id), max(doc_id) FROM named WHERE list_contains(raw_codes, 'missing_parent') HAVING count(*) > 0
+UNION ALL SELECT 'Duplicate Or Overlap Candidates', count(*), min(doc_id), max(doc_id) FROM named WHERE list_contains(raw_codes, 'duplicate_overlap') HAVING count(*) > 0""")
+def saved_views(spark, sf_dir):
+    held = views.saved_views(audited(spark, sf_dir)).select("view", doc_id())
+    return held.groupBy("view").agg(F.count("*").alias("notes"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+@query(BASE + "SELECT source, coalesce(priority, 'no_change') AS bucket, count(*) AS notes, sum(loss)::BIGINT AS lost FROM base GROUP BY ROLLUP (source, coalesce(priority, 'no_change'))")
+def health_rollup(spark, sf_dir):
+    df = coded(spark, sf_dir).withColumn("bucket", scoring.bucket_key(F.col("priority")))
+    return df.rollup("source", "bucket").agg(F.count("*").alias("notes"), F.sum("loss").alias("lost"))
+
+
+# --- text -----------------------------------------------------------------------
+
+#: The same Markdown on both sides, around each whole text.
+MARKDOWN = """(CASE WHEN n_chars % 3 = 0 THEN '' ELSE '---' || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10) END || '# ' || lang || chr(10)
+|| CASE WHEN n_chars % 4 = 0 THEN '# second' || chr(10) ELSE '' END || 'START' || chr(10) || replace(text, '[', '(') || chr(10) || CASE WHEN n_chars % 5 = 0 THEN '' ELSE 'END' || chr(10) END
+|| 'See [[folder/doc' || CAST(doc_id * 7 % 1000 AS VARCHAR(20)) || '.md#part|alias]] and [[doc' || CAST(n_chars AS VARCHAR(20)) || ']].' || chr(10))"""
+MARKED = MARKDOWN.replace("VARCHAR(20)", "VARCHAR")
+WORDS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?'))::INTEGER"
+OPENING = "(?s)^---[ \\t]*\\r?\\n(?:(.*?)\\r?\\n)?---[ \\t]*(?:\\r?\\n|\\z)"
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text", F.expr(MARKDOWN.replace("VARCHAR(20)", "STRING")).alias("content"))
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(content, '{OPENING}') THEN regexp_extract(content, '{OPENING}', 1) END AS frontmatter, length(regexp_replace(content, '{OPENING}', ''))::INTEGER AS body_chars FROM (SELECT doc_id, {MARKED} AS content FROM documents)")
+def frontmatter_split(spark, sf_dir):
+    df = marked(spark, sf_dir)
+    return df.select("doc_id", X.frontmatter(F.col("content")).alias("frontmatter"), F.length(X.body(F.col("content"))).alias("body_chars"))
+
+
+@query(f"SELECT level, count(*) AS headings FROM (SELECT length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \\t]+\\S', 1))::INTEGER AS level FROM (SELECT unnest(string_split({MARKED}, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \\t]+\\S')) GROUP BY level")
+def heading_levels(spark, sf_dir):
+    line = marked(spark, sf_dir).select(F.explode(F.split("content", "\n")).alias("line"))
+    level = F.length(F.regexp_extract("line", r"^ {0,3}(#{1,6})[ \t]+\S", 1))
+    return line.filter(F.col("line").rlike(r"^ {0,3}#{1,6}[ \t]+\S")).groupBy(level.alias("level")).agg(F.count("*").alias("headings"))
+
+
+@query(f"SELECT doc_id, starts, ends, starts <> ends AS malformed FROM (SELECT doc_id, len(list_filter(rows, lambda x: x = 'START'))::INTEGER AS starts, len(list_filter(rows, lambda x: x = 'END'))::INTEGER AS ends FROM (SELECT doc_id, string_split({MARKED}, chr(10)) AS rows FROM documents))")
+def marker_balance(spark, sf_dir):
+    rows = F.split("content", "\n")
+    count = lambda mark: F.size(F.filter(rows, lambda x: x == mark))
+    return marked(spark, sf_dir).select("doc_id", count("START").alias("starts"), count("END").alias("ends")).withColumn("malformed", F.col("starts") != F.col("ends"))
+
+
+@query("SELECT doc_id, " + WORDS.format("text") + " AS words FROM documents")
+def word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x, e' \t\r\n-*') <> ''))::INTEGER AS sentences FROM documents""")
+def sentence_split(spark, sf_dir):
+    parts = F.split("text", r"(?<=[.!?])\s+|\n{2,}")
+    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, r"^[ \t\r\n*-]+|[ \t\r\n*-]+\z", ""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(trimmed, lambda s: s != "")).alias("sentences"))
+
+
+@query(r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(is|are|was|were) like($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])like (a|an|the)($|[^\p{L}\p{N}_])') OR contains(lower(text), 'think of ') OR contains(lower(text), 'consider ') OR contains(lower(text), 'can be compared to') AS analogy FROM documents")
+def analogy_flag(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_analogy(F.col("text")).alias("analogy"))
+
+
+@query("SELECT doc_id, words < 80 AS weak, words FROM (SELECT doc_id, " + WORDS.format("text") + " AS words FROM documents)")
+def weak_length(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
+    return df.select("doc_id", (F.col("words") < rules.MIN_BODY).alias("weak"), "words")
+
+
+@query(f"SELECT doc_id, len(list_filter(string_split({MARKED}, chr(10)), lambda x: regexp_matches(x, '^ {{0,3}}#[ \\t]+\\S'))) > 1 AS multi FROM documents")
+def multi_h1(spark, sf_dir):
+    tops = F.filter(lexed("content")["headings"], lambda h: h["level"] == 1)
+    return marked(spark, sf_dir).select("doc_id", (F.size(tops) > 1).alias("multi"))
+
+
+@query("SELECT target, count(*) AS links FROM (SELECT 'doc' || (doc_id * 7 % 1000)::VARCHAR AS target FROM documents UNION ALL SELECT 'doc' || n_chars::VARCHAR FROM documents) GROUP BY target")
+def link_targets(spark, sf_dir):
+    link = marked(spark, sf_dir).select(F.explode(lexed("content")["links"]).alias("link"))
+    return link.select(X.link_target(F.col("link")).alias("target")).filter("target <> ''").groupBy("target").agg(F.count("*").alias("links"))
+
+
+@query("SELECT doc_id, length(text)::INTEGER AS kept_chars FROM documents")
+def trailing_sections(spark, sf_dir):
+    """A closing reference list goes, the text before it stays."""
+    listed = F.concat("text", F.lit("\nReference:\n- [[a]]\n\nSources:\n1. b\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(X.without_trailing_references(listed)).alias("kept_chars"))
+
+
+EDGE = r"(^|[^\p{{L}}\p{{N}}_])({})($|[^\p{{L}}\p{{N}}_])"
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '(?i){EDGE.format(rules.ABSOLUTES)}') AS absolute, regexp_matches(text, '(?i){EDGE.format(rules.SENSITIVE)}') AS sensitive, regexp_matches(text, '(?i){EDGE.format(rules.RECENT)}') AS recent FROM documents")
+def risk_score(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", t.rlike(rules.whole(rules.ABSOLUTES)).alias("absolute"), t.rlike(rules.whole(rules.SENSITIVE)).alias("sensitive"), t.rlike(rules.whole(rules.RECENT)).alias("recent"))
+
+
+@query()
+def human_generalization(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", X.sentences(F.col("text")).alias("claims"))
+    return df.select("doc_id", F.size("claims").alias("claims"), F.size(F.filter(rules.generalisations("claims"), lambda g: g)).alias("general"))
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '(?i){EDGE.format(rules.OVERLAP)}') AS overlap FROM documents")
+def duplicate_phrase(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(rules.whole(rules.OVERLAP)).alias("overlap"))
+
+
+@query("SELECT doc_id, sha256(replace(replace(text, e'\\r\\n', e'\\n'), e'\\r', e'\\n')) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("""SELECT doc_id, 'model-judgment:v1:' || sha256('{"content_hash":"' || sha256(text) || '","doctrine_version":"1.0.4","note_path":"notes/' || doc_id::VARCHAR || '.md","prompt_version":"1.0.2"}') AS cache_key FROM documents""")
+def cache_key(spark, sf_dir):
+    path = F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").select("doc_id", batching.cache_key(path, F.sha2("text", 256), {"doctrine_version": "1.0.4", "prompt_version": PROMPT_VERSION}).alias("cache_key"))
+
+
+@query(r"""SELECT page_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&#160;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(160), ' ')) AS visible_sha256 FROM pages""")
+def html_visible(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(X.visible_html(F.col("html")), 256).alias("visible_sha256"))
+
+
+@query()
+def fence_mask(spark, sf_dir):
+    """The text inside a fence vanishes from the structural view, line for line."""
+    fenced = F.concat(F.lit("# top\n~~~\n"), "text", F.lit("\n~~~\nafter `code` <!-- note -->\n"))
+    view = lexed("content")["structural"]
+    df = table(spark, sf_dir, "documents").select("doc_id", fenced.alias("content"))
+    return df.select("doc_id", F.size(F.split("content", "\n")).alias("lines"), view.alias("view")).select("doc_id", "lines", F.size(F.split("view", "\n")).alias("view_lines"), F.length("view").alias("view_chars"))
+
+
+@query()
+def explain_shape(spark, sf_dir):
+    prose = F.concat(F.lit("# t\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n\nIt is like a map.\n\nFor example, a city map.\n"))
+    df = rules.parsed(table(spark, sf_dir, "documents").select("doc_id", prose.alias("content")))
+    return df.select("doc_id", "best.present", "best.too_long", "best.shape", "best.definition", "best.analogy", "best.example")
+
+
+@query()
+def note_audit(spark, sf_dir):
+    """The whole deterministic audit over documents as notes, with links of a second set as parents."""
+    notes = marked(spark, sf_dir).select(F.concat(F.lit("notes/doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("note_path"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stem"), "content", F.lit(None).cast("timestamp").alias("modified_time"))
+    rows = audit.audit(notes, audit.parent_targets(marked(spark, sf_dir)), "run-1", {}, True)
+    return rows.select("note_path", "score", "priority", "content_hash", joined(scoring.codes(F.col("findings"))).alias("codes"))
+
+
+# --- batches, validation, plans ---------------------------------------------------
+
+
+@query("""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, n_chars FROM documents),
+b AS (SELECT i, doc_id, n_chars, 0::BIGINT AS batch_id, 1 AS c, n_chars AS s FROM o WHERE i = 1
+UNION ALL SELECT o.i, o.doc_id, o.n_chars, CASE WHEN b.c >= 20 OR b.s + o.n_chars > 50000 THEN b.batch_id + 1 ELSE b.batch_id END, CASE WHEN b.c >= 20 OR b.s + o.n_chars > 50000 THEN 1 ELSE b.c + 1 END, CASE WHEN b.c >= 20 OR b.s + o.n_chars > 50000 THEN o.n_chars ELSE b.s + o.n_chars END FROM b JOIN o ON o.i = b.i + 1)
+SELECT doc_id, batch_id FROM b""")
+def greedy_batches(spark, sf_dir):
+    notes = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("note_path"), F.col("n_chars").alias("size"))
+    return batching.greedy_batches(notes).select(F.col("note_path").cast("long").alias("doc_id"), "batch_id")
+
+
+@query("""SELECT conv_id, sha256('Judge.' || chr(10) || chr(10) || string_agg('## ' || role || chr(10) || 'hash: ' || sha256(text) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS prompt_sha256 FROM conversations GROUP BY conv_id""")
+def batch_prompts(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"), F.col("role").alias("note_path"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"))
+    return batching.prompts(conv, "Judge.").select(F.col("batch_id").alias("conv_id"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query(BASE + "SELECT doc_id, CASE WHEN n_chars % 10 = 0 THEN 'Invalid row_status: lost' WHEN n_chars % 10 = 1 THEN 'score must be an integer from 1 to 100 or null' ELSE '' END AS violations FROM base")
+def row_violations(spark, sf_dir):
+    path = F.concat(F.lit("notes/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md"))
+    rows = audit.rows(coded(spark, sf_dir, "text").select("doc_id", "n_chars", path.alias("note_path"), F.col("doc_id").cast("string").alias("stem"), X.content_hash(F.col("text")).alias("content_hash"), F.lit(None).cast("timestamp").alias("modified_time"), "findings"), "run-1", {"chars": "0"}, True)
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    broken = rows.select("*", doc_id()).join(sizes, "doc_id").withColumn("row_status", F.when(F.col("n_chars") % 10 == 0, "lost").otherwise(F.col("row_status"))).withColumn("score", F.when(F.col("n_chars") % 10 == 1, 0).otherwise(F.col("score")))
+    return broken.select("doc_id", F.array_join(validate.row_violations(broken), "; ").alias("violations"))
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 AND quality = 1 THEN 'factual_risk_reason is required when factual_risk is true' ELSE '' END AS violations FROM labels")
+def judgment_violations(spark, sf_dir):
+    # the reason is kept for low quality only, so that toxic labels of good quality break the contract
+    found = labelled(spark, sf_dir).withColumn("factual_risk_reason", F.when(scoring.has(F.col("findings"), "unclear"), F.col("factual_risk_reason")))
+    return found.select(doc_id(), F.array_join(validate.judgment_violations(), "; ").alias("violations"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Operation 0 is destructive; Operation 0 requires approval' WHEN 'O' THEN 'Operation 0 has unsupported operation' ELSE '' END AS violations FROM orders""")
+def plan_violations(spark, sf_dir):
+    """V7: orders as operations; filled ones delete without approval, open ones do something unknown, others edit."""
+    kind = F.when(F.col("o_orderstatus") == "F", "delete").when(F.col("o_orderstatus") == "O", "unknown").otherwise("edit")
+    op = F.struct(kind.alias("operation"), F.lit(None).cast("string").alias("operation_type"), F.lit(None).cast("boolean").alias("approved"), F.lit(None).cast("boolean").alias("delete_original"), F.lit(None).cast("array<struct<note_path:string,content:string>>").alias("proposed_outputs"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", op.alias("op"))
+    return df.select("o_orderkey", F.array_join(remediation.operation_violations(F.lit(0), F.col("op"), False), "; ").alias("violations"))
+
+
+# --- tasks ------------------------------------------------------------------------
+
+TASK = """SELECT 'Tasks/' || CAST(o_orderkey AS VARCHAR) || '.md' AS path, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'todo' ELSE 'waiting-for' END AS status,
+CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'P0' WHEN '2' THEN 'P1' WHEN '3' THEN 'P2' WHEN '4' THEN 'P3' ELSE 'unknown' END AS priority, o_custkey, o_orderdate FROM orders"""
+
+
+def task_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks."""
+    o = table(spark, sf_dir, "orders")
+    day = F.to_date("o_orderdate")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "todo").otherwise("waiting-for")
+    first = F.substring("o_orderpriority", 1, 1)
+    priority = F.when(first == "1", "P0").when(first == "2", "P1").when(first == "3", "P2").when(first == "4", "P3").otherwise("unknown")
+    text = F.lit(None).cast("string")
+    return o.select(
+        "o_orderkey", F.concat(F.lit("Tasks/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), status.alias("status"), priority.alias("priority"), F.lit("human").alias("execution_shape"),
+        F.lit("administer").alias("task_type"), F.lit("low").alias("human_energy"), F.lit("import").alias("source_type"), F.lit("deliver").alias("goal"), text.alias("project"), text.alias("people"),
+        F.lit(None).cast("date").alias("due"), F.lit(None).cast("date").alias("not_before"), F.when(status == "waiting-for", F.col("o_custkey").cast("string")).alias("waiting_on"),
+        F.lit(None).cast("date").alias("follow_up_on"), text.alias("blocked_on"), F.lit(None).cast("date").alias("blocked_since"), F.when(status != "todo", day).alias("date_closed"),
+    )
+
+
+@query(f"""WITH t AS ({TASK}) SELECT 'All tasks' AS view, count(*) AS tasks FROM t UNION ALL
+SELECT CASE status WHEN 'done' THEN 'History' WHEN 'todo' THEN 'Todo' ELSE 'Waiting for' END, count(*) FROM t GROUP BY status
+UNION ALL SELECT v, 0 FROM (VALUES ('Triage'), ('In progress'), ('Blocked')) x(v)""")
+def task_views(spark, sf_dir):
+    notes = tasks.tasks(task_notes(spark, sf_dir))
+    held = F.map_from_arrays(F.array(*[F.lit(v) for v in tasks.VIEWS]), F.array(*[F.coalesce(F.col("status").isin(*s) if s else F.lit(True), F.lit(False)) for s, _ in tasks.VIEWS.values()]))
+    return notes.select(F.explode(held).alias("view", "in")).groupBy("view").agg(F.count_if("in").alias("tasks"))
+
+
+@query(f"WITH t AS ({TASK}) SELECT split_part(split_part(path, '/', 2), '.', 1) AS name, status, strftime(o_orderdate, '%Y-%m-%d') AS date_closed FROM t WHERE status = 'done'")
+def task_history(spark, sf_dir):
+    return tasks.view(task_notes(spark, sf_dir), "History").select("name", "status", F.date_format("date_closed", "yyyy-MM-dd").alias("date_closed"))
+
+
+@query(f"""WITH t AS ({TASK}) SELECT o_orderkey, array_to_string(list_filter([CASE WHEN priority = 'unknown' THEN 'a task with an unknown property stays in triage' END, CASE WHEN status = 'waiting-for' THEN 'waiting-for requires follow_up_on' END,
+CASE WHEN status = 'waiting-for' THEN 'date_closed is stale for this status' END], lambda x: x IS NOT NULL), '; ') AS violations FROM t""")
+def task_contract(spark, sf_dir):
+    return task_notes(spark, sf_dir).select("o_orderkey", F.array_join(tasks.contract_violations(), "; ").alias("violations"))
+
+
+@query()
+def task_transitions(spark, sf_dir):
+    """T13 over the event log: each user's changes of event type as changes of a task's status."""
+    e = table(spark, sf_dir, "events")
+    status = F.element_at(F.array(*map(F.lit, tasks.STATUSES)), (F.pmod(F.crc32("event_type"), F.lit(len(tasks.STATUSES))) + 1).cast("int"))
+    return tasks.transitions(e.select(F.col("user_id").alias("task"), "ts", status.alias("status"), F.lit("agent-first").alias("execution_shape"), F.when(F.col("value") > 50, "agent").otherwise("user").alias("actor")))
+
+
+@query(f"SELECT doc_id, 0 AS pos, 'Atomic Notes/' || lang || '.md' AS note_path FROM documents UNION ALL SELECT doc_id, 1, 'Atomic Notes/second.md' FROM documents WHERE n_chars % 4 = 0")
+def split_proposal(spark, sf_dir):
+    notes = marked(spark, sf_dir).select(F.col("doc_id").cast("string").alias("note_path"), "content")
+    return remediation.split_proposals(notes).select(F.col("source_note_path").cast("long").alias("doc_id"), "pos", "note_path")
+
+
+@query("""SELECT o_orderkey, CASE WHEN n <> 4 THEN 'card_count=' || n::VARCHAR || ', expected=4' ELSE '' END AS cards, CASE WHEN decks <> ['A'] THEN 'decks=' || array_to_string(decks, ',') || ', expected=A' ELSE '' END AS decks FROM
+(SELECT l_orderkey AS o_orderkey, count(*) AS n, list_sort(list_distinct(list(l_returnflag))) AS decks FROM lineitem GROUP BY l_orderkey) JOIN orders USING (o_orderkey)""")
+def anki_deck_check(spark, sf_dir):
+    """Orders as notes with four cards in deck A, their lines as the service's cards."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("noteId"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("cardId"), F.col("l_returnflag").alias("deckName"))
+    held = lines.groupBy("noteId").agg(F.collect_list("cardId").alias("cards")).select("noteId", F.lit("Basic").alias("modelName"), "cards", F.expr("map('Front', named_struct('value', 'f'), 'Back', named_struct('value', 'b'))").alias("fields"))
+    checked = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("entry"), F.col("o_orderkey").cast("string").alias("note_path"), F.lit(True).alias("anki"), F.col("o_orderkey").alias("note_id"), F.lit("Basic").alias("expected_model"),
+        F.lit("A").alias("expected_deck"), F.lit(4).alias("expected_card_count"), F.array(F.lit("f")).alias("representative_text"), F.array().cast("array<string>").alias("violations"),
+    )
+    told = anki.service_checks(checked.join(held.select(F.col("noteId").alias("entry")), "entry", "left_semi"), held, lines.select("cardId", "deckName"))
+    pick = lambda p: F.coalesce(F.get(F.filter("violations", lambda v: v.startswith(p)), F.lit(0)), F.lit(""))
+    return told.select(F.col("entry").alias("o_orderkey"), pick("card_count").alias("cards"), pick("decks").alias("decks"))
