@@ -11,6 +11,7 @@ hash alike, of those that either has terms in, is their likeness.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,23 +96,25 @@ def previous(keys: DataFrame, span: int = 4096) -> DataFrame:
     return inside.join(over, "range").select("key", F.coalesce("before", "last").alias("before"))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` (doc_id and ``columns``) with ``next_<c>`` of the row with the next doc_id; after the last comes the first.
+def with_next(rows: DataFrame, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``rows`` (doc_id, text), with what ``derive`` adds, and ``next_<column>`` of the row with the next doc_id; after the last comes the first.
 
     Rows move once, to buckets of neighbouring doc_ids. The first row of each bucket
     also goes to the bucket before, as the neighbour of its last row. Repeated
-    doc_ids follow one another in the order of the first column; null doc_ids come first.
+    doc_ids follow one another in the order of their texts; null doc_ids come first.
     """
     low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = 1 if low is None else max(1, (high - low + 1) * BUCKET // count)
     bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long")
-    placed = rows.select(bucket.alias("__bucket"), F.lit(0).alias("__guest"), "doc_id", *columns)
-    first = F.min_by(F.struct(*columns), F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.col(columns[0])))
-    heads = placed.groupBy("__bucket").agg(first.alias("__head"))
+    placed = rows.select(bucket.alias("__bucket"), F.lit(0).alias("__guest"), "doc_id", "text")
+    # the first rows by text alone: nothing is derived for rows that are not first
+    heads = placed.groupBy("__bucket").agg(F.min_by("text", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.col("text"))).alias("text"))
     before = previous(checkpointed(placed.select(F.col("__bucket").alias("key")).distinct()))
-    guests = heads.join(before, heads["__bucket"] == before["key"]).select(F.col("before").alias("__bucket"), F.lit(1).alias("__guest"), F.lit(None).cast("long").alias("doc_id"), *[F.col(f"__head.{c}").alias(c) for c in columns])
-    order = Window.partitionBy("__bucket").orderBy("__guest", "doc_id", columns[0])
-    led = placed.unionByName(guests).select("__guest", "doc_id", *columns, *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    guests = heads.join(before, heads["__bucket"] == before["key"]).select(F.col("before").alias("__bucket"), F.lit(1).alias("__guest"), F.lit(None).cast("long").alias("doc_id"), "text")
+    every = derive(placed).unionByName(derive(guests))
+    carried = [c for c in every.columns if c not in ("__bucket", "__guest", "doc_id")]
+    order = Window.partitionBy("__bucket").orderBy("__guest", "doc_id", "text")
+    led = every.select("__guest", "doc_id", *carried, *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
     return led.filter("__guest = 0").drop("__guest")
 
 
@@ -123,7 +126,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     lex = lexicon(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    led = with_next(fingerprint(rows, "text", "fp", lex), ["text", "fp"])
+    led = with_next(rows, lambda df: fingerprint(df, "text", "fp", lex))
     led = led.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("__half", F.floor(F.col("n_chars") / 2).cast("int"))
     led = led.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - __half as int))"), F.expr("substring(next_text, 1, __half)")))
     led = led.select("doc_id", "n_chars", "fp", "next_fp", "edited", F.sha2("edited", 256).alias("edited_sha256"))
