@@ -1,7 +1,7 @@
 """Toxicity scores from averaged subword embeddings and a linear softmax.
 
 A word is the mean of the vectors of its character n-grams and of itself; a text is
-the mean of its words; a softmax layer over two classes reads that mean. Embeddings
+the mean of its words (and a few empty ones); a softmax layer over two classes reads that mean. Embeddings
 and softmax are trained together by Adam in numpy, on a bounded balanced sample of
 labelled rows. Since n-grams are shared, a misspelling that never occurred in
 training still lands near the word it distorts.
@@ -29,9 +29,11 @@ from notegauge.llm.common import ship, widened
 SAMPLE_PER_CLASS = 3000
 BUCKETS, DIM, EPOCHS, MINIBATCH, RATE, DECAY, SCALE, SEED = 1 << 17, 6, 6, 64, 0.005, 1e-6, 0.1, 7
 NGRAMS = (3, 4, 5, 6)
-#: Standard errors by which the share of texts with a bucket must differ between the classes.
-Z = 7.0
+#: By how many standard errors, and by how much, the share of texts with a bucket must differ between the classes.
+Z, EFFECT = 7.0, 0.05
 THRESHOLD = 0.7
+#: Words without evidence that every text is averaged with, so that one chance n-gram does not decide a short text.
+PAD = 80
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#%&$-_/\\<>"
 #: Distinct words remembered by a scoring task before it starts afresh (memory only, no effect on scores).
 MEMO = 1_000_000
@@ -56,7 +58,7 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
             continue
         lens = np.fromiter(map(len, subs), np.int64, len(subs))
-        share = np.fromiter(counts.values(), np.float64, len(subs)) / sum(counts.values())
+        share = np.fromiter(counts.values(), np.float64, len(subs)) / (sum(counts.values()) + PAD)
         buckets, at = np.unique(np.concatenate(subs), return_inverse=True)
         out.append((buckets, np.bincount(at, np.repeat(share / lens, lens)).astype(np.float32)))
     return out
@@ -74,7 +76,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np
     n, hold = np.bincount(y, minlength=2), by_class[0] + by_class[1]
     pooled = hold / len(y)
     error = np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1])) + 1e-12
-    keep = (np.abs(by_class[1] / n[1] - by_class[0] / n[0]) >= Z * error) & (hold >= 3)
+    keep = (np.abs(by_class[1] / n[1] - by_class[0] / n[0]) >= np.maximum(Z * error, EFFECT)) & (hold >= 3)
     if not keep.any():
         return logit, -4.0
     used = np.flatnonzero(keep)
@@ -133,7 +135,7 @@ class Scorer(dict):
         words = (text or "").split()
         if len(self) > MEMO:
             self.clear()
-        z = self.bias + (sum(map(self.__getitem__, words)) / len(words) if words else 0.0)
+        z = self.bias + sum(map(self.__getitem__, words)) / (len(words) + PAD)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
