@@ -23,9 +23,9 @@ REPEATS = 3
 BLOCK, SLOTS = 512, 4096
 GOLDEN = 0.6180339887498949
 GRID = 4096
-#: Slots per bucket, and documents per bucket of a source on average.
-RUN = 1 << 16
-SPREAD = 4096
+#: Slots per bucket, and documents to a bucket of a source on average.
+RUN = 1 << 14
+SPREAD = 512
 
 
 def words(text: Column) -> Column:
@@ -89,10 +89,11 @@ def mix(docs: DataFrame) -> DataFrame:
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(1, min(BLOCK, total // SLOTS))
     n_slots = total // block
-    n_buckets = max(1, 1 << max(0, (count // SPREAD).bit_length()))
+    bits = min(31, (count // SPREAD).bit_length())
     named = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("doc_id", rows["source"], "size", "source_size", "position", "target")
     mixed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    spread = named.withColumn("__mix", mixed).withColumn("__bucket", F.pmod(F.conv(F.substring("__mix", 1, 8), 16, 10).cast("long"), F.lit(n_buckets)))
+    # buckets are ranges of the hash, so that the order of the shuffle does not depend on their number
+    spread = named.withColumn("__mix", mixed).withColumn("__bucket", F.shiftright(F.conv(F.substring("__mix", 1, 8), 16, 10).cast("long"), 32 - bits))
     laid = prefix_sums(spread, ["position"], "__bucket", ["__mix", "doc_id", "size"], "size", "begin")
     laid = checkpointed(laid.withColumn("__row", F.monotonically_increasing_id()))
     # every pass over a source that its target may reach puts the document somewhere in the block stream

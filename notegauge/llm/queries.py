@@ -73,4 +73,53 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
+#: XXH64, the tokenizer and trained models are beyond SQL; those queries are tested against brute force.
 ORACLES: dict[str, str] = {}
+
+ORACLES["op4_warc"] = """
+WITH own AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+kept AS (SELECT payload_digest, max(page_id) AS last FROM own WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM own LEFT JOIN kept USING (payload_digest)
+"""
+
+ORACLES["op6_line_dedup"] = r"""
+WITH line AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents
+), keyed AS (
+    SELECT *, translate(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line
+), frequent AS (
+    SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT doc_id, s, n, coalesce(doc_id <> last, false) AS gone FROM keyed LEFT JOIN frequent USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(s, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id
+"""
+
+ORACLES["op8_source_mix"] = rf"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sized AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS position FROM d GROUP BY source
+), capped AS (
+    SELECT *, [5.0, 2.0, 1.0][(position - 1) % 3 + 1]::DOUBLE AS weight, ({mixing.REPEATS} * source_size)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM sized
+), levels AS (
+    SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, position ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped
+), plan AS (
+    SELECT source, source_size, position, least(cap, weight * (SELECT level FROM levels WHERE cap / weight >= level ORDER BY cap / weight, position LIMIT 1)) AS target FROM levels
+), size AS (
+    SELECT greatest(1, least({mixing.BLOCK}, sum(size)::BIGINT // {mixing.SLOTS})) AS block, sum(size)::BIGINT AS total FROM d
+), share AS (
+    SELECT position, coalesce(lag(hi) OVER (ORDER BY position), 0) AS lo, CASE WHEN position = max(position) OVER () THEN 1 ELSE hi END AS hi
+    FROM (SELECT position, sum(target) OVER (ORDER BY position) / sum(target) OVER () AS hi FROM plan WHERE target > 0)
+), point AS (
+    SELECT i * {mixing.GOLDEN}::DOUBLE - floor(i * {mixing.GOLDEN}::DOUBLE) AS x FROM (SELECT unnest(range((SELECT total // block FROM size))) AS i)
+), drawn AS (
+    SELECT position, count(*) AS slots FROM point JOIN share ON x >= lo AND x < hi GROUP BY position
+), laid AS (
+    SELECT doc_id, size, source_size, position, target, coalesce(sum(size) OVER (PARTITION BY position ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+    FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
+)
+SELECT doc_id, size, source_size, target, ({" + ".join(f"greatest(0, least(size, coalesce(slots, 0) * block - begins - {t} * source_size))" for t in range(mixing.REPEATS))})::BIGINT AS taken
+FROM laid LEFT JOIN drawn USING (position) CROSS JOIN size
+"""
