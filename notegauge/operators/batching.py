@@ -113,8 +113,26 @@ def pending_batches(rows: DataFrame, done: DataFrame, limit: int | None = None,
     return greedy_batches(unfinished(chosen, done), **sizes)
 
 
+def ascii_json(text: Column) -> Column:
+    """JSON text with every character beyond ASCII as \\uXXXX, pairs for those beyond 16 bits."""
+    code = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        pair = F.concat(code(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), code(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(F.lit(0x3FF))))
+        return F.when(n < 128, c).when(n < 0x10000, code(n)).otherwise(pair)
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(text, ""), escaped), "")).otherwise(text)
+
+
 def cache_key(note_path: Column, content_hash: Column, versions: dict[str, str]) -> Column:
     """``model-judgment:v1:`` and the SHA-256 of the compact JSON of all that a judgment depends on, keys sorted, ASCII only."""
     parts = {"content_hash": content_hash, "note_path": note_path} | {k: F.lit(v) for k, v in versions.items()}
     text = F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]))
-    return F.concat(F.lit("model-judgment:v1:"), F.sha2(text, 256))
+    return F.concat(F.lit("model-judgment:v1:"), F.sha2(ascii_json(text), 256))
+
+
+def with_cache(rows: DataFrame, cache: DataFrame, versions: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose judgment is cached with it, rows still to judge) by key; ``cache`` has cache_key and judgment."""
+    keyed = rows.withColumn("cache_key", cache_key(F.col("note_path"), F.col("content_hash"), versions))
+    return keyed.join(cache, "cache_key"), keyed.join(cache.select("cache_key"), "cache_key", "left_anti").drop("cache_key")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notegauge.functions import text as X
 from notegauge.functions.lexer import lexed
-from notegauge.operators import anki, audit, batching, judgments, remediation, rules, scoring, tasks, validate, views
+from notegauge.operators import anki, audit, batching, judgments, naming, prompt, remediation, rules, scoring, tasks, validate, views
 from notegauge.vocab import COMPONENT_CODES, DIMENSIONS, LOSSES, MODES, PENALTIES, PROMPT_VERSION, ROW_STATUSES
 
 QUERIES: dict = {}
@@ -527,3 +527,57 @@ def anki_deck_check(spark, sf_dir):
     told = anki.service_checks(checked.join(held.select(F.col("noteId").alias("entry")), "entry", "left_semi"), held, lines.select("cardId", "deckName"))
     pick = lambda p: F.coalesce(F.get(F.filter("violations", lambda v: v.startswith(p)), F.lit(0)), F.lit(""))
     return told.select(F.col("entry").alias("o_orderkey"), pick("card_count").alias("cards"), pick("decks").alias("decks"))
+
+
+# --- naming, prompts, cache ---------------------------------------------------------
+
+
+@query()
+def naming_alignment(spark, sf_dir):
+    """Filenames made of the first sentence of half of the documents align with their definitions."""
+    docs = table(spark, sf_dir, "documents")
+    stem = F.when(F.col("n_chars") % 2 == 0, naming.visible(naming.first_sentence(X.strip(F.col("text"))))).otherwise(F.col("lang"))
+    notes = docs.select(F.col("doc_id").cast("string").alias("note_path"), F.concat(F.lit("202401010101 "), stem).alias("stem"), F.concat(F.lit("---\ntitle: t\n---\n# t\n\n"), "text").alias("content"))
+    return naming.alignment(notes).select(F.col("note_path").cast("long").alias("doc_id"), F.coalesce("filename_aligned", F.lit(False)).alias("filename_aligned"), "title_aligned")
+
+
+@query("SELECT doc_id, (CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN n_chars % 3 = 0 THEN 1 ELSE 0 END)::INTEGER AS cards FROM documents")
+def cloze_ordinals(spark, sf_dir):
+    """A card per distinct ordinal, however often it occurs."""
+    text = F.concat(F.when(F.col("n_chars") % 2 == 0, "{{c1::a}} {{c1::b}} ").otherwise(""), F.when(F.col("n_chars") % 3 == 0, "{{c12::c::hint}} ").otherwise(""), F.replace("text", F.lit("{{c"), F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", naming.cloze_cards(text).alias("cards"))
+
+
+@query("SELECT page_id, NOT (contains(url, '.html')) OR contains(url, '..') AS unsafe FROM pages")
+def path_safety(spark, sf_dir):
+    """Page addresses as note paths; those that end in a page name count as notes."""
+    path = F.when(F.contains("url", F.lit(".html")), F.concat(F.lit("notes/"), F.regexp_extract("url", r"([^/]*)\.html", 1), F.lit(".md"))).otherwise(F.concat(F.lit("/"), F.col("url")))
+    return table(spark, sf_dir, "pages").select("page_id", (prompt.unsafe_path(path) | F.contains("url", F.lit(".."))).alias("unsafe"))
+
+
+@query("SELECT doc_id, label_hit FROM (SELECT d.doc_id, l.doc_id IS NOT NULL AS label_hit FROM documents d LEFT JOIN labels l USING (doc_id))")
+def cache_hits(spark, sf_dir):
+    """P28 at work: documents whose judgment a cache keyed by path, content and versions already holds."""
+    versions = {"prompt_version": PROMPT_VERSION}
+    path = F.concat(F.lit("é/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("note_path"), X.content_hash(F.col("text")).alias("content_hash"))
+    judged = table(spark, sf_dir, "labels").select("doc_id")
+    cache = rows.join(judged, "doc_id").select(batching.cache_key(F.col("note_path"), F.col("content_hash"), versions).alias("cache_key"), F.lit("done").alias("judgment"))
+    hit, left = batching.with_cache(rows, cache, versions)
+    return hit.select("doc_id", F.lit(True).alias("label_hit")).unionByName(left.select("doc_id", F.lit(False).alias("label_hit")))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '1.0.1' ELSE '1.0.2' END AS prompt_version FROM orders WHERE o_orderstatus = 'F'")
+def prompt_gate(spark, sf_dir):
+    """V6: rows of an old prompt version are found before any work is done."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "1.0.1").otherwise(PROMPT_VERSION).alias("prompt_version"))
+    return prompt.stale(rows)
+
+
+@query(BASE + "SELECT doc_id, '| [[' || doc_id::VARCHAR || ']] | ' || score::VARCHAR || ' | ' || CASE WHEN score = 100 AND NOT risky THEN 'yes' ELSE 'no' END AS cells FROM base")
+def report_rows(spark, sf_dir):
+    """K1: the first cells of each note's row in the report."""
+    from notegauge.operators import report
+
+    line = report.table_rows(audited(spark, sf_dir)).select(F.regexp_extract("line", r"^(\| \[\[(\d+)\]\] \| \d+ \| \w+)", 1).alias("cells"))
+    return line.select(F.regexp_extract("cells", r"(\d+)", 1).cast("long").alias("doc_id"), "cells")

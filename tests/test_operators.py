@@ -200,3 +200,77 @@ def test_stream_is_idempotent(spark, tmp_path):
         source = spark.readStream.schema(notes.schema).parquet(str(tmp_path / "in"))
         audit_stream.stream(source, targets, str(tmp_path / "out"), str(tmp_path / run), "r", {}).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_cache_keys_are_the_hash_of_ascii_json(spark):
+    import hashlib
+
+    versions = {"audit_mode": "full", "doctrine_version": "1.0.4", "prompt_version": "1.0.2", "rubric_version": "1.0.1"}
+    for path in ("a.md", "é/漢😀.md", 'q"\\.md'):
+        want = hashlib.sha256(json.dumps(versions | {"note_path": path, "content_hash": "h"}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        got = eval1(spark, batching.cache_key(F.col("p"), F.lit("h"), versions), p=(path, "string"))
+        assert got == f"model-judgment:v1:{want}"
+
+
+def test_prompt_and_single(spark):
+    from notegauge.operators import prompt
+
+    text = prompt.judgment_prompt(spark)
+    assert all(f"| `{c}` | {LOSSES[c]} |" in text for c in CODES)
+    notes = spark.createDataFrame([("a.md", "x"), ("b.md", "y"), ("b.md", "z")], "note_path string, content string")
+    assert prompt.request(spark, notes, "a.md").endswith("\nx\n")
+    for path, error in (("b.md", "duplicate"), ("c.md", "not found")):
+        with pytest.raises(ValueError, match=error):
+            prompt.single(notes, path)
+    bad = {p: eval1(spark, prompt.unsafe_path(F.col("p")), p=(p, "string")) for p in ("a/b.md", "/a.md", "a/../b.md", "a.txt")}
+    assert list(bad.values()) == [False, True, True, True]
+
+
+def test_command_runner(tmp_path):
+    from notegauge.operators.runner import CommandRunner, RunnerError, asker
+
+    rows = [{"note_path": "a"}]
+    (tmp_path / "said.json").write_text('{"note_path": "a", "prompt_version": "0"}')
+    ask = asker(CommandRunner("cat {vault}/said.json", str(tmp_path)), lambda r: "prompt", str(tmp_path))
+    assert list(batching.collect(rows, ask)) == [(1, [{"note_path": "a", "prompt_version": "1.0.2", "schema_version": "2.0.0"}])]
+    to_file = CommandRunner("sh -c 'cat > {output_path}'", str(tmp_path))
+    assert to_file("hello", str(tmp_path)) == "hello"
+    for template, error in (("sh -c 'exit 3'", "exit 3"), ("/no/such/command", "did not start"), ("{nothing}", "template"), ("", "empty")):
+        with pytest.raises(RunnerError, match=error):
+            CommandRunner(template, str(tmp_path))("x", str(tmp_path))
+    with pytest.raises(batching.RetryableError, match="no answer"):
+        CommandRunner("sleep 5", str(tmp_path), timeout=1)("x", str(tmp_path))
+
+
+def test_card_service(spark):
+    from notegauge.sources import card_service
+
+    asked = []
+
+    def send(url, body):
+        asked.append(url)
+        if "127" in url:
+            raise OSError("down")
+        action = json.loads(body)["action"]
+        return json.dumps({"result": [{"noteId": 1, "modelName": "Basic", "cards": [5], "fields": {"Front": {"value": "f"}}}] if action == "notesInfo" else [{"cardId": 5, "deckName": "D"}], "error": None}).encode()
+
+    notes, cards = card_service.tables(spark, iter([1]), send)
+    assert notes.first()["fields"]["Front"]["value"] == "f" and cards.first()["deckName"] == "D" and len(asked) == 4
+    with pytest.raises(RuntimeError, match="bad"):
+        card_service.invoke("x", {}, lambda u, b: b'{"error": "bad"}')
+
+
+def test_naming(spark):
+    from notegauge.operators import naming
+
+    notes = [
+        ("Interleaving strengthens discrimination.", "# I\n\nSTART\nCloze\nInterleaving {{c1::strengthens discrimination}}.\nExtra: x\nEND\n", True),
+        ("Caching keeps results", "---\ntitle: Cache\n---\n# Cache\n\nCaching **keeps** results. It helps.\n", True),
+        ("Caching", "# Cache\n\nCaching keeps results.\n", False),
+        ("Under a heading", "# X\n\nIntro here.\n\n## Definition\nUnder a heading. More.\n", True),
+    ]
+    rows = [(str(i), "202401010101 " + s.removesuffix("."), c) for i, (s, c, _) in enumerate(notes)]
+    got = {r["note_path"]: r for r in naming.alignment(spark.createDataFrame(rows, "note_path string, stem string, content string")).collect()}
+    assert [got[str(i)]["filename_aligned"] for i in range(4)] == [n[2] for n in notes]
+    assert got["1"]["title_aligned"] is True and got["2"]["title_aligned"] is None
+    assert eval1(spark, naming.cloze_cards(F.col("t")), t=("{{c1::a}} {{c2::b}} {{c1::c}}", "string")) == 2
