@@ -209,11 +209,127 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+# --- near copies by similarity: SimHash finds them, a sketch of their word shingles confirms them
+
+#: Near copies share this much of their shingles of WIDE words; sketches of SKETCH bytes may err by SLACK.
+SIMILARITY, SLACK, WIDE, SKETCH = 0.8, 0.05, 5, 128
+#: Bits in which the SimHashes of texts that similar differ at most (98 % of them; 90 % differ in eight or fewer).
+WIDE_RADIUS = 12
+#: Rows that a meeting of sizes holds.
+SIZE_ROWS = 1 << 16
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
+
+
+def sketch(text: str | None, width: int = WIDE) -> tuple[int, bytes]:
+    """(number of distinct shingles, low bytes of their SKETCH minima): equal bytes estimate the Jaccard similarity."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, bytes(SKETCH)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    line, k = b" ".join(words), max(1, len(words) - width + 1)
+    h = xxhash.xxh32_intdigest
+    found = {h(line[a:b]) for a, b in zip(starts[:k].tolist(), ends[-k:].tolist())}
+    values = np.fromiter(found, np.uint32, len(found))
+    low = np.full(SKETCH, 2**32 - 1, np.uint32)
+    for i in range(0, len(values), 4096):
+        np.minimum(low, (values[i : i + 4096, None] * _FACTORS).min(axis=0), out=low)
+    return len(values), ((low ^ low >> np.uint32(8) ^ low >> np.uint32(16)) & np.uint32(255)).astype(np.uint8).tobytes()
+
+
+def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, fp, size, sketch, key); equal texts have equal keys."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            fp = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
+            made = [sketch(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array([n for n, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["doc_id", "fp", "size", "sketch"])
+
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, size long, sketch binary")
+    return made.withColumn("key", F.xxhash64("fp", "size", "sketch"))
+
+
+def similar_links(distinct: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, rows: int = SIZE_ROWS) -> DataFrame:
+    """Edges (a, b) that connect the similar rows of ``distinct`` (fp, rep, size, sketch), a spanning forest per meeting.
+
+    Sets that similar have sizes within the same factor, so rows fall into tiles by
+    the logarithm of their size and meet their own tile and the next. Inside, blocks
+    whose population counts are too far apart are skipped, the rest are compared bit
+    by bit, and sketches decide about what is near.
+    """
+    ship(distinct.sparkSession)
+    tile = F.when(F.col("size") > 0, F.floor(F.ln("size") / F.lit(-np.log(similarity - SLACK))).cast("int")).otherwise(-2)
+    own = distinct.select("fp", "rep", "size", "sketch", tile.alias("tile"))
+    # a tile per power of 1/similarity in size: a few hundred rows at most
+    tiles = own.groupBy("tile").count().select("tile", F.ceil(F.col("count") / rows).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    payload = ["fp", "rep", "size", "sketch"]
+    here = own.join(F.broadcast(tiles), "tile").select("tile", part.alias("part"), F.lit(0).alias("side"), *payload)
+    moved = own.select(*payload, F.explode(F.array(F.struct(F.col("tile"), F.lit(True).alias("home")), F.struct((F.col("tile") - 1).alias("tile"), F.lit(False).alias("home")))).alias("t"))
+    moved = moved.select("t.tile", "t.home", *payload).join(F.broadcast(tiles), "tile")
+    there = moved.select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), *payload, F.when(F.col("home"), part).otherwise(-1).alias("from")).filter("part > from").drop("from")
+    n = partitions(distinct.sparkSession)
+    met = here.unionByName(there).repartition(n, "tile", "part").sortWithinPartitions("tile", "part", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, meeting = None, None
+        for b in batches:
+            tile, part, side, fp, rep, size = (c.to_numpy(zero_copy_only=False) for c in b.columns[:6])
+            marks = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            cuts = np.flatnonzero((np.diff(tile) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0)) + 1
+            out: list[tuple[int, int]] = []
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
+                if s == e:
+                    continue
+                if (k := (int(tile[s]), int(part[s]))) != key:
+                    key, meeting = k, SimilarMeeting(radius, similarity - SLACK)
+                meeting.note(rep[s:e], size[s:e], marks[s:e], side[s] == 0)
+                (meeting.take if side[s] == 0 else meeting.compare)(fp[s:e].view(np.uint64), rep[s:e], out)
+            if out:
+                a, c = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+class SimilarMeeting(Meeting):
+    """A meeting that links only rows whose sketches agree."""
+
+    def __init__(self, radius: int, least: float):
+        super().__init__(radius)
+        self.need = SKETCH * (least * 255 / 256 + 1 / 256)
+        self.place, self.streamed = {}, {}
+
+    def note(self, rep, size, marks, held: bool) -> None:
+        rows = dict(zip(rep.tolist(), marks))
+        if held:
+            self.place |= rows
+        else:
+            self.streamed = rows
+
+    def _join(self, a, b, out):
+        if self.root(a) != self.root(b):
+            other = self.streamed[b] if b in self.streamed else self.place[b]
+            if np.count_nonzero(self.place[a] == other) >= self.need:
+                super()._join(a, b, out)
+
+
+def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): groups of near copies, whose shingles of WIDE words are similar; as near_groups() otherwise."""
+    marked = checkpointed(sketched(docs, text))
+    distinct = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.count("*").alias("n")))
+    label = components(similar_links(distinct.filter("rep is not null"), similarity=similarity)).withColumnsRenamed({"node": "rep"})
+    named = checkpointed(distinct.join(label, "rep", "left").select("key", "n", F.coalesce("label", "rep").alias("component_id")))
+    return lookup_join(marked.select("doc_id", "key"), named, ["key"], "n").select("doc_id", "component_id")
+
+
+def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the near copies: of each group the row with the smallest
-    doc_id stays (one of them, where that row is repeated); all columns are kept.
+    doc_id stays (all of them, where that row is repeated); all columns are kept.
     Rows with a null doc_id have no identity to group by and stay."""
-    groups = near_groups(docs, text)
+    groups = similar_groups(docs, text, similarity)
     gone = groups.filter("component_id is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    return kept
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

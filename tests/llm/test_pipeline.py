@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from notegauge.llm import simhash, tokens, toxicity
+from notegauge.llm import tokens, toxicity
 
 SHARED = "this very long line comes back in many of the documents here"
 BAD = ["worthless", "idiot", "pathetic"]
@@ -63,19 +63,18 @@ def test_repeated_lines_stay_once(stages):
     assert all(r["n_chars"] == len(r["text"]) for r in stages[2].collect())
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def test_one_of_each_group_stays(stages):
-    before = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in stages[2].collect()}
-    ids = sorted(before)
-    group = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a in ids:
-            for b in ids:
-                if (before[a] ^ before[b]).bit_count() <= 2 and group[a] != group[b]:
-                    group[a] = group[b] = min(group[a], group[b])
-                    changed = True
-    assert sorted(r["doc_id"] for r in stages[3].collect()) == sorted(set(group.values()))
+    sets = {r["doc_id"]: shingles(r["text"]) for r in stages[2].collect()}
+    ids = sorted(sets)
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    twins = {b: [a for a in ids if a < b and alike(a, b) >= 0.8] for b in ids}
+    assert any(twins.values())
+    assert sorted(r["doc_id"] for r in stages[3].collect()) == [i for i in ids if not twins[i]]
 
 
 def test_mix_repeats_or_drops_whole_documents(stages):

@@ -72,3 +72,49 @@ def test_components_of_a_chain(spark):
 def test_dedup_keeps_the_smallest(spark):
     docs = spark.createDataFrame([(9, "a b c d"), (4, "a b c d"), (7, "other words are here now"), (4, "a b c d")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.dedup(docs).collect()) == [4, 4, 7]
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(2000)]
+    base = [words[i] for i in rng.integers(0, 2000, 400)]
+    for edits in (0, 5, 20, 60):
+        other = list(base)
+        for i in rng.integers(0, 400, edits):
+            other[i] = "new"
+        (n, a), (_, b) = simhash.sketch(" ".join(base)), simhash.sketch(" ".join(other))
+        same = np.mean(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8))
+        assert abs((same - 1 / 256) / (255 / 256) - jaccard(" ".join(base), " ".join(other))) < 0.14
+    assert simhash.sketch(None) == simhash.sketch(" ") == (0, bytes(128))
+
+
+def test_near_copies_are_found_and_others_kept(spark):
+    rng = np.random.default_rng(21)
+    words = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in ("na", "lo", "mi", "ka", "tu")]
+    docs, kind = [], {}
+    for _ in range(120):
+        base = [words[i] for i in rng.integers(0, len(words), rng.integers(60, 500))]
+        docs.append(" ".join(base))
+        kind[len(docs) - 1] = "base"
+        for share, name in ((0.01, "copy"), (0.2, "other")):
+            if rng.random() < 0.5:
+                other = list(base)
+                for i in rng.integers(0, len(base), max(1, int(share * len(base)))):
+                    other[i] = words[rng.integers(len(words))] + "x"
+                docs.append(" ".join(other))
+                kind[len(docs) - 1] = name
+    got = {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    sim = {i: max((jaccard(docs[i], docs[j]) for j in range(max(0, i - 2), i)), default=0) for i in kind}
+    close, far = [i for i in kind if sim[i] >= 0.85], [i for i in kind if sim[i] < 0.65]
+    assert len(close) > 30 and sum(i in got for i in close) <= 0.05 * len(close)
+    assert all(i in got for i in far)
