@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notegauge.functions import text as X
 from notegauge.functions.lexer import lexed
 from notegauge.operators import rules, scoring
+from notegauge.runtime import spread
 from notegauge.schemas import AUDIT_ROW, JUDGMENT
 from notegauge.vocab import BUCKETS, DOCTRINE_VERSION, FIXED_TIME, PROMPT_VERSION, ROW_STATUSES, RUBRIC_VERSION, SCHEMA_VERSION
 
@@ -30,7 +31,7 @@ def audit(notes: DataFrame, targets: DataFrame, run_id: str, config: dict[str, s
     The parent set is joined, not collected: Catalyst broadcasts it if it is small.
     Note text does not take part in the shuffle otherwise: findings are made first.
     """
-    parsed = rules.parsed(notes)
+    parsed = rules.parsed(spread(notes))
     found = parsed.select("note_path", "stem", "modified_time", X.content_hash(F.col("text")).alias("content_hash"), rules.findings(F.lit(True), F.col("stem")).alias("found"), F.col("frontmatter").isNull().alias("__no_front"), F.when(~F.col("best.present"), 1).otherwise(0).alias("__explained"))
     joined = found.join(targets.select(F.col("target").alias("stem"), F.lit(True).alias("has_parent")), "stem", "left")
     # missing_parent comes after frontmatter and explanation findings

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegauge.operators.judgments import stamped, unfinished
+from notegauge.runtime import ship
 from notegauge.schemas import JUDGMENT
 
 MAX_NOTES, MAX_CHARS = 20, 50_000
@@ -23,6 +24,7 @@ def greedy_batches(notes: DataFrame, max_notes: int = MAX_NOTES, max_chars: int
     is packed by one task; without groups the whole list is, as a stream of paths and
     sizes that holds one batch's totals at a time.
     """
+    ship(notes.sparkSession)
     keys = [group] if group else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,6 +76,7 @@ def parse_response(text: str) -> list[dict]:
 
 def responses(batches: DataFrame) -> DataFrame:
     """(batch_id, pos, judgment fields) of (batch_id, response); provenance is stamped."""
+    ship(batches.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -14,6 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from notegauge.runtime import ship
 from notegauge.schemas import NOTE
 
 CHUNK = 256
@@ -62,5 +63,6 @@ class VaultSource(DataSource):
 
 def notes(spark: SparkSession, vault: str, folder: str = "") -> DataFrame:
     """(note_path, stem, content, modified_time) of the notes in a folder of a vault."""
+    ship(spark)
     spark.dataSource.register(VaultSource)
     return spark.read.format("vault").option("folder", folder).load(vault)
