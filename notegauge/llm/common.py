@@ -1,14 +1,11 @@
 """Plumbing shared by the training-data operators: shared-folder checkpoints,
-package shipping, skew-proof joins and exact connected components."""
+skew-proof joins, prefix sums and exact connected components."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,20 +46,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which may start elsewhere than in the repository."""
-    sc = spark.sparkContext
-    if getattr(sc, "_notegauge_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    path = os.path.join(tempfile.mkdtemp(prefix="notegauge-py-"), "notegauge.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(path)
-    sc._notegauge_shipped = True
-
-
 def widened(schema: T.StructType, **columns: str) -> T.StructType:
     """``schema`` with more columns (name=type); the given schema, which a DataFrame caches, is left as it is."""
     more = [T.StructField(k, T._parse_datatype_string(v)) for k, v in columns.items()]

@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import HOT, checkpointed, partitions, ship, widened
+from notegauge.llm.common import HOT, checkpointed, partitions, widened
+from notegauge.runtime import ship
 
 MIN_CHARS, MIN_DOCS = 40, 5
 WHITE = " \t\n\x0b\x0c\r"

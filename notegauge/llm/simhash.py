@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import checkpointed, components, lookup_join, partitions, ship
+from notegauge.llm.common import checkpointed, components, lookup_join, partitions
+from notegauge.runtime import ship
 
 RADIUS = 2
 SHINGLE = 3

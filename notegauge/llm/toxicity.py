@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import ship, widened
+from notegauge.llm.common import widened
+from notegauge.runtime import ship
 
 #: Labelled rows per class that the classifier is fitted on: the bound of the training sample.
 SAMPLE_PER_CLASS = 3000

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import checkpointed, lookup_join, scratch_path, ship
+from notegauge.llm.common import checkpointed, lookup_join, scratch_path
+from notegauge.runtime import ship
 
 MAGIC = b"WARC/1.1\r\n"
 CRLF = "\r\n"
