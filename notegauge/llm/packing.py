@@ -46,7 +46,9 @@ def boundaries(ids: np.ndarray, ends: np.ndarray, closing: np.ndarray, size: int
     Where no document or sentence ends within ``size`` ids, cuts inside are allowed
     at every multiple of the window from the last boundary, at a higher penalty.
     """
-    after = np.flatnonzero(np.isin(ids, closing)) + 1
+    table = np.zeros(1 + int(max(closing.max(), ids.max())), bool)
+    table[closing] = True
+    after = np.flatnonzero(table[ids]) + 1
     pos = np.unique(np.concatenate(([0], after, ends)))
     gaps = np.diff(pos)
     forced = [np.arange(pos[i] + size, pos[i + 1], size) for i in np.flatnonzero(gaps > size)]
