@@ -169,9 +169,15 @@ class Meeting:
                     continue  # the population counts alone rule out this pair of blocks
                 near = np.bitwise_count(f[:, None] ^ g[None, :]) <= self.radius
                 x, y = np.nonzero(near)
-                for a, b in zip(r[x].tolist(), s[y].tolist()):
-                    if a != b:
-                        self._join(a, b, out)
+                if not len(x):
+                    continue
+                # pairs inside one group tell nothing new: a dense group costs one pass and not one step per pair
+                apart = self._roots(r)[x] != self._roots(s)[y]
+                for a, b in zip(r[x[apart]].tolist(), s[y[apart]].tolist()):
+                    self._join(a, b, out)
+
+    def _roots(self, rep: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.root, rep.tolist()), np.int64, len(rep))
 
     def _join(self, a, b, out):
         # a is held, so the root of a group with a held row is held: streamed rows can be forgotten
