@@ -500,12 +500,17 @@ def task_contract(spark, sf_dir):
     return task_notes(spark, sf_dir).select("o_orderkey", F.array_join(tasks.contract_violations(), "; ").alias("violations"))
 
 
-@query()
+#: Event types as statuses of a task.
+STATUS = "CASE event_type WHEN 'click' THEN 'triage' WHEN 'view' THEN 'todo' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'in-progress' ELSE 'blocked' END"
+
+
+@query(f"""SELECT task, ts, before, status, 'agent-first' AS execution_shape, NOT (status = 'done' AND actor = 'agent') AS legal FROM
+(SELECT user_id AS task, ts, {STATUS} AS status, lag({STATUS}) OVER (PARTITION BY user_id ORDER BY ts) AS before, CASE WHEN value > 50 THEN 'agent' ELSE 'user' END AS actor FROM events)
+WHERE before <> status""")
 def task_transitions(spark, sf_dir):
     """T13 over the event log: each user's changes of event type as changes of a task's status."""
     e = table(spark, sf_dir, "events")
-    status = F.element_at(F.array(*map(F.lit, tasks.STATUSES)), (F.pmod(F.crc32("event_type"), F.lit(len(tasks.STATUSES))) + 1).cast("int"))
-    return tasks.transitions(e.select(F.col("user_id").alias("task"), "ts", status.alias("status"), F.lit("agent-first").alias("execution_shape"), F.when(F.col("value") > 50, "agent").otherwise("user").alias("actor")))
+    return tasks.transitions(e.select(F.col("user_id").alias("task"), "ts", F.expr(STATUS).alias("status"), F.lit("agent-first").alias("execution_shape"), F.when(F.col("value") > 50, "agent").otherwise("user").alias("actor")))
 
 
 @query(f"SELECT doc_id, 0 AS pos, 'Atomic Notes/' || lang || '.md' AS note_path FROM documents UNION ALL SELECT doc_id, 1, 'Atomic Notes/second.md' FROM documents WHERE n_chars % 4 = 0")
@@ -532,7 +537,7 @@ def anki_deck_check(spark, sf_dir):
 # --- naming, prompts, cache ---------------------------------------------------------
 
 
-@query()
+@query("SELECT doc_id, n_chars % 2 = 0 AS filename_aligned, true AS title_aligned FROM documents")
 def naming_alignment(spark, sf_dir):
     """Filenames made of the first sentence of half of the documents align with their definitions."""
     docs = table(spark, sf_dir, "documents")
