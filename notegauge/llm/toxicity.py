@@ -12,6 +12,7 @@ one pass over its words with a memo per distinct word: whole texts, any length.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -43,9 +44,12 @@ MEMO = 1_000_000
 def subwords(word: str) -> list[int]:
     """Buckets of the word's n-grams, framed, and of the word itself."""
     w = f"<{word.lower().strip(EDGE)}>"
-    crc, n = zlib.crc32, len(w)
-    grams = [w[i : i + k] for k in NGRAMS if k < n for i in range(n - k + 1)]
-    return [crc(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (*grams, w)]
+    crc, n, b = zlib.crc32, len(w), w.encode("utf-8", "surrogatepass")
+    if len(b) == n:  # ASCII: slices of bytes are slices of characters
+        grams = [b[i : i + k] for k in NGRAMS if k < n for i in range(n - k + 1)]
+    else:
+        grams = [w[i : i + k].encode("utf-8", "surrogatepass") for k in NGRAMS if k < n for i in range(n - k + 1)]
+    return [crc(g) % BUCKETS for g in grams] + [crc(b) % BUCKETS]
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -140,6 +144,18 @@ class Scorer(dict):
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(logit: np.ndarray, bias: float) -> Scorer:
+    """The last model's scorer is kept between a worker's tasks, with the words it knows."""
+    key = hashlib.sha256(logit.tobytes() + str(bias).encode()).hexdigest()
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(logit, bias)
+    return _SCORERS[key]
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """(text, toxic) of the labelled training rows: of each class the ``per_class`` with the lowest hash of doc_id."""
     train_on = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
@@ -175,9 +191,9 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*model.value)
+        judge = scorer(*model.value)
         for b in batches:
-            got = pa.array([scorer.score(t) for t in b.column(place).to_pylist()], pa.float64())
+            got = pa.array([judge.score(t) for t in b.column(place).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, "__score"])
 
     return docs.mapInArrow(run, widened(docs.schema, __score="double"))
