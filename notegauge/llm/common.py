@@ -39,10 +39,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/notegauge-{name}-{uuid.uuid4().hex}"
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver remove what lies at ``path`` when it ends."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """As checkpointed(), in compressed Parquet, for wide rows."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    delete_on_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import checkpointed, lookup_join, scratch_path
+from notegauge.llm.common import checkpointed, delete_on_exit, lookup_join, scratch_path
 from notegauge.runtime import ship
 
 MAGIC = b"WARC/1.1\r\n"
@@ -146,4 +146,5 @@ def archive(pages: DataFrame) -> DataFrame:
     """
     path = scratch_path(pages.sparkSession, "warc")
     write(pages, path)
+    delete_on_exit(pages.sparkSession, path)
     return read(pages.sparkSession, path)
