@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/notegauge-{name}-{uuid.uuid4().hex}"
 
 
+_KEPT: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between its tasks: the last large object only, so that stages do not pile up in one worker."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     """Have the driver remove what lies at ``path`` when it ends."""
     sc = spark.sparkContext

@@ -20,12 +20,14 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notegauge.llm.common import kept
 from notegauge.runtime import ship
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,6 +39,7 @@ BATCH = 512
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 #: Their pieces, in lower case, as the tokenizer splits: letters, one digit, marks.
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+MARKS = frozenset(".,;:!?|")
 PIECEWISE = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Bytes to a chunk of the transducer.
 CHUNK = 1 << 16
@@ -88,17 +91,29 @@ class Encoder:
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = list(runs)
-        plain, split, rest = [], [], []
+        word, words, marked, stems, marks, plain, split, rest = ([] for _ in range(8))
         for r in new:
             t = r.decode()
+            if t.isascii():  # most runs are a word, or a word and a mark
+                if t.isalpha():
+                    word.append(r)
+                    words.append(t.lower())
+                    continue
+                if t[-1] in MARKS and t[:-1].isalpha():
+                    marked.append(r)
+                    stems.append(t[:-1].lower())
+                    marks.append(t[-1])
+                    continue
             if PLAIN.fullmatch(t) and "<|" not in t:
                 plain.append(r)
                 split.append(PIECE.findall(t.lower()))
             else:
                 rest.append(r)
-        self._learn_words(set().union(*split))
+        self._learn_words(set(words).union(stems, marks, *split))
         get = self.words.__getitem__
-        self.memo.update(zip(plain, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in split]))
+        self.memo.update(zip(word, map(get, words)))
+        self.memo.update(zip(marked, map(add, map(get, stems), map(get, marks))))
+        self.memo.update(zip(plain, [b"".join(map(get, ws)) for ws in split]))
         for part in _parts(rest, BATCH):
             for r, e in zip(part, self.tokenizer.encode_batch_fast([r.decode() for r in part], add_special_tokens=False), strict=True):
                 self.memo[r] = np.array(e.ids, "<u4").tobytes()
@@ -123,14 +138,9 @@ class Encoder:
         return [b"".join(map(get, s)) for s in split]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One per Python worker, kept between its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 @dataclass(frozen=True)
@@ -207,13 +217,8 @@ def _parts(items: list, n: int) -> Iterator[list]:
     return (items[i : i + n] for i in range(0, len(items), n))
 
 
-_TRANSDUCERS: dict[str, CountTransducer] = {}
-
-
 def transducer(path: str) -> CountTransducer:
-    if path not in _TRANSDUCERS:
-        _TRANSDUCERS[path] = CountTransducer(Encoder(path))
-    return _TRANSDUCERS[path]
+    return kept(f"transducer {path}", lambda: CountTransducer(Encoder(path)))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import widened
+from notegauge.llm.common import kept, widened
 from notegauge.runtime import ship
 
 #: Labelled rows per class that the classifier is fitted on: the bound of the training sample.
@@ -38,7 +38,7 @@ THRESHOLD = 0.7
 PAD = 80
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#%&$-_/\\<>"
 #: Distinct words remembered by a scoring task before it starts afresh (memory only, no effect on scores).
-MEMO = 1_000_000
+MEMO = 400_000
 
 
 def subwords(word: str) -> list[int]:
@@ -144,16 +144,10 @@ class Scorer(dict):
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(logit: np.ndarray, bias: float) -> Scorer:
     """The last model's scorer is kept between a worker's tasks, with the words it knows."""
     key = hashlib.sha256(logit.tobytes() + str(bias).encode()).hexdigest()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(logit, bias)
-    return _SCORERS[key]
+    return kept(f"scorer {key}", lambda: Scorer(logit, bias))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
