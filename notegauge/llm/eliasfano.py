@@ -192,15 +192,27 @@ class Trie:
             out[known] = self.sequences["level3"].find(self.relative(before[known], v[known], here[known]))
         return out
 
-    def score(self, ids: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 p of each word in its context, log10 p without context), where a text
-        begins after ``end``; for words outside (negative) both leave out the unigram."""
-        a = self.arrays
+    def places(self, ids: np.ndarray, starts: np.ndarray, end: int, shard: int = 0, shards: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the word before each, whether that word is in the shard, index of the bigram that ends
+        here, of the one before it); -1 outside the shard. Words not in the trie are in the last shard."""
         v = np.concatenate(([end], ids[:-1]))
         v[starts] = end
-        here = self.bigrams(v, ids)
-        before = np.concatenate(([-1], here[:-1]))
+        mine = v % shards == shard
+        if shards == 1:
+            here = self.bigrams(v, ids)
+            before = np.concatenate(([-1], here[:-1]))
+        else:
+            here = self.bigrams(np.where(mine, v, -1), ids)
+            before = self.bigrams(np.where(mine, np.concatenate(([-1], v[:-1])), -1), v)
         before[starts] = -1
+        return v, mine, here, before
+
+    def score(self, ids: np.ndarray, starts: np.ndarray, end: int, shard: int = 0, shards: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 p of each word in its context, log10 p without context), where a text
+        begins after ``end``; for words outside (negative) both leave out the unigram.
+        Words whose context is in another shard have 0 in the first."""
+        a = self.arrays
+        v, mine, here, before = self.places(ids, starts, end, shard, shards)
         uni = np.where(ids >= 0, a["uni"][np.maximum(ids, 0)], 0.0)
         low = uni + np.where(v >= 0, restored(a["back1"][np.maximum(v, 0)]), 0.0)
         if len(a["prob2"]):
@@ -209,4 +221,4 @@ class Trie:
             low = low + np.where(before >= 0, restored(a["back2"][np.maximum(before, 0)]), 0.0)
             if len(a["prob3"]):
                 low = np.where(third >= 0, restored(a["prob3"][np.maximum(third, 0)]), low)
-        return low, uni
+        return np.where(mine, low, 0.0), uni

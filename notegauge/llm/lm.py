@@ -1,12 +1,14 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-Words are counted over all training texts. Those with a share of at least HEAD of
-the tokens (so at most 1/HEAD words) get numbers, and texts become arrays of
-numbers. Bigrams and then trigrams of numbered words are counted over all training
-texts, and those with a share of at least KEEP of the tokens (at most 1/KEEP of an
-order) enter the trie: its size has a bound that does not depend on the corpus. It
-reaches the workers as a file that they map. A word without a number backs off to its
-exact corpus count, which a join brings: nothing is rounded away to an unknown word.
+Words are counted over all training texts. Those seen LEAST times or more get numbers,
+and texts become arrays of numbers. Bigrams and then trigrams are counted over all
+training texts, and those seen LEAST times or more enter the model: what it learns grows
+with the corpus, and whether an n-gram is known depends on its own count alone. (A word
+seen less often is in no such n-gram.) The model is cut into shards by the middle word,
+each a trie with all that follows from that context; the driver builds one at a time,
+the workers map it as a file, and the scores of the shards add up. A word without a
+number backs off to its exact corpus count, which a join brings: nothing is rounded away
+to an unknown word.
 
 Smoothing is interpolated absolute discounting down to add-half unigrams over all
 seen words and one unseen, so the probabilities after any context sum to one.
@@ -20,6 +22,7 @@ import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,10 @@ from notegauge.llm.common import kept, written
 from notegauge.llm.eliasfano import Trie
 from notegauge.runtime import ship
 
-HEAD, KEEP, DISCOUNT = 1e-6, 2e-7, 0.75
+#: Occurrences in training from which a word has a number and an n-gram is in the model, at every size of the corpus.
+LEAST, DISCOUNT = 2, 0.75
+#: Bigrams by whose number the model is cut into shards.
+SHARD = 2_000_000
 #: The end of a text: no word, since words have no white space.
 END = "\n"
 #: Entries of a task's counts before they are passed on; tokens that a task counts and scores at a time; texts that it splits at a time.
@@ -146,30 +152,44 @@ def bigram_counts(train: DataFrame, words: int, end: int) -> DataFrame:
     return train.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def trigram_counts(train: DataFrame, trie: str, end: int) -> DataFrame:
-    """(key, n) of the trigrams whose two bigrams are kept, named relative to their contexts."""
+def trigram_counts(train: DataFrame, trie: str, end: int, shard: int = 0, shards: int = 1) -> DataFrame:
+    """(key, n) of the trigrams of a shard whose two bigrams are kept, named relative to their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _trie(trie)
         for _, ids, starts in _stretches(batches, 0, SCORED * 2):
-            v = np.concatenate(([end], ids[:-1]))
-            v[starts] = end
-            here = t.bigrams(v, ids)
-            before = np.concatenate(([-1], here[:-1]))
-            before[starts] = -1
+            v, _, here, before = t.places(ids, starts, end, shard, shards)
             known = np.flatnonzero((before >= 0) & (here >= 0))
             yield _counted(t.relative(before[known], v[known], here[known]) if len(known) else known)
 
     return train.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _kept(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending keys and their counts; at most 1/KEEP rows come to the driver."""
-    got = counts.filter(F.col("n") >= least).toArrow().sort_by("key")
+def _sorted(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and their counts, of one shard."""
+    got = counts.toArrow().sort_by("key")
     return got["key"].to_numpy(), got["n"].to_numpy()
 
 
-def scores(docs: DataFrame, head: float = HEAD, keep: float = KEEP) -> DataFrame:
+def _scored(texts: DataFrame, trie: str, end: int, shard: int, shards: int) -> DataFrame:
+    """What a shard says of each text; the first also has the scores without context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _trie(trie)
+        for part, ids, starts in _stretches(batches, 4, SCORED):
+            if not len(starts):
+                continue
+            score, base = t.score(ids, starts, end, shard, shards)
+            known = (ids >= 0).astype(np.int64)
+            sums = [np.add.reduceat(x, starts) for x in (score, base, known)]
+            if shard:
+                sums[1:] = [np.zeros_like(x) for x in sums[1:]]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *map(pa.array, sums)], ["row", "doc_id", "held_out", "n_tokens", "score", "base", "known"])
+
+    return texts.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, score double, base double, known long")
+
+
+def scores(docs: DataFrame, least: int = LEAST, shard_size: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``.
 
     Null and empty texts are one END. A null doc_id counts as the empty text when the
@@ -182,8 +202,7 @@ def scores(docs: DataFrame, head: float = HEAD, keep: float = KEEP) -> DataFrame
     words = written(word_counts(docs.filter(~held_out()).select(F.col("text").cast("string"))), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     floor = math.log10(total + 0.5 * (distinct + 1))
-    least = max(2, math.ceil(total * head))
-    numbered = words.filter((F.col("c") >= least) | (F.col("word") == END)).toArrow().sort_by("word")  # at most 1/head rows and one
+    numbered = words.filter((F.col("c") >= least) | (F.col("word") == END)).toArrow().sort_by("word")
     vocabulary, counts = [w.encode() for w in numbered["word"].to_pylist()], numbered["c"].to_numpy()
     if END.encode() not in vocabulary:
         vocabulary, counts = [*vocabulary, END.encode()], np.append(counts, 0)
@@ -197,23 +216,20 @@ def scores(docs: DataFrame, head: float = HEAD, keep: float = KEEP) -> DataFrame
     train = texts.filter(~F.col("held_out"))
     uni = np.log10(counts + 0.5) - floor
     none = np.zeros(0, np.int64)
-    least = max(2, math.ceil(total * keep))
-    two = _kept(bigram_counts(train, len(vocabulary), end), least)
-    partial = _publish(spark, "bigrams", Trie.build(uni, counts, *two, none, none, DISCOUNT).save)
-    three = _kept(trigram_counts(train, partial, end), least)
-    whole = _publish(spark, "trie", Trie.build(uni, counts, *two, *three, DISCOUNT).save)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _trie(whole)
-        for part, ids, starts in _stretches(batches, 4, SCORED):
-            score, base = t.score(ids, starts, end)
-            known = ids >= 0
-            if not len(starts):
-                continue
-            sums = [np.add.reduceat(x, starts) for x in (score, base, known.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], *map(pa.array, sums)], ["row", "doc_id", "held_out", "n_tokens", "score", "base", "known"])
-
-    scored = texts.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, score double, base double, known long")
+    size = len(vocabulary)
+    pairs = written(bigram_counts(train, size, end).filter(F.col("n") >= least), "bigrams")
+    shards = max(1, math.ceil(pairs.count() / (shard_size or SHARD)))
+    parts = []
+    for k in range(shards):
+        # all bigrams that begin or end with a word of the shard: contexts and successors of its middle words
+        own = pairs if shards == 1 else pairs.filter(f"(key div {size}) % {shards} = {k} or (key % {size}) % {shards} = {k}")
+        two = _sorted(own)
+        partial = _publish(spark, "bigrams", Trie.build(uni, counts, *two, none, none, DISCOUNT).save)
+        three = _sorted(trigram_counts(train, partial, end, k, shards).filter(F.col("n") >= least))
+        parts.append(_scored(texts, _publish(spark, "trie", Trie.build(uni, counts, *two, *three, DISCOUNT).save), end, k, shards))
+    scored = reduce(DataFrame.unionByName, parts)
+    if shards > 1:
+        scored = scored.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("score", "base", "known")])
     tail = texts.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
     tail = tail.join(words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rest = tail.groupBy("row").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.lit(floor))).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"))

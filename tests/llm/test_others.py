@@ -81,6 +81,25 @@ def test_lm_learns_order(spark):
     assert (got.score > got.base_score + 20).all()
 
 
+def test_lm_keeps_an_ngram_by_its_own_count(spark):
+    """Ten occurrences of a phrase teach its order, however much other text there is."""
+    train = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(1000) if i not in train)
+    docs = [(i, "red green blue") for i in train[:10]] + [(held, "red green blue")]
+    filler = spark.createDataFrame([(i,) for i in train[10:70]], "doc_id long").selectExpr("doc_id", "repeat('x ', 250000) as text")
+    got = lm.scores(spark.createDataFrame(docs, "doc_id long, text string").unionByName(filler)).filter("held_out").first()
+    assert got["train_tokens"] > 15_000_000 and got["score"] > got["base_score"] + 12
+
+
+def test_lm_shards_add_up(spark):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in rng.zipf(1.3, 60) % 90)) for i in range(300)], "doc_id long, text string")
+    one = lm.scores(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    many = lm.scores(docs, shard_size=400).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert (one.drop(columns=["score", "base_score"]) == many.drop(columns=["score", "base_score"])).all(axis=None)
+    assert many.score.to_numpy() == pytest.approx(one.score.to_numpy(), rel=1e-9) and many.base_score.to_numpy() == pytest.approx(one.base_score.to_numpy(), rel=1e-9)
+
+
 # --- I-Match
 
 
