@@ -12,6 +12,7 @@ approximate: each pair within the radius is compared exactly once.
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import checkpointed, components, lookup_join, partitions
+from notegauge.llm.common import checkpointed, components, lookup_join, partitions, written
 from notegauge.runtime import ship
 
 RADIUS = 2
@@ -216,17 +217,27 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-# --- near copies by similarity: SimHash finds them, a sketch of their word shingles confirms them
+# --- near copies by similarity: SimHash and a sketch find candidates, their word shingles decide
 
-#: Near copies share this much of their shingles of WIDE words; sketches of SKETCH bytes may err by SLACK.
-SIMILARITY, SLACK, WIDE, SKETCH = 0.8, 0.05, 5, 128
-#: Bits in which the SimHashes of texts that similar differ at most (98 % of them; 90 % differ in eight or fewer).
+#: Near copies share this much of their shingles of WIDE words. Sketches of SKETCH bytes only rule out pairs whose estimate is SLACK below it, 4.5 standard errors.
+SIMILARITY, SLACK, WIDE, SKETCH = 0.8, 0.16, 5, 128
+#: Bits in which the SimHashes of candidates differ at most; README has the recall by kind of edit.
 WIDE_RADIUS = 12
-#: Rows that a meeting of sizes holds.
-SIZE_ROWS = 1 << 16
+#: Rows, and shingles (a part of a text each), that a meeting of sizes holds; shingle sets that it remembers.
+SIZE_ROWS, SIZE_SHINGLES, SETS = 1 << 16, 10_000_000, 200_000
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
 
 
+def _line(text: str | None) -> bytes:
+    """The words of a text in lower case, one space between them."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+
+
+def shingles(line: bytes, width: int = WIDE) -> set[bytes]:
+    words = line.split(b" ") if line else []
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
 def sketch(text: str | None, width: int = WIDE) -> tuple[int, bytes]:
     """(number of distinct shingles, low bytes of their SKETCH minima): equal bytes estimate the Jaccard similarity."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -245,7 +256,7 @@ def sketch(text: str | None, width: int = WIDE) -> tuple[int, bytes]:
 
 
 def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp, size, sketch, key); equal texts have equal keys."""
+    """(doc_id, fp, size, sketch, line, key); lines are deflated, equal ones have equal keys."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,47 +264,53 @@ def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
             texts = b.column(1).to_pylist()
             fp = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
             made = [sketch(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array([n for n, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], ["doc_id", "fp", "size", "sketch"])
+            columns = [pa.array(fp.view(np.int64)), pa.array([n for n, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary()), pa.array([zlib.compress(_line(t), 1) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "fp", "size", "sketch", "line"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, size long, sketch binary")
-    return made.withColumn("key", F.xxhash64("fp", "size", "sketch"))
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, size long, sketch binary, line binary")
+    return made.withColumn("key", F.xxhash64("line"))
 
 
-def similar_links(distinct: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, rows: int = SIZE_ROWS) -> DataFrame:
-    """Edges (a, b) that connect the similar rows of ``distinct`` (fp, rep, size, sketch), a spanning forest per meeting.
+def similar_links(distinct: DataFrame, lines: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, rows: int = SIZE_ROWS) -> DataFrame:
+    """Edges (a, b) that connect the similar rows of ``distinct`` (row, fp, rep, size, sketch), a spanning forest per meeting; ``lines`` has (row, line).
 
     Sets that similar have sizes within the same factor, so rows fall into tiles by
     the logarithm of their size and meet their own tile and the next. Inside, blocks
     whose population counts are too far apart are skipped, the rest are compared bit
-    by bit, and sketches decide about what is near.
+    by bit, sketches rule out most of what is near, and the shingle sets decide: each
+    edge is a pair of lines with at least the similarity.
     """
     ship(distinct.sparkSession)
-    tile = F.when(F.col("size") > 0, F.floor(F.ln("size") / F.lit(-np.log(similarity - SLACK))).cast("int")).otherwise(-2)
-    own = distinct.select("fp", "rep", "size", "sketch", tile.alias("tile"))
+    tile = F.when(F.col("size") > 0, F.floor(F.ln("size") / F.lit(-np.log(similarity * 0.999))).cast("int")).otherwise(-2)
+    own = distinct.select("row", "fp", "rep", "size", "sketch", tile.alias("tile"))
     # a tile per power of 1/similarity in size: a few hundred rows at most
-    tiles = own.groupBy("tile").count().select("tile", F.ceil(F.col("count") / rows).cast("int").alias("parts"))
+    parts = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("size") / SIZE_SHINGLES), F.lit(1)).cast("int")
+    tiles = own.groupBy("tile").agg(parts.alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    payload = ["fp", "rep", "size", "sketch"]
+    payload = ["row", "fp", "rep", "size", "sketch"]
     here = own.join(F.broadcast(tiles), "tile").select("tile", part.alias("part"), F.lit(0).alias("side"), *payload)
     moved = own.select(*payload, F.explode(F.array(F.struct(F.col("tile"), F.lit(True).alias("home")), F.struct((F.col("tile") - 1).alias("tile"), F.lit(False).alias("home")))).alias("t"))
     moved = moved.select("t.tile", "t.home", *payload).join(F.broadcast(tiles), "tile")
     there = moved.select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), *payload, F.when(F.col("home"), part).otherwise(-1).alias("from")).filter("part > from").drop("from")
     n = partitions(distinct.sparkSession)
-    met = here.unionByName(there).repartition(n, "tile", "part").sortWithinPartitions("tile", "part", "side")
+    # the text comes last: one join for all places that a row goes to
+    met = here.unionByName(there).join(lines.select("row", "line").hint("merge"), "row").select("tile", "part", "side", "fp", "rep", "sketch", "line")
+    met = met.repartition(n, "tile", "part").sortWithinPartitions("tile", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, meeting = None, None
         for b in batches:
-            tile, part, side, fp, rep, size = (c.to_numpy(zero_copy_only=False) for c in b.columns[:6])
-            marks = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            tile, part, side, fp, rep = (c.to_numpy(zero_copy_only=False) for c in b.columns[:5])
+            marks = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            text = b.column(6).to_pylist()
             cuts = np.flatnonzero((np.diff(tile) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0)) + 1
             out: list[tuple[int, int]] = []
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
                 if s == e:
                     continue
                 if (k := (int(tile[s]), int(part[s]))) != key:
-                    key, meeting = k, SimilarMeeting(radius, similarity - SLACK)
-                meeting.note(rep[s:e], size[s:e], marks[s:e], side[s] == 0)
+                    key, meeting = k, SimilarMeeting(radius, similarity)
+                meeting.note(rep[s:e], marks[s:e], text[s:e], side[s] == 0)
                 (meeting.take if side[s] == 0 else meeting.compare)(fp[s:e].view(np.uint64), rep[s:e], out)
             if out:
                 a, c = np.array(out, np.int64).T
@@ -302,34 +319,87 @@ def similar_links(distinct: DataFrame, radius: int = WIDE_RADIUS, similarity: fl
     return met.mapInArrow(run, "a long, b long")
 
 
+class _Rows:
+    """Sketches and lines of rows, found by their representative."""
+
+    def __init__(self):
+        self.rep, self.marks, self.line = np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint8), {}
+
+    def add(self, rep: np.ndarray, marks: np.ndarray, lines: list[bytes]) -> None:
+        every = np.concatenate((self.rep, rep))
+        order = np.argsort(every, kind="stable")
+        self.rep, self.marks = every[order], np.concatenate((self.marks, marks))[order]
+        self.line.update(zip(rep.tolist(), lines))
+
+    def sketches(self, rep: np.ndarray) -> np.ndarray:
+        return self.marks[np.searchsorted(self.rep, rep)]
+
+
 class SimilarMeeting(Meeting):
-    """A meeting that links only rows whose sketches agree."""
+    """A meeting that links only rows whose shingle sets are similar."""
 
-    def __init__(self, radius: int, least: float):
+    def __init__(self, radius: int, similarity: float):
         super().__init__(radius)
-        self.need = SKETCH * (least * 255 / 256 + 1 / 256)
-        self.place, self.streamed = {}, {}
+        self.similarity, self.need = similarity, SKETCH * ((similarity - SLACK) * 255 / 256 + 1 / 256)
+        self.held, self.streamed, self.sets, self.remembered = _Rows(), _Rows(), {}, 0
+
+    def note(self, rep, marks, lines, held: bool) -> None:
+        if not held:
+            for r in self.streamed.line:
+                self.sets.pop(r, None)
+            self.streamed = _Rows()
+        (self.held if held else self.streamed).add(rep, marks, lines)
+
+    def compare(self, fp, rep, out):
+        self.comparing = True
+        super().compare(fp, rep, out)
+
+    comparing = False
 
-    def note(self, rep, size, marks, held: bool) -> None:
-        rows = dict(zip(rep.tolist(), marks))
-        if held:
-            self.place |= rows
-        else:
-            self.streamed = rows
+    def _against(self, left, right, out, same):
+        other = self.streamed if self.comparing else self.held
+        for i, (f, r, lo, hi) in enumerate(left):
+            for g, s, lo2, hi2 in right[i:] if same else right:
+                if np.maximum(0, np.maximum(lo - hi2, lo2 - hi)).sum() > self.radius:
+                    continue
+                x, y = np.nonzero(np.bitwise_count(f[:, None] ^ g[None, :]) <= self.radius)
+                if len(x):
+                    apart = self._roots(r)[x] != self._roots(s)[y]
+                    x, y = x[apart], y[apart]
+                for at in range(0, len(x), 1 << 14):
+                    a, b = r[x[at : at + (1 << 14)]], s[y[at : at + (1 << 14)]]
+                    like = (self.held.sketches(a) == other.sketches(b)).sum(axis=1) >= self.need
+                    for p, q in zip(a[like].tolist(), b[like].tolist()):
+                        self._join(p, q, out)
+
+    def _set(self, rep: int, rows: _Rows) -> set[bytes]:
+        if rep not in self.sets:
+            if self.remembered > SETS:
+                self.sets, self.remembered = {}, 0
+            self.sets[rep] = shingles(zlib.decompress(rows.line[rep]))
+            self.remembered += len(self.sets[rep])
+        return self.sets[rep]
 
     def _join(self, a, b, out):
         if self.root(a) != self.root(b):
-            other = self.streamed[b] if b in self.streamed else self.place[b]
-            if np.count_nonzero(self.place[a] == other) >= self.need:
+            x, y = self._set(a, self.held), self._set(b, self.streamed if self.comparing else self.held)
+            both = len(x & y)
+            # decimals such as 0.8 are not exact: 4 of 5 are similar
+            if both >= self.similarity * (len(x) + len(y) - both) - 1e-9:
                 super()._join(a, b, out)
 
 
 def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): groups of near copies, whose shingles of WIDE words are similar; as near_groups() otherwise."""
-    marked = checkpointed(sketched(docs, text))
-    distinct = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.count("*").alias("n")))
-    label = components(similar_links(distinct.filter("rep is not null"), similarity=similarity)).withColumnsRenamed({"node": "rep"})
-    named = checkpointed(distinct.join(label, "rep", "left").select("key", "n", F.coalesce("label", "rep").alias("component_id")))
+    marked = written(sketched(docs, text).withColumn("row", F.monotonically_increasing_id()), "sketched")
+    # rows of one key are equal; where doc_ids repeat, each text has a representative of its own
+    first = F.min(F.struct("row", "fp", "size", "sketch")).alias("first")
+    distinct = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("doc"), first, F.count("*").alias("n")).select("key", "doc", "n", "first.*").withColumn("rep", F.col("row")))
+    label = components(similar_links(distinct.filter("doc is not null"), marked, similarity=similarity)).withColumnsRenamed({"node": "rep"})
+    grouped = distinct.join(label, "rep", "left").select("key", "n", "doc", F.coalesce("label", "rep").alias("group"))
+    grouped = checkpointed(grouped)
+    smallest = grouped.groupBy("group").agg(F.min("doc").alias("component_id"), F.count("*").alias("keys"))
+    named = checkpointed(lookup_join(grouped, smallest, ["group"], "keys").select("key", "n", "component_id"))
     return lookup_join(marked.select("doc_id", "key"), named, ["key"], "n").select("doc_id", "component_id")
 
 

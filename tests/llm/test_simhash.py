@@ -118,3 +118,33 @@ def test_near_copies_are_found_and_others_kept(spark):
     close, far = [i for i in kind if sim[i] >= 0.85], [i for i in kind if sim[i] < 0.65]
     assert len(close) > 30 and sum(i in got for i in close) <= 0.05 * len(close)
     assert all(i in got for i in far)
+
+
+def edited_pairs(kind, share, n=60, seed=3):
+    """Pairs of random texts of 150 to 600 words: one with a passage replaced, appended to, or words changed here and there."""
+    rng = np.random.default_rng(seed)
+    word = lambda k: [f"w{i}" for i in rng.integers(0, 5000, k)]
+    for _ in range(n):
+        size = int(rng.integers(150, 601))
+        base, k = word(size), int(share * size)
+        at = int(rng.integers(0, size - k))
+        if kind == "block":
+            other = [*base[:at], *word(k), *base[at + k :]]
+        elif kind == "append":
+            other = [*base, *word(k)]
+        else:
+            other = list(base)
+            for i in rng.choice(size, max(1, k // 5), replace=False):
+                other[i] = "new"
+        yield " ".join(base), " ".join(other)
+
+
+def test_similar_pairs_are_found_and_only_those(spark):
+    """No pair below 0.8 by whole shingle sets is linked, also just beside the limit."""
+    cases = [("block", 0.09), ("block", 0.102), ("block", 0.13), ("append", 0.235), ("append", 0.3), ("scattered", 0.1), ("scattered", 0.16)]
+    pairs = [p for i, (kind, share) in enumerate(cases) for p in edited_pairs(kind, share, seed=i)]
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.dedup(docs).collect()}
+    similar = [jaccard(*p) >= 0.8 for p in pairs]
+    assert 150 < sum(similar) < len(pairs) - 100
+    assert all(2 * i + 1 in got for i, x in enumerate(similar) if not x)
