@@ -222,7 +222,7 @@ def hex16(fp: Column) -> Column:
 #: Near copies share this much of their shingles of WIDE words. Sketches of SKETCH bytes only rule out pairs whose estimate is SLACK below it, 4.5 standard errors.
 SIMILARITY, SLACK, WIDE, SKETCH = 0.8, 0.16, 5, 128
 #: Bits in which the SimHashes of candidates differ at most; README has the recall by kind of edit.
-WIDE_RADIUS = 12
+WIDE_RADIUS = 20
 #: Rows, and shingles (a part of a text each), that a meeting of sizes holds; shingle sets that it remembers.
 SIZE_ROWS, SIZE_SHINGLES, SETS = 1 << 16, 10_000_000, 200_000
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
