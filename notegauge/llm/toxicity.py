@@ -29,10 +29,12 @@ from notegauge.runtime import ship
 
 #: Labelled rows per class that the classifier is fitted on: the bound of the training sample.
 SAMPLE_PER_CLASS = 3000
-BUCKETS, DIM, EPOCHS, MINIBATCH, RATE, DECAY, SCALE, SEED = 1 << 17, 6, 6, 64, 0.005, 1e-6, 0.1, 7
+BUCKETS, DIM, EPOCHS, MINIBATCH, RATE, DECAY, SCALE, SEED = 1 << 17, 6, 6, 64, 0.005, 3e-4, 0.1, 7
 NGRAMS = (3, 4, 5, 6)
-#: By how many standard errors, and by how much, the share of texts with a bucket must differ between the classes.
-Z, EFFECT = 7.0, 0.05
+#: A bucket whose share of texts differs by this many standard errors between the classes has half its weight; no bucket is left out.
+HALF = 4.0
+#: Steps of training that small samples get.
+STEPS = 150
 THRESHOLD = 0.7
 #: Words without evidence that every text is averaged with, so that one chance n-gram does not decide a short text.
 PAD = 80
@@ -76,26 +78,27 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np
     if len(y) == 0 or y.min() == y.max():
         return logit, -4.0
     rows = features(texts)
-    # buckets that the classes hold alike carry no signal: only those with a significant difference are trained
+    # all buckets are trained; evidence of a difference between the classes gives weight, smoothly, since most are held alike
     by_class = [np.bincount(np.concatenate([b for (b, _), c in zip(rows, y) if c == k]), minlength=BUCKETS) for k in (0, 1)]
     n, hold = np.bincount(y, minlength=2), by_class[0] + by_class[1]
     pooled = hold / len(y)
     error = np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1])) + 1e-12
-    keep = (np.abs(by_class[1] / n[1] - by_class[0] / n[0]) >= np.maximum(Z * error, EFFECT)) & (hold >= 3)
-    if not keep.any():
+    z = (by_class[1] / n[1] - by_class[0] / n[0]) / error
+    used = np.flatnonzero(hold)
+    if not len(used):
         return logit, -4.0
-    used = np.flatnonzero(keep)
-    place = np.cumsum(keep) - 1
+    place = np.cumsum(hold > 0) - 1
+    evidence = (z**2 / (z**2 + HALF**2))[used]
     # every bucket is measured by its usual share where it occurs, else the commonest words drown all others
     usual = np.bincount(np.concatenate([b for b, _ in rows]), np.concatenate([w for _, w in rows]), BUCKETS)[used] / hold[used]
-    unit = SCALE / usual
-    rows = [(x := place[b[keep[b]]], w[keep[b]] * unit[x]) for b, w in rows]
+    unit = SCALE / usual * evidence
+    rows = [((x := place[b]).astype(np.int32), (w * unit[x]).astype(np.float32)) for b, w in rows]
     rng = np.random.default_rng(SEED)
     p = {"e": rng.normal(0, 1e-3, (len(used), DIM)), "c": rng.normal(0, 1, (DIM, 2)), "b": np.zeros(2)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     weigh = 0.5 / np.bincount(y, minlength=2)[y] * len(y)
     t = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, math.ceil(STEPS * MINIBATCH / len(y)))):
         order = rng.permutation(len(y))
         for i in range(0, len(y), MINIBATCH):
             part = order[i : i + MINIBATCH]

@@ -233,6 +233,29 @@ def test_toxicity_on_held_out_rows_and_misspellings():
     assert scorer.score("") < toxicity.THRESHOLD and scorer.score(None) == scorer.score("")
 
 
+def toxic_texts(n, seed, clean, bad):
+    rng = np.random.default_rng(seed)
+    texts = []
+    for i in range(n):
+        words = [clean[j] for j in rng.integers(0, len(clean), rng.integers(10, 200))]
+        for _ in range(max(2, len(words) // 30) if i % 3 == 0 else 0):
+            words.insert(int(rng.integers(len(words))), bad[int(rng.integers(len(bad)))])
+        texts.append(" ".join(words))
+    return texts, [int(i % 3 == 0) for i in range(n)]
+
+
+@pytest.mark.parametrize("n, n_bad, least", [(900, 60, 0.9), (60, 3, 0.8)])
+def test_rare_toxic_words_and_few_labelled_rows(n, n_bad, least):
+    """Sixty toxic words, each in few texts; and twenty toxic texts in all."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwxyz"), rng.integers(5, 10)))
+    clean, bad = [word() for _ in range(400)], [word() for _ in range(n_bad)]
+    scorer = toxicity.Scorer(*toxicity.train(*toxic_texts(n, 1, clean, bad)))
+    texts, labels = toxic_texts(600, 2, clean, bad)
+    hit, want = np.array([scorer.score(t) >= toxicity.THRESHOLD for t in texts]), np.array(labels, bool)
+    assert hit[want].mean() > least and hit[~want].mean() < 0.05
+
+
 def test_training_without_both_classes():
     logit, bias = toxicity.train(["a"], [1])
     assert not logit.any() and toxicity.Scorer(logit, bias).score("x") < 0.1
