@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import SPACE, checkpointed, prefix_sums
+from notegauge.llm.common import SPACE, checkpointed, prefix_sums, written
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -73,8 +73,8 @@ def slots(plan: DataFrame, count: int) -> DataFrame:
     return prefix_sums(drawn, ["position"], "__bucket", ["slot"], "one", "rank").select("position", "rank")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+def mix(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``, and the columns ``carried``.
 
     ``taken`` is how many of the document's words the mix takes, repeats counted:
     0 for documents without words, never above REPEATS times the size. Null sources
@@ -83,14 +83,14 @@ def mix(docs: DataFrame) -> DataFrame:
     a hash of doc_id. Columns besides doc_id, text and source are not read; an empty
     table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), *carried)
     rows = checkpointed(rows)
     plan = checkpointed(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(1, min(BLOCK, total // SLOTS))
     n_slots = total // block
     bits = min(31, (count // SPREAD).bit_length())
-    named = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("doc_id", rows["source"], "size", "source_size", "position", "target")
+    named = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select("doc_id", rows["source"], "size", "source_size", "position", "target", *carried)
     mixed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # buckets are ranges of the hash, so that the order of the shuffle does not depend on their number
     spread = named.withColumn("__mix", mixed).withColumn("__bucket", F.shiftright(F.conv(F.substring("__mix", 1, 8), 16, 10).cast("long"), 32 - bits))
@@ -103,7 +103,7 @@ def mix(docs: DataFrame) -> DataFrame:
     reached = pieces.join(slots(plan, n_slots), ["position", "rank"])
     got = F.least(F.col("end"), (F.col("rank") + 1) * block) - F.greatest(F.col("begin"), F.col("rank") * block)
     taken = reached.groupBy("__row").agg(F.sum(got).alias("taken"))
-    return laid.join(taken, "__row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return laid.join(taken, "__row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *carried)
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
@@ -111,8 +111,9 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Rows without words add nothing to a mix of words and stay once.
     """
-    keys = docs.select("doc_id", "text", "source")
-    share = mix(keys).groupBy("doc_id").agg(F.sum("size").alias("__size"), F.sum("taken").alias("__taken"))
-    share = share.select(F.col("doc_id").alias("__id"), F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(1).cast("int").alias("__copies"))
-    joined = docs.join(share, docs["doc_id"].cast("long").eqNullSafe(share["__id"])).filter("__copies > 0")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).drop("__copy")
+    # rows have numbers of their own, since doc_ids may be null or repeat; written, so that both readings agree on them
+    rows = written(docs.withColumn("__number", F.monotonically_increasing_id()), "mix")
+    share = mix(rows.select("doc_id", "text", "source", "__number"), "__number")
+    share = share.select("__number", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("__copies"))
+    joined = rows.join(share.filter("__copies > 0"), "__number")
+    return joined.select(*docs.columns, F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).drop("__copy")

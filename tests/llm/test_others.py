@@ -302,6 +302,13 @@ def test_mix(spark):
     assert got.sort_values("doc_id").equals(mixing.mix(frame.repartition(7)).toPandas().sort_values("doc_id").reset_index(drop=True).set_index(got.sort_values("doc_id").index))
 
 
+def test_copies_of_rows_without_doc_id_follow_their_source(spark):
+    docs = [(None, " ".join([f"w{i}"] * 10), "a" if i < 20 else "b") for i in range(220)]
+    rows = mixing.apply_mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    counts = Counter(r["source"] for r in rows)
+    assert counts["a"] == pytest.approx(60, abs=3) and counts["b"] == pytest.approx(160, abs=8)  # 3 times 20, and what is left of 220
+
+
 @pytest.mark.parametrize("text", ["", " a", "a b\tc\n", "\x0b\x0c", "a b", None, "\x1ca b"])
 def test_word_sizes(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(mixing.words(mixing.F.col("t")).alias("n")).first()["n"]
