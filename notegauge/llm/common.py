@@ -9,6 +9,8 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,15 +101,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): each node of the edges with the smallest node it can reach.
 
     Alternating large-star and small-star rounds; every round aggregates minima
-    map-side before it shuffles and ends in a shared checkpoint. The rounds grow
+    map-side before it shuffles and ends in a shared checkpoint. The neighbours of a
+    hub, which the large star leaves behind, do not meet in one task: its minimum goes
+    to them. The rounds grow
     with the logarithm of the longest chain. Nothing is collected.
     """
     edges = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     while True:
         # large star: all larger neighbours of a node join its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = lookup_join(both, checkpointed(low), ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: a node and its smaller neighbours join the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -137,3 +141,21 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     on = reduce(lambda x, y: x & y, [local[c].eqNullSafe(offsets[c]) for c in (*group, bucket)])
     joined = local.join(offsets, on)
     return joined.select(*[local[c] for c in df.columns], (local["__local"] + offsets["__offset"]).alias(out))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Non-negative whole numbers in their least width, by byte planes, deflated where that pays."""
+    n = len(x)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(np.asarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    small = pa.compress(planes, codec="zstd", asbytes=True) if len(planes) > 64 else planes
+    body, mark = (small, 1) if len(small) < len(planes) else (planes, 0)
+    return n.to_bytes(6, "little") + bytes([width, mark]) + body
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width, mark, body = int.from_bytes(data[:6], "little"), data[6], data[7], data[8:]
+    planes = pa.decompress(body, decompressed_size=n * width, codec="zstd", asbytes=True) if mark else body
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()

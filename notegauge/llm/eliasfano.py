@@ -101,29 +101,31 @@ class EliasFano:
         return out
 
 
-#: Log10 values are kept in steps of this size, as unsigned 16-bit numbers.
+#: Probabilities are kept as their log10 in steps of this size, unsigned 16-bit numbers; the largest is none at all.
 STEP = 12 / 65535
 
 
-def quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-np.asarray(log10) / STEP), 0, 65535).astype(np.uint16)
+def quantised(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(np.log10(np.maximum(p, 1e-30)) / -STEP), 0, 65535).astype(np.uint16)
 
 
 def restored(codes: np.ndarray) -> np.ndarray:
-    return codes.astype(np.float64) * -STEP
+    return np.where(codes == 65535, 0.0, 10 ** (codes.astype(np.float64) * -STEP))
 
 
 class Trie:
-    """n-grams up to order 3 over word numbers 0..words-1.
+    """n-grams up to order 3 over word numbers 0..words-1, kept in levels of a mapped file.
 
     Level 2 holds the successors of each word, level 3 those of each bigram; each
     level is an Elias-Fano sequence of context * span + successor. The successor of
     a bigram (u, v) is named relative to its shorter context: by its rank among the
     successors of v. Pointers to where a context's successors begin are Elias-Fano
     sequences too; probabilities and back-off weights are quantised logarithms.
-    """
 
-    ARRAYS = ("prob2", "prob3", "back1", "back2", "uni")
+    Probabilities are smoothed by interpolated absolute discounting down to the
+    bigrams. What is left for single words is a weight: a word w of probability p(w)
+    has a + b * p(w) after its context, with (a, b) from weights().
+    """
 
     def __init__(self, arrays: dict[str, np.ndarray], meta: dict):
         self.words, self.span = meta["words"], meta["span"]
@@ -131,22 +133,24 @@ class Trie:
         self.arrays, self.meta = arrays, meta
 
     @classmethod
-    def build(cls, uni: np.ndarray, counts: np.ndarray, two: np.ndarray, n2: np.ndarray, three: np.ndarray, n3: np.ndarray, discount: float) -> Trie:
-        """uni: log10 p of each word; counts: of each word as a context; two, n2: keys u * words + v
-        and counts of the kept bigrams, ascending; three, n3: keys (bigram index) * span + rank."""
-        words = len(uni)
-        context, word = two // max(1, words), two % max(1, words)
-        ratio = (n2 - discount) / np.maximum(1, counts[context]) if len(two) else np.zeros(0)
-        back1 = np.maximum(1e-12, 1 - np.bincount(context, ratio, words)) if words else np.zeros(0)
-        p2 = ratio + back1[context] * 10 ** uni[word] if len(two) else np.zeros(0)
+    def build(cls, counts: np.ndarray, two: np.ndarray, n2: np.ndarray, before: np.ndarray, here: np.ndarray, n3: np.ndarray, discount: float) -> Trie:
+        """counts: of each word as a context (0: not known, its successors have no mass of their own);
+        two, n2: keys u * words + v and counts of the kept bigrams, ascending;
+        before, here, n3: kept trigrams (u, v, w) as the indices in ``two`` of (u, v) and (v, w), and their counts."""
+        words = len(counts)
+        context = two // max(1, words)
+        ratio = np.where(counts[context] > 0, (n2 - discount) / np.maximum(1, counts[context]), 0.0) if len(two) else np.zeros(0)
+        back1 = np.maximum(1e-12, 1 - np.bincount(context, ratio, words))
         first = np.searchsorted(two, np.arange(words + 1, dtype=np.int64) * words)
         span = int(np.diff(first).max(initial=0)) + 1
-        node, rank = three // span, three % span
-        ratio3 = (n3 - discount) / n2[node] if len(three) else np.zeros(0)
-        back2 = np.maximum(1e-12, 1 - np.bincount(node, ratio3, len(two)))
-        p3 = ratio3 + back2[node] * p2[first[word[node]] + rank] if len(three) else np.zeros(0)
+        three = before * span + here - first[two[before] % max(1, words)] if len(before) else np.zeros(0, np.int64)
+        order = np.argsort(three)
+        three, before, here, n3 = three[order], before[order], here[order], n3[order]
+        ratio3 = (n3 - discount) / n2[before] if len(three) else np.zeros(0)
+        back2 = np.maximum(1e-12, 1 - np.bincount(before, ratio3, len(two)))
+        p3 = ratio3 + back2[before] * ratio[here] if len(three) else np.zeros(0)
         sequences = {"level2": EliasFano.of(two, words * words), "level3": EliasFano.of(three, max(1, len(two)) * span), "first2": EliasFano.of(first, len(two) + 1)}
-        arrays = {"uni": np.asarray(uni, np.float64), "prob2": quantised(np.log10(np.maximum(p2, 1e-12))), "prob3": quantised(np.log10(np.maximum(p3, 1e-12))), "back1": quantised(np.log10(back1)), "back2": quantised(np.log10(back2))}
+        arrays = {"prob2": quantised(ratio), "prob3": quantised(p3), "back1": quantised(back1), "back2": quantised(back2)}
         for k, s in sequences.items():
             arrays |= {f"{k}.low": s.low, f"{k}.high": s.high}
         return cls(arrays, {"words": words, "span": span, "sequences": {k: (s.n, s.shift) for k, s in sequences.items()}})
@@ -166,7 +170,7 @@ class Trie:
 
     @classmethod
     def load(cls, path: str) -> Trie:
-        """Map the file; pages come from disk as queries touch them and are shared by a machine's workers."""
+        """Map the file; pages come from disk as queries touch them."""
         with open(path, "rb") as f:
             head = f.readline()
         meta = json.loads(head)
@@ -181,44 +185,25 @@ class Trie:
         out[known] = self.sequences["level2"].find(keys)[back]
         return out
 
-    def relative(self, before: np.ndarray, v: np.ndarray, here: np.ndarray) -> np.ndarray:
-        """Keys of the third level: bigram ``before`` (u, v) and the rank of bigram ``here`` (v, w) among the successors of v."""
-        return before * self.span + here - self.sequences["first2"].get(v.astype(np.int64))
-
     def trigrams(self, before: np.ndarray, v: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """Index of each trigram in level 3: under bigram ``before`` (u, v), by the rank of ``here`` (v, w) among the successors of v."""
         out = np.full(len(before), -1, np.int64)
         known = np.flatnonzero((before >= 0) & (here >= 0))
         if len(known):
-            out[known] = self.sequences["level3"].find(self.relative(before[known], v[known], here[known]))
+            relative = here[known] - self.sequences["first2"].get(v[known].astype(np.int64))
+            out[known] = self.sequences["level3"].find(before[known] * self.span + relative)
         return out
 
-    def places(self, ids: np.ndarray, starts: np.ndarray, end: int, shard: int = 0, shards: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(the word before each, whether that word is in the shard, index of the bigram that ends
-        here, of the one before it); -1 outside the shard. Words not in the trie are in the last shard."""
-        v = np.concatenate(([end], ids[:-1]))
-        v[starts] = end
-        mine = v % shards == shard
-        if shards == 1:
-            here = self.bigrams(v, ids)
-            before = np.concatenate(([-1], here[:-1]))
-        else:
-            here = self.bigrams(np.where(mine, v, -1), ids)
-            before = self.bigrams(np.where(mine, np.concatenate(([-1], v[:-1])), -1), v)
-        before[starts] = -1
-        return v, mine, here, before
-
-    def score(self, ids: np.ndarray, starts: np.ndarray, end: int, shard: int = 0, shards: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 p of each word in its context, log10 p without context), where a text
-        begins after ``end``; for words outside (negative) both leave out the unigram.
-        Words whose context is in another shard have 0 in the first."""
-        a = self.arrays
-        v, mine, here, before = self.places(ids, starts, end, shard, shards)
-        uni = np.where(ids >= 0, a["uni"][np.maximum(ids, 0)], 0.0)
-        low = uni + np.where(v >= 0, restored(a["back1"][np.maximum(v, 0)]), 0.0)
-        if len(a["prob2"]):
-            low = np.where(here >= 0, restored(a["prob2"][np.maximum(here, 0)]), low)
-            third = self.trigrams(before, v, here)
-            low = low + np.where(before >= 0, restored(a["back2"][np.maximum(before, 0)]), 0.0)
-            if len(a["prob3"]):
-                low = np.where(third >= 0, restored(a["prob3"][np.maximum(third, 0)]), low)
-        return np.where(mine, low, 0.0), uni
+    def weights(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b) of each w after (u, v); a negative u is no word, a negative w one that no n-gram holds."""
+        arrays = self.arrays
+        here, before = self.bigrams(v, w), self.bigrams(u, v)
+        a, b = np.zeros(len(v)), restored(arrays["back1"][v])
+        if len(arrays["prob2"]):
+            a = np.where(here >= 0, restored(arrays["prob2"][np.maximum(here, 0)]), 0.0)
+            off = np.where(before >= 0, restored(arrays["back2"][np.maximum(before, 0)]), 1.0)
+            a, b = a * off, b * off
+            if len(arrays["prob3"]):
+                third = self.trigrams(before, v, here)
+                a = np.where(third >= 0, restored(arrays["prob3"][np.maximum(third, 0)]), a)
+        return a, b
