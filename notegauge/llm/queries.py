@@ -44,7 +44,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
     return scored.select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 

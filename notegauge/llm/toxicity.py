@@ -72,11 +72,21 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """(logit of each bucket, bias). Without both classes: nothing is toxic."""
-    y = np.asarray(labels, np.int64)
+    """(logit of each bucket, bias): what the two classes' softmax makes of the embeddings. Without both classes: nothing is toxic."""
     logit = np.zeros(BUCKETS, np.float32)
-    if len(y) == 0 or y.min() == y.max():
+    got = learned(texts, labels, epochs)
+    if got is None:
         return logit, -4.0
+    used, unit, p = got
+    logit[used] = unit * (p["e"] @ (p["c"][:, 1] - p["c"][:, 0]))
+    return logit, float(p["b"][1] - p["b"][0])
+
+
+def learned(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]] | None:
+    """(buckets, their units, parameters): embeddings e of the buckets, by unit, and the softmax c, b. None without both classes."""
+    y = np.asarray(labels, np.int64)
+    if len(y) == 0 or y.min() == y.max():
+        return None
     rows = features(texts)
     # all buckets are trained; evidence of a difference between the classes gives weight, smoothly, since most are held alike
     by_class = [np.bincount(np.concatenate([b for (b, _), c in zip(rows, y) if c == k]), minlength=BUCKETS) for k in (0, 1)]
@@ -86,7 +96,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np
     z = (by_class[1] / n[1] - by_class[0] / n[0]) / error
     used = np.flatnonzero(hold)
     if not len(used):
-        return logit, -4.0
+        return None
     place = np.cumsum(hold > 0) - 1
     evidence = (z**2 / (z**2 + HALF**2))[used]
     # every bucket is measured by its usual share where it occurs, else the commonest words drown all others
@@ -119,8 +129,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> tuple[np
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.02 * (np.mean(g[k] ** 2) - v[k])
                 p[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.98**t)) + 1e-12)
-    logit[used] = unit * (p["e"] @ (p["c"][:, 1] - p["c"][:, 0]))
-    return logit, float(p["b"][1] - p["b"][0])
+    return used, unit, p
 
 
 def _sums(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -154,13 +163,18 @@ def scorer(logit: np.ndarray, bias: float) -> Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(text, toxic) of the labelled training rows: of each class the ``per_class`` with the lowest hash of doc_id."""
+    """(doc_id, text, toxic) of the labelled training rows: of each class the ``per_class`` doc_ids with the lowest hash.
+
+    A doc_id that comes more than once gives one row (that with the lowest hash of the text), so the bound holds
+    for any table; one labelled more than once is toxic if any label says so. A null doc_id has no label.
+    """
     train_on = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     known = labels.filter(train_on & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     drawn = known.filter("toxic = 1").orderBy(*order).limit(per_class).unionByName(known.filter("toxic = 0").orderBy(*order).limit(per_class))
-    # at most 2 * per_class pairs of numbers
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # at most 2 * per_class pairs of numbers; only their texts leave the scan, one to a doc_id
+    held = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return held.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").cast("int").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -172,14 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         logit, bias = train([t or "" for t in got["text"]], [int(x) for x in got["toxic"]])
         yield pd.DataFrame({"logit": [logit.tobytes()], "bias": [bias]})
 
-    row = sample(docs, labels).coalesce(1).mapInPandas(run, "logit binary, bias double").first()
+    row = sample(docs, labels).repartition(1).mapInPandas(run, "logit binary, bias double").first()
     return (np.frombuffer(row["logit"], np.float32), row["bias"]) if row else train([], [])
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with one more column, ``__score`` (0 to 1, higher: more toxic).
 
-    Null and empty texts get the score of no evidence. Labels, language, source and
+    Null and empty texts get the score of no evidence; a null doc_id is scored like any other. Labels, language, source and
     doc_id are no inputs of a score, so equal texts have equal scores. All other
     columns pass through; repeated rows stay; an empty table stays empty.
     """
