@@ -23,8 +23,8 @@ from notegauge.llm.common import SPACE, checkpointed
 LOW, HIGH = 0.005, 0.2
 #: Rates 2**-1 to 2**-RATES, so many subsets each.
 RATES, SUBSETS, SEED = 9, 14, 11
-#: Documents to a bucket of neighbouring doc_ids, on average.
-BUCKET = 1024
+#: Documents to a bucket of neighbouring doc_ids, on average, and quantiles of doc_id from which buckets are cut.
+BUCKET, QUANTILES = 1024, 256
 
 
 def terms(text: Column) -> Column:
@@ -77,23 +77,45 @@ def text_form(fp: str) -> Column:
     return F.expr(f"array_join(transform({fp}, x -> lpad(lower(hex(x)), 4, '0')), '')")
 
 
-def previous(keys: DataFrame, span: int = 4096) -> DataFrame:
-    """(key, before) for distinct ``key``: the next smaller key, and the largest for the smallest.
+def previous(buckets: DataFrame) -> DataFrame:
+    """(q, s, before_q, before_s) for distinct (q, s): the next smaller pair, and the largest for the smallest.
 
-    Neighbours are found inside ranges of ``span`` keys; the first of a range looks
-    its neighbour up among the ranges, found in the same way. No task sees more than
-    one range.
+    Neighbours are found inside each q, of which there are few more than QUANTILES; the first of a q follows the last of the q before.
     """
-    low, high = keys.agg(F.min("key"), F.max("key")).first()
-    if low is None or high - low < span:
-        order = Window.partitionBy().orderBy("key")
-        return keys.select("key", F.coalesce(F.lag("key").over(order), F.max("key").over(Window.partitionBy())).alias("before"))
-    ranged = keys.withColumn("range", F.floor(F.col("key") / span))
-    inside = ranged.withColumn("before", F.lag("key").over(Window.partitionBy("range").orderBy("key")))
-    lasts = checkpointed(ranged.groupBy("range").agg(F.max("key").alias("last")))
-    over = previous(lasts.select(F.col("range").alias("key")), span).select(F.col("key").alias("range"), F.col("before").alias("__range"))
-    over = over.join(lasts.select(F.col("range").alias("__range"), "last"), "__range").select("range", "last")
-    return inside.join(over, "range").select("key", F.coalesce("before", "last").alias("before"))
+    inside = buckets.withColumn("__before", F.lag("s").over(Window.partitionBy("q").orderBy("s")))
+    lasts = buckets.groupBy("q").agg(F.max("s").alias("last"))
+    order, every = Window.partitionBy().orderBy("q"), Window.partitionBy()
+    pair = F.struct("q", "last")
+    over = lasts.select("q", F.coalesce(F.lag(pair).over(order), F.max(pair).over(every)).alias("over"))
+    first = F.col("__before").isNull()
+    return inside.join(F.broadcast(over), "q").select("q", "s", F.when(first, F.col("over.q")).otherwise(F.col("q")).alias("before_q"), F.when(first, F.col("over.last")).otherwise(F.col("__before")).alias("before_s"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with q and s: buckets that follow one another as the rows do, of about BUCKET rows however the doc_ids lie.
+
+    q counts the quantiles of doc_id that are not above it. Inside, s cuts even widths,
+    counted from ends that the quantiles give. A doc_id that is more than one quantile,
+    or null, is tied: its rows are ordered, and cut into buckets, by the hash of the text.
+    """
+    shares = [k / QUANTILES for k in range(1, QUANTILES)]
+    count, nulls, low, high, found = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", shares, 100 * QUANTILES)).first()
+    bounds = sorted(set(found or []))
+    each = max(1.0, (count - nulls) / QUANTILES)  # rows to a quantile
+    parts = lambda n: max(1, round(n / BUCKET))
+    tied = {b: parts(each * found.count(b)) for b in bounds if found.count(b) > 1}
+    ends = [low or 0, *bounds, high or 0]
+    shift = [0, *[tied.get(b, 0) for b in bounds]]
+    widths = [max(1.0, (z - a + 1) / parts(each)) for a, z in zip(ends, ends[1:])]
+    listed = lambda xs, kind: F.array(*[F.lit(x).cast(kind) for x in xs])
+    q = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(listed(bounds, "bigint"), lambda b: b <= F.col("doc_id")))).cast("int")
+    share = F.col("hash").cast("double") / 2.0**64 + 0.5
+    df = rows.withColumn("hash", F.xxhash64("text")).withColumn("q", q)
+    ties = F.create_map(*[F.lit(x) for b in tied.items() for x in b]).cast("map<bigint,int>") if tied else F.lit(None).cast("map<bigint,int>")
+    own = F.when(F.col("q") < 0, F.lit(parts(nulls))).otherwise(F.try_element_at(ties, F.col("doc_id")))
+    at = F.greatest(F.col("q"), F.lit(0))
+    even = F.get(listed(shift, "bigint"), at) + F.floor((F.col("doc_id").cast("double") - F.get(listed(ends, "double"), at)) / F.get(listed(widths, "double"), at))
+    return df.withColumn("__own", own).select("doc_id", "text", "hash", "q", F.when(F.col("__own").isNotNull(), F.least(F.floor(share * F.col("__own")), F.col("__own") - 1)).otherwise(even).cast("long").alias("s"))
 
 
 def with_next(rows: DataFrame, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -101,19 +123,16 @@ def with_next(rows: DataFrame, derive: Callable[[DataFrame], DataFrame] = lambda
 
     Rows move once, to buckets of neighbouring doc_ids. The first row of each bucket
     also goes to the bucket before, as the neighbour of its last row. Repeated
-    doc_ids follow one another in the order of their texts; null doc_ids come first.
+    doc_ids follow one another in the order of their texts' hashes; null doc_ids come first.
     """
-    low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = 1 if low is None else max(1, (high - low + 1) * BUCKET // count)
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long")
-    placed = rows.select(bucket.alias("__bucket"), F.lit(0).alias("__guest"), "doc_id", "text")
+    own = placed(rows)
     # the first rows by text alone: nothing is derived for rows that are not first
-    heads = placed.groupBy("__bucket").agg(F.min_by("text", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.col("text"))).alias("text"))
-    before = previous(checkpointed(placed.select(F.col("__bucket").alias("key")).distinct()))
-    guests = heads.join(before, heads["__bucket"] == before["key"]).select(F.col("before").alias("__bucket"), F.lit(1).alias("__guest"), F.lit(None).cast("long").alias("doc_id"), "text")
-    every = derive(placed).unionByName(derive(guests))
-    carried = [c for c in every.columns if c not in ("__bucket", "__guest", "doc_id")]
-    order = Window.partitionBy("__bucket").orderBy("__guest", "doc_id", "text")
+    heads = own.groupBy("q", "s").agg(F.min_by("text", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.col("hash"), F.col("text"))).alias("text"))
+    before = previous(checkpointed(own.select("q", "s").distinct()))
+    guests = heads.join(before, ["q", "s"]).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("hash"), F.col("before_q").alias("q"), F.col("before_s").alias("s"), F.lit(1).alias("__guest"))
+    every = derive(own.withColumn("__guest", F.lit(0))).unionByName(derive(guests))
+    carried = [c for c in every.columns if c not in ("q", "s", "__guest", "doc_id", "hash")]
+    order = Window.partitionBy("q", "s").orderBy("__guest", "doc_id", "hash", "text")
     led = every.select("__guest", "doc_id", *carried, *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
     return led.filter("__guest = 0").drop("__guest")
 

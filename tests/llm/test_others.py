@@ -154,10 +154,86 @@ def test_equal_texts_have_equal_fingerprints(spark):
     assert got.assign(k=got.doc_id % 3).groupby("k").fingerprint.nunique().tolist() == [1, 1, 1]
 
 
-def test_previous_across_ranges(spark):
-    keys = sorted({int(x) for x in np.random.default_rng(2).integers(0, 10**6, 80)})
-    got = {r["key"]: r["before"] for r in imatch.previous(spark.createDataFrame([(k,) for k in keys], "key long"), span=50).collect()}
-    assert got == {k: keys[i - 1] for i, k in enumerate(keys)}
+def test_previous_across_quantiles(spark):
+    pairs = sorted({(int(x), int(y)) for x, y in np.random.default_rng(2).integers(-1, 9, (60, 2))})
+    got = {(r["q"], r["s"]): (r["before_q"], r["before_s"]) for r in imatch.previous(spark.createDataFrame(pairs, "q int, s long")).collect()}
+    assert got == {k: pairs[i - 1] for i, k in enumerate(pairs)}
+
+
+def spark_hash(spark, values):
+    from pyspark.sql import functions as F
+
+    values = list(dict.fromkeys(values))
+    return {r["v"]: r["h"] for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", F.xxhash64("v").alias("h")).collect()}
+
+
+WIDE = [-(2**63) + 5, 2**63 - 5, 2**62, -1, 0]
+
+
+@pytest.mark.parametrize("ids", ["even", "wide", "tied", "nulls"])
+def test_buckets_follow_the_rows(spark, monkeypatch, ids):
+    """However the doc_ids lie, buckets are small and in order, and each row is followed by the next."""
+    monkeypatch.setattr(imatch, "BUCKET", 4)
+    monkeypatch.setattr(imatch, "QUANTILES", 16)
+    rng = np.random.default_rng(3)
+    n = 400
+    given = {"even": range(n), "wide": [*WIDE, *range(10**6, 10**6 + n - len(WIDE))], "tied": [7 if i % 3 == 0 else i for i in range(n)], "nulls": [None if i % 3 == 0 else i for i in range(n)]}[ids]
+    docs = [(i, f"text {k}") for k, i in enumerate(given)]
+    frame = spark.createDataFrame([docs[k] for k in rng.permutation(n)], "doc_id long, text string")
+    rows = imatch.placed(frame).collect()
+    hashes = spark_hash(spark, [t for _, t in docs])
+    key = lambda d, t: (d is not None, d or 0, hashes[t])
+    rows.sort(key=lambda r: key(r["doc_id"], r["text"]))
+    places = [(r["q"], r["s"]) for r in rows]
+    assert places == sorted(places) and max(Counter(places).values()) <= 60
+    docs.sort(key=lambda r: key(*r))
+    got = {(r["doc_id"], r["text"]): r["next_text"] for r in imatch.with_next(frame).collect()}
+    assert got == {r: docs[(k + 1) % n][1] for k, r in enumerate(docs)}
+
+
+def test_fingerprints_by_definition(spark):
+    """All numbers of the fingerprints and both likenesses, computed again in Python from Spark's hash alone."""
+    rng = np.random.default_rng(8)
+    ids = [*WIDE, *range(10, 120), None]
+    docs = [(i, " ".join(f"W{j}" for j in rng.zipf(1.3, int(rng.integers(0, 50))) % 300) if k % 9 else None) for k, i in enumerate(ids)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in imatch.fingerprints(frame).collect()}
+    docs = sorted([(i, t or "") for i, t in docs], key=lambda r: (r[0] is not None, r[0] or 0))
+    following = [docs[(k + 1) % len(docs)][1] for k in range(len(docs))]
+    edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for (_, t), f in zip(docs, following)]
+    terms = lambda t: sorted(set(t.lower().split()))
+    held = Counter(w for _, t in docs for w in terms(t))
+    band = {w for w, c in held.items() if 0.005 * len(docs) <= c <= 0.2 * len(docs)}
+    one = spark_hash(spark, sorted({w for t in [*(t for _, t in docs), *edited] for w in terms(t)}))
+
+    def lists(t):
+        keys = [one[w] for w in terms(t) if w in band]
+        inside = [[h for h in keys if ((h % 2**64) >> s) & ((1 << r) - 1) == v] for s, r, v in imatch.subsets()]
+        return ("k", tuple(keys)) if keys else ("t", tuple(terms(t))), [tuple(x) for x in inside]
+
+    every = {t: lists(t) for t in [*(t for _, t in docs), *edited]}
+    from pyspark.sql import functions as F
+
+    number = lambda c: (F.pmod(F.xxhash64(c), F.lit(65535)) + 1).alias("n")
+    longs = list({x for w, parts in every.values() for x in ([w[1]] if w[0] == "k" else []) + parts if x})
+    squeezed = {tuple(r["a"]): r["n"] for r in spark.createDataFrame([(list(x),) for x in longs], "a array<long>").select("a", number("a")).collect()}
+    words = list({w[1] for w, _ in every.values() if w[0] == "t"})
+    wordy = {tuple(r["a"]): r["n"] for r in spark.createDataFrame([(list(x),) for x in words], "a array<string>").select("a", number("a")).collect()}
+
+    def numbers(t):
+        whole, parts = every[t]
+        return [(squeezed if whole[0] == "k" else wordy)[whole[1]], *[squeezed[p] if p else 0 for p in parts]]
+
+    def alike(a, b):
+        weights = [1.0, *[2 ** (r / 2) for r in range(1, imatch.RATES + 1) for _ in range(imatch.SUBSETS)]]
+        same = sum(w for x, y, w in zip(a, b, weights) if x == y and x)
+        return min(1.0, same / sum(w for x, y, w in zip(a, b, weights) if x or y))
+
+    text = lambda xs: "".join(f"{x:04x}" for x in xs)
+    for (i, t), f, e in zip(docs, following, edited):
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"], r["edited_sha256"], r["n_chars"]) == (text(numbers(t)), text(numbers(e)), hashlib.sha256(e.encode()).hexdigest(), len(t))
+        assert r["near_edited"] == pytest.approx(alike(numbers(t), numbers(e))) and r["near_next"] == pytest.approx(alike(numbers(t), numbers(f)))
 
 
 # --- WARC
@@ -287,6 +363,32 @@ def test_rare_toxic_words_and_few_labelled_rows(n, n_bad, least):
     assert hit[want].mean() > least and hit[~want].mean() < 0.05
 
 
+def test_scores_are_the_forward_pass():
+    """A text's score is that of averaged word vectors under the softmax, computed step by step."""
+    rng = np.random.default_rng(5)
+    clean, bad = [f"word{i}" for i in range(60)], ["idiot", "moron", "scum"]
+    texts, labels = toxic_texts(90, 3, clean, bad)
+    used, unit, p = toxicity.learned(texts, labels)
+    vector = np.zeros((toxicity.BUCKETS, toxicity.DIM))
+    vector[used] = unit[:, None] * p["e"]
+    scorer = toxicity.Scorer(*toxicity.train(texts, labels))
+    for text in [*texts[:30], "unseen idiots, MORON! é", "", " ".join(rng.choice(clean, 500))]:
+        words = text.split()
+        mean = sum((vector[toxicity.subwords(w)].mean(axis=0) for w in words), np.zeros(toxicity.DIM)) / (len(words) + toxicity.PAD)
+        z = mean @ p["c"] + p["b"]
+        assert scorer.score(text) == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), rel=1e-4)
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """Repeated documents and labels take no more than their class's share; held_out is never null."""
+    rows = [(i % 40, f"text {i}") for i in range(5000)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(400)] + [(None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, per_class=5).collect()
+    assert len(got) == 10 and len({r["doc_id"] for r in got}) == 10
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 for r in got)
+
+
 def test_training_without_both_classes():
     logit, bias = toxicity.train(["a"], [1])
     assert not logit.any() and toxicity.Scorer(logit, bias).score("x") < 0.1
