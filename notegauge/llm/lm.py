@@ -229,7 +229,7 @@ def word_answers(asked: DataFrame, ranges: int, tasks: int, least: int) -> DataF
                 own = place[e - len(words[k]) : e]
                 yield batch(answer, [(row[0], part, 0 if k else int((c > 0).sum()), 0 if k else int(c.sum()), bundle(c[own], number[own]))])
 
-    met = asked.mapInArrow(ask, "part long, chunk long, words binary, n binary").repartition(tasks, "part").sortWithinPartitions("part", "chunk")
+    met = asked.mapInArrow(ask, "part long, chunk long, words binary, n binary").repartitionById(tasks, _task("part", tasks)).sortWithinPartitions("part", "chunk")
     return met.mapInArrow(run, "chunk long, part long, seen long, total long, data binary")
 
 
@@ -298,6 +298,11 @@ def questions(data: bytes) -> list[np.ndarray]:
     return [v, u, unstepped(w, v, u), *rest]
 
 
+def _task(number: str, tasks: int) -> Column:
+    """Shards in turn: each task has as many as any other."""
+    return F.pmod(F.col(number), F.lit(tasks)).cast("int")
+
+
 def shard_of(v: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(v, part + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
 
@@ -415,9 +420,10 @@ def scores(docs: DataFrame, least: int = LEAST, shard_size: int = SHARD) -> Data
 
         return known.sortWithinPartitions("chunk", "kind", "part").mapInArrow(run, "shard long, kind int, chunk long, data binary")
 
-    frequent = ask(2, lambda q: q.successors(ranges)).select("shard", "data").repartition(n, "shard").sortWithinPartitions("shard")
+    frequent = ask(2, lambda q: q.successors(ranges)).select("shard", "data").repartitionById(n, _task("shard", n)).sortWithinPartitions("shard")
     frequent = frequent.mapInArrow(_frequent_successors(shards, least), "shard long, kind int, chunk long, data binary")
-    met = ask(1, Questions.per_shard).unionByName(frequent).repartition(max(n, shards // 2), "shard").sortWithinPartitions("shard", "kind", "chunk")
+    tasks = max(n, shards // 2)
+    met = ask(1, Questions.per_shard).unionByName(frequent).repartitionById(tasks, _task("shard", tasks)).sortWithinPartitions("shard", "kind", "chunk")
     weights = met.mapInArrow(_answers(least), "chunk long, part long, data binary")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
