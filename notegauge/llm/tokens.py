@@ -4,12 +4,12 @@ The tokenizer's pieces never cross ASCII white space, and none of its normalisin
 steps does, so a text's ids are the ids of its runs of other characters, one after
 the other. Each distinct run is encoded by the library once per worker memo.
 
-Counting compiles this into a deterministic transducer. Its states are the prefixes
-of runs; reading white space returns to the start state and emits the run's token
-count. Paths from the start to the start are compressed into one transition per run.
-A chunk of text is a map from entry state to exit state and emitted count; maps
-compose associatively, so the chunks of a text of any length are combined by a
-parallel prefix scan.
+Counting does not encode. The vocabulary and its merges are compiled into a
+deterministic transducer whose transitions emit token counts, state by state as texts
+reach them; white space leads back to its start. The paths of known runs are kept as
+one transition each. A chunk of text is a map from entry state to exit state and emitted
+count; maps compose associatively, so the chunks of a text of any length are combined
+by a parallel prefix scan.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ import gc
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from notegauge.runtime import ship
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct runs, and pieces of them, remembered by a worker before it starts afresh (memory only).
 MEMO = 1_000_000
+#: What a worker's transducer holds before it starts afresh (memory only): states, pairs of tokens, pieces, runs.
+STATES, PAIRS, PIECES, RUNS = 60_000, 300_000, 500_000, 1_000_000
 #: Pieces to a line for the library, and lines to a call.
 BATCH = 512
 #: Runs whose normal form is their lower case: printable ASCII but the apostrophe, and Latin-1 letters.
@@ -143,6 +147,155 @@ def encoder(path: str) -> Encoder:
     return kept(f"encoder {path}", lambda: Encoder(path))
 
 
+class PieceTransducer:
+    """The tokenizer's merges as a deterministic transducer over the bytes of a piece, its states made when first reached.
+
+    The encoding of every prefix of a piece ends in one token, and a token can follow
+    another if and only if the two are what their joined bytes are encoded as. So the
+    last token of a prefix and its token count follow from those of shorter prefixes,
+    as far back as some token may still begin. A state is just that: the bytes that
+    may begin a token to come, with the last token of the prefix before each of them
+    and how many tokens that prefix has less than the whole. A transition reads a byte,
+    emits the change of the token count (which merging may lower) and drops what no
+    token can reach any more, so states are finite in number. The last byte of a piece
+    is another symbol, with the end-of-word mark, and its transition leads out.
+    """
+
+    def __init__(self, config: dict):
+        model = config["model"]
+        suffix, code = model["end_of_word_suffix"], {c: b for b, c in byte_characters().items()}
+        spelled = {}  # token -> its bytes, and whether it ends a word
+        for token, number in model["vocab"].items():
+            ends = token.endswith(suffix) and token != suffix
+            chars = token.removesuffix(suffix) if ends else token
+            if all(c in code for c in chars):
+                spelled[number] = bytes(code[c] for c in chars), ends
+        self.inner = {b: i for i, (b, ends) in spelled.items() if not ends}
+        self.final = {b: i for i, (b, ends) in spelled.items() if ends}
+        self.spelled = spelled
+        self.heads = {b[:k] for b, _ in spelled.values() for k in range(len(b) + 1)}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.merges = {(model["vocab"][x], model["vocab"][y]): (rank, model["vocab"][x + y]) for rank, (x, y) in enumerate(pairs)}
+        self.follows: dict[tuple, bool] = {}
+        self.restart()
+
+    def restart(self) -> None:
+        self.places = {(b"", (None,), (0,)): 0}
+        self.states = [(b"", (None,), (0,))]
+        self.next: list[dict[int, tuple[int, int]]] = [{}]
+        self.last: list[dict[int, int]] = [{}]
+
+    def encoded(self, symbols: list[int]) -> list[int]:
+        """Tokens of a list of tokens by the merges: always the earliest merge, from the left."""
+        while len(symbols) > 1:
+            rank, i, token = min((*self.merges[p][:1], i, self.merges[p][1]) if (p := (x, y)) in self.merges else (1 << 60, i, -1) for i, (x, y) in enumerate(zip(symbols, symbols[1:])))
+            if token < 0:
+                break
+            symbols[i : i + 2] = [token]
+        return symbols
+
+    def symbols(self, token: int) -> list[int]:
+        data, ends = self.spelled[token]
+        out = [self.inner[data[k : k + 1]] for k in range(len(data))]
+        if ends:
+            out[-1] = self.final[data[-1:]]
+        return out
+
+    def may_follow(self, before: int | None, token: int) -> bool:
+        """Whether the encoding can have ``token`` after ``before`` (None: at the start)."""
+        key = (before, token)
+        if key not in self.follows:
+            if len(self.follows) > PAIRS:
+                self.follows.clear()
+            if before is None:
+                self.follows[key] = self.encoded(self.symbols(token)) == [token]
+            else:
+                self.follows[key] = self.encoded(self.symbols(before) + self.symbols(token)) == [before, token]
+        return self.follows[key]
+
+    def ending(self, state: int, byte: int, tokens: dict[bytes, int]) -> tuple[bytes, int, int]:
+        """(bytes of the state and this one, the last token, how many more tokens)."""
+        data, lasts, counts = self.states[state]
+        data += bytes([byte])
+        for k in range(len(data)):
+            token = tokens.get(data[k:])
+            if token is not None and self.may_follow(lasts[k], token):
+                return data, token, counts[k] + 1
+        raise ValueError(f"no token for byte {byte}")
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, emitted)."""
+        data, token, emitted = self.ending(state, byte, self.inner)
+        _, lasts, counts = self.states[state]
+        cut = next(k for k in range(len(data) + 1) if data[k:] in self.heads)
+        key = data[cut:], (*lasts[cut:], token), (*[c - emitted for c in counts[cut:]], 0)
+        if key not in self.places:
+            self.places[key] = len(self.states)
+            self.states.append(key)
+            self.next.append({})
+            self.last.append({})
+        self.next[state][byte] = self.places[key], emitted
+        return self.next[state][byte]
+
+    def count(self, piece: bytes) -> int:
+        """Tokens of a piece that is not empty."""
+        if len(self.states) > STATES:
+            self.restart()
+        state, total, following = 0, 0, self.next
+        for byte in piece[:-1]:
+            state, emitted = following[state].get(byte) or self.step(state, byte)
+            total += emitted
+        byte = piece[-1]
+        if byte not in self.last[state]:
+            self.last[state][byte] = self.ending(state, byte, self.final)[2]
+        return total + self.last[state][byte]
+
+
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in vocabularies of bytes: printable Latin-1 for itself, the rest from U+0100 on in order."""
+    shown = {b for b in range(256) if chr(b).isprintable() and b != 0x20}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class RunCounter:
+    """Tokens of a run of characters without ASCII white space: special strings, normal form, pieces, and their counts."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        for part, kind in ((config["normalizer"], "Sequence"), (config["pre_tokenizer"], "Sequence"), (config["model"], "BPE")):
+            if part["type"] != kind:
+                raise ValueError(f"{path}: {part['type']} is not supported")
+        steps = [n["type"] for n in config["normalizer"]["normalizers"]]
+        if steps != ["NFC", "Replace", "Lowercase"] or [n["type"] for n in config["pre_tokenizer"]["pretokenizers"]] != ["Split", "ByteLevel"]:
+            raise ValueError(f"{path}: other normalizing or splitting steps than NFC, white space, lower case and one split into bytes")
+        pattern = config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.split = regex.compile(pattern)
+        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in config["added_tokens"]) or r"(?!)")
+        self.machine, self.pieces = PieceTransducer(config), {}
+
+    def piece(self, piece: bytes) -> int:
+        n = self.pieces.get(piece)
+        if n is None:
+            if len(self.pieces) > PIECES:
+                self.pieces.clear()
+            n = self.pieces[piece] = self.machine.count(piece)
+        return n
+
+    def count(self, run: bytes) -> int:
+        low = run.lower()
+        if low.isalpha():
+            return self.piece(low)
+        text = run.decode("utf-8")
+        parts = self.special.split(text) if "<" in text else [text]
+        total = len(parts) - 1
+        for part in parts:
+            normal = part.lower() if part.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
+            total += sum([self.piece(p.encode()) for p in self.split.findall(normal)])
+        return total
+
+
 @dataclass(frozen=True)
 class ChunkMap:
     """What a chunk does to the transducer: from the state of prefix p to its exit state, and the tokens emitted.
@@ -167,18 +320,16 @@ class ChunkMap:
 
 
 class CountTransducer:
-    """The compiled transducer: one transition per known run, from the start state to itself, annotated with its count."""
+    """The transducer over whole texts, with the paths of known runs from the start state back to it as one transition each."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder, self.transitions = encoder, {b"": 0}
+    def __init__(self, path: str):
+        self.runs, self.transitions = RunCounter(path), {b"": 0}
 
     def compile(self, found: set[bytes]) -> None:
-        if len(self.transitions) > MEMO:
+        if len(self.transitions) > RUNS:
             self.transitions = {b"": 0}
-        for part in _parts([r for r in found if r not in self.transitions], 1 << 16):
-            self.encoder.learn(set(part))
-            self.transitions.update((r, len(self.encoder.memo[r]) >> 2) for r in part)
-            self.encoder.memo.clear()  # counts are all that is kept
+        count = self.runs.count
+        self.transitions.update([(r, count(r)) for r in found if r not in self.transitions])
 
     def count(self, run: bytes) -> int:
         if run not in self.transitions:
@@ -218,7 +369,7 @@ def _parts(items: list, n: int) -> Iterator[list]:
 
 
 def transducer(path: str) -> CountTransducer:
-    return kept(f"transducer {path}", lambda: CountTransducer(Encoder(path)))
+    return kept(f"transducer {path}", lambda: CountTransducer(path))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:

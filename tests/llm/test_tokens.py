@@ -9,6 +9,7 @@ from notegauge.llm import packing, tokens
 
 ODD = st.lists(st.sampled_from([*"aBzéÉİẞ'sS1²ªµ×÷ \n\x1c\x85\xa0\t_.!?,<|>ΩΣς漢😀\u0301KÅſﬁ", "<|endoftext|>", "<|startoftext|>", "..."]), max_size=30).map("".join)
 ENCODER = tokens.Encoder(tokens.vocabulary_path())
+MACHINE = tokens.CountTransducer(tokens.vocabulary_path())
 LIBRARY = Tokenizer.from_file(tokens.vocabulary_path())
 
 
@@ -25,7 +26,7 @@ def test_ids_are_the_library_s(text):
 @settings(max_examples=200, deadline=None)
 @given(ODD, st.integers(1, 9))
 def test_chunks_compose_to_the_library_s_count(text, size):
-    machine = tokens.CountTransducer(ENCODER)
+    machine = MACHINE
     old, tokens.CHUNK = tokens.CHUNK, size
     try:
         assert machine.counts([text.encode()]) == [len(library(text))]
@@ -33,8 +34,32 @@ def test_chunks_compose_to_the_library_s_count(text, size):
         tokens.CHUNK = old
 
 
+LETTERS = st.text(alphabet="abcdefghijklmnopqrstuvwxyzésß'.,!-_=#", min_size=1, max_size=40)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(LETTERS, min_size=1, max_size=8))
+def test_transducer_counts_what_the_library_encodes(runs):
+    for run in runs:
+        assert MACHINE.runs.count(run.encode()) == len(library(run))
+
+
+def test_transducer_starts_afresh_and_shares_states(monkeypatch):
+    """With few states at a time the counts are the same; long pieces do not make a state per byte."""
+    monkeypatch.setattr(tokens, "STATES", 50)
+    monkeypatch.setattr(tokens, "PIECES", 50)
+    monkeypatch.setattr(tokens, "PAIRS", 50)
+    counter = tokens.RunCounter(tokens.vocabulary_path())
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        run = "".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(1, 25))))
+        assert counter.count(run.encode()) == len(library(run))
+    counter.machine.restart()
+    assert counter.count(b"ha" * 5000) == len(library("ha" * 5000)) and len(counter.machine.states) < 60
+
+
 def test_composition_is_associative():
-    machine = tokens.CountTransducer(ENCODER)
+    machine = MACHINE
     parts = [b"ab c", b"d", b"", b" ", b"e f gh", b"i"]
     maps = [machine.chunk(p, p.split()) for p in parts]
     machine.compile({b"c", b"d", b"f", b"cd", b"ab"})
