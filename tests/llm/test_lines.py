@@ -1,4 +1,5 @@
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 from hypothesis import given, settings
@@ -56,6 +57,50 @@ def test_deletion_reverses(spark):
     assert smaller.references().select("refs", "last").first() == (4, 4)
 
 
+def state(index):
+    return sorted(tuple(r) for r in index.references().select("h1", "h2", "refs", "last").collect()), sorted(map(tuple, index.drops().collect()), key=str)
+
+
+def test_insertions_and_deletions_are_those_of_a_new_index(spark):
+    """After each change the counts, the drops and the keys in the filters are what an index built anew has."""
+    rng = np.random.default_rng(11)
+    docs = dict(corpus())
+    index = LineIndex.build(frame(spark, list(docs.items())))
+    for step in range(3):
+        gone = [int(d) for d in rng.choice(sorted(docs), 14, replace=False)]
+        index = index.delete(frame(spark, [(d, None) for d in gone]))
+        more = [(300 + 20 * step + i, docs[d]) for i, d in enumerate(gone[:9])]
+        docs = {d: t for d, t in docs.items() if d not in gone} | dict(more)
+        index = index.insert(frame(spark, more + more[:2]))
+        fresh = LineIndex.build(frame(spark, list(docs.items())))
+        assert state(index) == state(fresh)
+        tags = lambda x: sum(int((np.frombuffer(r["tags"], np.uint16) != 0).sum()) for r in x.filters().collect())
+        assert tags(index) == tags(fresh) == fresh.references().filter("refs >= 5").count()
+        assert kept(lines.dedup(frame(spark, list(docs.items())), index)) == brute(list(docs.items()))
+
+
+def test_only_touched_shards_change(spark):
+    docs = [(i, f"{SHARED} {i // 6}\nrest {i}") for i in range(60)]
+    index = LineIndex.build(frame(spark, docs))
+    smaller = index.delete(frame(spark, docs[:1]))
+    (old, kept_shards), (_, changed) = smaller.versions
+    assert old == index.versions[0][0] and len(changed) == 1 and kept_shards | changed == set(range(index.shards))
+    assert index.delete(frame(spark, [(999, None)])) .versions == index.versions
+
+
+def test_what_the_filter_rejects_never_reaches_the_table(spark, tmp_path):
+    """With empty filters nothing is dropped, though the exact table is whole."""
+    docs = corpus()
+    index = LineIndex.build(frame(spark, docs))
+    assert index.drops().count() > 0
+    folder = str(tmp_path / "lines")
+    index.references().write.parquet(f"{folder}/counts")
+    empty = CuckooFilter(16).tags.tobytes()
+    spark.createDataFrame([(r["shard"], empty) for r in index.filters().collect()], "shard int, tags binary").write.parquet(f"{folder}/filters")
+    blind = replace(index, versions=((folder, index.versions[0][1]),))
+    assert blind.references().filter("refs >= 5").count() > 0 and blind.drops().count() == 0
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1)), unique=True, max_size=300))
 def test_cuckoo_filter_has_no_false_negatives(keys):
