@@ -12,7 +12,6 @@ approximate: each pair within the radius is compared exactly once.
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import checkpointed, components, lookup_join, partitions, written
+from notegauge.llm.common import checkpointed, components, lookup_join, packed, partitions, unpacked, written
 from notegauge.runtime import ship
 
 RADIUS = 2
@@ -217,46 +216,38 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-# --- near copies by similarity: SimHash and a sketch find candidates, their word shingles decide
+# --- near copies by similarity: bands of a sketch bring rows together, SimHash and sketch find candidates, their word shingles decide
 
 #: Near copies share this much of their shingles of WIDE words. Sketches of SKETCH bytes only rule out pairs whose estimate is SLACK below it, 4.5 standard errors.
 SIMILARITY, SLACK, WIDE, SKETCH = 0.8, 0.16, 5, 128
-#: Bits in which the SimHashes of candidates differ at most; README has the recall by kind of edit.
+#: Bits in which the SimHashes of candidates differ at most.
 WIDE_RADIUS = 20
-#: Rows, and shingles (a part of a text each), that a meeting of sizes holds; shingle sets that it remembers.
-SIZE_ROWS, SIZE_SHINGLES, SETS = 1 << 16, 10_000_000, 200_000
+#: Rows meet that agree in one of BANDS stretches of BAND bytes of their sketches: of pairs at the similarity 99.8 % do, of closer ones more; README has the recall by kind of edit.
+BANDS, BAND, FIRST = 21, 6, 4
+#: Rows, and shingles, to a part of a tile; rows of a large tile that its parts have in common at first.
+PART_ROWS, PART_SHINGLES, LEADERS = 2048, 2_000_000, 64
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
 
 
-def _line(text: str | None) -> bytes:
-    """The words of a text in lower case, one space between them."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
-
-
-def shingles(line: bytes, width: int = WIDE) -> set[bytes]:
-    words = line.split(b" ") if line else []
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-
-
-def sketch(text: str | None, width: int = WIDE) -> tuple[int, bytes]:
-    """(number of distinct shingles, low bytes of their SKETCH minima): equal bytes estimate the Jaccard similarity."""
+def sketch(text: str | None, width: int = WIDE) -> tuple[np.ndarray, bytes]:
+    """(hashes of the distinct shingles, ascending; low bytes of their SKETCH minima): equal bytes estimate the Jaccard similarity."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, bytes(SKETCH)
+        return np.zeros(0, np.uint32), bytes(SKETCH)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     line, k = b" ".join(words), max(1, len(words) - width + 1)
     h = xxhash.xxh32_intdigest
     found = {h(line[a:b]) for a, b in zip(starts[:k].tolist(), ends[-k:].tolist())}
-    values = np.fromiter(found, np.uint32, len(found))
+    values = np.sort(np.fromiter(found, np.uint32, len(found)))
     low = np.full(SKETCH, 2**32 - 1, np.uint32)
     for i in range(0, len(values), 4096):
         np.minimum(low, (values[i : i + 4096, None] * _FACTORS).min(axis=0), out=low)
-    return len(values), ((low ^ low >> np.uint32(8) ^ low >> np.uint32(16)) & np.uint32(255)).astype(np.uint8).tobytes()
+    return values, ((low ^ low >> np.uint32(8) ^ low >> np.uint32(16)) & np.uint32(255)).astype(np.uint8).tobytes()
 
 
 def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp, size, sketch, line, key); lines are deflated, equal ones have equal keys."""
+    """(doc_id, fp, size, sketch, grams, key): grams holds the shingles' hashes, texts of the same words have equal keys."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,149 +255,163 @@ def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
             texts = b.column(1).to_pylist()
             fp = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
             made = [sketch(t) for t in texts]
-            columns = [pa.array(fp.view(np.int64)), pa.array([n for n, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary()), pa.array([zlib.compress(_line(t), 1) for t in texts], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "fp", "size", "sketch", "line"])
+            size = pa.array([len(x) for x, _ in made], pa.int64())
+            grams = pa.array([packed(np.diff(x, prepend=np.uint32(0))) for x, _ in made], pa.binary())
+            keys = pa.array([xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), size, pa.array([x for _, x in made], pa.binary()), grams, keys], ["doc_id", "fp", "size", "sketch", "grams", "key"])
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, size long, sketch binary, line binary")
-    return made.withColumn("key", F.xxhash64("line"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, size long, sketch binary, grams binary, key binary")
 
 
-def similar_links(distinct: DataFrame, lines: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, rows: int = SIZE_ROWS) -> DataFrame:
-    """Edges (a, b) that connect the similar rows of ``distinct`` (row, fp, rep, size, sketch), a spanning forest per meeting; ``lines`` has (row, line).
+def similar_links(labelled: DataFrame, grams: DataFrame, first: bool, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, part_rows: int | None = None) -> DataFrame:
+    """Edges (a, b) between labels of ``labelled`` (row, label, fp, size, sketch) that have similar rows; ``grams`` has (row, grams).
 
-    Sets that similar have sizes within the same factor, so rows fall into tiles by
-    the logarithm of their size and meet their own tile and the next. Inside, blocks
-    whose population counts are too far apart are skipped, the rest are compared bit
-    by bit, sketches rule out most of what is near, and the shingle sets decide: each
-    edge is a pair of lines with at least the similarity.
+    Rows meet in tiles, one per band of the sketch and its value; tiles whose rows all
+    have one label are left out. A tile is held in parts. In the ``first`` pass, over a
+    few bands, the parts of a large tile share some of its rows as leaders, which is
+    enough to join the parts of a dense group. In the second, over all bands, the rows
+    that do not have the tile's commonest label go to all its parts, so that every pair
+    of rows with different labels meets and a dense group costs little.
     """
-    ship(distinct.sparkSession)
-    tile = F.when(F.col("size") > 0, F.floor(F.ln("size") / F.lit(-np.log(similarity * 0.999))).cast("int")).otherwise(-2)
-    own = distinct.select("row", "fp", "rep", "size", "sketch", tile.alias("tile"))
-    # a tile per power of 1/similarity in size: a few hundred rows at most
-    parts = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("size") / SIZE_SHINGLES), F.lit(1)).cast("int")
-    tiles = own.groupBy("tile").agg(parts.alias("parts"))
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    payload = ["row", "fp", "rep", "size", "sketch"]
-    here = own.join(F.broadcast(tiles), "tile").select("tile", part.alias("part"), F.lit(0).alias("side"), *payload)
-    moved = own.select(*payload, F.explode(F.array(F.struct(F.col("tile"), F.lit(True).alias("home")), F.struct((F.col("tile") - 1).alias("tile"), F.lit(False).alias("home")))).alias("t"))
-    moved = moved.select("t.tile", "t.home", *payload).join(F.broadcast(tiles), "tile")
-    there = moved.select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), *payload, F.when(F.col("home"), part).otherwise(-1).alias("from")).filter("part > from").drop("from")
-    n = partitions(distinct.sparkSession)
-    # the text comes last: one join for all places that a row goes to
-    met = here.unionByName(there).join(lines.select("row", "line").hint("merge"), "row").select("tile", "part", "side", "fp", "rep", "sketch", "line")
-    met = met.repartition(n, "tile", "part").sortWithinPartitions("tile", "part", "side")
+    ship(labelled.sparkSession)
+    bands = F.expr(f"transform(sequence(0, {(FIRST if first else BANDS) - 1}), i -> xxhash64(i, substring(sketch, i * {BAND} + 1, {BAND})))")
+    placed = labelled.filter("size > 0").select(F.explode(bands).alias("tile"), "row", "label", "size")
+    if first:  # each row is its own label
+        tiles = placed.groupBy("tile").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.lit(None).cast("long").alias("main")).filter("n > 1")
+        shared = F.pmod(F.xxhash64("row"), F.col("rows")) < LEADERS
+    else:
+        tiles = placed.groupBy("tile", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+        tiles = tiles.groupBy("tile").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("labels")).filter("labels > 1")
+        shared = F.col("label") != F.col("main")
+    parts = F.greatest(F.ceil(F.col("n") / (part_rows or PART_ROWS)), F.ceil(F.col("shingles") / PART_SHINGLES)).cast("int")
+    tiles = checkpointed(tiles.select("tile", "n", F.col("n").alias("rows"), parts.alias("parts"), "main"))
+    member = lookup_join(placed, tiles, ["tile"], "n").filter("parts is not null")
+    member = member.withColumn("home", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).withColumn("shared", (F.col("parts") > 1) & shared)
+    places = F.when(F.col("shared"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
+    member = member.select("tile", "row", "label", "home", F.explode(places).alias("part"))
+    payload = labelled.select("row", "fp", "sketch").join(grams, "row")
+    met = member.join(payload, "row").select("tile", "part", (F.col("part") != F.col("home")).cast("int").alias("side"), "label", "fp", "sketch", "grams")
+    met = met.repartition(partitions(labelled.sparkSession), "tile", "part").sortWithinPartitions("tile", "part", "side")
+    need = SKETCH * ((similarity - SLACK) * 255 / 256 + 1 / 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, meeting = None, None
+        meeting = SimilarMeeting(radius, similarity, need)
+        key, waiting = None, []
         for b in batches:
-            tile, part, side, fp, rep = (c.to_numpy(zero_copy_only=False) for c in b.columns[:5])
-            marks = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            text = b.column(6).to_pylist()
+            tile, part, side = (c.to_numpy(zero_copy_only=False) for c in b.columns[:3])
             cuts = np.flatnonzero((np.diff(tile) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0)) + 1
-            out: list[tuple[int, int]] = []
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fp)]):
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
                 if s == e:
                     continue
-                if (k := (int(tile[s]), int(part[s]))) != key:
-                    key, meeting = k, SimilarMeeting(radius, similarity)
-                meeting.note(rep[s:e], marks[s:e], text[s:e], side[s] == 0)
-                (meeting.take if side[s] == 0 else meeting.compare)(fp[s:e].view(np.uint64), rep[s:e], out)
-            if out:
-                a, c = np.array(out, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+                if (k := (tile[s], part[s])) != key:
+                    meeting.hold(waiting)
+                    key, waiting, meeting.held = k, [], None
+                if side[s] == 0:
+                    waiting.append(b.slice(s, e - s))
+                else:
+                    meeting.hold(waiting)
+                    waiting = []
+                    meeting.compare(b.slice(s, e - s))
+            yield meeting.edges()
+        meeting.hold(waiting)
+        yield meeting.edges()
 
     return met.mapInArrow(run, "a long, b long")
 
 
-class _Rows:
-    """Sketches and lines of rows, found by their representative."""
+class Rows:
+    """Rows in a meeting, those with like population counts together."""
 
-    def __init__(self):
-        self.rep, self.marks, self.line = np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint8), {}
+    def __init__(self, batches: list[pa.RecordBatch]):
+        b = pa.concat_batches(batches)
+        fp = b.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
+        counts = np.bitwise_count(fp.view(np.uint8).reshape(-1, 8)).astype(np.int16)
+        order = np.lexsort(counts.T)
+        self.fp, self.label = fp[order], b.column(3).to_numpy(zero_copy_only=False)[order]
+        self.sketch = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
+        self.grams, self.order, self.sets = b.column(6), order, {}
+        cuts = range(0, len(fp), BLOCK)
+        self.blocks = [(i, counts[order[i : i + BLOCK]].min(axis=0), counts[order[i : i + BLOCK]].max(axis=0)) for i in cuts]
 
-    def add(self, rep: np.ndarray, marks: np.ndarray, lines: list[bytes]) -> None:
-        every = np.concatenate((self.rep, rep))
-        order = np.argsort(every, kind="stable")
-        self.rep, self.marks = every[order], np.concatenate((self.marks, marks))[order]
-        self.line.update(zip(rep.tolist(), lines))
-
-    def sketches(self, rep: np.ndarray) -> np.ndarray:
-        return self.marks[np.searchsorted(self.rep, rep)]
+    def set(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = np.cumsum(unpacked(self.grams[int(self.order[i])].as_py()))
+        return self.sets[i]
 
 
 class SimilarMeeting(Meeting):
-    """A meeting that links only rows whose shingle sets are similar."""
+    """A part of a tile, held, against itself and against streamed rows; links labels with similar rows."""
 
-    def __init__(self, radius: int, similarity: float):
+    def __init__(self, radius: int, similarity: float, need: float):
         super().__init__(radius)
-        self.similarity, self.need = similarity, SKETCH * ((similarity - SLACK) * 255 / 256 + 1 / 256)
-        self.held, self.streamed, self.sets, self.remembered = _Rows(), _Rows(), {}, 0
+        self.similarity, self.need, self.held, self.out = similarity, need, None, []
 
-    def note(self, rep, marks, lines, held: bool) -> None:
-        if not held:
-            for r in self.streamed.line:
-                self.sets.pop(r, None)
-            self.streamed = _Rows()
-        (self.held if held else self.streamed).add(rep, marks, lines)
+    def hold(self, batches: list[pa.RecordBatch]) -> None:
+        if batches:
+            self.held = Rows(batches)
+            self.meet(self.held, self.held)
 
-    def compare(self, fp, rep, out):
-        self.comparing = True
-        super().compare(fp, rep, out)
+    def compare(self, streamed: pa.RecordBatch) -> None:
+        if self.held is not None:
+            self.meet(self.held, Rows([streamed]))
 
-    comparing = False
+    def edges(self) -> pa.RecordBatch:
+        a, b = np.array(self.out, np.int64).reshape(-1, 2).T
+        self.out = []
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def _against(self, left, right, out, same):
-        other = self.streamed if self.comparing else self.held
-        for i, (f, r, lo, hi) in enumerate(left):
-            for g, s, lo2, hi2 in right[i:] if same else right:
+    def meet(self, left: Rows, right: Rows) -> None:
+        for k, (i, lo, hi) in enumerate(left.blocks):
+            for j, lo2, hi2 in right.blocks[k:] if left is right else right.blocks:
                 if np.maximum(0, np.maximum(lo - hi2, lo2 - hi)).sum() > self.radius:
+                    continue  # the population counts alone rule out this pair of blocks
+                x, y = np.nonzero(np.bitwise_count(left.fp[i : i + BLOCK, None] ^ right.fp[None, j : j + BLOCK]) <= self.radius)
+                if not len(x):
                     continue
-                x, y = np.nonzero(np.bitwise_count(f[:, None] ^ g[None, :]) <= self.radius)
-                if len(x):
-                    apart = self._roots(r)[x] != self._roots(s)[y]
-                    x, y = x[apart], y[apart]
+                # pairs inside one group tell nothing new: a dense group costs one pass and not one step per pair
+                apart = self._roots(left.label[i : i + BLOCK])[x] != self._roots(right.label[j : j + BLOCK])[y]
+                x, y = x[apart] + i, y[apart] + j
                 for at in range(0, len(x), 1 << 14):
-                    a, b = r[x[at : at + (1 << 14)]], s[y[at : at + (1 << 14)]]
-                    like = (self.held.sketches(a) == other.sketches(b)).sum(axis=1) >= self.need
-                    for p, q in zip(a[like].tolist(), b[like].tolist()):
-                        self._join(p, q, out)
-
-    def _set(self, rep: int, rows: _Rows) -> set[bytes]:
-        if rep not in self.sets:
-            if self.remembered > SETS:
-                self.sets, self.remembered = {}, 0
-            self.sets[rep] = shingles(zlib.decompress(rows.line[rep]))
-            self.remembered += len(self.sets[rep])
-        return self.sets[rep]
+                    p, q = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+                    like = (left.sketch[p] == right.sketch[q]).sum(axis=1) >= self.need
+                    for a, b in zip(p[like].tolist(), q[like].tolist()):
+                        self.decide(left, a, right, b)
 
-    def _join(self, a, b, out):
-        if self.root(a) != self.root(b):
-            x, y = self._set(a, self.held), self._set(b, self.streamed if self.comparing else self.held)
-            both = len(x & y)
+    def decide(self, left: Rows, a: int, right: Rows, b: int) -> None:
+        p, q = self.root(int(left.label[a])), self.root(int(right.label[b]))
+        if p != q:
+            x, y = left.set(a), right.set(b)
+            both = len(np.intersect1d(x, y, assume_unique=True))
             # decimals such as 0.8 are not exact: 4 of 5 are similar
             if both >= self.similarity * (len(x) + len(y) - both) - 1e-9:
-                super()._join(a, b, out)
+                self.parent[q] = p
+                self.out.append((p, q))
+
 
+def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, part_rows: int | None = None) -> DataFrame:
+    """(doc_id, component_id): groups of near copies, whose shingles of WIDE words are similar; as near_groups() otherwise.
 
-def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): groups of near copies, whose shingles of WIDE words are similar; as near_groups() otherwise."""
+    Shingles are told apart by 32-bit hashes, texts by 128 bits. Texts without words are one group."""
     marked = written(sketched(docs, text).withColumn("row", F.monotonically_increasing_id()), "sketched")
-    # rows of one key are equal; where doc_ids repeat, each text has a representative of its own
+    # rows of one key are equal; where doc_ids repeat, each text has a row that stands for it
     first = F.min(F.struct("row", "fp", "size", "sketch")).alias("first")
-    distinct = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("doc"), first, F.count("*").alias("n")).select("key", "doc", "n", "first.*").withColumn("rep", F.col("row")))
-    label = components(similar_links(distinct.filter("doc is not null"), marked, similarity=similarity)).withColumnsRenamed({"node": "rep"})
-    grouped = distinct.join(label, "rep", "left").select("key", "n", "doc", F.coalesce("label", "rep").alias("group"))
-    grouped = checkpointed(grouped)
+    distinct = checkpointed(marked.groupBy("key").agg(F.min("doc_id").alias("doc"), first, F.count("*").alias("n")).select("key", "doc", "n", "first.*"))
+    grams, live = marked.select("row", "grams"), distinct.filter("doc is not null")
+    found = checkpointed(similar_links(live.withColumn("label", F.col("row")), grams, True, similarity=similarity, part_rows=part_rows))
+    label = components(found).withColumnsRenamed({"node": "row"})
+    labelled = checkpointed(live.join(label, "row", "left").withColumn("label", F.coalesce("label", "row")))
+    more = checkpointed(similar_links(labelled, grams, False, similarity=similarity, part_rows=part_rows))
+    label = components(found.unionByName(more)).withColumnsRenamed({"node": "row"})
+    grouped = checkpointed(distinct.join(label, "row", "left").select("key", "n", "doc", F.coalesce("label", "row").alias("group")))
     smallest = grouped.groupBy("group").agg(F.min("doc").alias("component_id"), F.count("*").alias("keys"))
     named = checkpointed(lookup_join(grouped, smallest, ["group"], "keys").select("key", "n", "component_id"))
     return lookup_join(marked.select("doc_id", "key"), named, ["key"], "n").select("doc_id", "component_id")
 
 
-def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, part_rows: int | None = None) -> DataFrame:
     """``docs`` without the near copies: of each group the row with the smallest
     doc_id stays (all of them, where that row is repeated); all columns are kept.
     Rows with a null doc_id have no identity to group by and stay."""
-    groups = similar_groups(docs, text, similarity)
+    groups = similar_groups(docs, text, similarity, part_rows)
     gone = groups.filter("component_id is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -92,10 +92,10 @@ def test_sketches_estimate_similarity():
         other = list(base)
         for i in rng.integers(0, 400, edits):
             other[i] = "new"
-        (n, a), (_, b) = simhash.sketch(" ".join(base)), simhash.sketch(" ".join(other))
+        (_, a), (_, b) = simhash.sketch(" ".join(base)), simhash.sketch(" ".join(other))
         same = np.mean(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8))
         assert abs((same - 1 / 256) / (255 / 256) - jaccard(" ".join(base), " ".join(other))) < 0.14
-    assert simhash.sketch(None) == simhash.sketch(" ") == (0, bytes(128))
+    assert all(len(n) == 0 and x == bytes(128) for n, x in map(simhash.sketch, (None, " ")))
 
 
 def test_near_copies_are_found_and_others_kept(spark):
@@ -149,3 +149,30 @@ def test_similar_pairs_are_found_and_only_those(spark):
     assert 150 < sum(similar) < len(pairs) - 100
     assert sum(2 * i + 1 in got for i, x in enumerate(similar) if x) <= 0.01 * sum(similar)
     assert all(2 * i + 1 in got for i, x in enumerate(similar) if not x)
+
+
+def test_parts_of_large_tiles_meet(spark):
+    """A dense group, a chain whose ends are unlike and texts apart, each in many parts of a tile: as one part would find them."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    docs = []
+    for i in range(150):  # each beside the base
+        other = list(base)
+        other[int(rng.integers(300))] = f"x{i}"
+        docs.append(" ".join(other))
+    for i in range(120):  # each beside the one before
+        base[2 * i] = f"y{i}"
+        docs.append(" ".join(base))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    one = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame).collect()}
+    many = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame, part_rows=7).collect()}
+    assert one == many and set(one.values()) == {0}
+
+
+def test_groups_of_odd_rows(spark):
+    rows = [(5, None), (6, ""), (2, " \t"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "A  b c d e F"), (None, "alone here now")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar_groups(frame).collect()), key=str)
+    assert got == sorted([(5, 2), (6, 2), (2, 2), (None, 7), (7, 7), (7, 7), (9, 7), (None, None)], key=str)
+    assert simhash.similar_groups(frame.limit(0)).count() == 0
+    assert sorted(str(r["doc_id"]) for r in simhash.dedup(frame).collect()) == ["2", "7", "7", "None", "None"]
