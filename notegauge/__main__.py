@@ -1,10 +1,15 @@
-"""Command line: python -m notegauge audit|validate|merge|report|views|split|verify-plan."""
+"""Command line: python -m notegauge audit|validate|merge|report|views|prepare|collect|verify-cards|split|verify-plan.
+
+Every command that reads JSON Lines checks each line against its contract first; the
+first line that breaks it is named path:line on the error stream, and the exit code is 1.
+"""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from collections.abc import Iterable
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -12,9 +17,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from notegauge import config
-from notegauge.operators import audit, judgments, remediation, report, validate, views
+from notegauge.operators import anki, audit, batching, contracts, judgments, prompt, remediation, report, runner, validate, views
 from notegauge.schemas import JUDGMENT
-from notegauge.sources import jsonl, vault
+from notegauge.sources import card_service, jsonl, vault
+from notegauge.vocab import PROMPT_VERSION
 
 
 def now() -> str:
@@ -32,53 +38,120 @@ def load(path: str) -> dict:
     return value
 
 
+def rows_of(spark, path: str, default_scan: bool = True):
+    """Audit rows of a file that holds to their contract."""
+    return jsonl.strict(spark, path, lambda v: contracts.audit_row(v, default_scan))
+
+
+def judgments_of(spark, path: str):
+    return jsonl.strict(spark, path, contracts.judgment, JUDGMENT)
+
+
+def lines_to(path: str, lines: Iterable[str]) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(f"{x}\n" for x in lines)
+
+
 def run_audit(spark, a) -> str:
     settings, started = config.resolve(a.vault), now()
     notes = vault.notes(spark, a.vault, settings["atomic_notes_folder"])
     targets = audit.parent_targets(vault.notes(spark, a.vault, settings["structure_notes_folder"]))
     rows = audit.audit(notes, targets, a.run_id, {k: str(v) for k, v in settings.items()}, a.fixed)
-    jsonl.write(rows, a.rows, single=True)
-    rows = jsonl.typed(spark, a.rows)
+    jsonl.write(rows, a.rows)
+    rows = rows_of(spark, a.rows)
     save(a.manifest, audit.manifest(rows, a.run_id, settings, audit.FIXED_TIME if a.fixed else started, audit.FIXED_TIME if a.fixed else now(), {"audit_rows": a.rows, "manifest": a.manifest}))
     return f"rows={rows.count()}"
 
 
 def run_validate(spark, a) -> str:
-    lines = jsonl.numbered(spark, a.rows)
-    shape = lines.select("line", F.explode(validate.json_violations(F.col("value"), validate.ROW_REQUIRED, validate.ROW_OPTIONAL)).alias("error"))
-    first = shape.orderBy("line").first() or jsonl.typed(spark, a.rows).select(F.lit(None).cast("long").alias("line"), F.explode(validate.row_violations(None)).alias("error")).first()
-    if first:
-        raise ValueError(f"{a.rows}:{first['line']}: {first['error']}")
-    return f"valid_rows={lines.count()}"
+    return f"valid_rows={rows_of(spark, a.rows, not a.non_default_scan).count()}"
 
 
 def run_merge(spark, a) -> str:
-    rows, found = jsonl.typed(spark, a.rows), jsonl.typed(spark, a.judgments, JUDGMENT)
-    bad = found.select("note_path", F.explode(validate.judgment_violations()).alias("error")).orderBy("note_path").first()
-    if bad:
-        raise ValueError(f"{bad['note_path']}: {bad['error']}")
+    rows, found = rows_of(spark, a.rows), judgments_of(spark, a.judgments)
     judgments.check(rows, found, a.allow_missing)
-    merged = judgments.merge(rows, found)
-    jsonl.write(merged, a.out, single=True)
-    counted = audit.manifest(jsonl.typed(spark, a.out), "", {}, "", "", {})
+    jsonl.write(judgments.merge(rows, found), a.out)
+    counted = audit.manifest(rows_of(spark, a.out), "", {}, "", "", {})
     save(a.out_manifest, load(a.manifest) | {k: counted[k] for k in ("row_status_counts", "priority_counts")} | {"validation_status": "passed", "errors": [], "outputs": {"audit_rows": a.out, "model_judgments": a.judgments, "manifest": a.out_manifest}})
     return f"rows={counted['total_notes']}"
 
 
 def run_report(spark, a) -> str:
-    rows, manifest = jsonl.typed(spark, a.rows).cache(), load(a.manifest)
+    rows, manifest = rows_of(spark, a.rows).cache(), load(a.manifest)
     wrong = validate.manifest_violations(manifest) or validate.pair_consistency(rows, manifest)
     if wrong:
         raise ValueError("; ".join(wrong))
-    Path(a.out).write_text(report.report(rows, manifest), encoding="utf-8")
+    lines_to(a.out, report.report_lines(rows, manifest))
     return a.out
 
 
 def run_views(spark, a) -> str:
-    Path(a.out).write_text(views.view_file(jsonl.typed(spark, a.rows), a.rows), encoding="utf-8")
+    lines_to(a.out, views.view_lines(rows_of(spark, a.rows), a.rows))
+    return a.out
+
+
+def run_prepare(spark, a) -> str:
+    """The prompt for one note, or with --collector-input the one audit row of a note."""
+    vault.resolved(a.vault, a.note_path)
+    if a.collector_input:
+        jsonl.write(prompt.single(rows_of(spark, a.collector_input), a.note_path), a.out)
+    else:
+        folder = a.note_path.rpartition("/")[0]
+        Path(a.out).write_text(prompt.request(spark, vault.notes(spark, a.vault, folder), a.note_path), encoding="utf-8")
     return a.out
 
 
+def run_collect(spark, a) -> str:
+    """Judgments of what has none yet, batch by batch: a batch is appended once all its answers hold to the contract."""
+    rows = jsonl.typed_lines(jsonl.strict_lines(spark, a.rows, contracts.audit_row))
+    limit = int(a.limit) if a.limit else None
+    chosen = rows.orderBy("file", "line").limit(limit) if limit else rows
+    judgments.require(prompt.stale(chosen), "audit row of another prompt version")
+    done = judgments_of(spark, a.judgments) if Path(a.judgments).exists() else spark.createDataFrame([], JUDGMENT)
+    judgments.require(judgments.duplicates(done), "duplicate model judgment note_path")
+    judgments.require(done.filter(~F.col("prompt_version").eqNullSafe(F.lit(PROMPT_VERSION))), "existing judgment of another prompt version")
+    notes = vault.notes(spark, a.vault).withColumn("size", F.octet_length("content"))
+    batches = batching.pending_batches(chosen.join(notes.select("note_path", "size"), "note_path", "left"), done, max_notes=int(a.max_notes), max_chars=int(a.max_chars)).cache()
+    run = runner.CommandRunner(a.command, a.vault, int(a.timeout))
+    head = prompt.judgment_prompt(spark)
+    Path(a.work).mkdir(parents=True, exist_ok=True)
+
+    def answered(part: list[dict]) -> list[dict]:
+        text = "\n\n".join([head, *[f"## {r['note_path']}\n\n{vault.resolved(a.vault, r['note_path']).read_text(encoding='utf-8')}" for r in part]])
+        got = runner.asker(run, lambda _: text, a.work)(part)
+        bad = jsonl.violations(spark.createDataFrame([("answer", i + 1, json.dumps(g)) for i, g in enumerate(got)], "file string, line long, value string"), contracts.judgment).orderBy("line").first() if got else None
+        if bad:
+            raise batching.RetryableError(f"answer {bad['line']}: {bad['error']}")
+        return got
+
+    count = 0
+    for batch in range((batches.agg(F.max("batch_id")).first()[0] or 0) + 1 if not batches.isEmpty() else 0):
+        part = [r.asDict() for r in batches.filter(F.col("batch_id") == batch).orderBy("note_path").collect()]  # at most max_notes rows
+        for _, got in batching.collect(part, answered, batch + 1):
+            jsonl.append(spark.createDataFrame([(json.dumps(g, sort_keys=True),) for g in got], "value string"), a.judgments)
+            count += len(got)
+    judgments.require(judgments.missing(chosen, judgments_of(spark, a.judgments)) if Path(a.judgments).exists() else chosen, "missing model judgment")
+    return f"judged={count}"
+
+
+def run_cards(spark, a) -> str:
+    """The entries of a card specification against the notes of a vault and the card service."""
+    spec = json.loads(Path(a.spec).read_text(encoding="utf-8"))
+    if not isinstance(spec, list) or not all(isinstance(e, dict) for e in spec):
+        raise ValueError(f"{a.spec} must contain a JSON array of objects")
+    texts = lambda t: [t] if isinstance(t, str) else t
+    rows = [(i, e.get("note_path"), e.get("anki"), e.get("expected_model"), e.get("expected_deck"), e.get("expected_card_count"), texts(e.get("representative_text"))) for i, e in enumerate(spec)]
+    entries = spark.createDataFrame(rows, "entry int, note_path string, anki boolean, expected_model string, expected_deck string, expected_card_count int, representative_text array<string>")
+    notes = vault.notes(spark, a.vault)
+    ids = (r["note_id"] for r in anki.source_checks(entries, notes).filter("anki and note_id is not null and size(violations) = 0").select("note_id").distinct().collect())
+    told = anki.verify(entries, notes, *card_service.tables(spark, ids)).orderBy("entry").collect()  # a specification written by hand
+    wrong = [f"{r['note_path']}: {v}" for r in told for v in r["violations"]]
+    if wrong:
+        raise ValueError("\n".join(wrong))
+    cards = sum(r[2] is not False for r in rows)
+    return f"anki_verification=ok anki_notes={cards} non_anki_notes={len(rows) - cards}"
+
+
 def run_split(spark, a) -> str:
     return "\n".join(remediation.split_proposals(vault.notes(spark, a.vault, a.folder)).toJSON().collect())
 
@@ -97,11 +170,14 @@ def run_plan(spark, a) -> str:
 
 
 COMMANDS = {
-    "audit": (run_audit, ["vault", "rows", "manifest", "--run-id", "--fixed"]),
-    "validate": (run_validate, ["rows"]),
+    "audit": (run_audit, ["vault", "rows", "manifest", "--run-id=run", "--fixed"]),
+    "validate": (run_validate, ["rows", "--non-default-scan"]),
     "merge": (run_merge, ["rows", "manifest", "judgments", "out", "out_manifest", "--allow-missing"]),
     "report": (run_report, ["rows", "manifest", "out"]),
     "views": (run_views, ["rows", "out"]),
+    "prepare": (run_prepare, ["vault", "note_path", "out", "--collector-input="]),
+    "collect": (run_collect, ["vault", "rows", "judgments", "work", "--command=", "--limit=", f"--max-notes={batching.MAX_NOTES}", f"--max-chars={batching.MAX_CHARS}", "--timeout=900"]),
+    "verify-cards": (run_cards, ["spec", "vault"]),
     "split": (run_split, ["vault", "folder"]),
     "verify-plan": (run_plan, ["plan", "out", "--allow-destructive"]),
 }
@@ -113,13 +189,14 @@ def main(argv: list[str] | None = None) -> int:
     for name, (f, args) in COMMANDS.items():
         p = sub.add_parser(name)
         for x in args:
-            p.add_argument(x, **({"default": "run"} if x == "--run-id" else {"action": "store_true"} if x.startswith("--") else {}))
+            name, given, default = x.partition("=")
+            p.add_argument(name, **({"default": default} if given else {"action": "store_true"} if x.startswith("--") else {}))
         p.set_defaults(run=f)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("notegauge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         print(a.run(spark, a))
-    except ValueError as e:
+    except (ValueError, OSError, RuntimeError, runner.RunnerError, batching.RetryableError) as e:
         print(e, file=sys.stderr)
         return 1
     return 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,6 +83,12 @@ def link_target(target: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(name, r"/+\z", ""), "/"), -1)
 
 
+# What is left out of claims, and where they part.
+CODE_BLOCK, MATH_BLOCK, MATH, COMMENT, URL = r"(?ms)^[ \t]{0,3}(`{3,}|~{3,}).*?^[ \t]{0,3}\1[ \t]*$", r"(?ms)^\$\$.*?^\$\$", r"\$[^$\r\n]+\$", r"(?s)<!--.*?-->", r"https?://\S+"
+HEADING_LINE, MARKER_LINE = r"(?dm)^[ \t]{0,3}#{1,6}[ \t]+.*$", r"(?dm)^\s*(?:TARGET DECK:.*|START|END|Basic|Cloze)\s*$"
+BETWEEN_SENTENCES, SENTENCE_EDGE = r"(?dm)(?<=[.!?])\s+|(?:\r?\n){2,}|^\s*[-*+]\s+", r"^[ \t\r\n*-]+|[ \t\r\n*-]+\z"
+
+
 def without_trailing_references(text: Column) -> Column:
     """Cut the closing block of reference and source labels and what may stand in it, if it has a label."""
     rows = F.split(text, "\n")
@@ -94,22 +101,10 @@ def without_trailing_references(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences whose claims are judged: references, code, math, comments, URLs, headings and card marks left out."""
-    text = without_trailing_references(text)
-    for pattern in (r"(?ms)^[ \t]{0,3}(`{3,}|~{3,}).*?^[ \t]{0,3}\1[ \t]*$", r"(?ms)^\$\$.*?^\$\$", r"\$[^$\r\n]+\$", r"(?s)<!--.*?-->", r"https?://\S+"):
-        text = F.regexp_replace(text, pattern, " ")
-    text = uncloze(rendered_links(text, names=False))
-    text = F.regexp_replace(text, r"(?dm)^[ \t]{0,3}#{1,6}[ \t]+.*$", " ")
-    text = F.regexp_replace(text, r"(?dm)^\s*(?:TARGET DECK:.*|START|END|Basic|Cloze)\s*$", " ")
-    parts = F.split(text, r"(?dm)(?<=[.!?])\s+|(?:\r?\n){2,}|^\s*[-*+]\s+")
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^[ \t\r\n*-]+|[ \t\r\n*-]+\z", "")), lambda s: s != "")
-
-
-def visible_html(html: Column) -> Column:
-    """HTML as text: tags gone, the common entities resolved, hard spaces as spaces."""
-    text = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.replace(text, F.lit(" "), F.lit(" "))
+    kept = reduce(lambda t, pattern: F.regexp_replace(t, pattern, " "), (CODE_BLOCK, MATH_BLOCK, MATH, COMMENT, URL), without_trailing_references(text))
+    shown = uncloze(rendered_links(kept, names=False))
+    prose = reduce(lambda t, pattern: F.regexp_replace(t, pattern, " "), (HEADING_LINE, MARKER_LINE), shown)
+    return F.filter(F.transform(F.split(prose, BETWEEN_SENTENCES), lambda s: F.regexp_replace(s, SENTENCE_EDGE, "")), lambda s: s != "")
 
 
 def table_cell(text: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegauge.functions.text import lines, strip, visible_html
+from notegauge.functions.html import visible
+from notegauge.functions.text import lines, strip
 from notegauge.operators.validate import violations
 
 ID = r"<!--ID:\s*(\d+)-->"
@@ -59,8 +60,7 @@ def marker_violations(text: Column, model: Column, deck: Column) -> Column:
 def source_checks(spec: DataFrame, notes: DataFrame) -> DataFrame:
     """(entry, note_path, anki, note_id, expected..., violations): what the note files alone tell."""
     df = normalized(spec).join(notes.select("note_path", F.col("content").alias("text")), "note_path", "left")
-    ids = F.transform(F.regexp_extract_all("text", F.lit(ID), F.lit(1)), lambda x: x.cast("bigint"))
-    df = df.withColumn("ids", ids).withColumn("note_id", F.get("ids", F.lit(0)))
+    df = df.withColumn("ids", card_ids(F.col("text"))).withColumn("note_id", F.get("ids", F.lit(0)))
     on = F.col("anki") & F.col("text").isNotNull()
     one = F.size("ids") == 1
     own = F.when(on & one, marker_violations(F.col("text"), F.col("expected_model"), F.col("expected_deck"))).otherwise(
@@ -72,12 +72,20 @@ def source_checks(spec: DataFrame, notes: DataFrame) -> DataFrame:
         )
     )
     df = df.withColumn("violations", F.concat("violations", own))
-    order = Window.partitionBy("note_id").orderBy("entry")
-    sound = F.col("anki") & F.col("note_id").isNotNull() & (F.size("violations") == 0)
-    again = F.when(sound, F.row_number().over(Window.partitionBy("note_id", sound).orderBy("entry"))) > 1
-    first = F.first("note_path").over(order)
-    df = df.withColumn("violations", F.when(again, F.array(F.concat(F.lit("duplicate ID "), F.col("note_id").cast("string"), F.lit(" also appears in "), first))).otherwise(F.col("violations")))
-    return df.drop("text", "ids")
+    # the first entry of each ID, of all that state it, and the first of those without violations
+    stated = df.filter("note_id is not null")
+    sound = F.col("anki") & (F.size("violations") == 0)
+    owners = stated.groupBy("note_id").agg(F.min_by("note_path", "entry").alias("__first"), F.min(F.when(sound, F.col("entry"))).alias("__owner"))
+    df = df.join(owners, "note_id", "left").withColumn("__again", F.coalesce(sound & (F.col("entry") > F.col("__owner")), F.lit(False)))
+    again = F.array(F.concat(F.lit("duplicate ID "), F.col("note_id").cast("string"), F.lit(" also appears in "), F.col("__first")))
+    df = df.withColumn("violations", F.when(F.col("__again"), again).otherwise(F.col("violations")))
+    columns = ("entry", "note_path", "anki", "expected_model", "expected_deck", "expected_card_count", "representative_text", "violations", "note_id")
+    return df.select(*columns)
+
+
+def card_ids(text: Column) -> Column:
+    """The IDs that a note states, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(ID), F.lit(1)), lambda x: x.cast("bigint"))
 
 
 def service_checks(checked: DataFrame, anki_notes: DataFrame, anki_cards: DataFrame) -> DataFrame:
@@ -88,7 +96,7 @@ def service_checks(checked: DataFrame, anki_notes: DataFrame, anki_cards: DataFr
     decks = owned.groupBy("entry").agg(F.array_sort(F.collect_set("deckName")).alias("decks"), F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("cardId")))).alias("lost"))
     df = df.join(decks, "entry", "left")
     shown = F.array_join(F.transform(F.map_values("fields"), lambda f: F.coalesce(f["value"], F.lit(""))), "\n")
-    field = lambda k: F.trim(visible_html(F.coalesce(F.col("fields")[k]["value"], F.lit(""))))
+    field = lambda k: F.trim(visible(F.coalesce(F.col("fields")[k]["value"], F.lit(""))))
     missing = F.filter("representative_text", lambda t: ~F.contains(shown, t))
     here = F.col("modelName").isNotNull() | F.col("cards").isNotNull()
     basic = F.col("expected_model") == "Basic"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,36 +16,109 @@ from notegauge.runtime import ship
 from notegauge.schemas import JUDGMENT
 
 MAX_NOTES, MAX_CHARS = 20, 50_000
+#: Paths to a span that its bounds are drawn from.
+SAMPLED = 100
 
 
-def greedy_batches(notes: DataFrame, max_notes: int = MAX_NOTES, max_chars: int = MAX_CHARS, group: str | None = None) -> DataFrame:
+def greedy_batches(notes: DataFrame, max_notes: int = MAX_NOTES, max_chars: int = MAX_CHARS, group: str | None = None, spans: int | None = None) -> DataFrame:
     """(note_path, batch_id) over notes (note_path, size) in path order: a batch closes when the next note would not fit.
+    A null size is 0; each ``group`` (a folder, say) is packed by itself.
 
-    Greedy packing depends on every earlier choice, so each ``group`` (a folder, say)
-    is packed by one task; without groups the whole list is, as a stream of paths and
-    sizes that holds one batch's totals at a time.
+    Greedy packing depends on every earlier choice, but on little of it: a batch that
+    is open where a span of notes begins was opened by one of the ``max_notes`` notes
+    before. So each span says, for each of these, what it makes of the batch it finds
+    open; what the spans say is put together in order (a few numbers per span); and
+    then all spans are packed, each from its true start.
     """
     ship(notes.sparkSession)
     keys = [group] if group else []
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, count, chars = None, -1, 0, 0
+    df = notes.select(*keys, "note_path", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
+    names = F.struct(*keys, "note_path")
+    n = spans or notes.sparkSession.sparkContext.defaultParallelism
+    # names that part the notes into spans of about one size, from a sample of at most a few hundred to a span
+    total = df.count()
+    every = max(1, total // (n * SAMPLED))
+    picked = sorted((tuple(r) for r in df.filter(F.pmod(F.xxhash64(*keys, "note_path"), F.lit(every)) == 0).select(*keys, "note_path").limit(n * SAMPLED * 4).collect()), key=lambda c: [(x is not None, x or "") for x in c]) if n > 1 else []
+    cuts = sorted({picked[len(picked) * k // n] for k in range(1, n)} if picked else set(), key=lambda c: [(x is not None, x or "") for x in c])
+    bounds = F.array(*[F.struct(*[F.lit(x).cast("string").alias(c) for x, c in zip(cut, [*keys, "note_path"])]) for cut in cuts])
+    placed = df.withColumn("span", F.size(F.filter(bounds, lambda b: b <= names)) if cuts else F.lit(0))
+    schema = ", ".join([f"{g} string" for g in keys] + ["note_path string", "size long", "span int", "batch_id long"])
+
+    def ordered() -> DataFrame:
+        return placed.repartitionById(len(cuts) + 1, F.col("span")).sortWithinPartitions("span", *keys, "note_path")
+
+    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, object, int]]:
+        for f in frames:
+            yield from zip(f["span"].tolist(), f[group].tolist() if group else [0] * len(f), f["size"].tolist())
+
+    def fits(state: tuple, key: object, size: int) -> bool:
+        return state[1] > 0 and state[0] == key and state[1] < max_notes and state[2] + size <= max_chars
+
+    def tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The last notes of each span, the latest first."""
+        last: dict[int, deque] = {}
+        for span, key, size in steps(frames):
+            last.setdefault(span, deque(maxlen=max_notes)).appendleft((key, size))
+        yield pd.DataFrame([(s, json.dumps(list(d))) for s, d in last.items()], columns=["span", "tail"])
+
+    ends = {r["span"]: [tuple(x) for x in json.loads(r["tail"])] for r in ordered().mapInPandas(tails, "span int, tail string").collect()}
+    present = sorted(ends)
+
+    def entries(span: int) -> list[tuple]:
+        """The open batches, as (group, notes, chars), that may be there where the span begins; the first: none."""
+        before: list[tuple] = []
+        for s in reversed([x for x in present if x < span]):
+            before += ends[s]
+            if len(before) >= max_notes:
+                break
+        found, chars = [(None, 0, 0)], 0
+        for k, (key, size) in enumerate(before[:max_notes]):
+            if key != before[0][0]:
+                break
+            chars += size
+            found.append((key, k + 1, chars))
+        return found
+
+    starts = {s: entries(s) for s in present}
+
+    def effects(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For every entry of a span the batch it leaves open, the batches of that group it opens, and whether there is no other group."""
+        now: dict[int, list] = {}
+        for span, key, size in steps(frames):
+            for run in now.setdefault(span, [[state, 0, True] for state in starts[span]]):
+                if fits(run[0], key, size):
+                    run[0] = (key, run[0][1] + 1, run[0][2] + size)
+                else:
+                    same = run[0][1] > 0 and run[0][0] == key
+                    run[:] = (key, 1, size), run[1] + 1 if same else 1, run[2] and same
+        rows = [(s, k, json.dumps(list(state)), opened, alone) for s, runs in now.items() for k, (state, opened, alone) in enumerate(runs)]
+        yield pd.DataFrame(rows, columns=["span", "entry", "left", "opened", "alone"])
+
+    told = {(r["span"], r["entry"]): r for r in ordered().mapInPandas(effects, "span int, entry int, left string, opened long, alone boolean").collect()}
+    state, count, enter = (None, 0, 0), 0, {}
+    for s in present:
+        k = starts[s].index(state)
+        enter[s] = state, count
+        count = told[s, k]["opened"] + (count if told[s, k]["alone"] else 0)
+        state = tuple(json.loads(told[s, k]["left"]))
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, batch = None, (None, 0, 0), -1
         for f in frames:
             out = []
-            for row in f.itertuples(index=False):
-                key = row[0] if group else 0
-                size = row.size
-                if key != now:
-                    now, batch, count, chars = key, -1, max_notes, 0
-                if count >= max_notes or (count and chars + size > max_chars):
-                    batch, count, chars = batch + 1, 0, 0
-                count, chars = count + 1, chars + size
+            for span, key, size in steps([f]):
+                if span != now:
+                    now, (state, opened) = span, enter[span]
+                    batch = opened - 1
+                if fits(state, key, size):
+                    state = (key, state[1] + 1, state[2] + size)
+                else:
+                    batch = batch + 1 if state[1] and key == state[0] else 0
+                    state = (key, 1, size)
                 out.append(batch)
             yield f.assign(batch_id=out)
 
-    df = notes.select(*keys, "note_path", F.col("size").cast("long").alias("size"))
-    df = df.repartition(*keys).sortWithinPartitions(*keys, "note_path") if group else df.coalesce(1).sortWithinPartitions("note_path")
-    return df.mapInPandas(run, ", ".join([f"{g} string" for g in keys] + ["note_path string", "size long", "batch_id long"]))
+    return ordered().mapInPandas(packed, schema).drop("span")
 
 
 def prompts(notes: DataFrame, header: str = "Judge each of the following notes. Answer with one JSON object per note, in order.") -> DataFrame:
@@ -55,9 +129,11 @@ def prompts(notes: DataFrame, header: str = "Judge each of the following notes.
 
 
 def parse_response(text: str) -> list[dict]:
-    """JSON array, single object, or a JSON object per line, with or without a code fence around."""
+    """JSON array, single object, or a JSON object per line, with or without a code fence around; no answer is an error."""
     m = re.fullmatch(r"\s*```[a-zA-Z]*\s*\n(.*?)\n?```\s*", text, re.DOTALL)
     text = (m[1] if m else text).strip()
+    if not text:
+        raise ValueError("the response is empty")
     try:
         value = json.loads(text)
     except json.JSONDecodeError:
@@ -110,9 +186,10 @@ def collect(rows: list[dict], ask: Callable[[list[dict]], list[dict]], index: in
     yield index, got
 
 
-def pending_batches(rows: DataFrame, done: DataFrame, limit: int | None = None, **sizes) -> DataFrame:
-    """Batches of what a resumed run still has to judge, the first ``limit`` notes by path before anything is skipped."""
-    chosen = rows.orderBy("note_path").limit(limit) if limit is not None else rows
+def pending_batches(rows: DataFrame, done: DataFrame, limit: int | None = None, order: str = "note_path", **sizes) -> DataFrame:
+    """Batches of what a resumed run still has to judge, of the first ``limit`` rows by ``order`` (the line of the
+    file they come from, where there is one) before anything is skipped."""
+    chosen = rows.orderBy(order).limit(limit) if limit is not None else rows
     return greedy_batches(unfinished(chosen, done), **sizes)
 
 

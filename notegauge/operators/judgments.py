@@ -36,9 +36,9 @@ def unfinished(rows: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def require(violations: DataFrame, what: str, key: str = "note_path") -> None:
-    """Raise, naming the smallest key, if there is any violation."""
-    first = violations.agg(F.min(key)).first()[0]
-    if first is not None:
+    """Raise, naming the smallest key, if there is any violation; a null key is one as well."""
+    first, count = violations.agg(F.min(key), F.count("*")).first()
+    if count:
         raise ValueError(f"{what}: {first}")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,25 +34,34 @@ def table_rows(rows: DataFrame) -> DataFrame:
     return audit.ordered(rows).select(scoring.bucket_key(F.col("priority")).alias("bucket"), is_risky().alias("risky"), scoring.has(F.col("findings"), "duplicate_overlap").alias("duplicate"), line.alias("line"))
 
 
-def report(rows: DataFrame, manifest: dict) -> str:
+def report_lines(rows: DataFrame, manifest: dict) -> Iterator[str]:
+    """The report line by line: figures from one aggregate, tables from ordered passes of which the driver holds a partition at a time."""
     k = audit.kpis(rows).first()
     total, per = manifest["total_notes"], manifest["priority_counts"]
     share = f"{100 * k['no_change'] / total:.1f}%" if total else "0.0%"
     mean = "n/a" if k["mean_score"] is None else f"{k['mean_score']:.1f} / 100"
     judged = f"- Model judgment coverage: {k['reviewed']} / {total} reviewed; {k['pending']} pending" if k["reviewed"] or k["pending"] else "- Model judgment: not run; deterministic audit complete"
-    out = [
+    yield from [
         "# Atomic Note Audit", "", "## Summary", "", f"- Run ID: {manifest['run_id']}", f"- Total notes: {total}", f"- Average score: {mean}",
         f"- No-change notes: {k['no_change']} / {total} ({share})", "- Bucket counts: " + ", ".join(f"{'No changes' if b == 'no_change' else b} {per[b]}" for b in BUCKETS), judged,
     ]
-    body: dict[str, list[str]] = {s: [] for s in (*SECTIONS.values(), "Factual-Risk Notes", "Duplicate Or Overlap Candidates")}
-    for r in table_rows(rows).toLocalIterator():
-        body[SECTIONS[r["bucket"]]].append(r["line"])
-        if r["risky"]:
-            body["Factual-Risk Notes"].append(r["line"])
-        if r["duplicate"]:
-            body["Duplicate Or Overlap Candidates"].append(r["line"])
-    for title, lines in body.items():
-        out += ["", f"## {title}", "", *(["| Note | Score | Clean | Findings | Recommendations |", "|---|---:|:---:|---|---|", *lines] if lines else ["- None"])]
+    listed = table_rows(rows)
+    counted = audit.counts(rows).first()
+    buckets = listed.select("bucket", "line").toLocalIterator()  # in bucket order
+    yield from chain.from_iterable(section(SECTIONS[b], counted[b], buckets) for b in BUCKETS)
+    yield from section("Factual-Risk Notes", k["risky"], listed.filter("risky").toLocalIterator() if k["risky"] else iter(()))
+    yield from section("Duplicate Or Overlap Candidates", k["duplicates"], listed.filter("duplicate").toLocalIterator() if k["duplicates"] else iter(()))
     figures = {**per, "risky": k["risky"], "duplicates": k["duplicates"]}
-    out += ["", "## Remediation Next Steps", "", *[f"- {text}: {figures[key]} note{'' if figures[key] == 1 else 's'}." for key, text in STEPS]]
-    return "\n".join(out) + "\n"
+    yield from ["", "## Remediation Next Steps", "", *[f"- {text}: {figures[key]} note{'' if figures[key] == 1 else 's'}." for key, text in STEPS]]
+
+
+def section(title: str, n: int, rows: Iterator) -> Iterator[str]:
+    """A section with the next ``n`` rows."""
+    yield from ["", f"## {title}", ""]
+    yield from ["| Note | Score | Clean | Findings | Recommendations |", "|---|---:|:---:|---|---|"] if n else ["- None"]
+    yield from (r["line"] for r in islice(rows, n))
+
+
+def report(rows: DataFrame, manifest: dict) -> str:
+    """The whole report as one text, for few rows."""
+    return "\n".join(report_lines(rows, manifest)) + "\n"

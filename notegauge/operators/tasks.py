@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notegauge.functions import text as X
+from notegauge.functions.lexer import lexed
 from notegauge.operators.validate import blank, violations
 
 # The property vocabularies, the views with their columns, and display names.
@@ -63,14 +65,80 @@ def contract_violations() -> Column:
     )
 
 
+# The sections of a task note in order, those that a status asks for, and the form of a work-log entry.
+BODY_SECTIONS = ("Context", "Definition of done", "Inputs", "Constraints", "Source", "Deliverables", "Result", "Work log")
+STATUS_SECTIONS = {"blocked": "Unblock condition", "cancelled": "Cancellation reason"}
+LOG_ENTRY = r"^- \d{4}-\d{2}-\d{2} \d{2}:\d{2} \u2014 [^:]+: \S"
+
+
+def body_sections(content: Column) -> Column:
+    """Array of (name, text) of the level-2 headings of a note's structure, each down to the next of its level or above."""
+    body = X.body(X.normalized(content))
+
+    def cut(lexed_headings: Column) -> Column:
+        rows = F.split(body, "\n")
+        tops = F.filter(lexed_headings, lambda h: h["level"] <= 2)
+        stop = lambda i: F.coalesce(F.get(tops, i + 1)["line"], F.size(rows))
+        every = F.transform(tops, lambda h, i: F.struct(h["level"].alias("level"), h["text"].alias("name"), F.array_join(F.slice(rows, h["line"] + 2, stop(i) - h["line"] - 1), "\n").alias("text")))
+        return F.filter(every, lambda s: s["level"] == 2)
+
+    return X.let(lexed(content)["headings"], cut)
+
+
+def body_violations(sections: Column, status: Column) -> Column:
+    """What the body of a task (its body_sections()) breaks: sections and their order, what the status asks for, the checklist and the work log."""
+    names = F.transform(sections, lambda s: s["name"])
+    required = F.array(*map(F.lit, BODY_SECTIONS))
+    text = lambda name: F.coalesce(F.get(F.filter(sections, lambda s: s["name"] == name), F.lit(0))["text"], F.lit(""))
+    empty = lambda name: X.strip(text(name)) == ""
+    present = lambda name: F.array_contains(names, name)
+    lacking = F.array_except(required, names)
+    in_order = F.filter(names, lambda n: F.array_contains(required, n)) == required
+    entries = F.filter(F.split(text("Work log"), "\n"), lambda x: X.strip(x) != "")
+    beside_log = lambda name: F.array_position(names, name) + 1 == F.array_position(names, "Work log")
+    boxes = lambda mark: F.exists(F.split(text("Definition of done"), "\n"), lambda x: x.rlike(rf"^\s*[-*+] \[{mark}\]"))
+    return violations(
+        (F.size(lacking) > 0, F.concat(F.lit("missing sections: "), F.array_join(lacking, ", "))),
+        ((F.size(lacking) == 0) & ~in_order, "sections are out of order"),
+        *[(present(n) & empty(n), f"{n} is empty") for n in BODY_SECTIONS[:5]],
+        *[((status == s) & empty(n), f"{s} requires {n}") for s, n in STATUS_SECTIONS.items()],
+        *[((status == s) & present(n) & ~beside_log(n), f"{n} belongs right before Work log") for s, n in STATUS_SECTIONS.items()],
+        *[((status != s) & present(n), f"{n} is stale for this status") for s, n in STATUS_SECTIONS.items()],
+        (present("Definition of done") & ~boxes("[ xX]"), "Definition of done has no checklist"),
+        ((status == "done") & boxes(" "), "done with an unchecked item"),
+        ((status == "done") & empty("Result") & empty("Deliverables"), "done requires Result or Deliverables"),
+        (F.exists(entries, lambda x: ~x.rlike(LOG_ENTRY)), "work log entry is malformed"),
+    )
 
 
 def transitions(events: DataFrame) -> DataFrame:
-    """(task, ts, before, status, shape, legal): changes of status of events (task, ts, status, execution_shape, actor).
+    """(task, ts, before, status, shape, legal): changes of status of events (task, ts, status, execution_shape, actor, and waiting_on where it is known).
 
-    Agents may not close tasks that a person has to accept or finish.
+    A user may do anything. An agent may not cancel, nor close a task that a person has
+    to accept or finish; it hands a task that is agent-first back to whom it waits for.
     """
     order = Window.partitionBy("task").orderBy("ts")
     moved = events.withColumn("before", F.lag("status").over(order)).filter("before is not null and before <> status")
-    closing = (F.col("status") == "done") & (F.col("actor") == "agent") & F.col("execution_shape").isin("agent-first", "human")
-    return moved.select("task", "ts", "before", "status", "execution_shape", (F.col("status").isin(*STATUSES) & ~closing).alias("legal"))
+    by_agent = F.col("actor") == "agent"
+    closing = (F.col("status") == "done") & F.col("execution_shape").isin("agent-first", "human", "unknown")
+    handing = (F.col("status") == "waiting-for") & (F.col("execution_shape") == "agent-first") & (blank(F.col("waiting_on")) if "waiting_on" in events.columns else F.lit(False))
+    illegal = by_agent & (closing | handing | (F.col("status") == "cancelled"))
+    return moved.select("task", "ts", "before", "status", "execution_shape", (F.col("status").isin(*STATUSES) & ~illegal).alias("legal"))
+
+
+#: Properties by which the tasks that a new one may repeat are looked for.
+FACETS = ("goal", "title", "project", "people", "source")
+
+
+def closest(tasks_: DataFrame, facets: tuple[str, ...] = FACETS) -> DataFrame:
+    """(path, other, shared): for each task the first task by path with an equal facet, and the facets that lead there.
+
+    Facets are compared without case and outer white space; blank ones say nothing. A
+    value that many tasks share names one of them, not all pairs; which are the same
+    outcome is a person's decision.
+    """
+    value = lambda c: F.lower(X.strip(F.col(c).cast("string")))
+    told = tasks_.select("path", F.explode(F.filter(F.array(*[F.struct(F.lit(c).alias("facet"), value(c).alias("value")) for c in facets]), lambda f: f["value"] != "")).alias("f")).select("path", "f.*")
+    first = told.groupBy("facet", "value").agg(F.min("path").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = told.join(first, ["facet", "value"]).filter("path <> other")
+    return shared.groupBy("path", "other").agg(F.array_sort(F.collect_set("facet")).alias("shared"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,19 +41,24 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def view_file(rows: DataFrame, source: str) -> str:
-    """The view file over the rows of ``source``. Paths are read view by view as a stream, not collected at once."""
-    out = [
+def view_lines(rows: DataFrame, source: str) -> Iterator[str]:
+    """The lines of the view file over the rows of ``source``. One ordered pass: the driver holds a partition of it at a time."""
+    yield from [  # fixed values: the head of a view file
         "# Generated from validated audit JSONL. This Base is a derived triage view, not source of truth.", "formulas:",
         f"  source_jsonl: {quoted(json.dumps(source))}", "properties:", "  formula.source_jsonl:", '    displayName: "Source JSONL"', "  file.path:", '    displayName: "Note Path"', "views:",
     ]
-    order = {v: i for i, v in enumerate(tests())}
-    paths: dict[str, list[str]] = {v: [] for v in order}
-    for view, path in saved_views(rows).orderBy("view", "note_path").toLocalIterator():
-        paths[view].append(path)
-    for view in order:
-        filters = [f"file.path == {json.dumps(p)}" for p in paths[view]] or ['file.path == "__no_matching_audit_rows__"']
-        out += ["  - type: table", f"    name: {json.dumps(view)}", "    filters:", "      and:" if len(filters) == 1 else "      or:"]
-        out += [f"        - {quoted(f)}" for f in filters]
-        out += ["    order:", "      - file.name", "      - file.path", "      - formula.source_jsonl"]
-    return "\n".join(out) + "\n"
+    held = saved_views(rows)
+    counts = {r["view"]: r["count"] for r in held.groupBy("view").count().collect()}  # at most as many rows as views
+    rank = F.array_position(F.array(*map(F.lit, tests())), F.col("view"))
+    paths = held.orderBy(rank, "note_path").toLocalIterator()
+    for view in tests():
+        n = counts.get(view, 0)
+        yield from ["  - type: table", f"    name: {json.dumps(view)}", "    filters:", "      and:" if n < 2 else "      or:"]
+        names = (json.dumps(next(paths)["note_path"]) for _ in range(n)) if n else ['"__no_matching_audit_rows__"']
+        yield from (f"        - {quoted('file.path == ' + name)}" for name in names)
+        yield from ["    order:", "      - file.name", "      - file.path", "      - formula.source_jsonl"]
+
+
+def view_file(rows: DataFrame, source: str) -> str:
+    """The whole view file as one text, for few rows."""
+    return "\n".join(view_lines(rows, source)) + "\n"

@@ -6,10 +6,13 @@ both sides synthesise the same Markdown around the whole text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegauge.functions import text as X
+from notegauge.functions.html import visible
 from notegauge.functions.lexer import lexed
 from notegauge.operators import anki, audit, batching, judgments, naming, prompt, remediation, rules, scoring, tasks, validate, views
 from notegauge.vocab import COMPONENT_CODES, DIMENSIONS, LOSSES, MODES, PENALTIES, PROMPT_VERSION, ROW_STATUSES
@@ -32,6 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Documents with their texts as plain prose: letters, digits and sentence marks, so that both engines read the same structure.
+PROSE = r"[^\p{L}\p{N} .!?\n]"
+DOCS = f"(SELECT * REPLACE (regexp_replace(regexp_replace(coalesce(text, ''), '{PROSE}', ' ', 'g'), ' {{2,}}', ' ', 'g') AS text) FROM documents)"
+
+
+def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), PROSE, " "), " {2,}", " "))
+
+
 def cases(values: dict, of: str, default: str = "NULL") -> str:
     return f"CASE {of} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {default} END"
 
@@ -96,7 +108,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = F.lit(None).cast("array<struct<excerpt:string,reason:string>>")
     return lab.select(
         F.lit("2.0.0").alias("schema_version"), F.lit(PROMPT_VERSION).alias("prompt_version"), path.alias("note_path"),
-        F.struct(*[F.lit(-10 if d == "clarity" else 0).alias(d) for d in DIMENSIONS]).alias("dimension_adjustments"),
+        scoring.literal_map({"clarity": -10}).alias("dimension_adjustments"),
         F.transform(found, lambda f: F.struct(f["code"].alias("code"), f["message"].alias("message"), evidence.alias("evidence"))).alias("findings"),
         (F.col("toxic") == 1).alias("factual_risk"), F.when(F.col("toxic") == 1, "risk").alias("factual_risk_reason"), (F.col("toxic") == 1).alias("fact_check_required"),
         F.array().cast("array<struct<excerpt:string,reason:string>>").alias("evidence"),
@@ -141,8 +153,8 @@ def kpi_summary(spark, sf_dir):
 
 @query(BASE + "SELECT doc_id, score, priority FROM base ORDER BY CASE priority WHEN 'P0' THEN 1 WHEN 'P1' THEN 2 WHEN 'P2' THEN 3 WHEN 'P3' THEN 4 ELSE 5 END, score, doc_id LIMIT 50")
 def worst_k(spark, sf_dir):
-    df = coded(spark, sf_dir)
-    return df.orderBy(scoring.bucket_rank(F.col("priority")), "score", "doc_id").limit(50).select("doc_id", "score", "priority")
+    """O2: the report's order, cut off."""
+    return audit.ordered(audited(spark, sf_dir)).limit(50).select(doc_id(), "score", "priority")
 
 
 @query(BASE + "SELECT doc_id, loss, score FROM base")
@@ -168,11 +180,14 @@ def recommendations(spark, sf_dir):
 # --- joins ----------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
 def parent_anti(spark, sf_dir):
-    """J1 at scale: orders (notes) that no large line (structure link) names."""
-    targets = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(targets, "o_orderkey", "left_anti")
+    """Customers as notes, large orders as structure notes that link to them; the audit finds those without a parent."""
+    stem = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    links = table(spark, sf_dir, "orders").filter("o_totalprice > 100000").select(F.concat(F.lit("- [[folder/"), stem("o_custkey"), F.lit(".md#part|alias]]")).alias("content"))
+    notes = table(spark, sf_dir, "customer").select(F.concat(stem("c_custkey"), F.lit(".md")).alias("note_path"), stem("c_custkey").alias("stem"), F.lit("# t\n").alias("content"), F.lit(None).cast("timestamp").alias("modified_time"))
+    rows = audit.audit(notes, audit.parent_targets(links), "run-1", {}, True)
+    return rows.filter(scoring.has(F.col("findings"), "missing_parent")).select(F.regexp_extract("note_path", r"(\d+)", 1).cast("long").alias("c_custkey"))
 
 
 MERGED = BASE + """
@@ -237,9 +252,14 @@ def positional_zip(spark, sf_dir):
     return judgments.positional(numbered(conv), numbered(conv.filter("note_path <> 'system'"))).withColumnRenamed("batch_id", "conv_id")
 
 
-@query(BASE + "SELECT count(*) AS total_notes, count_if(priority = 'P0')::BIGINT AS \"P0\", count_if(priority = 'P1')::BIGINT AS \"P1\", count_if(priority = 'P2')::BIGINT AS \"P2\", count_if(priority = 'P3')::BIGINT AS \"P3\", count_if(priority IS NULL)::BIGINT AS no_change FROM base")
+@query("""SELECT * FROM (VALUES ('same', ''), ('one note more', 'total_notes differs'), ('another run', 'run_id differs'), ('one P0 more', 'priority_counts.P0 differs'), ('one error more', 'row_status_counts.error differs')) t(change, message)""")
 def pair_consistency(spark, sf_dir):
-    return audit.counts(audited(spark, sf_dir)).select("total_notes", "P0", "P1", "P2", "P3", "no_change")
+    """Rows against their manifest, and against manifests with one thing changed."""
+    rows = audited(spark, sf_dir)
+    m = audit.manifest(rows, "run-1", {}, "a", "b", {})
+    more = lambda key, name: m | {key: m[key] | {name: m[key][name] + 1}}
+    changed = {"same": m, "one note more": m | {"total_notes": m["total_notes"] + 1}, "another run": m | {"run_id": "x"}, "one P0 more": more("priority_counts", "P0"), "one error more": more("row_status_counts", "error")}
+    return spark.createDataFrame([(k, "; ".join(validate.pair_consistency(rows, v))) for k, v in changed.items()], "change string, message string")
 
 
 # --- filters --------------------------------------------------------------------
@@ -290,39 +310,44 @@ OPENING = "(?s)^---[ \\t]*\\r?\\n(?:(.*?)\\r?\\n)?---[ \\t]*(?:\\r?\\n|\\z)"
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text", F.expr(MARKDOWN.replace("VARCHAR(20)", "STRING")).alias("content"))
+    return prose(spark, sf_dir).select("doc_id", "n_chars", "text", F.expr(MARKDOWN.replace("VARCHAR(20)", "STRING")).alias("content"))
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches(content, '{OPENING}') THEN regexp_extract(content, '{OPENING}', 1) END AS frontmatter, length(regexp_replace(content, '{OPENING}', ''))::INTEGER AS body_chars FROM (SELECT doc_id, {MARKED} AS content FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(content, '{OPENING}') THEN regexp_extract(content, '{OPENING}', 1) END AS frontmatter, length(regexp_replace(content, '{OPENING}', ''))::INTEGER AS body_chars FROM (SELECT doc_id, {MARKED} AS content FROM {DOCS})")
 def frontmatter_split(spark, sf_dir):
     df = marked(spark, sf_dir)
     return df.select("doc_id", X.frontmatter(F.col("content")).alias("frontmatter"), F.length(X.body(F.col("content"))).alias("body_chars"))
 
 
-@query(f"SELECT level, count(*) AS headings FROM (SELECT length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \\t]+\\S', 1))::INTEGER AS level FROM (SELECT unnest(string_split({MARKED}, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \\t]+\\S')) GROUP BY level")
+@query(f"SELECT level, count(*) AS headings FROM (SELECT length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \\t]+\\S', 1))::INTEGER AS level FROM (SELECT unnest(string_split({MARKED} || '### deep' || chr(10), chr(10))) AS line FROM {DOCS}) WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \\t]+\\S')) GROUP BY level")
 def heading_levels(spark, sf_dir):
-    line = marked(spark, sf_dir).select(F.explode(F.split("content", "\n")).alias("line"))
-    level = F.length(F.regexp_extract("line", r"^ {0,3}(#{1,6})[ \t]+\S", 1))
-    return line.filter(F.col("line").rlike(r"^ {0,3}#{1,6}[ \t]+\S")).groupBy(level.alias("level")).agg(F.count("*").alias("headings"))
+    head = marked(spark, sf_dir).select(F.explode(lexed(F.concat("content", F.lit("### deep\n")))["headings"]).alias("h"))
+    return head.groupBy(F.col("h.level").alias("level")).agg(F.count("*").alias("headings"))
 
 
-@query(f"SELECT doc_id, starts, ends, starts <> ends AS malformed FROM (SELECT doc_id, len(list_filter(rows, lambda x: x = 'START'))::INTEGER AS starts, len(list_filter(rows, lambda x: x = 'END'))::INTEGER AS ends FROM (SELECT doc_id, string_split({MARKED}, chr(10)) AS rows FROM documents))")
+@query(f"SELECT doc_id, starts, ends, starts <> ends AS malformed FROM (SELECT doc_id, len(list_filter(rows, lambda x: x = 'START'))::INTEGER AS starts, len(list_filter(rows, lambda x: x = 'END'))::INTEGER AS ends FROM (SELECT doc_id, string_split({MARKED}, chr(10)) AS rows FROM {DOCS}))")
 def marker_balance(spark, sf_dir):
-    rows = F.split("content", "\n")
-    count = lambda mark: F.size(F.filter(rows, lambda x: x == mark))
-    return marked(spark, sf_dir).select("doc_id", count("START").alias("starts"), count("END").alias("ends")).withColumn("malformed", F.col("starts") != F.col("ends"))
+    """P10 and R4."""
+    df = marked(spark, sf_dir).withColumn("lex", lexed("content"))
+    return df.select("doc_id", F.col("lex.starts").alias("starts"), F.col("lex.ends").alias("ends"), rules.unbalanced().alias("malformed"))
 
 
-@query("SELECT doc_id, " + WORDS.format("text") + " AS words FROM documents")
+@query(f"SELECT doc_id, {WORDS.format('text')} + 4 AS words FROM {DOCS}")
 def word_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
+    """Words as rendered; aliases and names of links count, embeds, comments and hints of clozes do not."""
+    text = F.concat("text", F.lit(" [[a/b c.md#x|two words]] [[f/202401010101 name.md#part]] {{c1::one::hint}} <!-- gone --> ![[e.png]]"))
+    return prose(spark, sf_dir).select("doc_id", X.rendered_words(text).alias("words"))
+
+
+SENTENCES = r"list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x, e' \t\r\n-*') <> '')"
 
 
-@query(r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x, e' \t\r\n-*') <> ''))::INTEGER AS sentences FROM documents""")
+@query(f"SELECT doc_id, len({SENTENCES})::INTEGER + 3 AS sentences, len(list_filter({SENTENCES}, lambda x: ends_with(trim(x, e' \\t\\r\\n-*'), '?')))::INTEGER AS questions FROM {DOCS}")
 def sentence_split(spark, sf_dir):
-    parts = F.split("text", r"(?<=[.!?])\s+|\n{2,}")
-    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, r"^[ \t\r\n*-]+|[ \t\r\n*-]+\z", ""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(trimmed, lambda s: s != "")).alias("sentences"))
+    """P20: sentences that can be claims; what stands in code, math, comments, addresses, headings and card marks is none."""
+    around = F.concat(F.lit("# Head. Line.\n\nOne <!-- Two. --> thing $x. y$ here.\n\n"), "text", F.lit("\n\nEnd.\n\n```\nCode. Code.\n```\n\nSTART\n\nSee [[a. b|it]] at https://x.y/z.html now\n\nSources:\n- A. B.\n"))
+    claims = prose(spark, sf_dir).select("doc_id", X.sentences(around).alias("claims"))
+    return claims.select("doc_id", F.size("claims").alias("sentences"), F.size(F.filter("claims", lambda s: s.endswith("?"))).alias("questions"))
 
 
 @query(r"SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(is|are|was|were) like($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])like (a|an|the)($|[^\p{L}\p{N}_])') OR contains(lower(text), 'think of ') OR contains(lower(text), 'consider ') OR contains(lower(text), 'can be compared to') AS analogy FROM documents")
@@ -330,16 +355,23 @@ def analogy_flag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.is_analogy(F.col("text")).alias("analogy"))
 
 
-@query("SELECT doc_id, words < 80 AS weak, words FROM (SELECT doc_id, " + WORDS.format("text") + " AS words FROM documents)")
+#: Paragraphs of prose that hold words.
+PARAGRAPHS = "list_filter(list_transform(regexp_split_to_array(text, '\\n{2,}'), lambda x: trim(x, e' \\t\\n')), lambda x: " + WORDS.format("x") + " > 0)"
+
+
+@query(f"SELECT doc_id, NOT coalesce(first > 50, false) AND words < 80 AS weak, words FROM (SELECT doc_id, {WORDS.format('text')} AS words, {WORDS.format(PARAGRAPHS + '[1]')} AS first FROM {DOCS})")
 def weak_length(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
-    return df.select("doc_id", (F.col("words") < rules.MIN_BODY).alias("weak"), "words")
+    """R7 for notes without an explanation: too little text, unless the definition is too long."""
+    df = rules.parsed(prose(spark, sf_dir).withColumnRenamed("text", "content"))
+    return df.select("doc_id", rules.weak().alias("weak"), X.words(F.col("body")).alias("words"))
 
 
-@query(f"SELECT doc_id, len(list_filter(string_split({MARKED}, chr(10)), lambda x: regexp_matches(x, '^ {{0,3}}#[ \\t]+\\S'))) > 1 AS multi FROM documents")
+@query("SELECT doc_id, n_chars % 4 = 0 OR n_chars % 9 = 0 AS multi FROM documents")
 def multi_h1(spark, sf_dir):
-    tops = F.filter(lexed("content")["headings"], lambda h: h["level"] == 1)
-    return marked(spark, sf_dir).select("doc_id", (F.size(tops) > 1).alias("multi"))
+    """Two headings of level 1, or two pairs of card markers."""
+    cards = F.when(F.expr("n_chars % 9 = 0"), "START\nEND\nSTART\nEND\n").otherwise("")
+    df = marked(spark, sf_dir).withColumn("lex", lexed(F.concat("content", F.lit("END\n"), cards)))
+    return df.select("doc_id", rules.multi_note().alias("multi"))
 
 
 @query("SELECT target, count(*) AS links FROM (SELECT 'doc' || (doc_id * 7 % 1000)::VARCHAR AS target FROM documents UNION ALL SELECT 'doc' || n_chars::VARCHAR FROM documents) GROUP BY target")
@@ -357,17 +389,59 @@ def trailing_sections(spark, sf_dir):
 
 EDGE = r"(^|[^\p{{L}}\p{{N}}_])({})($|[^\p{{L}}\p{{N}}_])"
 
+#: Sentences with the score of what they claim (worked out by hand, term by term), whether they are exempt, and whether they generalise over people.
+CLAIMS = (
+    ("Plain words without claims.", 0, False, False),
+    ("All cats never sleep.", 2, False, False),  # two absolutes
+    ("All of every one is never only always.", 2, False, False),  # absolutes count twice at most
+    ("It grew by 45% in value.", 3, False, False),
+    ("It takes 3 weeks.", 3, False, False),
+    ("It costs $1,200.50 today.", 3, False, False),
+    ("The value is currently low.", 3, False, False),
+    ("It concerns the law.", 1, False, False),
+    ("According to nobody it rains.", 2, False, False),
+    ("A survey found rain.", 2, False, False),
+    ("Rain causes mud.", 2, False, False),
+    ("Tea is better for some than milk.", 2, False, False),
+    ("Everyone forgets.", 3, False, True),  # an absolute and a generalisation
+    ("All of the young learners forget.", 3, False, True),
+    ("Students always forget.", 3, False, True),
+    ("Every user account is closed.", 1, False, False),  # a user account is no person
+    ("Every customer-led team is small.", 1, False, False),
+    ("All people receive an equal chance of selection.", 1, False, False),  # statistics
+    ("All people receive an equal chance of selection and remember it.", 3, False, True),
+    ("The Acme Corp server requires a key.", 3, False, False),
+    ("The sandbox of GitHub supports it.", 3, False, False),
+    ("Acme requires a key.", 0, False, False),  # the first word is no name by itself
+    ("The New York skyline is tall.", 0, False, False),  # a name, but nothing is claimed of it
+    ("Is it true that all users never err?", 4, True, True),  # two absolutes, a generalisation; a question
+    ("Let n be a set; it is given that x equals 2020.", 3, True, False),
+    ("For example, a cat sits on a mat.", 0, True, False),
+    ("For example, 45% of cats sit.", 3, False, False),
+    ("The theorem is currently a lemma.", 3, False, False),  # recency lifts the exemption
+    ("GDPR privacy law applies since 2018 and was released by Acme Labs Inc according to them.", 12, False, False),
+)
+CLAIM_ROWS = ", ".join(f"({i}, {score}, {str(exempt).lower()}, {str(general).lower()})" for i, (_, score, exempt, general) in enumerate(CLAIMS))
+
 
-@query(f"SELECT doc_id, regexp_matches(text, '(?i){EDGE.format(rules.ABSOLUTES)}') AS absolute, regexp_matches(text, '(?i){EDGE.format(rules.SENSITIVE)}') AS sensitive, regexp_matches(text, '(?i){EDGE.format(rules.RECENT)}') AS recent FROM documents")
+@query(f"SELECT doc_id, score, exempt, general, score >= 3 AND NOT exempt AS risky FROM documents JOIN (VALUES {CLAIM_ROWS}) t(i, score, exempt, general) ON doc_id % {len(CLAIMS)} = i")
 def risk_score(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", t.rlike(rules.whole(rules.ABSOLUTES)).alias("absolute"), t.rlike(rules.whole(rules.SENSITIVE)).alias("sensitive"), t.rlike(rules.whole(rules.RECENT)).alias("recent"))
+    """R8 and R8a to R8d: documents with one claim each in their place."""
+    claim = F.get(F.array(*[F.lit(c[0]) for c in CLAIMS]), (F.col("doc_id") % len(CLAIMS)).cast("int"))
+    df = rules.parsed(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Title\n\n"), claim, F.lit("\n")).alias("content")))
+    pair = F.get(F.arrays_zip("claims", "general"), F.lit(0))
+    df = df.withColumn("claim", pair["claims"]).withColumn("of_people", pair["general"]).withColumn("told", rules.signals(F.col("claim"), F.col("of_people")))
+    return df.select("doc_id", rules.risk_score(F.col("told")).cast("int").alias("score"), rules.exempt(F.col("claim"), F.col("told")).alias("exempt"), F.col("of_people").alias("general"), rules.risky().alias("risky"))
 
 
-@query()
+#: Words in which every person is said to do something, and words in which none is.
+@query("SELECT doc_id, 3 AS claims, CASE n_chars % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS general FROM documents")
 def human_generalization(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", X.sentences(F.col("text")).alias("claims"))
-    return df.select("doc_id", F.size("claims").alias("claims"), F.size(F.filter(rules.generalisations("claims"), lambda g: g)).alias("general"))
+    """R8c in a text of several claims, of which only those with people in them are looked at closely."""
+    two = F.when(F.expr("n_chars % 3 < 2"), "All of the many users forget.").otherwise("All of the many rules apply.")
+    three = F.when(F.expr("n_chars % 3 = 0"), "Children, it seems, differ; adults hardly ever only learn.").otherwise("Each child has the same chance of selection.")
+    df = table(spark, sf_dir, "documents").select("doc_id", X.sentences(F.concat_ws(" ", F.lit("A user account is never old."), two, three)).alias("told"))
+    return df.select("doc_id", F.size("told").alias("claims"), F.size(F.filter(rules.generalisations("told"), lambda g: g)).alias("general"))
 
 
 @query(f"SELECT doc_id, regexp_matches(text, '(?i){EDGE.format(rules.OVERLAP)}') AS overlap FROM documents")
@@ -386,27 +460,139 @@ def cache_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", batching.cache_key(path, F.sha2("text", 256), {"doctrine_version": "1.0.4", "prompt_version": PROMPT_VERSION}).alias("cache_key"))
 
 
-@query(r"""SELECT page_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&#160;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(160), ' ')) AS visible_sha256 FROM pages""")
+#: Character references and what they stand for, & last, since each text is resolved once.
+REFERENCES = (("&nbsp;", "chr(160)"), ("&#160;", "chr(160)"), ("&lt;", "'<'"), ("&#60;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&eacute;", "'é'"), ("&#xe9;", "'é'"), ("&mdash;", "'—'"), ("&notin;", "'∉'"), ("&amp;", "'&'"))
+UNESCAPED = "html || ' &lt;b&gt;x &eacute; &#xe9; &mdash;&#60;i&#62 &notin; &amp;lt;'".replace("&#62", "&gt;")
+for _name, _value in REFERENCES:
+    UNESCAPED = f"replace({UNESCAPED}, '{_name}', {_value})"
+
+
+@query(f"SELECT page_id, sha256(regexp_replace(replace({UNESCAPED}, chr(160), ' '), '<[^>]*>', '', 'g')) AS visible_sha256 FROM pages")
 def html_visible(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(X.visible_html(F.col("html")), 256).alias("visible_sha256"))
+    """References of every kind, escaped tags among them."""
+    source = F.concat("html", F.lit(" &lt;b&gt;x &eacute; &#xe9; &mdash;&#60;i&gt; &notin; &amp;lt;"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(visible(source), 256).alias("visible_sha256"))
 
 
-@query()
+LINES = "(len(text) - len(replace(text, chr(10), '')))"
+
+
+@query(f"SELECT doc_id, sha256('# top' || repeat(chr(10), {LINES}::INTEGER + 4) || 'after        ' || repeat(' ', 13) || chr(10)) AS view_sha256 FROM {DOCS}")
 def fence_mask(spark, sf_dir):
-    """The text inside a fence vanishes from the structural view, line for line."""
+    """A fence with the text in it becomes bare line breaks, code and comments blanks of their length."""
     fenced = F.concat(F.lit("# top\n~~~\n"), "text", F.lit("\n~~~\nafter `code` <!-- note -->\n"))
-    view = lexed("content")["structural"]
-    df = table(spark, sf_dir, "documents").select("doc_id", fenced.alias("content"))
-    return df.select("doc_id", F.size(F.split("content", "\n")).alias("lines"), view.alias("view")).select("doc_id", "lines", F.size(F.split("view", "\n")).alias("view_lines"), F.length("view").alias("view_chars"))
+    return prose(spark, sf_dir).select("doc_id", F.sha2(lexed(fenced)["structural"], 256).alias("view_sha256"))
+
+
+@query(f"SELECT doc_id, sha256('top' || repeat(chr(10), {LINES}::INTEGER + 3) || '- item' || chr(10) || '    kept' || chr(10)) AS view_sha256 FROM {DOCS}")
+def indented_code(spark, sf_dir):
+    """Lines four columns in are code, unless a list item holds them."""
+    code = F.concat(F.lit("    "), F.replace("text", F.lit("\n"), F.lit("\n\t")))
+    content = F.concat(F.lit("top\n\n"), code, F.lit("\n- item\n    kept\n"))
+    return prose(spark, sf_dir).select("doc_id", F.sha2(lexed(content)["structural"], 256).alias("view_sha256"))
+
+
+@query("SELECT doc_id, 'c`d`e,f,n' || n_chars::VARCHAR || ',f' AS links FROM documents")
+def link_contexts(spark, sf_dir):
+    """Links in comments and code do not count, links around code do, repeats stay in order."""
+    content = F.concat(F.lit("<!-- [[a]] --> `[[b]]` [[c`d`e]]\n![[ f |g]]\n"), "text", F.lit("\n~~~\n[[h]]\n~~~\n    [[i]]\n\n[[n"), F.col("n_chars").cast("string"), F.lit("]] [[f]]\n<!-- open [[j]]\n[[k]]\n"))
+    return prose(spark, sf_dir).select("doc_id", F.array_join(lexed(content)["links"], ",").alias("links"))
+
+
+@query(f"SELECT doc_id, 'basic,cloze,odd' AS kinds, len(PARAGRAPH_LIST)::INTEGER + 1 AS back, 1 AS cloze_front, 2 AS cloze_back FROM {DOCS}".replace("PARAGRAPH_LIST", PARAGRAPHS.replace("regexp_split_to_array(text", "regexp_split_to_array('Definition here.' || chr(10) || chr(10) || text")))
+def cards(spark, sf_dir):
+    """An END closes the latest START; a card's kind, and its paragraphs with words before and after Back: or Extra:."""
+    content = F.concat(F.lit("START\nlost\nSTART\n BASIC \nQuestion\nback:  Definition here.\n\n"), "text", F.lit("\n\n---\n\nlast one\nEND\nEND\nSTART\nCloze\nA {{c1::b}}.\n\nMore\nExtra: x\n\ny\nEND\nSTART\nodd\nBack: z\nEND\n"))
+    df = prose(spark, sf_dir).select("doc_id", lexed(content)["cards"].alias("cards"))
+    worded = lambda k, side: F.size(F.filter(F.get("cards", F.lit(k))[side], lambda p: X.rendered_words(p) > 0))
+    return df.select("doc_id", F.array_join(F.transform("cards", lambda c: c["kind"]), ",").alias("kinds"), (worded(0, "front") + worded(0, "back")).alias("back"), worded(1, "front").alias("cloze_front"), worded(1, "back").alias("cloze_back"))
+
+
+@query(f"SELECT doc_id, len({PARAGRAPHS})::INTEGER + 1 AS paragraphs FROM {DOCS}")
+def prose_paragraphs(spark, sf_dir):
+    """Prose from the first title to the cards or references; math, code and deck lines are none."""
+    content = F.concat(F.lit("before\n\n# Title\nTARGET DECK: D\n\n"), "text", F.lit("\n\n$$\nx\n$$\n\n~~~\ncode\n~~~\n\n<!-- no -->\n\nlast words\n\nSources:\n\nnone of this\n"))
+    df = prose(spark, sf_dir).select("doc_id", lexed(content)["prose"].alias("prose"))
+    return df.select("doc_id", F.size(F.filter("prose", lambda p: X.rendered_words(p) > 0)).alias("paragraphs"))
+
+
+@query(f"SELECT doc_id, {WORDS.format('text')} AS definition, 2 AS analogy, 1 AS example, {WORDS.format('text')} AS clamped_definition, 1 AS clamped_example FROM {DOCS}")
+def section_words(spark, sf_dir):
+    """Words under the headings of an explanation; a heading in code opens a section of lines, but none of the structure."""
+    content = F.concat(F.lit("# t\n## Definition\n"), "text", F.lit("\n## Analogy\nx y\n# EXAMPLE #\nz\nSources\nq\n"))
+    df = prose(spark, sf_dir).select("doc_id", lexed(content).alias("lex"))
+    of = lambda field, name: X.words(F.coalesce(F.get(F.filter(f"lex.{field}", lambda s: s["name"] == name), F.lit(0))["text"], F.lit("")))
+    return df.select("doc_id", of("sections", "definition").alias("definition"), of("sections", "analogy").alias("analogy"), of("sections", "example").alias("example"), of("clamped", "definition").alias("clamped_definition"), of("clamped", "example").alias("clamped_example"))
+
+
+@query("SELECT doc_id, n_chars % 5 < 3 AS example, n_chars % 5 = 1 OR n_chars % 5 = 3 AS analogy FROM documents")
+def example_flag(spark, sf_dir):
+    """P17 and P17b."""
+    start = F.get(F.array(*map(F.lit, ("For example, ", "  - for EXAMPLE, it is like a ", "for example,\t", "It was like ", "As for example, "))), (F.col("n_chars") % 5).cast("int"))
+    text = F.concat(start, F.lit("house."))
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_example(text).alias("example"), X.is_analogy(text).alias("analogy"))
+
+
+#: An explanation in prose and one on a card; both complete or not by the document's size.
+EXPLAINED = """
+WITH sized AS (
+    SELECT doc_id, (n_chars % 60 + 1)::INTEGER AS k, (n_chars % 45 + 1)::INTEGER AS m, n_chars % 2 = 0 AS a, n_chars % 3 = 0 AS e, n_chars % 7 <> 0 AS card FROM documents
+), judged AS (
+    SELECT *, k BETWEEN 10 AND 50 AND a AND e AS p1, k > 50 AS l1, a::INTEGER + e::INTEGER AS n1, m >= 10 AS p2 FROM sized
+), picked AS (
+    SELECT *, card AND CASE WHEN p1 <> p2 THEN p2 WHEN l1 THEN false WHEN n1 <> 2 THEN true ELSE m > k END AS by_card FROM judged
+)
+SELECT doc_id, CASE WHEN by_card THEN p2 ELSE p1 END AS present, NOT by_card AND l1 AS too_long, CASE WHEN by_card THEN 'basic' ELSE 'plain-prose' END AS shape,
+    CASE WHEN by_card THEN m ELSE k END AS definition, CASE WHEN by_card THEN 5 WHEN a THEN 5 END AS analogy, CASE WHEN by_card THEN 4 WHEN e THEN 5 END AS example FROM picked
+"""
 
 
-@query()
+@query(EXPLAINED)
 def explain_shape(spark, sf_dir):
-    prose = F.concat(F.lit("# t\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n\nIt is like a map.\n\nFor example, a city map.\n"))
-    df = rules.parsed(table(spark, sf_dir, "documents").select("doc_id", prose.alias("content")))
+    """The better of the explanation in prose and that on a card."""
+    n = lambda mod: (F.col("n_chars") % mod).cast("int")
+    some = lambda test, text: F.when(F.expr(test), text).otherwise("")
+    content = F.concat(
+        F.lit("# t\n\n"), F.repeat(F.lit("word "), n(60) + 1), F.lit("\n\n"), some("n_chars % 2 = 0", "It is like a map.\n\n"), some("n_chars % 3 = 0", "For example, a city map.\n"),
+        F.when(n(7) != 0, F.concat(F.lit("\nSTART\nBasic\nQ\nBack: "), F.repeat(F.lit("word "), n(45) + 1), F.lit("\n\nIt is like a card.\n\nFor example, a card.\nEND\n"))).otherwise(""),
+    )
+    df = rules.parsed(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")))
     return df.select("doc_id", "best.present", "best.too_long", "best.shape", "best.definition", "best.analogy", "best.example")
 
 
+#: The rules that a synthetic note fires, by the document's size; see rule_codes().
+RULED = """
+WITH n AS (
+    SELECT doc_id, n_chars AS n, (n_chars % 60 + 1)::INTEGER AS k FROM documents
+), told AS (
+    SELECT *, k BETWEEN 10 AND 50 AND n % 2 = 0 AS present, 1 + k + 7 + CASE WHEN n % 2 = 0 THEN 7 ELSE 0 END + CASE WHEN n % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN n % 7 = 0 THEN 2 ELSE 0 END
+        + CASE WHEN n % 13 = 0 THEN 5 ELSE 0 END + CASE WHEN n % 17 = 0 THEN 7 ELSE 0 END AS words FROM n
+)
+SELECT doc_id, array_to_string(list_filter([
+    CASE WHEN n % 3 = 0 THEN 'missing_frontmatter' END, CASE WHEN NOT present AND k > 50 THEN 'definition_too_long' END, CASE WHEN NOT present AND k <= 50 THEN 'invalid_dae' END,
+    CASE WHEN n % 4 <> 0 THEN 'missing_parent' END, CASE WHEN n % 5 = 0 THEN 'malformed_anki' END, CASE WHEN n % 7 = 0 THEN 'multi_note' END,
+    CASE WHEN NOT present AND n % 3 <> 0 AND n % 11 = 0 THEN 'misfiled_reference' END, CASE WHEN CASE WHEN present THEN k < 16 ELSE k <= 50 AND words < 80 END THEN 'weak_dae' END,
+    CASE WHEN n % 17 = 0 THEN 'factual_risk' END, CASE WHEN n % 13 = 0 THEN 'duplicate_overlap' END], lambda x: x IS NOT NULL), ',') AS codes FROM told
+"""
+
+
+@query(RULED)
+def rule_codes(spark, sf_dir):
+    """R1 to R9 and J1 in one audit of notes built by rule, in the order of the findings."""
+    some = lambda mod, text: F.when(F.col("n_chars") % mod == 0, text).otherwise("")
+    content = F.concat(
+        F.when(F.col("n_chars") % 3 != 0, F.concat(F.lit("---\nsource:"), some(11, " a book"), F.lit("\n---\n"))).otherwise(""), F.lit("# T\n\n"), F.repeat(F.lit("word "), (F.col("n_chars") % 60 + 1).cast("int")),
+        F.lit("\n\nIt is like a map of town.\n\n"), some(2, "For example, a city map in hand.\n"), some(5, "\nSTART\nBasic\nq\n"), some(7, "\n# Second\n\ntext\n"),
+        some(13, "\nThis may overlap with another.\n"), some(17, "\nIn 2020 everyone always improved by 45%.\n"),
+    )
+    stem = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents")
+    notes = docs.select(F.concat(F.lit("notes/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md")).alias("note_path"), stem.alias("stem"), content.alias("content"), F.lit(None).cast("timestamp").alias("modified_time"))
+    links = docs.filter("n_chars % 4 = 0").select(F.concat(F.lit("see [["), stem, F.lit("]]")).alias("content"))
+    rows = audit.audit(notes, audit.parent_targets(links), "run-1", {}, True)
+    return rows.select(doc_id(), joined(scoring.codes(F.col("findings"))).alias("codes"))
+
+
 @query()
 def note_audit(spark, sf_dir):
     """The whole deterministic audit over documents as notes, with links of a second set as parents."""
@@ -484,9 +670,16 @@ def task_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE status WHEN 'done' THEN 'History' WHEN 'todo' THEN 'Todo' ELSE 'Waiting for' END, count(*) FROM t GROUP BY status
 UNION ALL SELECT v, 0 FROM (VALUES ('Triage'), ('In progress'), ('Blocked')) x(v)""")
 def task_views(spark, sf_dir):
-    notes = tasks.tasks(task_notes(spark, sf_dir))
-    held = F.map_from_arrays(F.array(*[F.lit(v) for v in tasks.VIEWS]), F.array(*[F.coalesce(F.col("status").isin(*s) if s else F.lit(True), F.lit(False)) for s, _ in tasks.VIEWS.values()]))
-    return notes.select(F.explode(held).alias("view", "in")).groupBy("view").agg(F.count_if("in").alias("tasks"))
+    """Tasks per view, each view as it is shown."""
+    notes = task_notes(spark, sf_dir)
+    counted = [tasks.view(notes, v).agg(F.lit(v).alias("view"), F.count("*").alias("tasks")) for v in tasks.VIEWS]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query(f"WITH t AS ({TASK}) SELECT split_part(split_part(path, '/', 2), '.', 1) AS \"Task\", o_custkey::VARCHAR AS \"Waiting on\", priority, 'deliver' AS \"Goal\" FROM t WHERE status = 'waiting-for'")
+def task_display(spark, sf_dir):
+    """The columns of a view under their display names."""
+    return tasks.view(task_notes(spark, sf_dir), "Waiting for", display=True).drop("Follow up on", "project", "people")
 
 
 @query(f"WITH t AS ({TASK}) SELECT split_part(split_part(path, '/', 2), '.', 1) AS name, status, strftime(o_orderdate, '%Y-%m-%d') AS date_closed FROM t WHERE status = 'done'")
@@ -501,16 +694,17 @@ def task_contract(spark, sf_dir):
 
 
 #: Event types as statuses of a task.
-STATUS = "CASE event_type WHEN 'click' THEN 'triage' WHEN 'view' THEN 'todo' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'in-progress' ELSE 'blocked' END"
+STATUS = "CASE event_type WHEN 'click' THEN 'waiting-for' WHEN 'view' THEN 'todo' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'in-progress' ELSE 'cancelled' END"
 
 
-@query(f"""SELECT task, ts, before, status, 'agent-first' AS execution_shape, NOT (status = 'done' AND actor = 'agent') AS legal FROM
-(SELECT user_id AS task, ts, {STATUS} AS status, lag({STATUS}) OVER (PARTITION BY user_id ORDER BY ts) AS before, CASE WHEN value > 50 THEN 'agent' ELSE 'user' END AS actor FROM events)
+@query(f"""SELECT task, ts, before, status, shape AS execution_shape, NOT (actor = 'agent' AND (status = 'cancelled' OR (status = 'done' AND shape = 'agent-first') OR (status = 'waiting-for' AND shape = 'agent-first' AND NOT named))) AS legal FROM
+(SELECT user_id AS task, ts, {STATUS} AS status, lag({STATUS}) OVER (PARTITION BY user_id ORDER BY ts) AS before, CASE WHEN value > 50 THEN 'agent' ELSE 'user' END AS actor, CASE WHEN user_id % 2 = 0 THEN 'agent' ELSE 'agent-first' END AS shape, value > 75 AS named FROM events)
 WHERE before <> status""")
 def task_transitions(spark, sf_dir):
-    """T13 over the event log: each user's changes of event type as changes of a task's status."""
+    """T13 over the event log: each user's changes of event type as changes of a task's status, by a user or an agent."""
     e = table(spark, sf_dir, "events")
-    return tasks.transitions(e.select(F.col("user_id").alias("task"), "ts", F.expr(STATUS).alias("status"), F.lit("agent-first").alias("execution_shape"), F.when(F.col("value") > 50, "agent").otherwise("user").alias("actor")))
+    shape = F.when(F.col("user_id") % 2 == 0, "agent").otherwise("agent-first")
+    return tasks.transitions(e.select(F.col("user_id").alias("task"), "ts", F.expr(STATUS).alias("status"), shape.alias("execution_shape"), F.when(F.col("value") > 50, "agent").otherwise("user").alias("actor"), F.when(F.col("value") > 75, "[[Me]]").alias("waiting_on")))
 
 
 @query(f"SELECT doc_id, 0 AS pos, 'Atomic Notes/' || lang || '.md' AS note_path FROM documents UNION ALL SELECT doc_id, 1, 'Atomic Notes/second.md' FROM documents WHERE n_chars % 4 = 0")

@@ -22,7 +22,7 @@ JUDGMENT = T.StructType(
         T.StructField("schema_version", T.StringType()),
         T.StructField("prompt_version", T.StringType()),
         T.StructField("note_path", T.StringType()),
-        T.StructField("dimension_adjustments", DIMENSION_SCORES),
+        T.StructField("dimension_adjustments", T.MapType(T.StringType(), T.IntegerType())),
         T.StructField("findings", T.ArrayType(T.StructType([*FINDING.fields, T.StructField("evidence", T.ArrayType(EVIDENCE))]))),
         T.StructField("factual_risk", T.BooleanType()),
         T.StructField("factual_risk_reason", T.StringType()),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,34 @@ def errors(lines: DataFrame) -> DataFrame:
     return lines.filter(F.try_parse_json(value).isNull() | ~strip(value).startswith("{")).select("file", "line", F.lit("not a JSON object").alias("error"))
 
 
+def violations(lines: DataFrame, contract: Callable[[Column], Column]) -> DataFrame:
+    """(file, line, error): the first thing that the contract says against each bad line."""
+    from notegauge.operators.contracts import line
+
+    return lines.select("file", "line", F.get(line(F.col("value"), contract), F.lit(0)).alias("error")).filter("error is not null")
+
+
+def strict_lines(spark: SparkSession, path: str, contract: Callable[[Column], Column]) -> DataFrame:
+    """(file, line, value) of files whose every line holds to the contract; the first line that does not is an error, named path:line."""
+    lines = numbered(spark, path)
+    bad = violations(lines, contract).orderBy("file", "line").first()
+    if bad:
+        name = path if bad["file"].endswith(path) else bad["file"]
+        raise ValueError(f"{name}:{bad['line']}: {bad['error']}")
+    return lines
+
+
+def typed_lines(lines: DataFrame, schema: T.StructType = AUDIT_ROW) -> DataFrame:
+    """Rows of checked lines, with the file and line they come from."""
+    return lines.select("file", "line", F.from_json("value", schema).alias("row")).select("file", "line", "row.*")
+
+
+def strict(spark: SparkSession, path: str, contract: Callable[[Column], Column], schema: T.StructType = AUDIT_ROW) -> DataFrame:
+    """Rows of files whose lines are those of strict_lines()."""
+    strict_lines(spark, path, contract)
+    return typed(spark, path, schema)
+
+
 def typed(spark: SparkSession, path: str, schema: T.StructType = AUDIT_ROW) -> DataFrame:
     """Rows of validated files."""
     return spark.read.schema(schema).json(path)
@@ -40,7 +70,8 @@ def typed(spark: SparkSession, path: str, schema: T.StructType = AUDIT_ROW) -> D
 def as_json(rows: DataFrame, optional: tuple[str, ...] = ("created_time", "factual_risk_reason")) -> DataFrame:
     """(value): JSON text per row with fields by name; optional fields are left out where null, other nulls are written."""
     names = sorted(c for c in rows.columns if c not in optional)
-    text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    # a judgment's findings need no evidence, but none is no key (in a string the quotes would be escaped)
+    text = F.replace(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), F.lit(',"evidence":null'), F.lit(""))
     for c in optional:
         if c in rows.columns:
             piece = F.to_json(F.struct(c), {"ignoreNullFields": "false"})
@@ -55,6 +86,6 @@ def write(rows: DataFrame, path: str, single: bool = False) -> None:
     (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """A batch's rows; resumed runs skip what is there by an anti join."""
-    as_json(rows, ()).write.mode("append").text(path)
+def append(lines: DataFrame, path: str) -> None:
+    """A batch's lines of JSON (value); resumed runs skip what is there by an anti join."""
+    lines.select("value").write.mode("append").text(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,6 +21,20 @@ from notegauge.schemas import NOTE
 CHUNK = 256
 
 
+def resolved(root: str, note_path: str) -> Path:
+    """The file of a note: inside the vault, also behind links, a Markdown file, and there."""
+    base, name = Path(root).resolve(), PurePosixPath(note_path)
+    full = base.joinpath(*name.parts).resolve()
+    for wrong, what in (
+        (name.is_absolute() or ".." in name.parts or not full.is_relative_to(base), "must stay inside vault"),
+        (full.suffix != ".md", "must be a Markdown file"),
+        (not full.exists(), "does not exist"),
+    ):
+        if wrong:
+            raise ValueError(f"note path {what}: {note_path}")
+    return full
+
+
 class Chunk(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths

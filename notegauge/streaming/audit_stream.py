@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,15 +13,18 @@ from notegauge.operators.audit import audit
 def audit_batch(batch: DataFrame, targets: DataFrame, sink: str, run_id: str, config: dict[str, str]) -> None:
     """Audit the notes of a micro-batch whose (path, content) the sink does not hold yet: replays add nothing."""
     spark = batch.sparkSession
-    new = batch.dropDuplicates(["note_path"])
-    try:
-        done = spark.read.parquet(sink).select("note_path", "content_hash")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    else:
-        new = new.withColumn("content_hash", content_hash(F.col("content"))).join(done, ["note_path", "content_hash"], "left_anti").drop("content_hash")
-    audit(new, targets, run_id, config).write.mode("append").parquet(sink)
+    # of a note that changed twice in a batch the latest version counts (of one moment, that with the larger hash)
+    hashed = batch.withColumn("content_hash", content_hash(F.col("content")))
+    latest = F.max_by(F.struct(*hashed.columns), F.struct(F.coalesce("modified_time", F.timestamp_seconds(F.lit(0))), "content_hash"))
+    new = hashed.groupBy("note_path").agg(latest.alias("note")).select("note.*")
+    if exists(spark, f"{sink}/_SUCCESS"):
+        new = new.join(spark.read.parquet(sink).select("note_path", "content_hash"), ["note_path", "content_hash"], "left_anti")
+    audit(new.drop("content_hash"), targets, run_id, config).write.mode("append").parquet(sink)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def stream(notes: DataFrame, targets: DataFrame, sink: str, checkpoint: str, run_id: str, config: dict[str, str]) -> StreamingQuery:

@@ -119,4 +119,95 @@ def test_validate_reports_line(spark, tmp_path, capsys):
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "part-0.txt").write_text('\n[1]\n{"a": 1}\n')
     assert cli.main(["validate", str(tmp_path / "bad")]) == 1
-    assert ":2: row must be an object" in capsys.readouterr().err
+    assert "part-0.txt:2: row must be an object" in capsys.readouterr().err
+
+
+def lines_of(folder):
+    return [json.loads(x) for p in sorted(folder.glob("part-*")) for x in p.read_text().splitlines() if x.strip()]
+
+
+@pytest.fixture(scope="module")
+def audited(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("commands")
+    vault_fixture.write(root / "v")
+    assert cli.main(["audit", str(root / "v"), str(root / "rows"), str(root / "manifest.json"), "--fixed"]) == 0
+    return root
+
+
+JUDGED = {"schema_version": "2.0.0", "prompt_version": "1.0.2", "dimension_adjustments": {}, "findings": [], "factual_risk": False, "factual_risk_reason": None, "fact_check_required": False, "evidence": []}
+
+
+@pytest.mark.parametrize(
+    ("change", "error"),
+    [
+        ({"score": "high"}, "score must be an integer from 1 to 100 or null"),
+        ({"score": 90.5}, "score must be an integer from 1 to 100 or null"),
+        ({"score": True}, "score must be an integer from 1 to 100 or null"),
+        ({"run_id": 5}, "run_id must be a non-empty string"),
+        ({"model_judgment": JUDGED | {"note_path": "x", "schema_version": "9"}}, "model_judgment.schema_version must be 2.0.0"),
+        ({"findings": [{"code": "unclear", "message": "m", "odd": 1}]}, "findings[0] has unsupported keys: odd"),
+        ({"findings": {}}, "findings must be an array"),
+        ({"recommendations": [{"mode": "fly", "message": "m"}]}, "Invalid recommendations[0].mode: fly"),
+        ({"dimensions": {"structure": 1}}, "Missing required keys: atomicity"),
+        ({"factual_risk_reason": None}, "factual_risk_reason must be a non-empty string"),
+        ({"config_snapshot": []}, "config_snapshot must be an object"),
+        ({"odd": 1}, "row has unsupported keys: odd"),
+        (None, "not valid JSON"),
+        ([1, 2], "row must be an object"),
+    ],
+)
+def test_every_command_rejects_bad_lines(spark, audited, tmp_path, capsys, change, error):
+    rows = lines_of(audited / "rows")
+    bad = "not json at all" if change is None else json.dumps(rows[2] | change if isinstance(change, dict) else change)
+    path = tmp_path / "x.jsonl"
+    path.write_text("\n".join([json.dumps(rows[0]), "", json.dumps(rows[1]), bad, *map(json.dumps, rows[3:])]) + "\n")
+    commands = [["validate", str(path)]]
+    if change in ({"score": "high"}, None):
+        found = tmp_path / "j.jsonl"
+        found.write_text("")
+        commands += [["merge", str(path), str(audited / "manifest.json"), str(found), str(tmp_path / "o"), str(tmp_path / "m")], ["report", str(path), str(audited / "manifest.json"), str(tmp_path / "r")], ["views", str(path), str(tmp_path / "v")]]
+    for command in commands:
+        assert cli.main(command) == 1
+        assert f"{path}:4: {error}" in capsys.readouterr().err
+
+
+def test_collect_merge_and_report(spark, audited, tmp_path, capsys):
+    """Judgments by a command that answers batches of at most three notes, in two runs; then merged."""
+    script = tmp_path / "judge.py"
+    script.write_text("import json, re, sys\nfor p in re.findall(r'^## (Atomic Notes/.*)$', sys.stdin.read(), re.M):\n    print(json.dumps(" + repr(JUDGED).replace("None", "None") + " | {'note_path': p}))\n")
+    run = ["collect", str(audited / "v"), str(audited / "rows"), str(tmp_path / "j"), str(tmp_path / "work"), "--command", f"python {script}", "--max-notes", "3"]
+    assert cli.main([*run, "--limit", "4"]) == 0 and "judged=4" in capsys.readouterr().out
+    assert cli.main(run) == 0 and "judged=6" in capsys.readouterr().out
+    assert cli.main(["merge", str(audited / "rows"), str(audited / "manifest.json"), str(tmp_path / "j"), str(tmp_path / "merged"), str(tmp_path / "m.json")]) == 0
+    merged = lines_of(tmp_path / "merged")
+    assert len(merged) == 10 and all(r["model_judgment"]["note_path"] == r["note_path"] for r in merged)
+    assert cli.main(["report", str(tmp_path / "merged"), str(tmp_path / "m.json"), str(tmp_path / "r.md")]) == 0
+    assert "10 / 10 reviewed" in (tmp_path / "r.md").read_text()
+    assert cli.main([*run[:5], "--command", "false"]) == 0  # nothing is left to ask
+
+
+def test_prepare(spark, audited, tmp_path, capsys):
+    note = "Atomic Notes/202401010101 clean.md"
+    assert cli.main(["prepare", str(audited / "v"), note, str(tmp_path / "p.txt")]) == 0
+    assert "Caching is the practice" in (tmp_path / "p.txt").read_text()
+    assert cli.main(["prepare", str(audited / "v"), note, str(tmp_path / "one"), "--collector-input", str(audited / "rows")]) == 0
+    assert [r["note_path"] for r in lines_of(tmp_path / "one")] == [note]
+    for path, error in (("../x.md", "inside vault"), ("/x.md", "inside vault"), ("x.txt", "Markdown"), ("none.md", "does not exist")):
+        assert cli.main(["prepare", str(audited / "v"), path, str(tmp_path / "q")]) == 1 and error in capsys.readouterr().err
+
+
+def test_verify_cards(spark, audited, tmp_path, capsys, monkeypatch):
+    from notegauge.sources import card_service
+
+    def send(url, body):
+        action = json.loads(body)["action"]
+        return json.dumps({"result": [{"noteId": 17, "modelName": "Basic", "cards": [5], "fields": {"Front": {"value": "What is caching?"}, "Back": {"value": "keeping &eacute;"}}}] if action == "notesInfo" else [{"cardId": 5, "deckName": "General"}], "error": None}).encode()
+
+    asked = card_service.tables
+    monkeypatch.setattr(card_service, "tables", lambda spark, ids: asked(spark, ids, send))
+    spec = tmp_path / "spec.json"
+    card, plain = "Atomic Notes/202401010107 card.md", "Atomic Notes/202401010101 clean.md"
+    spec.write_text(json.dumps([{"note_path": card, "representative_text": "caching"}, {"note_path": plain, "anki": False}]))
+    assert cli.main(["verify-cards", str(spec), str(audited / "v")]) == 0 and "anki_notes=1 non_anki_notes=1" in capsys.readouterr().out
+    spec.write_text(json.dumps([{"note_path": card, "representative_text": "elephants"}]))
+    assert cli.main(["verify-cards", str(spec), str(audited / "v")]) == 1 and "representative text missing: elephants" in capsys.readouterr().err
