@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notegauge.functions.text import WHITE, strip
 from notegauge.vocab import BUCKETS, CACHE_STATUSES, CODES, DIMENSIONS, JUDGMENT_VERSION, MODES, ROW_STATUSES, VALIDATION_STATUSES
 
+# The closed key sets of rows, manifests and judgments, and the longest excerpt.
 EVIDENCE_WORDS = 40
 ROW_REQUIRED = (
     "schema_version", "run_id", "row_status", "note_path", "note_link", "content_hash", "modified_time", "score", "priority", "clean", "pending_model", "dimensions", "findings",

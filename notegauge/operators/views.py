@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegauge.operators import scoring
@@ -41,6 +41,11 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def yaml_quoted(text: Column) -> Column:
+    """quoted() of a column."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
 def view_lines(rows: DataFrame, source: str) -> Iterator[str]:
     """The lines of the view file over the rows of ``source``. One ordered pass: the driver holds a partition of it at a time."""
     yield from [  # fixed values: the head of a view file

@@ -6,6 +6,7 @@ both sides synthesise the same Markdown around the whole text.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from notegauge.functions import text as X
 from notegauge.functions.html import visible
 from notegauge.functions.lexer import lexed
-from notegauge.operators import anki, audit, batching, judgments, naming, prompt, remediation, rules, scoring, tasks, validate, views
-from notegauge.vocab import COMPONENT_CODES, DIMENSIONS, LOSSES, MODES, PENALTIES, PROMPT_VERSION, ROW_STATUSES
+from notegauge.operators import anki, audit, batching, contracts, judgments, naming, prompt, remediation, rules, scoring, tasks, triage, validate, views
+from notegauge.sources import jsonl
+from notegauge.vocab import COMPONENT_CODES, DIMENSIONS, LOSSES, MODES, PENALTIES, PROMPT_VERSION, ROW_STATUSES, vocabulary
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -780,3 +782,212 @@ def report_rows(spark, sf_dir):
 
     line = report.table_rows(audited(spark, sf_dir)).select(F.regexp_extract("line", r"^(\| \[\[(\d+)\]\] \| \d+ \| \w+)", 1).alias("cells"))
     return line.select(F.regexp_extract("cells", r"(\d+)", 1).cast("long").alias("doc_id"), "cells")
+
+
+# --- more joins, checks and text ------------------------------------------------------
+
+
+@query(MERGED + ", dims AS (SELECT doc_id, " + ", ".join(f"greatest(0, 100 - coalesce(list_sum(list_transform(raw_codes, lambda x: {cases({c: p.get(d, 0) for c, p in PENALTIES.items()}, 'x', '0')})), 0))::INTEGER AS {d}" for d in DIMENSIONS) + " FROM base) SELECT doc_id, " + ", ".join(f"CASE WHEN has_label THEN greatest(0, {d} - 10) ELSE {d} END AS {d}" if d == "clarity" else d for d in DIMENSIONS) + " FROM dims JOIN judged USING (doc_id)")
+def judged_dimensions(spark, sf_dir):
+    """M9: a judgment lowers one dimension by ten; none falls below zero."""
+    merged = judgments.merge(audited(spark, sf_dir), labelled(spark, sf_dir))
+    return merged.select(doc_id(), "dimensions.*")
+
+
+@query("""SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN 'duplicate ID ' || o_custkey::VARCHAR || ' also appears in n' || (min(o_orderkey) OVER (PARTITION BY o_custkey))::VARCHAR || '.md' ELSE '' END AS violations FROM orders WHERE o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'expected exactly one ID, found 0' FROM orders WHERE o_orderkey % 4 = 1""")
+def duplicate_cards(spark, sf_dir):
+    """Orders as card notes whose ID is the customer; the first note of an ID keeps it, notes without one are no duplicates."""
+    o = table(spark, sf_dir, "orders").filter("o_orderkey % 4 < 2")
+    path = F.concat(F.lit("n"), F.col("o_orderkey").cast("string"), F.lit(".md"))
+    none = F.lit(None).cast("string")
+    spec = o.select(F.col("o_orderkey").alias("entry"), path.alias("note_path"), F.lit(True).alias("anki"), none.alias("expected_model"), none.alias("expected_deck"), F.lit(None).cast("int").alias("expected_card_count"), F.array(F.lit("q")).alias("representative_text"))
+    mark = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("<!--ID: "), F.col("o_custkey").cast("string"), F.lit("-->\n"))).otherwise("")
+    notes = o.select(path.alias("note_path"), F.concat(F.lit("TARGET DECK: General\nSTART\nBasic\nq\nBack: a\n"), mark, F.lit("END\n")).alias("content"))
+    return anki.source_checks(spec, notes).select(F.col("entry").alias("o_orderkey"), F.array_join("violations", "; ").alias("violations"))
+
+
+@query("""SELECT p_partkey, p_partkey % 3 <> 0 AS anki, CASE WHEN p_partkey % 2 = 0 THEN 'Basic' ELSE 'Cloze' END AS expected_model, CASE WHEN p_partkey % 5 = 0 THEN 'General' ELSE 'D' || (p_partkey % 5)::VARCHAR END AS expected_deck,
+CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE (p_partkey % 7 - 1)::INTEGER END AS expected_card_count,
+array_to_string(list_filter([CASE WHEN p_partkey % 11 = 0 THEN 'note_path must stay inside vault' END, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 7 = 1 THEN 'expected_card_count must be a positive integer' END,
+CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 13 = 0 THEN 'representative_text is required for Anki-backed notes' END], lambda x: x IS NOT NULL), '; ') AS violations FROM part""")
+def card_entries(spark, sf_dir):
+    """V8: parts as entries of a card specification, with their defaults and what is wrong with them."""
+    k = F.col("p_partkey")
+    path = F.concat(F.when(k % 11 == 0, "../").otherwise(""), F.lit("n"), k.cast("string"), F.lit(".md"))
+    spec = table(spark, sf_dir, "part").select(
+        k.alias("entry"), path.alias("note_path"), F.when(k % 3 == 0, False).alias("anki"), F.when(k % 2 != 0, "Cloze").alias("expected_model"), F.when(k % 5 != 0, F.concat(F.lit("D"), (k % 5).cast("string"))).alias("expected_deck"),
+        F.when(k % 7 != 0, (k % 7 - 1).cast("int")).alias("expected_card_count"), F.when(k % 13 != 0, F.array(F.lit("x"))).alias("representative_text"),
+    )
+    return anki.normalized(spec).select(F.col("entry").alias("p_partkey"), "anki", "expected_model", "expected_deck", "expected_card_count", F.array_join("violations", "; ").alias("violations"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'missing TARGET DECK marker' WHEN 2 THEN 'expected exactly one TARGET DECK marker' WHEN 3 THEN 'source deck=Odd, expected=General'
+WHEN 4 THEN 'expected exactly one START/END block' WHEN 5 THEN 'missing Basic model marker' ELSE 'missing local Basic card content' END AS violations, CASE WHEN p_partkey % 2 = 0 THEN '' || p_partkey::VARCHAR || ',' || (p_partkey + 1)::VARCHAR ELSE '' END AS ids FROM part""")
+def card_markers(spark, sf_dir):
+    """Card notes that break one marker rule each, and the IDs that they state."""
+    k = F.col("p_partkey") % 7
+    deck = F.when(k == 1, "").when(k == 2, "TARGET DECK: General\nTARGET DECK: General\n").when(k == 3, "TARGET DECK: Odd\n").otherwise(" TARGET DECK: General \n")
+    inside = F.when(k == 5, "q\nBack: a\n").when(k == 6, " Basic \n\n").otherwise("Basic\nq\nBack: a\n")
+    ids = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<!--ID: "), F.col("p_partkey").cast("string"), F.lit("-->\n<!--ID:"), (F.col("p_partkey") + 1).cast("string"), F.lit("-->\n<!--ID: x-->\n"))).otherwise("")
+    text = F.concat(deck, F.lit("START\n"), inside, F.when(k == 4, "").otherwise("END\n"), ids)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(anki.marker_violations(text, F.lit("Basic"), F.lit("General")), "; ").alias("violations"), F.array_join(anki.card_ids(text), ",").alias("ids"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS moment FROM orders""")
+def iso_times(spark, sf_dir):
+    """P23."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", audit.iso(F.col("o_orderdate").cast("timestamp")).alias("moment"))
+
+
+@query(BASE + "SELECT doc_id, score, priority FROM base ORDER BY doc_id LIMIT 1")
+def point_lookup(spark, sf_dir):
+    """the one audit row of a note."""
+    rows = audited(spark, sf_dir)
+    first = rows.agg(F.min("note_path")).first()[0]
+    return prompt.single(rows, first).select(doc_id(), "score", "priority")
+
+
+#: JSON texts of audit rows that break one rule each, by the document's size.
+BROKEN = {
+    0: ("", ""), 1: ("replace(row, '\"score\":90', '\"score\":\"high\"')", "score must be an integer from 1 to 100 or null"), 2: ("replace(row, '\"score\":90', '\"score\":90.5')", "score must be an integer from 1 to 100 or null"),
+    3: ("replace(row, '\"run_id\":\"r\"', '\"run_id\":5')", "run_id must be a non-empty string"), 4: ("replace(row, '{\"schema', '{\"odd\":1,\"schema')", "row has unsupported keys: odd"), 5: ("replace(row, '\"clean\":false,', '')", "Missing required keys: clean"),
+    6: ("'not json at all'", "not valid JSON"), 7: ("'[1,2]'", "row must be an object"), 8: ("replace(row, '\"findings\":[]', '\"findings\":[{\"code\":\"nope\",\"message\":\"m\"}]')", "Invalid findings[0].code: nope"),
+    9: ("replace(row, '\"structure\":1', '\"structure\":101')", "dimensions.structure must be an integer from 0 to 100"), 10: ("replace(row, '\"priority\":null', '\"priority\":\"P9\"')", "Invalid priority: P9"),
+    11: ("replace(row, '\"clean\":false', '\"clean\":0')", "clean must be a boolean"), 12: ("replace(row, '[[a]]', '[[ |a]]')", "note_link must be an Obsidian wikilink"),
+}
+GOOD_ROW = '{"schema_version":"1.0.0","run_id":"r","row_status":"complete","note_path":"a.md","note_link":"[[a]]","content_hash":"h","modified_time":"t","score":90,"priority":null,"clean":false,"pending_model":false,"dimensions":{' + ",".join(f'"{d}":1' for d in DIMENSIONS) + '},"findings":[],"recommendations":[],"model_judgment":null,"cache_status":"none","factual_risk":false,"fact_check_required":false,"config_snapshot":{},"doctrine_version":"1","rubric_version":"1","prompt_version":"1"}'
+BROKEN_SQL = "CASE CAST(doc_id % 13 AS INTEGER) " + " ".join(f"WHEN {k} THEN {sql}" for k, (sql, _) in BROKEN.items() if sql) + " ELSE row END"
+TOLD_SQL = "CASE CAST(doc_id % 13 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{m}'" for k, (_, m) in BROKEN.items()) + " END"
+
+
+@query(f"SELECT doc_id AS line, {TOLD_SQL} AS error FROM documents WHERE doc_id % 13 <> 0")
+def jsonl_violations(spark, sf_dir):
+    """Lines of JSON that break the contract of audit rows, each with the first thing wrong."""
+    lines = table(spark, sf_dir, "documents").withColumn("row", F.lit(GOOD_ROW)).select(F.lit("f").alias("file"), F.col("doc_id").alias("line"), F.expr(BROKEN_SQL).alias("value"))
+    return jsonl.violations(lines, contracts.audit_row).select("line", "error")
+
+
+JUDGED = '{"schema_version":"2.0.0","prompt_version":"1.0.2","note_path":"a.md","dimension_adjustments":{},"findings":[],"factual_risk":false,"factual_risk_reason":null,"fact_check_required":false,"evidence":[]}'
+MISJUDGED = {
+    1: ('"schema_version":"2.0.0"', '"schema_version":"1.0.0"', "model_judgment.schema_version must be 2.0.0"), 2: ('"dimension_adjustments":{}', '"dimension_adjustments":{"clarity":-101}', "model_judgment.dimension_adjustments.clarity must be an integer from -100 to 100"),
+    3: ('"factual_risk":false', '"factual_risk":true', "model_judgment.factual_risk_reason must explain factual_risk"), 4: ('"evidence":[]', '"evidence":[{"excerpt":"' + "w " * 41 + '","reason":"r"}]', "model_judgment.evidence[0].excerpt must be 40 words or fewer"),
+    5: ('"findings":[]', '"findings":[{"code":"unclear"}]', "model_judgment.findings[0] missing required keys: message"), 6: ('"fact_check_required":false', '"fact_check_required":"no"', "model_judgment.fact_check_required must be a boolean"),
+}
+
+
+@query("SELECT doc_id AS line, CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN '{m}'" for k, (_, _, m) in MISJUDGED.items()) + " END AS error FROM documents WHERE doc_id % 7 <> 0")
+def judgment_lines(spark, sf_dir):
+    """V4 on JSON text: judgments that break one rule each."""
+    value = F.lit(JUDGED)
+    for k, (old, new, _) in MISJUDGED.items():
+        value = F.when(F.col("doc_id") % 7 == k, F.lit(JUDGED.replace(old, new))).otherwise(value)
+    lines = table(spark, sf_dir, "documents").select(F.lit("f").alias("file"), F.col("doc_id").alias("line"), value.alias("value"))
+    return jsonl.violations(lines, contracts.judgment).select("line", "error")
+
+
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos, role AS note_path, '1.0.2' AS prompt_version, '2.0.0' AS schema_version FROM conversations")
+def batch_responses(spark, sf_dir):
+    """Answers to batches, fenced, as lines or as one array; what they say of their versions is overruled."""
+    one = F.concat(F.lit('{"note_path":"'), F.col("role"), F.lit('","prompt_version":"0","findings":[]}'))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("json")))), lambda p: p["json"])
+    answers = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("batch_id")).agg(parts.alias("parts"))
+    text = F.when(F.col("batch_id") % 2 == 0, F.concat(F.lit("```json\n["), F.array_join("parts", ","), F.lit("]\n```"))).otherwise(F.array_join("parts", "\n\n"))
+    got = batching.responses(answers.select("batch_id", text.alias("response")))
+    return got.select(F.col("batch_id").alias("conv_id"), "pos", "note_path", "prompt_version", "schema_version")
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 7)::BIGINT AS batch_id FROM (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 150) WHERE doc_id % 3 <> 0")
+def limited_batches(spark, sf_dir):
+    """The first rows in the order of their file, then without those already done, then in batches."""
+    path = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    rows = table(spark, sf_dir, "documents").select(path.alias("note_path"), F.lit(1).alias("size"), (-F.col("doc_id")).alias("line"), "doc_id")
+    done = rows.orderBy("line").limit(150).filter("doc_id % 3 = 0").select("note_path")
+    got = batching.pending_batches(rows.drop("doc_id"), done, limit=150, order="line", max_notes=7)
+    return got.select(F.col("note_path").cast("long").alias("doc_id"), "batch_id")
+
+
+@query(BASE + "SELECT doc_id, score, priority, array_to_string(raw_codes, ',') AS codes, 1 AS lines FROM base")
+def jsonl_round_trip(spark, sf_dir):
+    """Rows written as JSON Lines and read back through the strict reader, in order."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/notegauge-{uuid.uuid4().hex}"
+    jsonl.write(audited(spark, sf_dir), path)
+    lines = jsonl.strict_lines(spark, path, contracts.audit_row)
+    again = jsonl.typed_lines(lines).join(jsonl.typed(spark, path).select("note_path", F.lit(1).alias("lines")), "note_path")
+    return again.select(doc_id(), "score", "priority", joined(scoring.codes(F.col("findings"))).alias("codes"), "lines")
+
+
+# --- tasks, triage ---------------------------------------------------------------------
+
+BODY_LINES = ("## Context\nc\n", "## Definition of done\n- [x] a\n", "## Inputs\n- None required.\n", "## Constraints\n- None.\n", "## Source\nDirect user request.\n", "## Deliverables\n", "## Result\ndone\n", "## Work log\n- 2024-01-02 10:11 \u2014 Agent: Began.\n")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'missing sections: Inputs' WHEN 2 THEN 'sections are out of order' WHEN 3 THEN 'done with an unchecked item' WHEN 4 THEN 'work log entry is malformed' WHEN 5 THEN 'blocked requires Unblock condition'
+WHEN 6 THEN '' WHEN 7 THEN 'Unblock condition is stale for this status' ELSE 'done requires Result or Deliverables' END AS violations FROM part""")
+def task_bodies(spark, sf_dir):
+    """Parts as task notes whose bodies break one rule each."""
+    whole = list(BODY_LINES)
+    unblock = [*whole[:7], "## Unblock condition\nwhen it comes\n", whole[7]]
+    bodies = [
+        ("done", whole), ("todo", whole[:2] + whole[3:]), ("todo", [whole[1], whole[0], *whole[2:]]), ("done", [whole[0], "## Definition of done\n- [x] a\n- [ ] b\n", *whole[2:]]), ("todo", [*whole[:7], "## Work log\n- yesterday: began\n"]),
+        ("blocked", whole), ("blocked", unblock), ("todo", unblock), ("done", [*whole[:6], "## Result\n\n~~~\n## no heading\n~~~\n".split("~~~")[0], whole[7]]),
+    ]
+    pick = lambda k: F.get(F.array(*[F.lit(b[0] if k == 0 else "---\nstatus: x\n---\n# Task\n\n" + "\n".join(b[1])) for b in bodies]), (F.col("p_partkey") % 9).cast("int"))
+    df = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("status"), tasks.body_sections(pick(1)).alias("sections"))
+    return df.select("p_partkey", F.array_join(tasks.body_violations(F.col("sections"), F.col("status")), "; ").alias("violations"))
+
+
+@query("""WITH t AS (SELECT c_custkey, 'Tasks/' || lpad(c_custkey::VARCHAR, 9, '0') || '.md' AS path, lower(c_mktsegment) || (c_nationkey % 5)::VARCHAR AS goal, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::VARCHAR END AS project FROM customer),
+f AS (SELECT path, 'goal' AS facet, goal AS v FROM t UNION ALL SELECT path, 'project', project FROM t WHERE project IS NOT NULL),
+m AS (SELECT facet, v, min(path) AS other FROM f GROUP BY ALL HAVING count(*) > 1)
+SELECT path, other, string_agg(facet, ',' ORDER BY facet) AS shared FROM f JOIN m USING (facet, v) WHERE path <> other GROUP BY path, other""")
+def closest_tasks(spark, sf_dir):
+    """Customers as tasks; each is shown the first with the same goal or project."""
+    goal = F.concat(F.when(F.col("c_custkey") % 3 == 0, F.upper("c_mktsegment")).otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"))), (F.col("c_nationkey") % 5).cast("string"))
+    t = table(spark, sf_dir, "customer").select(F.concat(F.lit("Tasks/"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit(".md")).alias("path"), goal.alias("goal"), F.lit("  ").alias("title"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).alias("project"))
+    return tasks.closest(t, ("goal", "title", "project")).select("path", "other", F.array_join("shared", ",").alias("shared"))
+
+
+@query(BASE + "SELECT doc_id, CASE WHEN len(raw_codes) > 0 THEN 'flagged' ELSE 'sample' END AS reason FROM base WHERE len(raw_codes) > 0 OR ('0x' || substr(sha256('notes/' || lpad(doc_id::VARCHAR, 12, '0') || '.md'), 1, 8))::BIGINT % 10 = 0")
+def notes_to_judge(spark, sf_dir):
+    """Flagged notes, and every tenth clean one by a hash of its path."""
+    return triage.to_judge(audited(spark, sf_dir)).select(doc_id(), "reason")
+
+
+@query(BASE + """SELECT doc_id, 'duplicate_overlap' AS reason, CASE WHEN NOT list_contains(raw_codes, 'duplicate_overlap') THEN 'resolved' WHEN doc_id % 4 = 0 THEN 'deferred' ELSE 'open' END AS status FROM base
+WHERE list_contains(raw_codes, 'duplicate_overlap') OR doc_id % 4 = 0""")
+def hold_queue(spark, sf_dir):
+    """E5: notes that wait for a decision; what was deferred stays so, what is no longer found is resolved."""
+    rows = audited(spark, sf_dir)
+    known = rows.filter(doc_id() % 4 == 0).select("note_path", "note_link", F.lit("duplicate_overlap").alias("reason"), F.lit("r").alias("recommendation"), F.lit("deferred").alias("status"), F.lit("later").alias("next_action"))
+    return triage.holds(rows, known).select(doc_id(), "reason", "status")
+
+
+@query("""WITH n AS (SELECT doc_id, 'doc' || doc_id::VARCHAR AS stem, 'doc' || (doc_id * 7 % 1000)::VARCHAR AS a, 'doc' || n_chars::VARCHAR AS b, n_chars FROM documents), l AS (SELECT doc_id, a AS target FROM n UNION SELECT doc_id, b FROM n),
+back AS (SELECT n.doc_id, count(*) AS backlinks FROM l JOIN n ON l.target = n.stem AND l.doc_id <> n.doc_id GROUP BY n.doc_id)
+SELECT doc_id, coalesce(backlinks, 0) AS backlinks, CASE WHEN a = b THEN 1 ELSE 2 END AS outgoing, list_contains(['P'], 'P') AS card_markers, true AS stop FROM n LEFT JOIN back USING (doc_id)""")
+def dry_run_facts(spark, sf_dir):
+    """Links to and from a note and its cards, before a destructive step."""
+    notes = marked(spark, sf_dir).select(F.concat(F.lit("notes/doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("note_path"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stem"), "content")
+    return triage.dry_run_facts(notes).select(F.regexp_extract("note_path", r"(\d+)", 1).cast("long").alias("doc_id"), "backlinks", "outgoing", "card_markers", "stop")
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS plain FROM documents")
+def plain_parent_entry(spark, sf_dir):
+    """A structure note lists a note by its full stem, without an alias."""
+    stem = F.concat(F.lit("202401010101 doc"), F.col("doc_id").cast("string"))
+    line = F.concat(F.lit("- [["), stem, F.when(F.col("doc_id") % 2 == 0, "]]").otherwise("|alias]]"))
+    return table(spark, sf_dir, "documents").select("doc_id", naming.parent_entry_ok(line, stem).alias("plain"))
+
+
+@query("SELECT doc_id, chr(39) || 'a' || chr(39) || chr(39) || 's ' || doc_id::VARCHAR || chr(39) AS yaml FROM documents")
+def yaml_quoting(spark, sf_dir):
+    """P26."""
+    return table(spark, sf_dir, "documents").select("doc_id", views.yaml_quoted(F.concat(F.lit("a's "), F.col("doc_id").cast("string"))).alias("yaml"))
+
+
+@query("SELECT code, loss, component, bound FROM (VALUES " + ", ".join(f"('{c}', {loss}, {str(c in COMPONENT_CODES).lower()}, CASE WHEN {str(c in COMPONENT_CODES).lower()} THEN 35 ELSE {loss} END)" for c, loss in LOSSES.items()) + ") t(code, loss, component, bound)")
+def vocabulary_table(spark, sf_dir):
+    """The vocabulary as the prompt and the scores read it."""
+    told = F.split(F.lit(prompt.judgment_prompt(spark)), "\n")
+    return vocabulary(spark).filter(F.exists(told, lambda x: F.startswith(x, F.concat(F.lit("| `"), F.col("code"), F.lit("` | "), F.col("loss").cast("string"))))).select("code", "loss", "component", F.when(F.col("component"), 35).otherwise(F.col("loss")).alias("bound"))
