@@ -3,35 +3,35 @@
 Writing is one DataFrame write of text with the record separator as its line
 separator, so Spark's own commit protocol covers lost tasks and any file system.
 
-Reading trusts no magic by itself. Every occurrence of the version line is only a
-candidate; its header names a length and so the offset of its successor. From
-offset 0, pointer jumping over candidate-to-successor links keeps the candidates
-that the chain reaches; a version line inside a payload is never on it.
+Reading trusts no magic by itself. The version line is the separator of a text scan,
+so that splits of plain files (and whole compressed ones) are read as streams, and
+every occurrence is only a candidate. From the lengths of the pieces follow the
+offsets of the candidates, from their headers those of their successors. Per file,
+pointer jumping over these links from offset 0 keeps the candidates that the chain
+reaches; a version line inside a payload is never on it. Payloads stay where they were
+read: a record that is one piece was hashed there, and only the pieces of the others
+are brought together.
 """
 
 from __future__ import annotations
 
-import gzip
-import hashlib
-import re
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegauge.llm.common import checkpointed, delete_on_exit, lookup_join, scratch_path
 from notegauge.runtime import ship
 
-MAGIC = b"WARC/1.1\r\n"
+MAGIC = "WARC/1.1\r\n"
 CRLF = "\r\n"
 END = "\r\n\r\n"
 #: Payloads below this many bytes are never replaced by a revisit.
 MIN_BYTES = 1000
-#: Records to a file: archives stay small enough for one task each.
+#: Records to a file.
 RECORDS = 4096
-LENGTH = re.compile(rb"\r\nContent-Length: *(\d+) *\r\n", re.I)
+#: What a revisit of equal payloads is called.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def decide(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -49,9 +49,13 @@ def decide(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 
 def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """One text column: the records of decide()'s rows, without the separator that ends them."""
+    """One text column: the records of decide()'s rows, without the separator that ends them.
+
+    A response holds an HTTP answer with the payload as its body; a revisit has no block.
+    """
     revisit = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     head = F.concat_ws(
         CRLF,
         F.lit("WARC/1.1"),
@@ -62,10 +66,11 @@ def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name(F.col("refers_to")))),
-        F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))),
+        F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
+        F.lit("Content-Type: application/http; msgtype=response"),
+        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.octet_length(answer) + F.col("payload_bytes"))),
     )
-    return pages.select(F.concat(head, F.lit(END), F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
+    return pages.select(F.concat(head, F.lit(END), F.when(revisit, "").otherwise(F.concat(answer, F.col("html")))).alias("value"))
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
@@ -73,17 +78,6 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets of version lines, offsets their headers name as the next record; -1 without a sound header)."""
-    at = [m.start() for m in re.finditer(re.escape(MAGIC), data)]
-    following = []
-    for o in at:
-        stop = data.find(b"\r\n\r\n", o)
-        m = LENGTH.search(data, o, stop + 2) if stop >= 0 else None
-        following.append(stop + 4 + int(m[1]) + 4 if m and stop + 8 + int(m[1]) <= len(data) else -1)
-    return np.array(at, np.int64), np.array(following, np.int64)
-
-
 def reachable(offsets: np.ndarray, following: np.ndarray) -> np.ndarray:
     """Indices of the candidates on the chain from offset 0, by pointer jumping in log2(n) rounds."""
     n = len(offsets)
@@ -100,42 +94,76 @@ def reachable(offsets: np.ndarray, following: np.ndarray) -> np.ndarray:
     return np.flatnonzero(on[:n])
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of every reachable record."""
-    offsets, following = candidates(data)
-    for k in reachable(offsets, following):
-        if following[k] < 0:
-            continue  # cut off
-        o = int(offsets[k])
-        stop = data.find(b"\r\n\r\n", o)
-        head = data[o:stop].decode("utf-8", "replace").split("\r\n")[1:]
-        yield {a.lower(): b.strip() for a, _, b in (x.partition(":") for x in head)}, data[stop + 4 : int(following[k]) - 4]
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, id, data) of what stands between version lines, in the order of the ids in a split that begins at ``start``."""
+    raw = spark.read.option("lineSep", MAGIC).option("recursiveFileLookup", "true").text(path)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+
+
+def described(df: DataFrame, value: str = "value") -> DataFrame:
+    """``df`` with what the bytes after a version line tell: head_bytes and length (null without a sound header), size, the record's fields, and
+    payload_bytes and payload_digest if the whole record is there."""
+    text = F.col(value)
+    head = F.substring_index(text, END, 1)
+    field = lambda name: F.nullif(F.trim(F.regexp_extract(F.concat(F.lit(CRLF), F.col("__head")), rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
+    sound = F.contains(text, F.lit(END))
+    df = df.withColumn("__head", F.when(sound, head)).withColumn("head_bytes", F.octet_length("__head").cast("long")).withColumn("size", F.octet_length(text).cast("long"))
+    length = F.when(field("content-length").rlike(r"^\d{1,18}$"), field("content-length").cast("long"))
+    df = df.withColumn("length", length).withColumn("kind", F.coalesce(field("warc-type"), F.lit("")))
+    whole = F.col("size") >= F.col("head_bytes") + F.col("length") + 2 * len(END)
+    block = F.when(whole, F.substring(text.cast("binary"), (F.col("head_bytes") + len(END) + 1).cast("int"), F.col("length").cast("int")))
+    df = df.withColumn("__block", block).withColumn("__http", F.coalesce(F.startswith(field("content-type"), F.lit("application/http")), F.lit(False)))
+    told = F.octet_length(F.substring_index(F.col("__block").cast("string"), END, 1))
+    answered = F.col("__http") & F.contains(F.col("__block").cast("string"), F.lit(END))
+    payload = F.when(answered, F.substring(F.col("__block"), told + len(END) + 1, F.octet_length("__block"))).otherwise(F.col("__block"))
+    number = lambda name: F.regexp_extract(F.coalesce(field(name), F.lit("")), r"<urn:x-page:(-?\d+)>", 1)
+    visited = F.col("kind") == "revisit"
+    return df.withColumn("__payload", payload).select(
+        *[c for c in df.columns if c not in ("__head", "__block", "__http", value)],
+        F.nullif(number("warc-record-id"), F.lit("")).cast("long").alias("page_id"), F.nullif(number("warc-refers-to"), F.lit("")).cast("long").alias("refers_to"),
+        F.when(visited, field("x-payload-length").cast("long")).otherwise(F.octet_length("__payload").cast("long")).alias("payload_bytes"),
+        F.when(visited, F.regexp_replace(field("warc-payload-digest"), "^sha1:", "")).otherwise(F.sha1("__payload")).alias("payload_digest"),
+    )
+
+
+def _chain(given: pa.Table) -> pa.Table:
+    """(id, record, nth, whole) of the pieces of a file that belong to records on its chain: the id of the piece that a record begins
+    with, the piece's number in the record, and whether the record is this piece alone."""
+    given = given.sort_by([("start", "ascending"), ("id", "ascending")])
+    ids, size, head, length = (given[c].to_numpy(zero_copy_only=False) for c in ("id", "size", "head_bytes", "length"))
+    ends = np.cumsum(size + len(MAGIC)) - len(MAGIC)  # where each piece ends in the file
+    offsets = ends[:-1]  # the version line before the next piece; the first piece is what stands before the first of them
+    ids, size, head, length = ids[1:], size[1:], head[1:], length[1:]
+    following = np.where(np.isnan(head + length), -1, offsets + len(MAGIC) + np.nan_to_num(head) + np.nan_to_num(length) + 2 * len(END)).astype(np.int64)
+    following[following > ends[-1]] = -1  # cut off
+    records = reachable(offsets, following)
+    records = records[following[records] >= 0]
+    owner = np.searchsorted(records, np.arange(len(ids)), side="right") - 1
+    inside = np.flatnonzero((owner >= 0) & (offsets < following[records[np.maximum(owner, 0)]] if len(records) else owner >= 0))
+    owner = records[owner[inside]]
+    whole = following[owner] <= offsets[owner] + len(MAGIC) + size[owner]
+    return pa.table({"id": ids[inside], "record": ids[owner], "nth": inside - owner, "whole": whole})
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under ``path`` (gzip or plain), payloads hashed as they were read."""
+    """One row per record of the archives under ``path`` (plain, or compressed in any way Spark reads), payloads hashed as they were read.
+
+    What is not on the chain from a file's start gives no row: junk before the first
+    version line, all after a broken link, and a record cut off by the end.
+    """
     ship(spark)
-    page = re.compile(r"<urn:x-page:(-?\d+)>")
-    columns = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda s: int(m[1]) if (m := page.search(s or "")) else None
-        for b in batches:
-            for value in b.column(0):
-                data = value.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = []
-                for head, block in parse(data):
-                    kind = head.get("warc-type", "")
-                    if kind == "revisit":
-                        size, digest = int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:")
-                    else:
-                        size, digest = len(block), hashlib.sha1(block).hexdigest()
-                    rows.append((number(head.get("warc-record-id")), size, digest, kind, number(head.get("warc-refers-to"))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, columns.types)], schema=columns)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    told = checkpointed(described(pieces(spark, path)))
+    numbers = told.select("file", "start", "id", "size", F.col("head_bytes").cast("double").alias("head_bytes"), F.col("length").cast("double").alias("length"))
+    on = checkpointed(numbers.groupBy("file").applyInArrow(lambda t: _chain(t.select(["start", "id", "size", "head_bytes", "length"])), "id long, record long, nth long, whole boolean"))
+    fields = ["page_id", "payload_bytes", "payload_digest", "kind", "refers_to"]
+    found = told.join(on.filter("whole"), "id").select(*fields)
+    parts = on.filter("not whole")
+    if not parts.isEmpty():
+        # a version line in the payload has cut the record: its pieces are read again, and only they travel
+        again = pieces(spark, path).select("id", "value").join(parts, "id")
+        joined = again.groupBy("record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda p: p["value"]), MAGIC).alias("value"))
+        found = found.unionByName(described(joined).select(*fields))
+    return found.withColumnRenamed("kind", "record_type")
 
 
 def archive(pages: DataFrame) -> DataFrame:

@@ -250,14 +250,58 @@ def test_magic_inside_payloads_is_not_a_record(spark):
     assert {i: r["refers_to"] for i, r in got.items() if r["record_type"] == "revisit"} == {1: 3, 2: 7}
 
 
+def record(block, kind="resource", page=1, more=b""):
+    return b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:x-page:%d>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind.encode(), page, more, len(block), block)
+
+
+def test_only_records_on_the_chain_are_read(spark, tmp_path):
+    """Plain and compressed files in many splits: magic in payloads, junk, a cut end, a broken link."""
+    inner = record(b"inner", page=99)
+    blocks = [b"one", inner * 3, b"", bytes(range(256)), b"WARC/1.1\r\n" * 50, "é漢".encode() * 300]
+    data = [b"".join(record(b, page=100 * k + i) for i, b in enumerate(blocks)) for k in range(4)]
+    folder = tmp_path / "a" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "whole.warc").write_bytes(data[0])
+    (folder / "packed.warc.gz").write_bytes(gzip.compress(data[1]))
+    (folder / "cut.warc").write_bytes(data[2] + record(b"lost", page=299)[:-9])
+    (folder / "junk.warc").write_bytes(b"junk" + data[3])
+    (folder / "broken.warc").write_bytes(record(b"first", page=40) + b"x" + record(b"after", page=41))
+    (folder / "empty.warc").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.read(spark, str(tmp_path / "a")).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {100 * k + i: (len(b), hashlib.sha1(b).hexdigest()) for k in range(3) for i, b in enumerate(blocks)}
+    assert got == want | {40: (5, hashlib.sha1(b"first").hexdigest())}
+
+
+def test_archives_are_what_other_readers_expect(spark, tmp_path):
+    """Each record read by its length alone, as any sequential reader does: header lines, an HTTP answer or a revisit without a block."""
+    pages = [(i, f"http://x/{i}", f"<p>{'long ' * 300 if i % 3 else i}</p>") for i in range(30)]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    seen = {}
+    for path in (tmp_path / "w").glob("part-*"):
+        data = gzip.decompress(path.read_bytes())
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            version, *lines = head.decode().split("\r\n")
+            fields = dict(line.split(": ", 1) for line in lines)
+            n = int(fields["Content-Length"])
+            block, data = rest[:n], rest[n + 4 :]
+            assert version == "WARC/1.1" and rest[n : n + 4] == b"\r\n\r\n"
+            page = int(fields["WARC-Record-ID"].split(":")[-1].rstrip(">"))
+            if fields["WARC-Type"] == "revisit":
+                assert n == 0 and fields["WARC-Profile"] == warc.PROFILE and fields["WARC-Refers-To"] == "<urn:x-page:29>"
+            else:
+                status, _, body = block.partition(b"\r\n\r\n")
+                assert status.startswith(b"HTTP/1.1 200 OK\r\n") and body.decode() == pages[page][2]
+            seen[page] = fields["WARC-Type"]
+    assert seen == {i: "revisit" if i % 3 and i != 29 else "response" for i in range(30)}
+
+
 def test_reachable_by_jumping():
-    record = lambda b: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b)
-    inner = record(b"inner")
-    data = record(b"one") + record(inner * 3) + record(b"") + record(b"last")
-    assert [b for _, b in warc.parse(data)] == [b"one", inner * 3, b"", b"last"]
-    assert [b for _, b in warc.parse(data[:-9])] == [b"one", inner * 3, b""]
-    assert list(warc.parse(b"junk" + data)) == []
-    assert gzip.decompress(gzip.compress(data)) == data
+    offsets, following = np.array([0, 10, 25, 40, 70]), np.array([25, 40, 70, 70, 90])
+    assert warc.reachable(offsets, following).tolist() == [0, 2, 4]
+    assert warc.reachable(offsets + 1, following).tolist() == []
 
 
 # --- TIFF
