@@ -26,10 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: the session's checkpoint folder, or one of our own where none is named (tests)."""
+    """The folder that all executors see: the session's checkpoint folder. Where none is named, one of our own, which
+    only a session on one machine can do with: elsewhere that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="notegauge-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="notegauge-"))
     return sc.getCheckpointDir()
 
 

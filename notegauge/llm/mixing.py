@@ -23,6 +23,10 @@ REPEATS = 3
 BLOCK, SLOTS = 512, 4096
 GOLDEN = 0.6180339887498949
 GRID = 4096
+#: Of any n golden-ratio points, the number in an interval differs from n times its length by less than 2 + log(n) (the
+#: quotients of the ratio's continued fraction are all 1), so by less than REACH for every n below 2**64: no source has more
+#: slots beyond its target.
+REACH = 64
 #: Slots per bucket, and documents to a bucket of a source on average.
 RUN = 1 << 14
 SPREAD = 512
@@ -98,7 +102,7 @@ def mix(docs: DataFrame, *carried: str) -> DataFrame:
     laid = checkpointed(laid.withColumn("__row", F.monotonically_increasing_id()))
     # every pass over a source that its target may reach puts the document somewhere in the block stream
     runs = laid.filter("size > 0").select("__row", "position", "size", "source_size", F.explode(F.expr(f"sequence(0, {REPEATS - 1})")).alias("turn"), "begin", "target")
-    runs = runs.withColumn("begin", F.col("begin") + F.col("turn") * F.col("source_size")).filter(F.col("begin") < F.col("target") + F.lit(64 * block))
+    runs = runs.withColumn("begin", F.col("begin") + F.col("turn") * F.col("source_size")).filter(F.col("begin") < F.col("target") + F.lit(REACH * block))
     pieces = runs.select("__row", "position", "begin", (F.col("begin") + F.col("size")).alias("end"), F.explode(F.expr(f"sequence(floor(begin / {block}), floor((begin + size - 1) / {block}))")).alias("rank"))
     reached = pieces.join(slots(plan, n_slots), ["position", "rank"])
     got = F.least(F.col("end"), (F.col("rank") + 1) * block) - F.greatest(F.col("begin"), F.col("rank") * block)

@@ -248,18 +248,23 @@ def feature(samples: np.ndarray) -> str:
     return np.packbits(means > means.mean()).tobytes().hex()
 
 
+#: What a page tells.
+KINDS = {"page": "int", "width": "long", "height": "long", "bits": "int", "samples_per_pixel": "int", "samples": "binary", "feature": "string", "error": "string"}
+
+
 def pages(files: DataFrame, media: str = "media") -> DataFrame:
     """A row per page of the TIFF files in column ``media``: page, width, height, bits,
-    samples_per_pixel, samples (binary), feature, error; other columns pass through.
+    samples_per_pixel, samples (binary), feature, error; other columns pass through, under
+    ``file_<name>`` where they have the name of one of these.
 
     A null or unreadable file gives one row with page null and the reason in error.
     """
     ship(files.sparkSession)
+    files = files.withColumnsRenamed({c: f"file_{c}" for c in files.columns if c in KINDS and c != media})
     others = [c for c in files.columns if c != media]
     from pyspark.sql import types as T
 
-    kinds = {"page": "int", "width": "long", "height": "long", "bits": "int", "samples_per_pixel": "int", "samples": "binary", "feature": "string", "error": "string"}
-    schema = T.StructType([*[files.schema[c] for c in others], *[T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items()]])
+    schema = T.StructType([*[files.schema[c] for c in others], *[T.StructField(k, T._parse_datatype_string(v)) for k, v in KINDS.items()]])
     arrow = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +281,6 @@ def pages(files: DataFrame, media: str = "media") -> DataFrame:
                         rows.append((None,) * 7 + (str(e),))
                 kept = [c.take(pa.array(own, pa.int64())) for c in b.columns[: len(others)]]
                 made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, arrow)]
-                yield pa.RecordBatch.from_arrays([*kept, *made], [*others, *kinds])
+                yield pa.RecordBatch.from_arrays([*kept, *made], [*others, *KINDS])
 
     return files.select(*others, media).mapInArrow(run, schema)

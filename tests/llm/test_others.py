@@ -354,6 +354,25 @@ def test_big_endian_tiles_of_two_pages():
     assert (np.frombuffer(a.data, np.uint16).reshape(20, 40) == grid).all() and (b.width, b.height, b.samples, b.data) == (3, 2, 3, rgb)
 
 
+def test_query_columns_by_brute_force(spark, tmp_path):
+    """All that op5 returns, computed again from the texts and from the stored bytes."""
+    from notegauge.llm import queries
+
+    texts = ["", None, "a", "é" * 100, "x" * 63, "x" * 64, "x" * 65, "many words here " * 500, "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    media = {r["doc_id"]: bytes(r["media"]) for r in tiff.encode_texts(docs).collect()}
+    for r in queries.op5_tiff_pages(spark, str(tmp_path)).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        cells = np.frombuffer(payload, np.uint8)[: len(payload) // 64 * 64].reshape(64, -1).mean(axis=1)
+        bits = "".join("1" if c > cells.mean() else "0" for c in cells)
+        stored = media[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(stored), hashlib.sha256(stored).hexdigest(), f"{int(bits, 2):016x}")
+        assert stored[:4] == b"II*\0" and len(stored) < len(payload) + 200
+
+
 def test_bad_files_are_rows(spark):
     files = spark.createDataFrame([(1, b"no"), (2, None), (3, tiff.write(b"a" * 64))], "id int, media binary").coalesce(1)
     got = {r["id"]: r for r in tiff.pages(files).collect()}
@@ -479,6 +498,18 @@ def test_mix(spark):
     assert got.sort_values("doc_id").equals(mixing.mix(frame.repartition(7)).toPandas().sort_values("doc_id").reset_index(drop=True).set_index(got.sort_values("doc_id").index))
 
 
+def test_golden_points_fall_within_reach():
+    """Counts in intervals stay close to their share: the largest difference grows like the logarithm."""
+    n = 1 << 18
+    x = np.arange(n) * mixing.GOLDEN % 1
+    rng = np.random.default_rng(1)
+    worst = 0.0
+    for a, b in rng.random((60, 2)):
+        a, b = min(a, b), max(a, b)
+        worst = max(worst, np.abs(np.cumsum((x >= a) & (x < b)) - (b - a) * np.arange(1, n + 1)).max())
+    assert worst < 2 + np.log(n) and 2 + np.log(2.0**64) < mixing.REACH
+
+
 def test_copies_of_rows_without_doc_id_follow_their_source(spark):
     docs = [(None, " ".join([f"w{i}"] * 10), "a" if i < 20 else "b") for i in range(220)]
     rows = mixing.apply_mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
