@@ -6,7 +6,9 @@ within the radius have counts that differ by at most the radius in sum, so a til
 meets only the tiles inside that ball and every other pair of tiles is skipped.
 Inside a meeting numpy compares blocks by exclusive-or and bit counts, and skips
 pairs of blocks whose population counts per byte are too far apart. Nothing is
-approximate: each pair within the radius is compared exactly once.
+approximate: each pair within the radius is compared. A tile of many rows is cut by
+stretches of the bits, of which a pair within the radius shares one, so that a row
+goes to a few parts of a tile however large it is.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from notegauge.runtime import ship
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-#: Rows of a tile that one meeting holds in memory; larger tiles are split, losslessly.
+#: Rows of a tile that one meeting holds in memory, about; larger tiles are split, losslessly.
 TILE_ROWS = 8192
 #: Rows to a block inside a meeting.
 BLOCK = 256
@@ -96,15 +98,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     rows = rows.withColumn("tile", code([F.col(f"p{k}") for k in range(4)]).cast("int"))
     # at most 17**4 = 83,521 rows, whatever the input: safe to broadcast
     tiles = rows.groupBy("tile").count().select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    here = rows.join(F.broadcast(tiles), "tile").select("tile", own.alias("part"), F.lit(0).alias("side"), "fp", "rep")
-    ball = F.array(*[F.struct(*[F.lit(x).alias(f"o{k}") for k, x in enumerate(o)]) for o in half_ball(radius)])
+    # of radius + 1 stretches of the bits two fingerprints within the radius have one in common: in a tile of many parts
+    # a row goes to one part per stretch, whatever their number
+    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+    stretches = [F.shiftrightunsigned(F.shiftleft("fp", 64 - z), 64 - z + a) for a, z in zip(cuts, cuts[1:])]
+    own = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array(*[F.pmod(F.xxhash64(x), F.col("parts")).cast("int") + k * F.col("parts") for k, x in enumerate(stretches)]))
+    here = rows.join(F.broadcast(tiles), "tile").select("tile", F.explode(own).alias("part"), F.lit(0).alias("side"), "fp", "rep")
+    ball = F.array(*[F.struct(*[F.lit(x).alias(f"o{k}") for k, x in enumerate(o)]) for o in half_ball(radius) if any(o)])
     moved = rows.select("fp", "rep", "p0", "p1", "p2", "p3", F.explode(ball).alias("o"))
     moved = moved.filter(" and ".join(f"p{k} + o.o{k} between 0 and 16" for k in range(4)))
-    moved = moved.select("fp", "rep", code([F.col(f"p{k}") + F.col(f"o.o{k}") for k in range(4)]).cast("int").alias("tile"), F.expr("o.o0 = 0 and o.o1 = 0 and o.o2 = 0 and o.o3 = 0").alias("home"))
-    moved = moved.join(F.broadcast(tiles), "tile")
-    there = moved.select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "fp", "rep", F.when(F.col("home"), own).otherwise(-1).alias("from"))
-    there = there.filter("part > from").drop("from")
+    moved = moved.select("fp", "rep", code([F.col(f"p{k}") + F.col(f"o.o{k}") for k in range(4)]).cast("int").alias("tile"))
+    there = moved.join(F.broadcast(tiles), "tile").select("tile", F.explode(own).alias("part"), F.lit(1).alias("side"), "fp", "rep")
     n = partitions(distinct.sparkSession)
     met = here.unionByName(there).repartition(n, "tile", "part").sortWithinPartitions("tile", "part", "side")
     return met.mapInArrow(_meet(radius), "a long, b long")
