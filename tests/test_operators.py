@@ -87,6 +87,13 @@ def test_provenance(spark, found, error):
     judgments.check(audit_rows(spark, [[], []]), judged(spark, [{"note_path": "n0"}]), allow_missing=True)
 
 
+def test_a_null_key_is_a_violation(spark):
+    nulls = spark.createDataFrame([(None,)], "note_path string")
+    with pytest.raises(ValueError, match="odd: None"):
+        judgments.require(nulls, "odd")
+    judgments.require(nulls.limit(0), "odd")
+
+
 def test_row_and_judgment_violations(spark):
     rows = audit_rows(spark, [[]])
     bad = rows.withColumn("score", F.lit(101)).withColumn("note_link", F.lit("[[ |x]]")).withColumn("priority", F.lit("P9"))
@@ -138,7 +145,33 @@ def test_batches(spark):
     assert got == [0, 0, 0, 1, 2, 2, 2, 3]
 
 
+@pytest.mark.parametrize("spans", [1, 2, 7, 40])
+def test_batches_are_those_of_one_pass(spark, spans, monkeypatch):
+    """However the notes are cut into spans: null sizes, notes larger than a batch, groups and notes without one."""
+    import random
+
+    monkeypatch.setattr(batching, "SAMPLED", 3)
+    rng = random.Random(spans)
+    for grouped in (False, True):
+        rows = [(rng.choice([None, "a", "b", "c"]) if grouped else "x", f"n{i:04d}", rng.choice([None, 1, 5, 30, 60, 200])) for i in range(260)]
+        want, now = {}, object()
+        for g, p, size in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+            if g != now:
+                now, batch, count, chars = g, -1, 5, 0
+            if count >= 5 or (count and chars + (size or 0) > 100):
+                batch, count, chars = batch + 1, 0, 0
+            count, chars = count + 1, chars + (size or 0)
+            want[p] = batch
+        df = spark.createDataFrame(rows, "g string, note_path string, size long")
+        got = batching.greedy_batches(df, 5, 100, "g" if grouped else None, spans=spans).collect()
+        assert {r["note_path"]: r["batch_id"] for r in got} == want and len(got) == 260
+    assert batching.greedy_batches(df.limit(0)).count() == 0
+
+
 def test_responses():
+    for text in ("", "  \n", "```json\n\n```"):
+        with pytest.raises(ValueError, match="empty"):
+            batching.parse_response(text)
     assert batching.parse_response('```json\n[{"a": 1}]\n```') == [{"a": 1}]
     assert batching.parse_response('{"a": 1}') == [{"a": 1}]
     assert batching.parse_response('{"a": 1}\n\n{"a": 2}') == [{"a": 1}, {"a": 2}]
@@ -202,6 +235,18 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_stream_takes_the_latest_version(spark, tmp_path):
+    from datetime import datetime
+
+    when = [datetime(2024, 1, d) for d in (1, 3, 2)]
+    notes = spark.createDataFrame([("a.md", "a", f"# v{i}\n", t) for i, t in enumerate(when)] + [("b.md", "b", "x", None)], "note_path string, stem string, content string, modified_time timestamp")
+    targets = spark.createDataFrame([("a",)], "target string")
+    for batch in (notes, notes, notes.limit(1)):
+        audit_stream.audit_batch(batch, targets, str(tmp_path / "out"), "r", {})
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("note_path").agg(F.collect_list("modified_time").alias("t")).collect()
+    assert {r["note_path"]: sorted(r["t"]) for r in got} == {"a.md": ["2024-01-01T00:00:00Z", "2024-01-03T00:00:00Z"], "b.md": []}
+
+
 def test_cache_keys_are_the_hash_of_ascii_json(spark):
     import hashlib
 
