@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 #: A word: letters, digits and underscores, with apostrophes and hyphens inside.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 FRONTMATTER = r"(?s)^---[ \t]*\r?\n(?:(.*?)\r?\n)?---[ \t]*(?:\r?\n|\z)"
+COMMENT = r"(?s)<!--.*?-->"
 LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 WHITE = r"[\s\x1c-\x1f\x85   -     　]"
 
@@ -46,7 +48,17 @@ def words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
+def where(text: Column, hints: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
+    """``change`` of the texts that have one of the hints in them; it leaves the others as they are, so it need not be tried."""
+    return let(text, lambda t: F.when(reduce(or_, [F.contains(t, F.lit(h)) for h in hints]), change(t)).otherwise(t))
+
+
 def rendered_links(text: Column, names: bool = True) -> Column:
+    """_rendered_links() where there is a link."""
+    return where(text, ("[[",), lambda t: _rendered_links(t, names))
+
+
+def _rendered_links(text: Column, names: bool) -> Column:
     """Links as a reader sees them: aliases, or the note's name without path, heading, suffix and timestamp; embeds vanish."""
     part = r"[^\[\]\r\n|]*"
     text = F.regexp_replace(text, r"!\[\[[^\[\]\r\n]+\]\]", "")
@@ -60,12 +72,12 @@ def rendered_links(text: Column, names: bool = True) -> Column:
 
 
 def uncloze(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?d)\{\{c\d+::(.*?)(?:::.*?)?\}\}", "$1")
+    return where(text, ("{{c",), lambda t: F.regexp_replace(t, r"(?d)\{\{c\d+::(.*?)(?:::.*?)?\}\}", "$1"))
 
 
 def rendered_words(text: Column) -> Column:
     """Words of the text as rendered: links shown, clozes opened, comments gone."""
-    return words(F.regexp_replace(uncloze(rendered_links(text)), r"(?s)<!--.*?-->", " "))
+    return words(where(uncloze(rendered_links(text)), ("<!--",), lambda t: F.regexp_replace(t, COMMENT, " ")))
 
 
 def is_analogy(paragraph: Column) -> Column:
@@ -84,13 +96,17 @@ def link_target(target: Column) -> Column:
 
 
 # What is left out of claims, and where they part.
-CODE_BLOCK, MATH_BLOCK, MATH, COMMENT, URL = r"(?ms)^[ \t]{0,3}(`{3,}|~{3,}).*?^[ \t]{0,3}\1[ \t]*$", r"(?ms)^\$\$.*?^\$\$", r"\$[^$\r\n]+\$", r"(?s)<!--.*?-->", r"https?://\S+"
+CODE_BLOCK, MATH_BLOCK, MATH, URL = r"(?ms)^[ \t]{0,3}(`{3,}|~{3,}).*?^[ \t]{0,3}\1[ \t]*$", r"(?ms)^\$\$.*?^\$\$", r"\$[^$\r\n]+\$", r"https?://\S+"
 HEADING_LINE, MARKER_LINE = r"(?dm)^[ \t]{0,3}#{1,6}[ \t]+.*$", r"(?dm)^\s*(?:TARGET DECK:.*|START|END|Basic|Cloze)\s*$"
-BETWEEN_SENTENCES, SENTENCE_EDGE = r"(?dm)(?<=[.!?])\s+|(?:\r?\n){2,}|^\s*[-*+]\s+", r"^[ \t\r\n*-]+|[ \t\r\n*-]+\z"
+BETWEEN_SENTENCES, SENTENCE_EDGE = r"(?dm)(?<=[.!?])\s+|(?:\r?\n){2,}|^\s*[-*+]\s+", " \t\r\n-*"
 
 
 def without_trailing_references(text: Column) -> Column:
     """Cut the closing block of reference and source labels and what may stand in it, if it has a label."""
+    return let(text, lambda t: F.when(reduce(or_, [F.contains(F.lower(t), F.lit(h)) for h in ("reference", "source")]), _without_trailing_references(t)).otherwise(t))
+
+
+def _without_trailing_references(text: Column) -> Column:
     rows = F.split(text, "\n")
     label = lambda x: F.regexp_replace(x, r"\r\z", "").rlike(r"(?i)^(?:#{1,6}[ \t]+)?(?:reference|source)s?:?[ \t]*\z")
     inside = lambda x: x.rlike(r"^(?:\s*\z|[ \t]+|[-*+]\s|\d+[.)]\s|!\[\[|\[\[)")
@@ -101,10 +117,14 @@ def without_trailing_references(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences whose claims are judged: references, code, math, comments, URLs, headings and card marks left out."""
-    kept = reduce(lambda t, pattern: F.regexp_replace(t, pattern, " "), (CODE_BLOCK, MATH_BLOCK, MATH, COMMENT, URL), without_trailing_references(text))
-    shown = uncloze(rendered_links(kept, names=False))
-    prose = reduce(lambda t, pattern: F.regexp_replace(t, pattern, " "), (HEADING_LINE, MARKER_LINE), shown)
-    return F.filter(F.transform(F.split(prose, BETWEEN_SENTENCES), lambda s: F.regexp_replace(s, SENTENCE_EDGE, "")), lambda s: s != "")
+    text = without_trailing_references(text)
+    blanked = lambda pattern: lambda t: F.regexp_replace(t, pattern, " ")
+    for hints, pattern in ((("```", "~~~"), CODE_BLOCK), (("$$",), MATH_BLOCK), (("$",), MATH), (("<!--",), COMMENT), (("http",), URL)):
+        text = where(text, hints, blanked(pattern))
+    text = uncloze(rendered_links(text, names=False))
+    for hints, pattern in ((("#",), HEADING_LINE), (("TARGET DECK:", "START", "END", "Basic", "Cloze"), MARKER_LINE)):
+        text = where(text, hints, blanked(pattern))
+    return F.filter(F.transform(F.split(text, BETWEEN_SENTENCES), lambda s: F.btrim(s, F.lit(SENTENCE_EDGE))), lambda s: s != "")
 
 
 def table_cell(text: Column) -> Column:
