@@ -75,8 +75,9 @@ def source_checks(spec: DataFrame, notes: DataFrame) -> DataFrame:
     # the first entry of each ID, of all that state it, and the first of those without violations
     stated = df.filter("note_id is not null")
     sound = F.col("anki") & (F.size("violations") == 0)
-    owners = stated.groupBy("note_id").agg(F.min_by("note_path", "entry").alias("__first"), F.min(F.when(sound, F.col("entry"))).alias("__owner"))
-    df = df.join(owners, "note_id", "left").withColumn("__again", F.coalesce(sound & (F.col("entry") > F.col("__owner")), F.lit(False)))
+    owners = stated.groupBy(F.col("note_id").alias("__key")).agg(F.min_by("note_path", "entry").alias("__first"), F.min(F.when(sound, F.col("entry"))).alias("__owner"))
+    # notes without an ID have keys of their own, which no ID has, so that they do not meet in one task
+    df = df.withColumn("__key", F.coalesce("note_id", -F.col("entry").cast("long") - 1)).join(owners, "__key", "left").withColumn("__again", F.coalesce(sound & (F.col("entry") > F.col("__owner")), F.lit(False)))
     again = F.array(F.concat(F.lit("duplicate ID "), F.col("note_id").cast("string"), F.lit(" also appears in "), F.col("__first")))
     df = df.withColumn("violations", F.when(F.col("__again"), again).otherwise(F.col("violations")))
     columns = ("entry", "note_path", "anki", "expected_model", "expected_deck", "expected_card_count", "representative_text", "violations", "note_id")

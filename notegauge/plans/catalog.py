@@ -6,7 +6,6 @@ both sides synthesise the same Markdown around the whole text.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from notegauge.functions import text as X
 from notegauge.functions.html import visible
 from notegauge.functions.lexer import lexed
 from notegauge.operators import anki, audit, batching, contracts, judgments, naming, prompt, remediation, rules, scoring, tasks, triage, validate, views
+from notegauge.runtime import scratch
 from notegauge.sources import jsonl
 from notegauge.vocab import COMPONENT_CODES, DIMENSIONS, LOSSES, MODES, PENALTIES, PROMPT_VERSION, ROW_STATUSES, vocabulary
 
@@ -910,7 +910,7 @@ def limited_batches(spark, sf_dir):
 @query(BASE + "SELECT doc_id, score, priority, array_to_string(raw_codes, ',') AS codes, 1 AS lines FROM base")
 def jsonl_round_trip(spark, sf_dir):
     """Rows written as JSON Lines and read back through the strict reader, in order."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/notegauge-{uuid.uuid4().hex}"
+    path = scratch(spark)
     jsonl.write(audited(spark, sf_dir), path)
     lines = jsonl.strict_lines(spark, path, contracts.audit_row)
     again = jsonl.typed_lines(lines).join(jsonl.typed(spark, path).select("note_path", F.lit(1).alias("lines")), "note_path")

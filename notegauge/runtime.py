@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -16,7 +19,9 @@ def ship(spark: SparkSession | None = None) -> None:
     if getattr(sc, "_notegauge_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="notegauge-py-"), "notegauge.zip")
+    folder = tempfile.mkdtemp(prefix="notegauge-py-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "notegauge.zip")
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
@@ -24,6 +29,15 @@ def ship(spark: SparkSession | None = None) -> None:
     sc._notegauge_shipped = True
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors see, gone when the driver ends: in the checkpoint folder, or else in the warehouse."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root}/notegauge-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it comes in fewer partitions, as a small single file does; otherwise as it is.
 

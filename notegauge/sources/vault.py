@@ -1,8 +1,8 @@
 """A Python data source for folders of Markdown notes.
 
 Spark's file sources skip empty files and names that begin with ``_`` or ``.``; a
-vault counts them. Listing happens once on the driver; reading is spread over chunks
-of paths, so a folder of any size is read in parallel.
+vault counts them. The driver lists the upper folders; deeper ones are listed by the
+tasks that read them, and the notes of a large folder are read in chunks.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from notegauge.runtime import ship
 from notegauge.schemas import NOTE
 
 CHUNK = 256
+#: Levels of folders below the first that the driver lists.
+LISTED = 2
 
 
 def resolved(root: str, note_path: str) -> Path:
@@ -36,25 +38,34 @@ def resolved(root: str, note_path: str) -> Path:
 
 
 class Chunk(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Notes by path, or all that lie under a folder, which the task that reads them lists."""
+
+    def __init__(self, paths: list[str], folder: str | None = None):
+        self.paths, self.folder = paths, folder
 
 
 class VaultReader(DataSourceReader):
     def __init__(self, root: str, folder: str, chunk: int):
         self.root, self.folder, self.chunk = root, folder, chunk
 
+    def notes_in(self, place: str, files: list[str]) -> list[str]:
+        """Relative paths of the notes among the files of a folder."""
+        return sorted(os.path.relpath(os.path.join(place, f), self.root).replace(os.sep, "/") for f in files if f.endswith(".md"))
+
     def partitions(self) -> list[Chunk]:
-        """Chunks of relative paths in code-point order; a missing folder has none."""
-        found = []
-        for at, dirs, files in os.walk(os.path.join(self.root, self.folder)):
-            dirs.sort()
-            found += [os.path.relpath(os.path.join(at, f), self.root).replace(os.sep, "/") for f in files if f.endswith(".md")]
-        found.sort()
-        return [Chunk(found[i : i + self.chunk]) for i in range(0, len(found), self.chunk)] or [Chunk([])]
+        """Chunks of the notes in the first LISTED levels of folders, and the folders below; a missing folder has none."""
+        found, below = [], []
+        base = os.path.join(self.root, self.folder)
+        for at, dirs, files in os.walk(base):
+            found += self.notes_in(at, files)
+            if os.path.relpath(at, base).count(os.sep) + (at != base) == LISTED:
+                below += [Chunk([], os.path.join(at, d)) for d in sorted(dirs)]
+                dirs.clear()
+        return [Chunk(found[i : i + self.chunk]) for i in range(0, len(found), self.chunk)] + below or [Chunk([])]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
-        for path in partition.paths:
+        walked = (p for at, _, files in os.walk(partition.folder) for p in self.notes_in(at, files)) if partition.folder else ()
+        for path in (*partition.paths, *walked):
             full = os.path.join(self.root, path)
             with open(full, encoding="utf-8") as f:  # any line break is read as \n
                 content = f.read()

@@ -50,6 +50,15 @@ def test_hidden_and_empty_files_count(spark, tmp_path):
     assert {r["content"] for r in got} == {"", "x\ny"}
 
 
+def test_folders_of_any_depth_are_read(spark, tmp_path):
+    paths = ["a.md", "x/b.md", "x/y/c.md", "x/y/z/d.md", "x/y/z/w/v/e.md", "p/q/r/f.md", "p/q/r.md/g.md"]
+    for p in paths:
+        (tmp_path / "n" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "n" / p).write_text(p)
+    got = vault.notes(spark, str(tmp_path), "n").collect()
+    assert sorted(r["note_path"] for r in got) == sorted(f"n/{p}" for p in paths) and all(r["note_path"] == f"n/{r['content']}" for r in got)
+
+
 def risk(spark, text):
     df = rules.parsed(spark.createDataFrame([(text,)], "content string"))
     return df.select(rules.risky().alias("r")).first()["r"]
