@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: ASCII white space, as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]"
+#: Edges to a task when components are looked for, and the fewest tasks.
+EDGES, LEAST_TASKS = 50_000, 8
 #: A key with at least total/HOT rows is hot: at most HOT keys can be, so the hot side of a join has a fixed bound.
 HOT = 1000
 
@@ -111,16 +113,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     with the logarithm of the longest chain. Nothing is collected.
     """
     edges = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    # few edges are dealt to few tasks, in proportion: a round is a dozen small steps, whose files would outweigh the rows
+    tasks = max(LEAST_TASKS, -(-edges.count() // EDGES))
+    few = lambda df: df.coalesce(tasks)
+    edges = few(edges)
     while True:
         # large star: all larger neighbours of a node join its smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = lookup_join(both, checkpointed(low), ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        near = lookup_join(few(both), checkpointed(few(low)), ["u"], "n").filter("v > u")
+        large = checkpointed(few(few(near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")).distinct()))
         # small star: a node and its smaller neighbours join the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        # done when every node points straight at a root
+        low = few(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = few(large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        following = checkpointed(few(few(small.unionByName(low.select("u", F.col("m").alias("v")))).distinct()))
+        # done when every node points straight at a root: no node has two, none of those pointed at points on
         if following.join(following.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             if following.groupBy("u").count().filter("count > 1").isEmpty():
                 break

@@ -228,6 +228,8 @@ SIMILARITY, SLACK, WIDE, SKETCH = 0.8, 0.16, 5, 128
 WIDE_RADIUS = 20
 #: Rows meet that agree in one of BANDS stretches of BAND bytes of their sketches: of pairs at the similarity 99.8 % do, of closer ones more; README has the recall by kind of edit.
 BANDS, BAND, FIRST = 21, 6, 4
+#: Rows (a number each) that are broadcast at most.
+FEW_ROWS = 1_000_000
 #: Rows, and shingles, to a part of a tile; rows of a large tile that its parts have in common at first.
 PART_ROWS, PART_SHINGLES, LEADERS = 2048, 2_000_000, 64
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
@@ -293,8 +295,11 @@ def similar_links(labelled: DataFrame, grams: DataFrame, first: bool, radius: in
     member = member.withColumn("home", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).withColumn("shared", (F.col("parts") > 1) & shared)
     places = F.when(F.col("shared"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))
     member = member.select("tile", "row", "label", "home", F.explode(places).alias("part"))
-    payload = labelled.select("row", "fp", "sketch").join(grams, "row")
-    met = member.join(payload, "row").select("tile", "part", (F.col("part") != F.col("home")).cast("int").alias("side"), "label", "fp", "sketch", "grams")
+    member = checkpointed(member)
+    meeting_rows = member.select("row").distinct()
+    if meeting_rows.count() <= FEW_ROWS:  # only their shingles need to move; of more rows all do
+        grams = grams.join(F.broadcast(meeting_rows), "row", "left_semi")
+    met = member.join(labelled.select("row", "fp", "sketch"), "row").join(grams, "row").select("tile", "part", (F.col("part") != F.col("home")).cast("int").alias("side"), "label", "fp", "sketch", "grams")
     met = met.repartition(partitions(labelled.sparkSession), "tile", "part").sortWithinPartitions("tile", "part", "side")
     need = SKETCH * ((similarity - SLACK) * 255 / 256 + 1 / 256)
 
