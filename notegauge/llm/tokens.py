@@ -147,6 +147,9 @@ def encoder(path: str) -> Encoder:
     return kept(f"encoder {path}", lambda: Encoder(path))
 
 
+BYTES = [bytes([b]) for b in range(256)]
+
+
 class PieceTransducer:
     """The tokenizer's merges as a deterministic transducer over the bytes of a piece, its states made when first reached.
 
@@ -170,13 +173,22 @@ class PieceTransducer:
             chars = token.removesuffix(suffix) if ends else token
             if all(c in code for c in chars):
                 spelled[number] = bytes(code[c] for c in chars), ends
+        vocabulary = model["vocab"]
+        #: (left, right) -> (rank, token), and of each token the merge that makes it: (rank, left, right), rank -1 for single bytes.
+        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.made = {i: (-1, i, i) for i in vocabulary.values()}
+        for rank, m in enumerate(model["merges"]):
+            x, y = m if isinstance(m, list) else m.split(" ")
+            left, right, token = vocabulary[x], vocabulary[y], vocabulary[x + y]
+            self.merges[left, right] = rank, token
+            if self.made[token][0] < 0:
+                self.made[token] = rank, left, right
+        # a token that earlier merges keep from being made is in no encoding
+        spelled = {i: x for i, x in spelled.items() if self.made[i][0] < 0 or self.apart(*self.made[i][1:], self.made[i][0])}
         self.inner = {b: i for i, (b, ends) in spelled.items() if not ends}
         self.final = {b: i for i, (b, ends) in spelled.items() if ends}
-        self.spelled = spelled
         self.heads = {b[:k] for b, _ in spelled.values() for k in range(len(b) + 1)}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(model["vocab"][x], model["vocab"][y]): (rank, model["vocab"][x + y]) for rank, (x, y) in enumerate(pairs)}
-        self.follows: dict[tuple, bool] = {}
+        self.follows: dict[tuple[int, int], bool] = {}
         self.restart()
 
     def restart(self) -> None:
@@ -185,41 +197,46 @@ class PieceTransducer:
         self.next: list[dict[int, tuple[int, int]]] = [{}]
         self.last: list[dict[int, int]] = [{}]
 
-    def encoded(self, symbols: list[int]) -> list[int]:
-        """Tokens of a list of tokens by the merges: always the earliest merge, from the left."""
-        while len(symbols) > 1:
-            rank, i, token = min((*self.merges[p][:1], i, self.merges[p][1]) if (p := (x, y)) in self.merges else (1 << 60, i, -1) for i, (x, y) in enumerate(zip(symbols, symbols[1:])))
-            if token < 0:
-                break
-            symbols[i : i + 2] = [token]
-        return symbols
-
-    def symbols(self, token: int) -> list[int]:
-        data, ends = self.spelled[token]
-        out = [self.inner[data[k : k + 1]] for k in range(len(data))]
-        if ends:
-            out[-1] = self.final[data[-1:]]
-        return out
-
     def may_follow(self, before: int | None, token: int) -> bool:
-        """Whether the encoding can have ``token`` after ``before`` (None: at the start)."""
+        """Whether the encoding can have ``token`` after ``before`` (None: at the start).
+
+        Merges happen in the order of their ranks, and of one rank from the left. So the
+        two are taken apart again, the later merge first, and no merge across their border
+        may come before what is still together there.
+        """
+        if before is None:
+            return True
         key = (before, token)
-        if key not in self.follows:
+        known = self.follows.get(key)
+        if known is None:
             if len(self.follows) > PAIRS:
                 self.follows.clear()
-            if before is None:
-                self.follows[key] = self.encoded(self.symbols(token)) == [token]
+            known = self.follows[key] = self.apart(before, token)
+        return known
+
+    def apart(self, left: int, right: int, limit: int = 1 << 60) -> bool:
+        """Whether no merge ranked before ``limit`` crosses the border of two tokens."""
+        made, merges = self.made, self.merges
+        while True:
+            across = merges.get((left, right))
+            if across is not None and across[0] < limit:
+                return False
+            one, two = made[left], made[right]
+            if one[0] > two[0]:
+                limit, left = one[0], one[2]
+            elif two[0] >= 0:
+                limit, right = two[0] + 1, two[1]  # of one rank, the merge across is the one on the left
             else:
-                self.follows[key] = self.encoded(self.symbols(before) + self.symbols(token)) == [before, token]
-        return self.follows[key]
+                return True
 
     def ending(self, state: int, byte: int, tokens: dict[bytes, int]) -> tuple[bytes, int, int]:
         """(bytes of the state and this one, the last token, how many more tokens)."""
         data, lasts, counts = self.states[state]
-        data += bytes([byte])
-        for k in range(len(data)):
+        data += BYTES[byte]
+        follows = self.follows
+        for k, before in enumerate(lasts):
             token = tokens.get(data[k:])
-            if token is not None and self.may_follow(lasts[k], token):
+            if token is not None and (follows.get((before, token)) or self.may_follow(before, token)):
                 return data, token, counts[k] + 1
         raise ValueError(f"no token for byte {byte}")
 
@@ -227,15 +244,18 @@ class PieceTransducer:
         """(next state, emitted)."""
         data, token, emitted = self.ending(state, byte, self.inner)
         _, lasts, counts = self.states[state]
-        cut = next(k for k in range(len(data) + 1) if data[k:] in self.heads)
+        heads, cut = self.heads, 0
+        while data[cut:] not in heads:
+            cut += 1
         key = data[cut:], (*lasts[cut:], token), (*[c - emitted for c in counts[cut:]], 0)
-        if key not in self.places:
-            self.places[key] = len(self.states)
+        place = self.places.get(key)
+        if place is None:
+            place = self.places[key] = len(self.states)
             self.states.append(key)
             self.next.append({})
             self.last.append({})
-        self.next[state][byte] = self.places[key], emitted
-        return self.next[state][byte]
+        self.next[state][byte] = made = place, emitted
+        return made
 
     def count(self, piece: bytes) -> int:
         """Tokens of a piece that is not empty."""
@@ -246,9 +266,10 @@ class PieceTransducer:
             state, emitted = following[state].get(byte) or self.step(state, byte)
             total += emitted
         byte = piece[-1]
-        if byte not in self.last[state]:
-            self.last[state][byte] = self.ending(state, byte, self.final)[2]
-        return total + self.last[state][byte]
+        emitted = self.last[state].get(byte)
+        if emitted is None:
+            emitted = self.last[state][byte] = self.ending(state, byte, self.final)[2]
+        return total + emitted
 
 
 def byte_characters() -> dict[int, str]:
