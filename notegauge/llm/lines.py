@@ -242,7 +242,7 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """(doc_id, h1, h2): the keys that each document loses."""
-        frequent = self.references().filter(F.col("refs") >= self.min_docs).select("h1", "h2", "refs", "last")
+        frequent = checkpointed(self.references().filter(F.col("refs") >= self.min_docs).select("h1", "h2", "refs", "last"))
         total = self.holders().count()
         hot = frequent.filter(F.col("refs") * HOT >= max(total, HOT * 100)).select("h1", "h2", "last")  # at most HOT keys
         marked = self.holders().join(F.broadcast(hot.withColumnRenamed("last", "__last").withColumn("__hot", F.lit(True))), ["h1", "h2"], "left")
