@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notegauge.llm import imatch, lines, lm, mixing, packing, simhash, tiff, tokens, toxicity, warc
+from notegauge.llm import annulus, divergence, exact, imatch, lines, lm, mixing, packing, simhash, tiff, tokens, toxicity, warc
 from notegauge.llm.common import table
 
 
@@ -60,6 +60,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.over(spark, f"{sf_dir}/documents.parquet").result()
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_imatch_fingerprints": op2_imatch_fingerprints,
@@ -71,6 +84,9 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_annulus_clusters": op11_annulus_clusters,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: XXH64, the tokenizer and trained models are beyond SQL; those queries are tested against brute force.
@@ -123,3 +139,61 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, ({" + ".join(f"greatest(0, least(size, coalesce(slots, 0) * block - begins - {t} * source_size))" for t in range(mixing.REPEATS))})::BIGINT AS taken
 FROM laid LEFT JOIN drawn USING (position) CROSS JOIN size
 """
+
+#: The exact sums fit in HUGEINT; a round is a pair of steps, so the rounds are written out.
+_MEANS = "SELECT cluster, i, ((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS v FROM near{r} JOIN vector USING (vec_id) GROUP BY cluster, i"
+_NEAR = """near{r} AS MATERIALIZED (
+    SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT vec_id, cluster, sum((a.v - b.v) * (a.v - b.v))::BIGINT AS d FROM vector a JOIN centre{r} b USING (i) GROUP BY vec_id, cluster) GROUP BY vec_id
+)"""
+_CENTRE = """centre{n} AS MATERIALIZED (
+    WITH mean AS ({means}) SELECT cluster, i, coalesce(mean.v, old.v) AS v FROM centre{r} old LEFT JOIN mean USING (cluster, i)
+)"""
+_ROUNDS = ",\n".join(f"{_NEAR.format(r=r)},\n{_CENTRE.format(n=r + 1, r=r, means=_MEANS.format(r=r))}" for r in range(annulus.ROUNDS))
+
+ORACLES["op11_annulus_clusters"] = f"""
+WITH kept AS (
+    SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {annulus.DIM} AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = {annulus.DIM}
+), vector AS MATERIALIZED (
+    SELECT vec_id, unnest(range({annulus.DIM})) AS i, unnest(list_transform(embedding, lambda x: floor({annulus.SCALE} * x::DOUBLE)::BIGINT)) AS v FROM kept
+), centre0 AS MATERIALIZED (
+    SELECT cluster, i, v FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('{annulus.SEED}:' || vec_id)) - 1 AS cluster FROM kept) JOIN vector USING (vec_id) WHERE cluster < {annulus.K}
+), {_ROUNDS}, {_NEAR.format(r=annulus.ROUNDS)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM near{annulus.ROUNDS} JOIN (SELECT cluster, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM centre{annulus.ROUNDS} GROUP BY cluster) USING (cluster)
+"""
+
+_SHARE = f"1 + {divergence.UNIT}::HUGEINT * ({{n}} + {divergence.ADDED}) // ({{total}} + {divergence.ADDED} * {{size}})"
+ORACLES["op12_source_divergence"] = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), word AS MATERIALIZED (
+    SELECT r, lang, source, unnest(terms) AS term FROM d
+), vocabulary AS MATERIALIZED (
+    SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST}
+), n AS MATERIALIZED (
+    SELECT lang, source, term, count(*) AS n FROM word JOIN vocabulary USING (lang, term) GROUP BY ALL
+), size AS (
+    SELECT lang, count(*) AS size FROM vocabulary GROUP BY lang
+), g AS MATERIALIZED (
+    SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) GROUP BY ALL
+), p AS MATERIALIZED (
+    SELECT lang, source, term, coalesce(n, 0) AS n, {_SHARE.format(n="coalesce(n, 0)", total="total", size="size")} AS p FROM g JOIN vocabulary USING (lang) JOIN size USING (lang) LEFT JOIN n USING (lang, source, term)
+), q AS MATERIALIZED (
+    SELECT lang, term, {_SHARE.format(n="sum(n)::HUGEINT", total="(sum(sum(n)) OVER (PARTITION BY lang))::HUGEINT", size="count(*) OVER (PARTITION BY lang)")} AS q FROM n GROUP BY lang, term
+), pair AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y USING (lang, term) GROUP BY ALL) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), telling AS (
+    SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pair
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM telling) WHERE rank <= {divergence.TOP}
+"""
+
+ORACLES["op13_exact_dedup"] = r"""
+WITH d AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY content ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size, row_number() OVER (PARTITION BY content ORDER BY n DESC, doc_id) = 1 AS kept, sha256(content) AS text_sha256
+FROM d
+"""
