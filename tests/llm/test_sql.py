@@ -26,9 +26,9 @@ def test_query(spark, name):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_every_row_is_answered(spark, name):
-    """Whole tables: a row per document or page, or pieces of every document."""
+    """Whole tables: a row per document, page or vector, pieces of every document, or rows of every source."""
     got = queries.QUERIES[name](spark, SF)
-    table, key = ("pages", "page_id") if name == "op4_warc" else ("documents", "doc_id")
+    table, key = {"op4_warc": ("pages", "page_id"), "op11_annulus_clusters": ("embeddings", "vec_id"), "op12_source_divergence": ("documents", "source")}.get(name, ("documents", "doc_id"))
     ids = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
     found = [r[key] for r in got.select(key).collect()]
-    assert set(found) == ids and (len(found) == len(ids) or name == "op9_packing")
+    assert set(found) == ids and (len(found) == len(ids) or name in ("op9_packing", "op12_source_divergence"))
