@@ -39,6 +39,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition takes some MB of disk before it has a row
 }
 KEEP = "struct<size:bigint,none:boolean,doc_id:bigint,file:string,row:bigint>"
 SIGHTING = "doc_id long, n_chars long, digest binary, file string, row long, seen timestamp"
