@@ -157,15 +157,11 @@ def run_split(spark, a) -> str:
 
 
 def run_plan(spark, a) -> str:
-    plan = load(a.plan)
-    if missing := [k for k in remediation.PLAN_KEYS if k not in plan]:
-        raise ValueError(f"Missing plan key: {missing[0]}")
-    plans = spark.createDataFrame([(0, json.dumps(plan["operations"]))], "plan_id int, json string")
-    plans = plans.select("plan_id", F.from_json("json", remediation.T.ArrayType(remediation.OPERATION)).alias("operations"))
-    bad = remediation.plan_violations(plans, a.allow_destructive).orderBy("index").first()
+    plan = spark.createDataFrame([(a.plan, Path(a.plan).read_text(encoding="utf-8"))], "plan_id string, plan string")
+    bad = remediation.plan_violations(plan, a.allow_destructive).first()
     if bad:
         raise ValueError(bad["violations"][0])
-    save(a.out, remediation.dry_run(plan))
+    save(a.out, remediation.dry_run(load(a.plan)))
     return a.out
 
 
@@ -194,9 +190,10 @@ def main(argv: list[str] | None = None) -> int:
         p.set_defaults(run=f)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("notegauge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of a repeated key the last value counts
     try:
         print(a.run(spark, a))
-    except (ValueError, OSError, RuntimeError, runner.RunnerError, batching.RetryableError) as e:
+    except (ValueError, TypeError, OSError, RuntimeError, runner.RunnerError, batching.RetryableError) as e:
         print(e, file=sys.stderr)
         return 1
     return 0

@@ -55,6 +55,11 @@ def is_null(v: Column) -> Column:
     return kind(v) == "VOID"
 
 
+def members_of(v: Column, otherwise: Column, inside: Callable[[Column], Column]) -> Column:
+    """What ``inside`` says of the members of an object, or ``otherwise`` of anything else."""
+    return F.when(F.coalesce(F.startswith(kind(v), F.lit("OBJECT")), F.lit(False)), let(F.try_variant_get(v, "$", "map<string,variant>"), inside)).otherwise(otherwise)
+
+
 def object_of(v: Column, label: Label, required: tuple, optional: tuple, inside: Callable[[Column], Column], at: str = "") -> Column:
     """Checks of an object with these keys; ``inside`` gets its members. ``at`` stands before the list of missing keys."""
 

@@ -641,9 +641,34 @@ def judgment_violations(spark, sf_dir):
 def plan_violations(spark, sf_dir):
     """V7: orders as operations; filled ones delete without approval, open ones do something unknown, others edit."""
     kind = F.when(F.col("o_orderstatus") == "F", "delete").when(F.col("o_orderstatus") == "O", "unknown").otherwise("edit")
-    op = F.struct(kind.alias("operation"), F.lit(None).cast("string").alias("operation_type"), F.lit(None).cast("boolean").alias("approved"), F.lit(None).cast("boolean").alias("delete_original"), F.lit(None).cast("array<struct<note_path:string,content:string>>").alias("proposed_outputs"))
-    df = table(spark, sf_dir, "orders").select("o_orderkey", op.alias("op"))
-    return df.select("o_orderkey", F.array_join(remediation.operation_violations(F.lit(0), F.col("op"), False), "; ").alias("violations"))
+    op = F.try_parse_json(F.to_json(F.struct(kind.alias("operation"))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(remediation.operation_violations(F.lit(0), op, False), "; ").alias("violations"))
+
+
+#: Operations of plans, and what each breaks where destructive ones are not allowed; # stands for its index.
+OPERATIONS = (
+    ('{"operation":"edit","note_path":"a"}', ""),
+    ('"x"', "Operation # must be an object"),
+    ('{"operation":"delete"}', "Operation # is destructive; Operation # requires approval"),
+    ('{"operation":"edit","operation_type":null}', "Operation # uses unsupported operation_type"),
+    ('{"operation":"split","approved":true,"delete_original":true,"proposed_outputs":[{"note_path":"n","content":5},7]}', "Operation # is destructive; Split operation # output 0 requires content; Split operation # output 1 must be an object"),
+    ('{"operation":5}', "Operation # must state operation"),
+    ('{"operation":"split","approved":"true","delete_original":1,"proposed_outputs":{}}', "Operation # is destructive; Operation # requires approval; Split operation # must state delete_original=true; Split operation # requires proposed_outputs"),
+    ('{"operation":["delete"],"operation_type":"delete"}', "Operation # uses unsupported operation_type; Operation # must state operation"),
+    ('{"operation":"archive"}', "Operation # has unsupported operation"),
+    ("null", "Operation # must be an object"),
+)
+PLANNED = f"(SELECT l_orderkey, string_agg(CASE WHEN said <> '' THEN replace(said, '#', i::VARCHAR) END, '; ' ORDER BY i) AS violations FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem) JOIN (VALUES {', '.join(f"({i}, '{said}')" for i, (_, said) in enumerate(OPERATIONS))}) t(kind, said) ON l_partkey % {len(OPERATIONS)} = kind GROUP BY l_orderkey)"
+
+
+@query(f"SELECT l_orderkey, violations FROM {PLANNED} WHERE violations IS NOT NULL")
+def plan_lines(spark, sf_dir):
+    """V7 over JSON text: orders as plans, their lines as operations of every kind; each bad one is named by its index."""
+    one = F.element_at(F.array(*[F.lit(o) for o, _ in OPERATIONS]), (F.col("l_partkey") % len(OPERATIONS) + 1).cast("int"))
+    listed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", one.alias("o")))).alias("ops"))
+    plan = F.concat(F.lit('{"plan_version":"1","audit_run_id":"r","mode":"improve-in-place","operations":['), F.array_join(F.transform("ops", lambda x: x["o"]), ","), F.lit("]}"))
+    bad = remediation.plan_violations(listed.select(F.col("l_orderkey").alias("plan_id"), plan.alias("plan")))
+    return bad.select(F.col("plan_id").alias("l_orderkey"), F.array_join("violations", "; ").alias("violations"))
 
 
 # --- tasks ------------------------------------------------------------------------

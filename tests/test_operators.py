@@ -124,13 +124,64 @@ def test_views_and_queue(spark):
     assert '__no_matching_audit_rows__' in views.view_file(rows.limit(0), "it's")
 
 
+def plan_text(*operations, **more):
+    return json.dumps({"plan_version": "1", "audit_run_id": "r", "mode": "m", "operations": list(operations)} | more)
+
+
+def plan_messages(spark, text, destructive=True):
+    got = remediation.plan_violations(spark.createDataFrame([(1, text)], "plan_id int, plan string"), destructive).first()
+    return got["violations"] if got else []
+
+
 def test_plans(spark):
-    op = lambda **k: {"operation": None, "operation_type": None, "approved": None, "delete_original": None, "proposed_outputs": None} | k
-    ops = [op(operation="edit"), op(operation="delete"), op(operation="fly"), op(), op(operation="split", approved=True, delete_original=True, proposed_outputs=[{"note_path": "a", "content": ""}]), op(operation="edit", operation_type="x")]
-    plans = spark.createDataFrame([(1, ops)], f"plan_id int, operations array<{remediation.OPERATION.simpleString()}>")
-    got = {r["index"]: r["violations"] for r in remediation.plan_violations(plans, True).collect()}
-    assert got == {1: ["Operation 1 requires approval"], 2: ["Operation 2 has unsupported operation"], 3: ["Operation 3 must state operation"], 4: ["Split operation 4 output requires content"], 5: ["Operation 5 uses unsupported operation_type"]}
-    assert "Operation 1 is destructive" in {r["index"]: r["violations"] for r in remediation.plan_violations(plans).collect()}[1]
+    split = {"operation": "split", "approved": True, "delete_original": True, "proposed_outputs": [{"note_path": "a", "content": "b"}]}
+    ops = [{"operation": "edit"}, {"operation": "delete"}, {"operation": "fly"}, {}, split | {"proposed_outputs": [{"note_path": "a", "content": ""}]}, {"operation": "edit", "operation_type": "x"}]
+    want = ["Operation 1 requires approval", "Operation 2 has unsupported operation", "Operation 3 must state operation", "Split operation 4 output 0 requires content", "Operation 5 uses unsupported operation_type"]
+    assert plan_messages(spark, plan_text(*ops)) == want
+    assert plan_messages(spark, plan_text(*ops), False)[:2] == ["Operation 1 is destructive", "Operation 1 requires approval"]
+    assert plan_messages(spark, plan_text(split)) == []
+    assert plan_messages(spark, plan_text(split), False) == ["Operation 0 is destructive"]
+    assert plan_messages(spark, plan_text()) == []
+
+
+@pytest.mark.parametrize(
+    ("operation", "said"),
+    [
+        ("x", ["Operation 1 must be an object"]),
+        (None, ["Operation 1 must be an object"]),
+        ([{"operation": "delete"}], ["Operation 1 must be an object"]),
+        ({"operation": 5}, ["Operation 1 must state operation"]),
+        ({"operation": None}, ["Operation 1 must state operation"]),
+        ({"operation": "edit", "operation_type": None}, ["Operation 1 uses unsupported operation_type"]),
+        ({"operation": "delete", "approved": "true"}, ["Operation 1 requires approval"]),
+        ({"operation": "move", "approved": 1}, ["Operation 1 requires approval"]),
+        ({"operation": "rename", "approved": None}, ["Operation 1 requires approval"]),
+        ({"operation": "split", "approved": True, "delete_original": "yes", "proposed_outputs": "n"}, ["Split operation 1 must state delete_original=true", "Split operation 1 requires proposed_outputs"]),
+        ({"operation": "split", "approved": True, "delete_original": True, "proposed_outputs": [{"note_path": "n", "content": 5}]}, ["Split operation 1 output 0 requires content"]),
+        ({"operation": "split", "approved": True, "delete_original": True, "proposed_outputs": [{"note_path": "n", "content": "c"}, 7, {"content": "c"}]}, ["Split operation 1 output 1 must be an object", "Split operation 1 output 2 requires note_path"]),
+    ],
+)
+def test_one_odd_operation_hides_no_other(spark, operation, said):
+    got = plan_messages(spark, plan_text({"operation": "delete"}, operation, {"operation": "fly"}))
+    assert got == ["Operation 0 requires approval", *said, "Operation 2 has unsupported operation"]
+
+
+def test_plans_that_are_none(spark):
+    assert plan_messages(spark, "[]") == ["plan must be an object"]
+    assert plan_messages(spark, "{") == ["not valid JSON"]
+    assert plan_messages(spark, '{"mode": "m"}') == ["Missing plan key: plan_version", "Missing plan key: audit_run_id", "Missing plan key: operations"]
+    assert plan_messages(spark, plan_text(operations={"operation": "edit"})) == ["operations must be a list"]
+    assert plan_messages(spark, plan_text(operations=None)) == ["operations must be a list"]
+
+
+def test_verify_plan_command(spark, tmp_path, capsys):
+    from notegauge.__main__ import main
+
+    path, out = tmp_path / "plan.json", str(tmp_path / "out.json")
+    path.write_text(plan_text({"operation": "delete"}, "x"))
+    assert main(["verify-plan", str(path), out]) == 1 and "Operation 0 is destructive" in capsys.readouterr().err
+    path.write_text('{"plan_version":"1","audit_run_id":"r","mode":"m","operations":[{"operation":"delete","operation":"edit"}]}')
+    assert main(["verify-plan", str(path), out]) == 0 and json.loads(open(out).read())["operations"] == [{"operation": "edit"}]
 
 
 def test_split(spark):
