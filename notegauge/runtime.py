@@ -29,10 +29,21 @@ def ship(spark: SparkSession | None = None) -> None:
     sc._notegauge_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: the session's checkpoint folder. Where none is named, one of our own, which
+    only a session on one machine can do with: elsewhere that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="notegauge-"))
+    return sc.getCheckpointDir()
+
+
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors see, gone when the driver ends: in the checkpoint folder, or else in the warehouse."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root}/notegauge-{uuid.uuid4().hex}"
+    """A folder in the shared one, gone when the driver ends."""
+    path = f"{shared_dir(spark)}/notegauge-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
