@@ -3,7 +3,6 @@ skew-proof joins, prefix sums and exact connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notegauge.runtime import shared_dir
+
 #: ASCII white space, as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]"
 #: Edges to a task when components are looked for, and the fewest tasks.
@@ -27,18 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: the session's checkpoint folder. Where none is named, one of our own, which
-    only a session on one machine can do with: elsewhere that is an error."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="notegauge-"))
-    return sc.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the shared folder, so that a lost executor costs one task and not the plan above."""
     shared_dir(df.sparkSession)

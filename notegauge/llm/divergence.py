@@ -1,44 +1,55 @@
 """Audit of how the sources of a language differ in their words, in exact whole numbers.
 
 The first pass over the texts counts in how many documents of a language each term
-occurs, and lays the texts out in chunks of bounded size. Terms that enough documents
-hold are the vocabulary. Each chunk learns which of its own terms are in it, makes an
-automaton (pyahocorasick) of those, padded with the delimiter on both sides, and counts
-their occurrences in one run over each of its texts. So an automaton is bounded by its
-chunk, and no task ever holds the vocabulary.
-
-Counts become sparse postings (language, term, source, count). Differences between two
-sources are summed over tiles: the sources of a language in blocks, its terms in
-buckets. Terms that neither source of a pair holds need no row, since they all give
-the same figure. A language that holds most documents is many chunks and tiles.
+occurs, and lays the texts out in chunks of bounded size. Terms fall into shards by a
+hash; a chunk sends each shard the terms it has there, packed, and the shard adds up,
+keeps what enough documents hold, numbers it and tells each chunk which of its terms
+that are. In the second pass a chunk makes an automaton (pyahocorasick) of the kept
+terms it has, padded with the delimiter on both sides, and counts their occurrences in
+one run over each of its texts. So an automaton is bounded by its chunk, and no task
+ever holds the vocabulary.
+
+Counts return to the shards as sparse postings (language, source, term, count). Each
+shard compares its languages' sources over its own terms, block by block of sources,
+and sends one figure per pair and the most telling terms per source; the sums and the
+best of these are the result. A language or source that holds most documents is many
+chunks, and a frequent term is one entry per chunk.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import checkpointed, lookup_join, written
+from notegauge.llm.common import delete_on_exit, packed, scratch_path, unpacked
 from notegauge.runtime import ship
 
 LEAST, TOP = 10, 10
 #: What shares are counted in, and what is added to every count.
 UNIT, ADDED = 1_000_000_000, 2
 #: Characters to a chunk, and to a piece of a long text.
-CHUNK, PIECE = 6_000_000, 1_000_000
-#: Sources to a block of a tile, and terms to a bucket, on average.
-BLOCK, BUCKET = 64, 2048
+CHUNK, PIECE = 12_000_000, 1_000_000
+#: Bytes of text to a shard of terms, and the fewest shards.
+SHARE, SHARDS = 32_000_000, 128
+#: Sources to a block when a shard compares them.
+BLOCK = 64
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 GAP = re.compile("[\x00-\x40\x5b-\x60\x7b-\x7f]")
-CHUNKS = "chunk long, lang string, source string, text string, terms array<string>, held array<int>"
+CHUNKS = "chunk long, shard int, lang string, source string, data binary, size int, held binary"
+KEPT = "shard int, chunk long, lang string, data binary, size int, numbers binary, n int"
+COUNTED = "shard int, langs array<string>, sources array<string>, groups binary, numbers binary, counts binary"
+POSTINGS = "shard int, lang string, source string, numbers binary, counts binary, total long"
+COMPARED = "part string, lang string, source string, item string, value long"
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
@@ -57,6 +68,26 @@ def terms(text: str) -> list[str]:
     return TERM.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
+def blob(text: str) -> tuple[bytes, int]:
+    """A text compressed, and its size in bytes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
+
+
+def unblob(data: bytes, size: int) -> str:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+
+
+def shard_of(term: str, shards: int) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % shards
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    columns = [c.split(" ") for c in schema.split(", ")]
+    return pa.table([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(columns)], [name for name, _ in columns])
+
+
 class _Chunk:
     """Texts of some documents, and in how many of them each term is."""
 
@@ -65,85 +96,193 @@ class _Chunk:
         self.held: dict[str, Counter] = {}
         self.size = 0
 
-    def rows(self, number: int) -> pa.RecordBatch:
-        text = [(number, lang, source, " ".join(x), None, None) for (lang, source), x in self.texts.items()]
-        vocabulary = [(number, lang, None, None, list(c), list(c.values())) for lang, c in self.held.items()]
-        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()))
-        rows = text + vocabulary
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["chunk", "lang", "source", "text", "terms", "held"])
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
-    for b in batches:
-        for lang, source, text in zip(*(c.to_pylist() for c in b.columns)):
-            seen: set[str] = set()
-            for piece in pieces(text):
-                found = terms(piece)
-                new = set(found)
-                held = chunk.held.setdefault(lang, Counter())
-                held.update(new - seen)
-                held.update(dict.fromkeys(new & seen, 0))  # asked for here, counted in an earlier piece
-                seen |= new
-                chunk.texts.setdefault((lang, source), []).append(" ".join(found))
-                chunk.size += len(piece) + len(lang) + len(source) + 16
-                if chunk.size >= CHUNK:
-                    yield chunk.rows(number)
-                    number, chunk = number + 1, _Chunk()
-    if chunk.size:
-        yield chunk.rows(number)
-
-
-def _occurrences(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    """(lang, source, term, n): occurrences in the texts of a chunk of the terms it asked for."""
-    kept: dict[str, list[str]] = {}
-    for lang, term in zip(vocabulary["lang"].to_pylist(), vocabulary["term"].to_pylist()):
-        kept.setdefault(lang, []).append(term)
-    automata = {}
-    for lang, own in kept.items():
-        automata[lang] = a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    def rows(self, number: int, shards: int) -> Iterator[pa.RecordBatch]:
+        out = [(number, None, lang, source, *blob(" ".join(x)), None) for (lang, source), x in self.texts.items()]
+        for lang, held in self.held.items():
+            own: dict[int, list[str]] = {}
+            for term in held:
+                own.setdefault(shard_of(term, shards), []).append(term)
+            out += [(number, shard, lang, None, *blob("\n".join(ts)), packed(np.array([held[t] for t in ts], np.int64))) for shard, ts in own.items()]
+        yield from _table(out, CHUNKS).to_batches()
+
+
+def _chunks(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
+        for b in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in b.columns)):
+                seen: set[str] = set()
+                for piece in pieces(text):
+                    found = terms(piece)
+                    new = set(found)
+                    held = chunk.held.setdefault(lang, Counter())
+                    held.update(new - seen)
+                    held.update(dict.fromkeys(new & seen, 0))  # asked for here, counted in an earlier piece
+                    seen |= new
+                    chunk.texts.setdefault((lang, source), []).append(" ".join(found))
+                    chunk.size += len(piece) + len(lang) + len(source) + 16
+                    if chunk.size >= CHUNK:
+                        yield from chunk.rows(number, shards)
+                        number, chunk = number + 1, _Chunk()
+        if chunk.size:
+            yield from chunk.rows(number, shards)
+
+    return run
+
+
+def _lists(rows: pa.Table) -> Iterator[tuple[int, str, list[str], bytes]]:
+    """(chunk, lang, terms, the packed numbers beside them)."""
+    for chunk, lang, data, size, beside in zip(*(rows.column(c).to_pylist() for c in ("chunk", "lang", "data", "size", "held" if "held" in rows.column_names else "numbers"))):
+        yield chunk, lang, unblob(data, size).split("\n") if size else [], beside
+
+
+def _vocabulary(least: int) -> Callable[[pa.Table], pa.Table]:
+    def keep(rows: pa.Table) -> pa.Table:
+        """Of a shard: per chunk its terms that ``least`` documents of the language hold, with their numbers; as chunk -1 all of them."""
+        shard, held = rows["shard"][0].as_py(), {}
+        for _, lang, names, counts in _lists(rows):
+            own = held.setdefault(lang, {})
+            for term, n in zip(names, unpacked(counts).tolist()):
+                own[term] = own.get(term, 0) + n
+        number = {lang: {t: i for i, t in enumerate(sorted(t for t, n in own.items() if n >= least))} for lang, own in held.items()}
+        out = [(shard, -1, lang, *blob("\n".join(own)), packed(np.arange(0)), len(own)) for lang, own in number.items() if own]
+        for chunk, lang, names, _ in _lists(rows):
+            kept = [t for t in names if t in number[lang]]
+            if kept:
+                out.append((shard, chunk, lang, *blob("\n".join(kept)), packed(np.array([number[lang][t] for t in kept], np.int64)), len(kept)))
+        return _table(out, KEPT)
+
+    return keep
+
+
+def _occurrences(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """Per shard the occurrences in the texts of a chunk of the terms that are kept."""
+    names: dict[str, list[str]] = {}
+    place: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for shard, (_, lang, own, numbers) in zip(answers["shard"].to_pylist(), _lists(answers)):
+        names.setdefault(lang, []).extend(own)
+        place.setdefault(lang, []).append((np.full(len(own), shard), unpacked(numbers)))
+    parts: dict[int, list[tuple[tuple[str, str], np.ndarray, np.ndarray]]] = {}
+    for lang, own in names.items():
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, term in enumerate(own):
-            a.add_word(f" {term} ", i)
-        a.make_automaton()
-    out: tuple[list, list, list, list] = ([], [], [], [])
-    for lang, source, text in zip(texts["lang"].to_pylist(), texts["source"].to_pylist(), texts["text"].to_pylist()):
-        if lang in automata:
-            n = Counter(i for _, i in automata[lang].iter(f" {text} "))
-            for column, values in zip(out, ([lang] * len(n), [source] * len(n), [kept[lang][i] for i in n], list(n.values()))):
-                column.extend(values)
-    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "source", "term", "n"])
-
-
-def share(n: Column, total: Column, size: Column) -> Column:
-    """1 + floor(UNIT * (n + ADDED) / (total + ADDED * size)), exactly; 1 without a vocabulary."""
-    whole = (F.lit(UNIT).cast("decimal(10,0)") * (n + ADDED).cast("decimal(20,0)")).cast("decimal(38,0)")
-    under = (total + ADDED * size).cast("decimal(38,0)")
-    return F.when(under > 0, F.lit(1) + F.call_function("div", whole, under)).otherwise(F.lit(1)).cast("long")
-
-
-def difference(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), p + q)
-
-
-def _tile(rows: pa.Table) -> pa.Table:
-    """(lang, a, b, value, seen, p, q): over the terms of a bucket, the differences of all pairs of sources of two blocks, once each; ``seen`` terms were there."""
-    lang, low, high = (rows[c][0].as_py() for c in ("lang", "low", "high"))
-    own = rows.filter(pa.compute.is_null(rows["term"]))
-    order = sorted(zip(own["block"].to_pylist(), own["source"].to_pylist(), own["p"].to_pylist()))
-    place = {source: i for i, (_, source, _) in enumerate(order)}
-    block, none = np.array([b for b, _, _ in order]), np.array([p for _, _, p in order], np.int64)
-    there = rows.filter(pa.compute.is_valid(rows["term"]))
-    names = there["term"].combine_chunks().dictionary_encode()
-    p = np.repeat(none[:, None], len(names.dictionary), axis=1)
-    p[[place[s] for s in there["source"].to_pylist()], names.indices.to_numpy()] = there["p"].to_numpy()
+            automaton.add_word(f" {term} ", i)
+        automaton.make_automaton()
+        shard, number = (np.concatenate(x) for x in zip(*place[lang]))
+        here = texts.filter(pc.equal(texts["lang"], lang))
+        for source, data, size in zip(*(here[c].to_pylist() for c in ("source", "data", "size"))):
+            hits = np.fromiter((i for _, i in automaton.iter(f" {unblob(data, size)} ")), np.int64)
+            found, n = np.unique(hits, return_counts=True)
+            order = np.argsort(shard[found], kind="stable")
+            found, n = found[order], n[order]
+            at, first = np.unique(shard[found], return_index=True)
+            for s, ids, counts in zip(at.tolist(), np.split(number[found], first[1:]), np.split(n, first[1:])):
+                parts.setdefault(s, []).append(((lang, source), ids, counts))
     out = []
-    for i in np.flatnonzero(block == low):
-        others = np.arange(i + 1, len(order)) if low == high else np.flatnonzero(block == high)
-        d = p[others] - p[i]
-        value = (d * d // (p[others] + p[i])).sum(axis=1)
-        out += [(lang, order[i][1], order[j][1], v, p.shape[1], int(none[i]), int(none[j])) for j, v in zip(others.tolist(), value.tolist())]
-    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["lang", "a", "b", "value", "seen", "p", "q"])
+    for s, own in parts.items():
+        keys = list(dict.fromkeys(k for k, _, _ in own))
+        at = {k: i for i, k in enumerate(keys)}
+        groups = np.concatenate([np.full(len(ids), at[k]) for k, ids, _ in own])
+        out.append((s, [k[0] for k in keys], [k[1] for k in keys], packed(groups), packed(np.concatenate([x[1] for x in own])), packed(np.concatenate([x[2] for x in own]))))
+    return _table(out, COUNTED)
+
+
+def _postings(rows: pa.Table) -> pa.Table:
+    """Of a shard: per (language, source) its terms by number with their occurrences, and per language those of all sources (source null)."""
+    shard, found = rows["shard"][0].as_py(), {}
+    for langs, sources, groups, numbers, counts in zip(*(rows[c].to_pylist() for c in ("langs", "sources", "groups", "numbers", "counts"))):
+        groups, numbers, counts = unpacked(groups), unpacked(numbers), unpacked(counts)
+        for i, key in enumerate(zip(langs, sources)):
+            own = groups == i
+            found.setdefault(key, []).append((numbers[own], counts[own]))
+            found.setdefault((key[0], None), []).append((numbers[own], counts[own]))
+    out = []
+    for (lang, source), own in found.items():
+        numbers, at = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
+        counts = np.zeros(len(numbers), np.int64)
+        np.add.at(counts, at, np.concatenate([x[1] for x in own]))
+        out.append((shard, lang, source, packed(numbers), packed(counts), int(counts.sum())))
+    return _table(out, POSTINGS)
+
+
+def shares(counts: np.ndarray, total: int, size: int) -> np.ndarray:
+    """1 + floor(UNIT * (count + ADDED) / (total + ADDED * size)) of whole numbers, exactly."""
+    under = total + ADDED * size
+    if under >= 2**53:  # else a thousand times a remainder fits in 64 bits
+        return np.array([1 + UNIT * (c + ADDED) // under for c in counts.tolist()], np.int64)
+    rest, found = counts + ADDED, (counts + ADDED) // under
+    for _ in range(3):  # UNIT is 1000 ** 3
+        rest = rest % under * 1000
+        found = found * 1000 + rest // under
+    return found + 1
+
+
+def difference(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) * (p - q) // (p + q)
+
+
+def _compare(top: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(rows: pa.Table, info: pa.Table) -> pa.Table:
+        """Of a shard: per pair of sources of a language the sum of the differences over its terms, and per source its ``top`` most telling ones."""
+        counted = {(r["lang"], r["source"]): (unpacked(r["numbers"]), unpacked(r["counts"])) for r in rows.to_pylist()}
+        names, groups = {}, {}
+        for r in info.to_pylist():
+            if r["data"] is not None:
+                names[r["lang"]] = unblob(r["data"], r["size"]).split("\n")
+            else:
+                groups.setdefault(r["lang"], {})[r["source"]] = (r["total"], r["terms"])
+        out = []
+        for lang, own in groups.items():
+            total = own.pop(None)
+            # without terms here every difference is 0; it is said once, by the first shard
+            if lang not in names and info["shard"][0].as_py() != 0:
+                continue
+            n = len(names.get(lang, ()))
+            sources = sorted(own)
+
+            def dense(source: str | None) -> np.ndarray:
+                counts = np.zeros(n, np.int64)
+                if (lang, source) in counted:
+                    numbers, found = counted[lang, source]
+                    counts[numbers] = found
+                return counts
+
+            def block(names: list[str]) -> np.ndarray:
+                return np.array([shares(dense(s), *own[s]) for s in names]) if n else np.ones((len(names), 0), np.int64)
+
+            blocks = [sources[i : i + BLOCK] for i in range(0, len(sources), BLOCK)]
+            for i, left in enumerate(blocks):
+                p = block(left)
+                for right in blocks[i:]:
+                    q = p if right is left else block(right)
+                    for j, a in enumerate(left):
+                        begin = j + 1 if right is left else 0
+                        value = difference(p[j], q[begin:]).sum(axis=1).tolist()
+                        out += [("pair", lang, a, b, v) for b, v in zip(right[begin:], value)]
+            if not n:
+                continue
+            every, label = shares(dense(None), *total), np.array(names[lang], object)
+            for source in sources:
+                counts = dense(source)
+                p = shares(counts, *own[source])
+                at = np.flatnonzero((counts > 0) & (p > every))
+                value = difference(p[at], every[at])
+                if len(at) > top:
+                    most = value >= np.partition(value, -top)[-top]
+                    at, value = at[most], value[most]
+                best = sorted(zip((-value).tolist(), label[at].tolist()), key=lambda x: (x[0], x[1].encode("utf-8", "surrogatepass")))[:top]
+                out += [("term", lang, source, term, -v) for v, term in best]
+        return _table(out, COMPARED)
+
+    return run
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder; what it holds is compressed already."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.parquet(path, compression="zstd")
+    delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Divergence:
@@ -155,55 +294,34 @@ class Divergence:
 
     def __init__(self, docs: DataFrame, least: int = LEAST):
         ship(docs.sparkSession)
-        named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-        self.chunks = written(docs.select(*named).mapInArrow(_chunks, CHUNKS), "terms")
-        asked = self.chunks.filter("terms is not null").select("chunk", "lang", F.explode(F.arrays_zip("terms", "held")).alias("t")).select("chunk", "lang", F.col("t.terms").alias("term"), F.col("t.held").alias("held"))
-        held = asked.groupBy("lang", "term").agg(F.sum("held").alias("documents"), F.count("*").alias("asks"))
-        #: (lang, term, documents, asks): the terms that ``least`` documents of their language hold
-        self.vocabulary = checkpointed(held.filter(F.col("documents") >= least))
-        known = lookup_join(asked.select("chunk", "lang", "term"), self.vocabulary, ["lang", "term"], "asks").filter("documents is not null")
-        texts = self.chunks.toDF(*self.chunks.columns).filter("text is not null")  # columns of its own, beside those of ``asked``
-        counted = texts.select("chunk", "lang", "source", "text").groupBy("chunk").cogroup(known.select("chunk", "lang", "term").groupBy("chunk")).applyInArrow(_occurrences, "lang string, source string, term string, n long")
-        counts = checkpointed(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
-        #: (lang, sources, size): size is the number of terms kept
-        size = self.vocabulary.groupBy("lang").agg(F.count("*").alias("size"))
+        docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.shards = max(SHARDS, -(-size // SHARE))
+        self.chunks = _kept(docs.mapInArrow(_chunks(self.shards), CHUNKS), "terms")
+        asked = self.chunks.filter("shard is not null").select("shard", "chunk", "lang", "data", "size", "held")
+        #: (shard, chunk, lang, data, size, numbers, n): the terms that ``least`` documents hold, of each chunk, and of all as chunk -1
+        self.vocabulary = _kept(asked.groupBy("shard").applyInArrow(_vocabulary(least), KEPT), "vocabulary")
+        texts = self.chunks.filter("shard is null").select("chunk", "lang", "source", "data", "size")
+        answers = self.vocabulary.filter("chunk >= 0").select("chunk", "shard", "lang", "data", "size", "numbers")
+        counted = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_occurrences, COUNTED)
+        #: (shard, lang, source, numbers, counts, total)
+        self.postings = _kept(counted.groupBy("shard").applyInArrow(_postings, POSTINGS), "postings")
+        sizes = self.vocabulary.filter("chunk = -1").groupBy("lang").agg(F.sum("n").alias("terms"))
+        totals = self.postings.groupBy("lang", "source").agg(F.sum("total").alias("total"))
         groups = texts.select("lang", "source").distinct()
-        totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("present"))
-        sources = groups.groupBy("lang").agg(F.count("*").alias("sources"))
-        self.languages = checkpointed(sources.join(size, "lang", "left").na.fill(0, ["size"]))
-        groups = lookup_join(groups, self.languages.withColumn("weight", F.col("sources")), ["lang"], "weight")
-        groups = groups.join(totals, ["lang", "source"], "left").na.fill(0, ["total", "present"])
-        #: (lang, source, sources, size, total, present, none): none is the share of a term that the group lacks
-        self.groups = checkpointed(groups.withColumn("none", share(F.lit(0).cast("long"), F.col("total"), F.col("size"))))
-        joined = lookup_join(counts, self.groups, ["lang", "source"], "present")
-        #: (lang, source, term, n, p, sources, size)
-        self.postings = checkpointed(joined.select("lang", "source", "term", "n", share(F.col("n"), F.col("total"), F.col("size")).alias("p"), "sources", "size"))
-
-    def pairs(self) -> DataFrame:
-        """(lang, source, item, value) for every ordered pair of sources of a language."""
-        blocks = F.ceil(F.col("sources") / BLOCK).cast("int")
-        buckets = F.greatest(F.lit(1), F.ceil(F.col("size") / BUCKET)).cast("int")
-        block = F.pmod(F.xxhash64("source"), blocks).cast("int")
-        bucket = F.pmod(F.xxhash64("term"), buckets).cast("int")
-        columns = ("lang", "source", "term", "p", "block", "bucket")
-        own = self.groups.select("lang", "source", F.lit(None).cast("string").alias("term"), F.col("none").alias("p"), block.alias("block"), blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), buckets - 1)).alias("bucket"))
-        rows = own.unionByName(self.postings.select("lang", "source", "term", "p", block.alias("block"), blocks.alias("blocks"), bucket.alias("bucket")))
-        tiled = rows.select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(*columns, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        parts = tiled.groupBy("lang", "low", "high", "bucket").applyInArrow(_tile, "lang string, a string, b string, value long, seen long, p long, q long")
-        sums = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"), F.first("p").alias("p"), F.first("q").alias("q"))
-        sized = sums.join(self.languages.select("lang", "size"), "lang")
-        value = F.col("value") + (F.col("size") - F.col("seen")) * difference(F.col("p"), F.col("q"))
-        both = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
-        return sized.select("lang", both.alias("pair"), value.alias("value")).select("lang", "pair.source", "pair.item", "value")
-
-    def terms(self, top: int = TOP) -> DataFrame:
-        """(lang, source, item, value, rank) of the terms that a group has more of than its language, the ``top`` most different ones."""
-        every = self.postings.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.first("size").alias("size"), F.count("*").alias("weight"))
-        total = every.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
-        shared = lookup_join(every, checkpointed(total), ["lang"], "terms").select("lang", "term", share(F.col("n"), F.col("total"), F.col("size")).alias("q"))
-        more = self.postings.select("lang", "source", "term", "p").join(shared, ["lang", "term"]).filter("p > q")
-        order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-        return more.select("lang", "source", F.col("term").alias("item"), difference(F.col("p"), F.col("q")).alias("value")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+        groups = groups.unionByName(groups.select("lang", F.lit(None).cast("string").alias("source")).distinct())
+        joined = groups.join(totals.withColumnsRenamed({"lang": "l", "source": "s"}), (F.col("lang") == F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
+        #: (lang, source, total, terms): each group, and each language with source null; terms is the number of kept terms of the language
+        self.groups = _kept(joined.join(sizes, "lang", "left").na.fill(0, ["total", "terms"]), "groups")
+
+    def compared(self, top: int = TOP) -> DataFrame:
+        """(part, lang, source, item, value): differences of each pair of sources, once, and terms that may be among the ``top`` of a source; by shard."""
+        shard = F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))).alias("shard")
+        none = lambda kind: F.lit(None).cast(kind)
+        every = self.groups.select(shard, "lang", "source", none("binary").alias("data"), none("int").alias("size"), "total", "terms")
+        names = self.vocabulary.filter("chunk = -1").select("shard", "lang", none("string").alias("source"), "data", "size", none("long").alias("total"), none("long").alias("terms"))
+        postings = self.postings.select("shard", "lang", "source", "numbers", "counts")
+        return _kept(postings.groupBy("shard").cogroup(every.unionByName(names).groupBy("shard")).applyInArrow(_compare(top), COMPARED), "compared")
 
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -212,8 +330,11 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     Ties rank by item in UTF-8 order. A language without kept terms has differences of
     0 and no terms; an empty table gives an empty result.
     """
-    found = Divergence(docs, least)
+    found = Divergence(docs, least).compared(top)
+    sums = found.filter("part = 'pair'").groupBy("part", "lang", "source", "item").agg(F.sum("value").alias("value"))
+    pair = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
+    pairs = sums.select("part", "lang", pair.alias("pair"), "value").select("part", "lang", "pair.source", "pair.item", "value")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     columns = ("lang", "source", "part", "item", "value", "rank")
-    pairs = found.pairs().withColumn("part", F.lit("pair")).withColumn("rank", F.row_number().over(order))
-    return pairs.select(*columns).unionByName(found.terms(top).withColumn("part", F.lit("term")).select(*columns))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
+    return ranked(pairs).select(*columns).unionByName(ranked(found.filter("part = 'term'")).filter(F.col("rank") <= top).select(*columns))

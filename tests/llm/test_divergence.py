@@ -53,20 +53,56 @@ def test_by_definition(spark, least):
     assert run(spark, rows, least=least) == brute(rows, least)
 
 
-def test_many_tiles_chunks_and_pieces(spark, monkeypatch):
-    """Small blocks, buckets, chunks and pieces give what large ones give; workers are forked with the module as it is here."""
+def test_many_blocks_and_shards(spark, monkeypatch):
+    rows = corpus(80, 2, 23)
+    monkeypatch.setattr(divergence, "SHARE", 3)
+    assert run(spark, rows, least=2) == brute(rows, 2)
+
+
+def test_blocks_of_sources():
+    """Comparing by small blocks gives the pairs that one block gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    sources = [f"s{i}" for i in range(9)]
+    counts = {s: rng.integers(0, 5, 7) for s in sources}
+    numbers = divergence.packed(np.arange(7))
+    every = sum(counts.values())
+    rows = pa.Table.from_pylist([{"shard": 3, "lang": "en", "source": s, "numbers": numbers, "counts": divergence.packed(c)} for s, c in [*counts.items(), (None, every)]])
+    data, size = divergence.blob("\n".join("abcdefg"))
+    info = [{"shard": 3, "lang": "en", "source": s, "data": None, "size": None, "total": int(c.sum()), "terms": 7} for s, c in [*counts.items(), (None, every)]]
+    info = pa.Table.from_pylist([*info, {"shard": 3, "lang": "en", "source": None, "data": data, "size": size, "total": None, "terms": None}])
+    whole = divergence._compare(3)(rows, info).to_pylist()
+    old, divergence.BLOCK = divergence.BLOCK, 2
+    try:
+        parts = divergence._compare(3)(rows, info).to_pylist()
+    finally:
+        divergence.BLOCK = old
+    key = lambda r: (r["part"], *sorted((r["source"], r["item"])), r["value"])
+    assert sorted(map(key, whole)) == sorted(map(key, parts)) and len([r for r in whole if r["part"] == "pair"]) == 36
+
+
+@pytest.mark.parametrize("total", [3, 10**6, 2**52, 2**60, 10**25])
+def test_shares_are_exact(total):
+    import numpy as np
+
+    counts = np.array([0, 1, 2, min(total, 2**62) // 3, min(total, 2**62)], np.int64)
+    assert divergence.shares(counts, total, 5).tolist() == [1 + 10**9 * (c + 2) // (total + 10) for c in counts.tolist()]
+
+
+def test_small_chunks_and_pieces(monkeypatch):
     rows = corpus(80, 2, 23)
-    want = brute(rows, 2)
-    monkeypatch.setattr(divergence, "BLOCK", 3)
-    monkeypatch.setattr(divergence, "BUCKET", 4)
-    assert run(spark, rows, least=2) == want
     chunks = run_chunks(rows, monkeypatch)
-    assert len(chunks) > 20
     held = Counter()
-    for c in chunks:
-        for lang, terms, n in zip(c["lang"], c["terms"], c["held"]):
-            held.update({(lang, t): k for t, k in zip(terms or [], n or [])})
+    for r in chunks:
+        if r["shard"] is not None:
+            names = divergence.unblob(r["data"], r["size"]).split("\n")
+            assert all(divergence.shard_of(t, 4) == r["shard"] for t in names)
+            held.update({(r["lang"], t): n for t, n in zip(names, divergence.unpacked(r["held"]).tolist())})
+    assert len({r["chunk"] for r in chunks}) > 20
     assert held == Counter((lang or "", t) for text, lang, _ in rows for t in set(divergence.terms(text or "")))
+    assert {(r["lang"], r["source"]) for r in chunks if r["shard"] is None} == {(lang or "", s or "") for _, lang, s in rows}
 
 
 def run_chunks(rows, monkeypatch):
@@ -76,7 +112,7 @@ def run_chunks(rows, monkeypatch):
     monkeypatch.setattr(divergence.pieces, "__defaults__", (30,))
     monkeypatch.setattr(divergence, "TaskContext", type("C", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})())}))
     batch = pa.RecordBatch.from_arrays([pa.array([lang or "" for _, lang, _ in rows]), pa.array([s or "" for _, _, s in rows]), pa.array([t or "" for t, _, _ in rows])], ["lang", "source", "text"])
-    return [b.to_pydict() for b in divergence._chunks(iter([batch]))]
+    return [r for b in divergence._chunks(4)(iter([batch])) for r in b.to_pylist()]
 
 
 def test_pieces_cut_no_term():
