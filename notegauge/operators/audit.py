@@ -41,15 +41,16 @@ def audit(notes: DataFrame, targets: DataFrame, run_id: str, config: dict[str, s
     return rows(joined.withColumn("findings", whole), run_id, config, fixed)
 
 
-def rows(df: DataFrame, run_id: str, config: dict[str, str], fixed: bool = False) -> DataFrame:
-    """Audit rows of (note_path, stem, content_hash, modified_time, findings)."""
+def rows(df: DataFrame, run_id: str, config: dict[str, str], fixed: bool = False, pending: Column | None = None) -> DataFrame:
+    """Audit rows of (note_path, stem, content_hash, modified_time, findings); ``pending`` says which still wait for a judgment, none if it is not given."""
+    pending = F.lit(False) if pending is None else pending
     codes = scoring.codes(F.col("findings"))
     df = df.withColumn("score", scoring.score(scoring.loss(scoring.canonical(codes))))
     risk = scoring.has(F.col("findings"), "factual_risk")
     made = {
         "schema_version": F.lit(SCHEMA_VERSION), "run_id": F.lit(run_id), "row_status": F.lit("complete"), "note_link": F.concat(F.lit("[["), F.col("stem"), F.lit("]]")),
         "modified_time": F.lit(FIXED_TIME) if fixed else iso(F.col("modified_time")), "created_time": F.lit(None).cast("string"), "priority": scoring.bucket(F.col("score")),
-        "clean": scoring.clean(F.col("score"), F.lit(False), risk), "pending_model": F.lit(False), "dimensions": scoring.dimensions(codes),
+        "clean": scoring.clean(F.col("score"), pending, risk), "pending_model": pending, "dimensions": scoring.dimensions(codes),
         "recommendations": scoring.recommendations(F.col("findings")), "model_judgment": F.lit(None).cast(JUDGMENT), "cache_status": F.lit("none"),
         "factual_risk": risk, "fact_check_required": risk, "factual_risk_reason": F.when(risk, RISK_REASON), "config_snapshot": scoring.literal_map(config) if config else F.create_map().cast("map<string,string>"),
         "doctrine_version": F.lit(DOCTRINE_VERSION), "rubric_version": F.lit(RUBRIC_VERSION), "prompt_version": F.lit(PROMPT_VERSION),

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from notegauge.functions import text as X
 from notegauge.functions.html import visible
 from notegauge.functions.lexer import lexed
-from notegauge.operators import anki, audit, batching, contracts, judgments, naming, prompt, remediation, rules, scoring, tasks, triage, validate, views
+from notegauge.operators import anki, audit, batching, contracts, judgments, naming, parents, prompt, remediation, reuse, rules, scoring, tasks, triage, validate, views
 from notegauge.runtime import scratch
 from notegauge.sources import jsonl
+from notegauge.sources.runs import Runs
 from notegauge.vocab import COMPONENT_CODES, DIMENSIONS, LOSSES, MODES, PENALTIES, PROMPT_VERSION, ROW_STATUSES, vocabulary
 
 QUERIES: dict = {}
@@ -212,6 +213,48 @@ def judgment_merge(spark, sf_dir):
     return merged.select(doc_id(), "score", "priority", joined(scoring.codes(F.col("findings"))).alias("codes"), "pending_model", "clean")
 
 
+@query(MERGED + """, sides AS (
+    SELECT doc_id, old_score AS before, CASE WHEN has_label THEN new_score ELSE old_score END AS after, raw_codes AS was, CASE WHEN has_label THEN new_codes ELSE raw_codes END AS now FROM rescored
+)
+SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN 'added' WHEN doc_id % 10 = 3 THEN 'removed' WHEN before <> after OR was <> now THEN 'changed' ELSE 'same' END AS change,
+CASE WHEN doc_id % 10 <> 4 THEN before END AS score_before, CASE WHEN doc_id % 10 <> 3 THEN after END AS score_after,
+CASE WHEN doc_id % 10 = 3 THEN '' ELSE array_to_string(list_filter(now, lambda x: doc_id % 10 = 4 OR NOT list_contains(was, x)), ',') END AS gained,
+CASE WHEN doc_id % 10 = 4 THEN '' ELSE array_to_string(list_filter(was, lambda x: doc_id % 10 = 3 OR NOT list_contains(now, x)), ',') END AS lost FROM sides""")
+def run_difference(spark, sf_dir):
+    """Two committed runs, before and after judgments, and what each note gained and lost; some notes are in one run only."""
+    store, rows = Runs(spark, scratch(spark)), audited(spark, sf_dir)
+    store.write(rows.filter(doc_id() % 10 != 4), "run-1")
+    store.write(judgments.merge(rows, labelled(spark, sf_dir)).filter(doc_id() % 10 != 3), "run-2")
+    return store.difference("run-1", "run-2").select(doc_id(), "change", "score_before", "score_after", joined(F.col("gained")).alias("gained"), joined(F.col("lost")).alias("lost"))
+
+
+#: Which customer an order links to, as a structure note, before and after a change: some orders come, some go, some point elsewhere.
+LINKED = """before AS (SELECT o_custkey AS target FROM orders WHERE o_orderkey % 3 <> 0),
+after AS (SELECT CASE WHEN o_orderkey % 3 = 2 THEN o_custkey + 1 ELSE o_custkey END AS target FROM orders WHERE NOT (o_orderkey % 3 = 1 AND o_orderstatus = 'F'))"""
+
+
+def relinked(spark: SparkSession, sf_dir: str) -> tuple[parents.ParentSet, DataFrame]:
+    """The parent set of orders as structure notes, after the change of LINKED, and the flips of that change."""
+    orders, held = table(spark, sf_dir, "orders"), parents.ParentSet(spark, scratch(spark))
+    note = lambda df, shift: df.select(F.concat(F.lit("s/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("note_path"), F.concat(F.lit("- [[folder/c"), (F.col("o_custkey") + shift).cast("string"), F.lit(".md#part|alias]]")).alias("content"))
+    held.apply(note(orders.filter("o_orderkey % 3 <> 0"), 0))
+    changed = note(orders.filter("o_orderkey % 3 = 0"), 0).unionByName(note(orders.filter("o_orderkey % 3 = 2"), 1))
+    return held, held.apply(changed, note(orders.filter("o_orderkey % 3 = 1 and o_orderstatus = 'F'"), 0))
+
+
+@query(f"WITH {LINKED} SELECT c_custkey, c_custkey NOT IN (SELECT target FROM after) AS missing_parent FROM customer WHERE (c_custkey IN (SELECT target FROM before)) <> (c_custkey IN (SELECT target FROM after))")
+def parent_flips(spark, sf_dir):
+    """J1 and A7 under change: the notes whose parent finding turns over when structure notes come, go or change."""
+    notes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("stem"), F.col("c_custkey").cast("string").alias("note_path"))
+    return parents.flipped(notes, relinked(spark, sf_dir)[1]).select(F.col("note_path").cast("long").alias("c_custkey"), "missing_parent")
+
+
+@query(f"WITH {LINKED} SELECT target, count(*) AS refs FROM after GROUP BY target")
+def parent_references(spark, sf_dir):
+    """A7 under change: how many structure notes point to each note, kept from update to update."""
+    return relinked(spark, sf_dir)[0].references().select(F.substring("target", 2, 20).cast("long").alias("target"), "refs")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def judgment_missing(spark, sf_dir):
     return judgments.missing(audited(spark, sf_dir), labelled(spark, sf_dir)).select(doc_id())
@@ -578,9 +621,8 @@ SELECT doc_id, array_to_string(list_filter([
 """
 
 
-@query(RULED)
-def rule_codes(spark, sf_dir):
-    """R1 to R9 and J1 in one audit of notes built by rule, in the order of the findings."""
+def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes built by rule from the sizes of documents."""
     some = lambda mod, text: F.when(F.col("n_chars") % mod == 0, text).otherwise("")
     content = F.concat(
         F.when(F.col("n_chars") % 3 != 0, F.concat(F.lit("---\nsource:"), some(11, " a book"), F.lit("\n---\n"))).otherwise(""), F.lit("# T\n\n"), F.repeat(F.lit("word "), (F.col("n_chars") % 60 + 1).cast("int")),
@@ -588,13 +630,34 @@ def rule_codes(spark, sf_dir):
         some(13, "\nThis may overlap with another.\n"), some(17, "\nIn 2020 everyone always improved by 45%.\n"),
     )
     stem = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
-    docs = table(spark, sf_dir, "documents")
-    notes = docs.select(F.concat(F.lit("notes/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md")).alias("note_path"), stem.alias("stem"), content.alias("content"), F.lit(None).cast("timestamp").alias("modified_time"))
-    links = docs.filter("n_chars % 4 = 0").select(F.concat(F.lit("see [["), stem, F.lit("]]")).alias("content"))
-    rows = audit.audit(notes, audit.parent_targets(links), "run-1", {}, True)
+    path = F.concat(F.lit("notes/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").select(path.alias("note_path"), stem.alias("stem"), content.alias("content"), F.lit(None).cast("timestamp").alias("modified_time"))
+
+
+def linked(spark: SparkSession, sf_dir: str, test: str) -> DataFrame:
+    """The parent set of structure notes that link to the documents for which ``test`` holds."""
+    links = table(spark, sf_dir, "documents").filter(test).select(F.concat(F.lit("see [[doc"), F.col("doc_id").cast("string"), F.lit("]]")).alias("content"))
+    return audit.parent_targets(links)
+
+
+@query(RULED)
+def rule_codes(spark, sf_dir):
+    """R1 to R9 and J1 in one audit of notes built by rule, in the order of the findings."""
+    rows = audit.audit(ruled(spark, sf_dir), linked(spark, sf_dir, "n_chars % 4 = 0"), "run-1", {}, True)
     return rows.select(doc_id(), joined(scoring.codes(F.col("findings"))).alias("codes"))
 
 
+@query(f"""SELECT doc_id, codes, CASE WHEN doc_id % 10 < 2 THEN 'miss' WHEN (n_chars % 3 = 0) <> (n_chars % 4 = 0) THEN 'partial' ELSE 'hit' END AS cache_status, CASE WHEN doc_id % 10 < 2 THEN 'complete' ELSE 'reused_cache' END AS row_status
+FROM ({RULED}) JOIN documents USING (doc_id)""")
+def audit_reuse(spark, sf_dir):
+    """M8 and P28 over runs: a second audit finds what a full one would, and audits the texts of a tenth that is new and a tenth that has changed alone."""
+    notes, store = ruled(spark, sf_dir), Runs(spark, scratch(spark))
+    earlier = notes.filter(doc_id() % 10 != 1).withColumn("content", F.when(doc_id() % 10 == 0, F.concat("content", F.lit("\nAnother end.\n"))).otherwise(F.col("content")))
+    store.write(audit.audit(earlier, linked(spark, sf_dir, "n_chars % 3 = 0"), "run-1", {}, True), "run-1")
+    rows = reuse.audit_reusing(notes, linked(spark, sf_dir, "n_chars % 4 = 0"), store.rows("run-1"), "run-2", {}, True)
+    return rows.select(doc_id(), joined(scoring.codes(F.col("findings"))).alias("codes"), "cache_status", "row_status")
+
+
 @query()
 def note_audit(spark, sf_dir):
     """The whole deterministic audit over documents as notes, with links of a second set as parents."""
