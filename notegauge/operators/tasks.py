@@ -142,3 +142,111 @@ def closest(tasks_: DataFrame, facets: tuple[str, ...] = FACETS) -> DataFrame:
     first = told.groupBy("facet", "value").agg(F.min("path").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = told.join(first, ["facet", "value"]).filter("path <> other")
     return shared.groupBy("path", "other").agg(F.array_sort(F.collect_set("facet")).alias("shared"))
+
+
+#: Of the words of two tasks' goals and titles, the share that closest matches have in common at least, and how many are shown.
+NEAR, SHOWN = 0.5, 3
+#: Facets of equal value, which order matches that are equally near by words.
+SAME = ("project", "people", "source")
+
+
+def word_set(*columns: str) -> Column:
+    """The distinct words of text columns in lower case, sorted; letters and digits make words."""
+    text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
+    return F.array_sort(F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+
+
+def near_sets(sets: DataFrame, near: float = NEAR) -> DataFrame:
+    """(a, b, shared, similarity) of the pairs a < b of ``sets`` (id, words; distinct sets without blanks) whose words overlap by ``near`` or more (Jaccard).
+
+    A join on words by prefixes. Words are numbered by rarity. Two sets that overlap by
+    ``near`` share one of the rarest words of each: of the larger the first n - ceil(near
+    * n) + 1, of the smaller the first n - ceil(2 * near / (1 + near) * n) + 1. Common
+    words thus seldom take part, and pairs whose places or sizes leave too little to
+    share are dropped in the join, before their words are compared.
+    """
+    word = sets.select("id", F.posexplode("words").alias("__p", "word")).drop("__p")
+    rarity = word.groupBy("word").agg(F.count("*").alias("held"))
+    ordered = word.join(rarity, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "word"))).alias("w")).select("id", F.transform("w", lambda x: x["word"]).alias("words"), F.size("w").alias("n"))
+    cut = lambda share: (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1).cast("int")
+    side = lambda share, s: ordered.select(F.col("id").alias(f"id_{s}"), F.col("words").alias(f"words_{s}"), F.col("n").alias(f"n_{s}"), F.posexplode(F.slice("words", F.lit(1), cut(share))).alias(f"p_{s}", "word"))
+    large, small = side(near, "l"), side(2 * near / (1 + near), "s")
+    order = (F.col("n_s") < F.col("n_l")) | ((F.col("n_s") == F.col("n_l")) & (F.col("id_s") < F.col("id_l")))
+    needed = F.ceil(F.lit(near / (1 + near)) * (F.col("n_l") + F.col("n_s")) - 1e-9)
+    reachable = F.least(F.col("n_l") - F.col("p_l"), F.col("n_s") - F.col("p_s"))  # from these places on
+    met = large.join(small, "word").filter(order & (F.col("n_s") >= F.lit(near) * F.col("n_l") - 1e-9) & (reachable >= needed))
+    shared = F.size(F.array_intersect("words_l", "words_s"))
+    pairs = met.select("id_l", "id_s", shared.alias("shared"), (F.col("n_l") + F.col("n_s")).alias("both")).distinct()
+    similarity = F.col("shared") / (F.col("both") - F.col("shared"))
+    return pairs.select(F.least("id_l", "id_s").alias("a"), F.greatest("id_l", "id_s").alias("b"), "shared", similarity.alias("similarity")).filter(F.col("similarity") >= near)
+
+
+def closest_by_words(tasks_: DataFrame, near: float = NEAR, shown: int = SHOWN) -> DataFrame:
+    """(path, other, similarity, same, rank): for each task the nearest others by the words of goal and title, at most ``shown``.
+
+    Nearest first; of equally near ones that with more equal facets (project, people,
+    source; blank ones say nothing), then by path. Tasks without words have none. Paths
+    are unique.
+
+    Tasks with one set of words are one set in the search. For each choice of facets and
+    their values a set offers its first tasks by path: the nearest of a task are among
+    the offers for what it has equal with them, so a goal or a project that all tasks
+    share makes no pairs of all with all.
+    """
+    value = lambda c: F.lower(X.strip(F.coalesce(F.col(c).cast("string"), F.lit("")))) if c in tasks_.columns else F.lit("")
+    told = tasks_.select("path", word_set("goal", "title").alias("words"), F.array(*[value(c) for c in SAME]).alias("facets")).filter("size(words) > 0").withColumn("id", F.concat_ws(" ", "words"))
+    sets = told.select("id", "words").distinct()
+    pairs = near_sets(sets, near)
+    both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(sets.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    chosen = [[i for i in range(len(SAME)) if mask >> i & 1] for mask in range(1 << len(SAME))]
+
+    def choices(facets: Column) -> Column:
+        """The values of each choice of facets, all others null; those with a blank among them say nothing."""
+        every = F.array(*[F.array(*[facets[i] if i in own else F.lit(None).cast("string") for i in range(len(SAME))]) for own in chosen])
+        return F.filter(every, lambda c: ~F.coalesce(F.array_contains(c, ""), F.lit(False)))
+
+    key = F.to_json(F.col("choice"))
+    by_path = Window.partitionBy("b", "choice").orderBy("other")
+    offered = told.select(F.col("id").alias("b"), F.col("path").alias("other"), F.col("facets").alias("theirs"), F.explode(choices(F.col("facets"))).alias("choice")).withColumn("choice", key)
+    offered = offered.withColumn("__n", F.row_number().over(by_path)).filter(F.col("__n") <= shown + 1).drop("__n")  # one may be the task itself
+    kinds = told.select(F.col("id").alias("a"), "facets").distinct()  # tasks with one set and the same facets see the same offers
+    asked = kinds.join(both, "a").select("*", F.explode(choices(F.col("facets"))).alias("choice")).withColumn("choice", key)
+    same = F.size(F.filter(F.zip_with("facets", "theirs", lambda x, y: (x == y) & (x != "")), lambda t: t))
+    seen = asked.join(offered, ["b", "choice"]).select("a", "facets", "other", "similarity", same.alias("same")).distinct()
+    order = lambda *key: Window.partitionBy(*key).orderBy(F.col("similarity").desc(), F.col("same").desc(), "other")
+    seen = seen.withColumn("__n", F.row_number().over(order("a", "facets"))).filter(F.col("__n") <= shown + 1).drop("__n")
+    own = told.select("path", F.col("id").alias("a"), "facets").join(seen, ["a", "facets"]).filter("path <> other")
+    ranked = own.withColumn("rank", F.row_number().over(order("path"))).filter(F.col("rank") <= shown)
+    return ranked.select("path", "other", "similarity", "same", "rank")
+
+
+def entries_of(sections: Column, name: str = "Work log") -> Column:
+    """The entries of a list section (of body_sections()): a line that begins one, with the lines that follow it."""
+    text = F.coalesce(F.get(F.filter(sections, lambda s: s["name"] == name), F.lit(0))["text"], F.lit(""))
+    parts = F.split(F.concat(F.lit("\n"), text), r"\n(?=[-*+] )")
+    return F.filter(F.transform(parts, X.strip), lambda e: e != "")
+
+
+def history_rewrites(versions: DataFrame, name: str = "Work log") -> DataFrame:
+    """(path, ts, kept, was, now, first_lost, kind) of the versions (path, ts, content) of task notes whose history does not go on from the version before.
+
+    The entries of a section may only grow at the end: those of a version begin with all
+    those of the one before it. ``kept`` is how many do, of ``was`` before and ``now``
+    after; ``first_lost`` is the first entry that is not in its place. ``kind`` is removed
+    (some are gone, none is new), rewritten (some are gone, others new), reordered (all
+    are there in another order) or inserted (all are there in order, with others before
+    some of them). Versions follow one another by ts, of one ts by the hash of their content.
+    """
+    order = Window.partitionBy("path").orderBy("ts", "content_hash")
+    told = versions.select("path", "ts", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), entries_of(body_sections(F.coalesce("content", F.lit(""))), name).alias("entries"))
+    pairs = told.withColumn("before", F.lag("entries").over(order)).filter("before is not null")
+    places = F.sequence(F.lit(1), F.size("before"))
+    equal = F.filter(places, lambda i: ~F.get("before", i - 1).eqNullSafe(F.get("entries", i - 1)))
+    kept = F.when(F.size("before") == 0, 0).otherwise(F.coalesce(F.get(equal, F.lit(0)) - 1, F.size("before")))
+    df = pairs.withColumn("kept", kept.cast("int")).filter(F.col("kept") < F.size("before"))
+    tail, rest = F.slice("before", F.col("kept") + 1, F.size("before")), F.slice("entries", F.col("kept") + 1, F.size("entries"))
+    gone, new = F.size(F.array_except(tail, rest)) > 0, F.size(F.array_except(rest, tail)) > 0
+    in_order = F.filter(rest, lambda e: F.array_contains(tail, e)) == tail
+    fewer = F.size(rest) < F.size(tail)  # one of several equal entries may be gone
+    kind = F.when((gone | fewer) & ~new, "removed").when(gone | fewer, "rewritten").when(in_order, "inserted").otherwise("reordered")
+    return df.select("path", "ts", "kept", F.size("before").alias("was"), F.size("entries").alias("now"), F.get("before", F.col("kept")).alias("first_lost"), kind.alias("kind"))

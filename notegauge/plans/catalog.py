@@ -228,25 +228,27 @@ def run_difference(spark, sf_dir):
     return store.difference("run-1", "run-2").select(doc_id(), "change", "score_before", "score_after", joined(F.col("gained")).alias("gained"), joined(F.col("lost")).alias("lost"))
 
 
-#: Which customer an order links to, as a structure note, before and after a change: some orders come, some go, some point elsewhere.
-LINKED = """before AS (SELECT o_custkey AS target FROM orders WHERE o_orderkey % 3 <> 0),
-after AS (SELECT CASE WHEN o_orderkey % 3 = 2 THEN o_custkey + 1 ELSE o_custkey END AS target FROM orders WHERE NOT (o_orderkey % 3 = 1 AND o_orderstatus = 'F'))"""
+#: The subject of an order: one of ten of its customer.
+SUBJECT = "o_custkey * 10 + o_orderkey % 10"
+#: Which subject an order links to, as a structure note, before and after a change: some orders come, some go, some point elsewhere.
+LINKED = f"""before AS (SELECT {SUBJECT} AS target FROM orders WHERE o_orderkey % 3 <> 0),
+after AS (SELECT CASE WHEN o_orderkey % 3 = 2 THEN {SUBJECT} + 1 ELSE {SUBJECT} END AS target FROM orders WHERE NOT (o_orderkey % 3 = 1 AND o_orderstatus = 'F'))"""
 
 
 def relinked(spark: SparkSession, sf_dir: str) -> tuple[parents.ParentSet, DataFrame]:
     """The parent set of orders as structure notes, after the change of LINKED, and the flips of that change."""
     orders, held = table(spark, sf_dir, "orders"), parents.ParentSet(spark, scratch(spark))
-    note = lambda df, shift: df.select(F.concat(F.lit("s/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("note_path"), F.concat(F.lit("- [[folder/c"), (F.col("o_custkey") + shift).cast("string"), F.lit(".md#part|alias]]")).alias("content"))
+    note = lambda df, shift: df.select(F.concat(F.lit("s/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("note_path"), F.concat(F.lit("- [[folder/c"), (F.expr(SUBJECT) + shift).cast("string"), F.lit(".md#part|alias]]")).alias("content"))
     held.apply(note(orders.filter("o_orderkey % 3 <> 0"), 0))
     changed = note(orders.filter("o_orderkey % 3 = 0"), 0).unionByName(note(orders.filter("o_orderkey % 3 = 2"), 1))
     return held, held.apply(changed, note(orders.filter("o_orderkey % 3 = 1 and o_orderstatus = 'F'"), 0))
 
 
-@query(f"WITH {LINKED} SELECT c_custkey, c_custkey NOT IN (SELECT target FROM after) AS missing_parent FROM customer WHERE (c_custkey IN (SELECT target FROM before)) <> (c_custkey IN (SELECT target FROM after))")
+@query(f"WITH {LINKED} SELECT o_orderkey, {SUBJECT} NOT IN (SELECT target FROM after) AS missing_parent FROM orders WHERE ({SUBJECT} IN (SELECT target FROM before)) <> ({SUBJECT} IN (SELECT target FROM after))")
 def parent_flips(spark, sf_dir):
     """J1 and A7 under change: the notes whose parent finding turns over when structure notes come, go or change."""
-    notes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("stem"), F.col("c_custkey").cast("string").alias("note_path"))
-    return parents.flipped(notes, relinked(spark, sf_dir)[1]).select(F.col("note_path").cast("long").alias("c_custkey"), "missing_parent")
+    notes = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.expr(SUBJECT).cast("string")).alias("stem"), F.col("o_orderkey").cast("string").alias("note_path"))
+    return parents.flipped(notes, relinked(spark, sf_dir)[1]).select(F.col("note_path").cast("long").alias("o_orderkey"), "missing_parent")
 
 
 @query(f"WITH {LINKED} SELECT target, count(*) AS refs FROM after GROUP BY target")
@@ -1079,3 +1081,46 @@ def vocabulary_table(spark, sf_dir):
     """The vocabulary as the prompt and the scores read it."""
     told = F.split(F.lit(prompt.judgment_prompt(spark)), "\n")
     return vocabulary(spark).filter(F.exists(told, lambda x: F.startswith(x, F.concat(F.lit("| `"), F.col("code"), F.lit("` | "), F.col("loss").cast("string"))))).select("code", "loss", "component", F.when(F.col("component"), 35).otherwise(F.col("loss")).alias("bound"))
+
+
+#: Customers as tasks with a goal and a title of a few words; near ones share half of them.
+WORDED = """t AS (SELECT c_custkey, list_distinct(['call', lower(c_mktsegment), 'n' || (c_nationkey % 4)::VARCHAR, 'k' || (c_custkey % 11)::VARCHAR, 'k' || (c_custkey % 7)::VARCHAR]) AS w,
+CASE WHEN c_custkey % 3 > 0 THEN 'p' || (c_custkey % 3)::VARCHAR ELSE '' END AS project, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey::VARCHAR ELSE '' END AS people FROM customer)"""
+
+
+@query(f"""WITH {WORDED}, s AS (SELECT w, row_number() OVER () AS id FROM (SELECT DISTINCT list_sort(w) AS w FROM t)), n AS (SELECT c_custkey, id, project, people FROM t JOIN s ON list_sort(t.w) = s.w),
+pair AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) AS similarity FROM s a, s b),
+met AS (SELECT x.c_custkey, y.c_custkey AS other, similarity, (x.project = y.project AND x.project <> '')::INTEGER + (x.people = y.people AND x.people <> '')::INTEGER AS same FROM n x JOIN pair ON x.id = a JOIN n y ON y.id = b WHERE similarity >= 0.6 AND x.c_custkey <> y.c_custkey)
+SELECT c_custkey, other, similarity, same, rank FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY similarity DESC, same DESC, other)::INTEGER AS rank FROM met) WHERE rank <= 3""")
+def nearest_tasks(spark, sf_dir):
+    """The closest tasks by the words of goal and title, then by equal facets; any of them may share a word or a facet with all."""
+    text = lambda *x: F.concat_ws(" ", *x)
+    numbered = lambda letter, c, n: F.concat(F.lit(letter), (F.col(c) % n).cast("string"))
+    t = table(spark, sf_dir, "customer").select(
+        F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("path"), text(F.lit("Call:"), F.col("c_mktsegment"), numbered("n", "c_nationkey", 4)).alias("goal"), text(numbered("K", "c_custkey", 11), numbered("k", "c_custkey", 7)).alias("title"),
+        F.when(F.col("c_custkey") % 3 > 0, numbered("p", "c_custkey", 3)).alias("project"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_nationkey").cast("string")).alias("people"),
+    )
+    return tasks.closest_by_words(t, 0.6).select(F.col("path").cast("long").alias("c_custkey"), F.col("other").cast("long").alias("other"), "similarity", "same", "rank")
+
+
+#: Work logs of orders, a version per line: each adds an entry, but some lose the first, rewrite the last or swap the first two.
+VERSIONS = """v AS (SELECT l_orderkey, l_partkey % 7 AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
+e AS (SELECT l_orderkey, i, CASE m WHEN 0 THEN list_transform(range(2, i + 1), lambda x: 'e' || x::VARCHAR) WHEN 1 THEN list_transform(range(1, i + 1), lambda x: CASE WHEN x = i THEN 'x' ELSE 'e' || x::VARCHAR END)
+WHEN 2 THEN list_transform(range(1, i + 1), lambda x: 'e' || CASE WHEN i > 1 AND x < 3 THEN 3 - x ELSE x END::VARCHAR) ELSE list_transform(range(1, i + 1), lambda x: 'e' || x::VARCHAR) END AS now FROM v),
+b AS (SELECT *, lag(now) OVER (PARTITION BY l_orderkey ORDER BY i) AS was FROM e),
+k AS (SELECT *, len(list_filter(range(1, len(was) + 1), lambda j: was[:j] = now[:j])) AS kept FROM b WHERE was IS NOT NULL),
+r AS (SELECT *, was[kept + 1:] AS tail, now[kept + 1:] AS rest FROM k WHERE kept < len(was))"""
+
+
+@query(f"""WITH {VERSIONS} SELECT l_orderkey, i AS version, kept::INTEGER AS kept, '- ' || was[kept + 1] AS first_lost, CASE WHEN len(list_filter(tail, lambda x: NOT list_contains(rest, x))) > 0 OR len(rest) < len(tail) THEN
+CASE WHEN len(list_filter(rest, lambda x: NOT list_contains(tail, x))) = 0 THEN 'removed' ELSE 'rewritten' END WHEN list_filter(rest, lambda x: list_contains(tail, x)) = tail THEN 'inserted' ELSE 'reordered' END AS kind FROM r""")
+def history_rewrites(spark, sf_dir):
+    """Work logs that do not go on from the version before: entries that are gone, rewritten, in another order or pushed in."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    v = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 7).alias("m"), place.alias("i"))
+    number = lambda x: F.concat(F.lit("- e"), x.cast("string"))
+    made = F.transform(F.sequence(F.lit(1), "i"), lambda x: F.when((F.col("m") == 1) & (x == F.col("i")), "- x").when((F.col("m") == 2) & (F.col("i") > 1) & (x < 3), number(3 - x)).otherwise(number(x)))
+    entries = F.when(F.col("m") == 0, F.slice(made, F.lit(2), F.size(made))).otherwise(made)
+    content = F.concat(F.lit("# T\n\n## Work log\n\n"), F.array_join(entries, "\n"), F.lit("\n"))
+    versions = v.select(F.col("l_orderkey").cast("string").alias("path"), F.timestamp_seconds("i").alias("ts"), content.alias("content"))
+    return tasks.history_rewrites(versions).select(F.col("path").cast("long").alias("l_orderkey"), F.unix_timestamp("ts").alias("version"), "kept", "first_lost", "kind")
