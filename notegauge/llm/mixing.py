@@ -1,7 +1,7 @@
 """Mixing sources to target weights with a low-discrepancy schedule, in DataFrame functions only.
 
-Slot i of the schedule is the point frac(i * golden ratio), mapped through the
-cumulative target shares to a source; the r-th slot of a source takes its r-th
+Slot i of the schedule is the point frac(i * golden ratio) in whole numbers, mapped through
+the cumulative target shares to a source; the r-th slot of a source takes its r-th
 block of BLOCK words. Blocks cut the source's documents, laid end to end in a
 shuffled order and repeated pass by pass. What a document gives is the overlap of
 its words with the blocks that slots reach.
@@ -21,10 +21,13 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Words to a block, where the corpus is large; small ones have SLOTS slots.
 BLOCK, SLOTS = 512, 4096
-GOLDEN = 0.6180339887498949
-GRID = 4096
+#: Neighbouring Fibonacci numbers, the largest below 2**63: slot i lies at i * GOLDEN modulo CIRCLE. All quotients of their ratio's continued
+#: fraction are 1, as the golden ratio's, so points stay as even up to CIRCLE slots; in doubles late ones would lie on a coarse grid.
+GOLDEN, CIRCLE = 4660046610375530309, 7540113804746346429
+#: Points to a cell of the grid on which points and sources meet: some 3700 cells.
+CELL = 51
 #: Of any n golden-ratio points, the number in an interval differs from n times its length by less than 2 + log(n) (the
-#: quotients of the ratio's continued fraction are all 1), so by less than REACH for every n below 2**64: no source has more
+#: quotients of the ratio's continued fraction are all 1), so by less than REACH for every n below CIRCLE: no source has more
 #: slots beyond its target.
 REACH = 64
 #: Slots per bucket, and documents to a bucket of a source on average.
@@ -61,20 +64,37 @@ def targets(sizes: DataFrame) -> DataFrame:
     return t.select("source", "source_size", "position", F.when(F.col("total") > 0, F.col("target")).otherwise(0.0).alias("target"))
 
 
-def slots(plan: DataFrame, count: int) -> DataFrame:
-    """(position, rank): for each of ``count`` golden-ratio points the source it falls to, ranked per source from 0."""
-    spark = plan.sparkSession
+def point(slot: Column) -> Column:
+    """The point of a slot (below 10**18), a whole number below CIRCLE."""
+    return ((slot.cast("decimal(18,0)") * F.lit(GOLDEN).cast("decimal(19,0)")) % F.lit(CIRCLE).cast("decimal(19,0)")).cast("long")
+
+
+def intervals(plan: DataFrame) -> DataFrame:
+    """(position, target, lo, hi): the points from lo to hi, both included, of each source with a target."""
     total = Window.partitionBy()
     upto = total.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    share = plan.filter("target > 0").withColumn("hi", F.sum("target").over(upto) / F.sum("target").over(total))
-    share = share.withColumn("lo", F.coalesce(F.lag("hi").over(total.orderBy("position")), F.lit(0.0)))
-    share = share.withColumn("hi", F.when(F.col("position") == F.max("position").over(total), F.lit(1.0)).otherwise(F.col("hi")))
-    # each source in the cells of a fixed grid that it touches: GRID + sources rows for an equi-join
-    cells = share.select("position", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1)))).alias("cell"))
-    points = spark.range(count).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))).alias("x"))
-    drawn = points.withColumn("cell", F.floor(F.col("x") * GRID)).join(cells, "cell").filter("x >= lo and x < hi")
-    drawn = drawn.select("slot", "position", F.floor(F.col("slot") / RUN).alias("__bucket"), F.lit(1).cast("long").alias("one"))
-    return prefix_sums(drawn, ["position"], "__bucket", ["slot"], "one", "rank").select("position", "rank")
+    share = plan.filter("target > 0").withColumn("share", F.sum("target").over(upto) / F.sum("target").over(total))
+    share = share.withColumn("end", F.least(F.floor(F.col("share") * F.lit(float(CIRCLE))), F.lit(CIRCLE - 1)))
+    share = share.withColumn("lo", F.coalesce(F.lag("end").over(total.orderBy("position")), F.lit(0).cast("long")))
+    share = share.withColumn("hi", F.when(F.col("position") == F.max("position").over(total), F.lit(CIRCLE - 1)).otherwise(F.col("end") - 1))
+    return share.filter("lo <= hi").select("position", "target", "lo", "hi")
+
+
+def slots(plan: DataFrame, count: int, block: int) -> DataFrame:
+    """(position, rank): for each of ``count`` golden-ratio points the source it falls to, ranked per source from 0.
+
+    A source with more slots than its target and REACH, which the points rule out, would lose those: it is an error.
+    """
+    spark = plan.sparkSession
+    # each source in the cells of the grid that it touches: as many rows as cells and sources for an equi-join
+    cell = lambda c: F.shiftright(c, CELL)
+    cells = intervals(plan).select("*", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
+    points = spark.range(count).select(F.col("id").alias("slot"), point(F.col("id")).alias("x"))
+    drawn = points.withColumn("cell", cell("x")).join(cells, "cell").filter("x between lo and hi")
+    drawn = drawn.select("slot", "position", "target", F.floor(F.col("slot") / RUN).alias("__bucket"), F.lit(1).cast("long").alias("one"))
+    ranked = prefix_sums(drawn, ["position"], "__bucket", ["slot"], "one", "rank")
+    within = F.col("rank") * block < F.col("target") + REACH * block
+    return ranked.select("position", F.when(within, F.col("rank")).otherwise(F.raise_error(F.lit("more slots than a target reaches")).cast("long")).alias("rank"))
 
 
 def mix(docs: DataFrame, *carried: str) -> DataFrame:
@@ -104,7 +124,7 @@ def mix(docs: DataFrame, *carried: str) -> DataFrame:
     runs = laid.filter("size > 0").select("__row", "position", "size", "source_size", F.explode(F.expr(f"sequence(0, {REPEATS - 1})")).alias("turn"), "begin", "target")
     runs = runs.withColumn("begin", F.col("begin") + F.col("turn") * F.col("source_size")).filter(F.col("begin") < F.col("target") + F.lit(REACH * block))
     pieces = runs.select("__row", "position", "begin", (F.col("begin") + F.col("size")).alias("end"), F.explode(F.expr(f"sequence(floor(begin / {block}), floor((begin + size - 1) / {block}))")).alias("rank"))
-    reached = pieces.join(slots(plan, n_slots), ["position", "rank"])
+    reached = pieces.join(slots(plan, n_slots, block), ["position", "rank"])
     got = F.least(F.col("end"), (F.col("rank") + 1) * block) - F.greatest(F.col("begin"), F.col("rank") * block)
     taken = reached.groupBy("__row").agg(F.sum(got).alias("taken"))
     return laid.join(taken, "__row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *carried)

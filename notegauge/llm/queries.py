@@ -126,10 +126,10 @@ WITH d AS (
 ), size AS (
     SELECT greatest(1, least({mixing.BLOCK}, sum(size)::BIGINT // {mixing.SLOTS})) AS block, sum(size)::BIGINT AS total FROM d
 ), share AS (
-    SELECT position, coalesce(lag(hi) OVER (ORDER BY position), 0) AS lo, CASE WHEN position = max(position) OVER () THEN 1 ELSE hi END AS hi
-    FROM (SELECT position, sum(target) OVER (ORDER BY position) / sum(target) OVER () AS hi FROM plan WHERE target > 0)
+    SELECT position, coalesce(lag(finish) OVER (ORDER BY position), 0) AS lo, CASE WHEN position = max(position) OVER () THEN {mixing.CIRCLE} ELSE finish END AS hi
+    FROM (SELECT position, least(floor(sum(target) OVER (ORDER BY position) / sum(target) OVER () * {mixing.CIRCLE}::DOUBLE)::BIGINT, {mixing.CIRCLE - 1}) AS finish FROM plan WHERE target > 0)
 ), point AS (
-    SELECT i * {mixing.GOLDEN}::DOUBLE - floor(i * {mixing.GOLDEN}::DOUBLE) AS x FROM (SELECT unnest(range((SELECT total // block FROM size))) AS i)
+    SELECT i::HUGEINT * {mixing.GOLDEN} % {mixing.CIRCLE} AS x FROM (SELECT unnest(range((SELECT total // block FROM size))) AS i)
 ), drawn AS (
     SELECT position, count(*) AS slots FROM point JOIN share ON x >= lo AND x < hi GROUP BY position
 ), laid AS (

@@ -501,13 +501,39 @@ def test_mix(spark):
 def test_golden_points_fall_within_reach():
     """Counts in intervals stay close to their share: the largest difference grows like the logarithm."""
     n = 1 << 18
-    x = np.arange(n) * mixing.GOLDEN % 1
+    x = np.array([i * mixing.GOLDEN % mixing.CIRCLE for i in range(n)], float) / mixing.CIRCLE
     rng = np.random.default_rng(1)
     worst = 0.0
     for a, b in rng.random((60, 2)):
         a, b = min(a, b), max(a, b)
         worst = max(worst, np.abs(np.cumsum((x >= a) & (x < b)) - (b - a) * np.arange(1, n + 1)).max())
-    assert worst < 2 + np.log(n) and 2 + np.log(2.0**64) < mixing.REACH
+    assert worst < 2 + np.log(n) and 2 + np.log(float(mixing.CIRCLE)) < mixing.REACH
+    a, b = mixing.CIRCLE, mixing.GOLDEN
+    while b > 1:  # every quotient is 1, to the end
+        assert a // b == 1
+        a, b = b, a % b
+
+
+def test_late_slots_are_as_even_as_early_ones(spark):
+    """Beyond 3e10 slots, rare sources still get their share within the bound."""
+    first, n = 3 * 10**10, 4_000_000
+    x = mixing.point(mixing.F.col("id"))
+    shares = (1e-3, 1e-4, 1e-5, 3e-6)
+    at = int(0.37 * mixing.CIRCLE)
+    told = spark.range(first, first + n).select(x.alias("x")).agg(*[mixing.F.count_if(mixing.F.col("x").between(at, at + int(s * mixing.CIRCLE))).alias(str(i)) for i, s in enumerate(shares)]).first()
+    assert all(abs(told[str(i)] - n * s) < 40 for i, s in enumerate(shares))
+    some = [first, first + 1, 10**18 - 1, 0]
+    got = spark.createDataFrame([(i,) for i in some], "id long").select("id", x.alias("x")).collect()
+    assert {r["id"]: r["x"] for r in got} == {i: i * mixing.GOLDEN % mixing.CIRCLE for i in some}
+
+
+def test_slots_cover_all_points(spark):
+    """Each slot falls to one source, also with targets that are tiny, equal or none."""
+    plan = spark.createDataFrame([(1, 0.0), (2, 1e-9), (3, 5.0), (4, 5.0), (5, 1e-30), (6, 1e12), (7, 3.0)], "position int, target double")
+    got = mixing.slots(plan, 20000, 1).groupBy("position").agg(mixing.F.count("*").alias("n"), mixing.F.max("rank").alias("last"), mixing.F.count_distinct("rank").alias("ranks")).collect()
+    assert sum(r["n"] for r in got) == 20000 and all(r["last"] + 1 == r["n"] == r["ranks"] for r in got)
+    with pytest.raises(Exception, match="more slots than a target reaches"):
+        mixing.slots(spark.createDataFrame([(1, 1.0)], "position int, target double"), 1000, 1).collect()
 
 
 def test_copies_of_rows_without_doc_id_follow_their_source(spark):
