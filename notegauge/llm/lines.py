@@ -72,6 +72,27 @@ class CuckooFilter:
         tag, i, j = self._places(h1, h2)
         return (self.tags[i] == tag[:, None]).any(axis=1) | (self.tags[j] == tag[:, None]).any(axis=1)
 
+    def _fill(self, bucket: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """Put tags into free slots of their buckets; which of them found one."""
+        order = np.argsort(bucket, kind="stable")
+        own = bucket[order]
+        at = np.flatnonzero(np.diff(own, prepend=-1))
+        rank = np.arange(len(own)) - np.repeat(at, np.diff(at, append=len(own)))
+        free = self.tags[own] == 0
+        placed = rank < free.sum(axis=1)
+        slot = ((np.cumsum(free, axis=1) == rank[:, None] + 1) & free).argmax(axis=1)
+        self.tags[own[placed], slot[placed]] = tag[order][placed]
+        found = np.zeros(len(bucket), bool)
+        found[order] = placed
+        return found
+
+    def insert_all(self, h1: np.ndarray, h2: np.ndarray) -> bool:
+        """Insert keys: all at once into free slots of their two buckets, those left by moving others about."""
+        tag, i, j = self._places(h1, h2)
+        left = np.flatnonzero(~self._fill(i, tag))
+        left = left[~self._fill(j[left], tag[left])]
+        return all([self.insert(a, b) for a, b in zip(h1[left].tolist(), h2[left].tolist())])
+
     def insert(self, h1: int, h2: int) -> bool:
         tag, i, j = (x[0] for x in self._places(np.array([h1], np.uint64), np.array([h2], np.uint64)))
         for _ in range(self.KICKS):
@@ -102,7 +123,7 @@ class CuckooFilter:
         size = max(16, len(h1))
         while True:
             f = cls(size)
-            if all(f.insert(a, b) for a, b in zip(h1.tolist(), h2.tolist())):
+            if f.insert_all(h1, h2):
                 return f
             size *= 2
 
@@ -241,12 +262,13 @@ class LineIndex:
         return replace(self, versions=(*[(path, shards) for path, shards in rest if shards], (folder, touched)))
 
     def drops(self) -> DataFrame:
-        """(doc_id, h1, h2): the keys that each document loses."""
+        """(doc_id, h1, h2): the keys that each document loses; rows without doc_id lose none."""
+        holders = self.holders().filter("doc_id is not null")
         frequent = checkpointed(self.references().filter(F.col("refs") >= self.min_docs).select("h1", "h2", "refs", "last"))
-        total = self.holders().count()
+        total = holders.count()
         hot = frequent.filter(F.col("refs") * HOT >= max(total, HOT * 100)).select("h1", "h2", "last")  # at most HOT keys
-        marked = self.holders().join(F.broadcast(hot.withColumnRenamed("last", "__last").withColumn("__hot", F.lit(True))), ["h1", "h2"], "left")
-        lost = lambda last: F.col("doc_id").isNull() | (F.col("doc_id") != F.col(last))
+        marked = holders.join(F.broadcast(hot.withColumnRenamed("last", "__last").withColumn("__hot", F.lit(True))), ["h1", "h2"], "left")
+        lost = lambda last: F.col("doc_id") != F.col(last)
         settled = marked.filter("__hot").filter(lost("__last")).select("doc_id", "h1", "h2")
         rest = marked.filter("__hot is null").select(self._shard().alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("tags"), "h1", "h2", "doc_id")
         first = self.filters().select("shard", F.lit(0).alias("kind"), "tags", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(None).cast("long").alias("doc_id"))
@@ -303,9 +325,9 @@ def _revise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if cuckoo is None or full:
                 every.append(_keys(rows))
         elif cuckoo is not None:
-            move = cuckoo.insert if kind == 1 else cuckoo.delete
             # a filter is full only when an insertion fails, which has moved other tags about: it is made anew
-            full = not all([move(a, b) for a, b in zip(*(x.tolist() for x in _keys(rows)))]) or full
+            moved = cuckoo.insert_all(*_keys(rows)) if kind == 1 else all([cuckoo.delete(a, b) for a, b in zip(*(x.tolist() for x in _keys(rows)))])
+            full = full or not moved
     if now is not None:
         yield from done()
 
@@ -319,7 +341,10 @@ def dedup(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     ship(docs.sparkSession)
     index = index or LineIndex.build(docs)
     keys = index.drops().groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__keys")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(keys, docs["doc_id"].cast("long") == keys["__id"], "left").select(*[docs[c] for c in docs.columns], F.transform("__keys", lambda k: k["h1"]).alias("__h1"), F.transform("__keys", lambda k: k["h2"]).alias("__h2"))
+    # rows without doc_id find no keys; numbers of their own spread them over the tasks of the join
+    own = F.col("doc_id").cast("long")
+    marked = docs.select("*", F.coalesce(own, F.monotonically_increasing_id()).alias("__own"), own.isNull().alias("__null"))
+    joined = marked.join(keys.withColumn("__known", F.lit(False)), (F.col("__own") == F.col("__id")) & (F.col("__null") == F.col("__known")), "left").select(*[marked[c] for c in docs.columns], F.transform("__keys", lambda k: k["h1"]).alias("__h1"), F.transform("__keys", lambda k: k["h2"]).alias("__h2"))
     place, width, min_chars = docs.columns.index("text"), len(docs.columns), index.min_chars
     schema = widened(docs.schema, __n_lines="long", __n_dropped="long")
 

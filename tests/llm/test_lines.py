@@ -119,3 +119,32 @@ def test_cuckoo_filter_rejects_most_strangers():
     a, b = (rng.integers(0, 2**64, (5000, 2), dtype=np.uint64) for _ in range(2))
     f = CuckooFilter.of(a[:, 0], a[:, 1])
     assert f.contains(b[:, 0], b[:, 1]).mean() < 0.005
+
+
+def test_many_rows_without_doc_id(spark):
+    """They keep their lines and count as holders; none of their keys is gathered anywhere, and the join spreads them."""
+    docs = [(None, f"{SHARED} {i % 50}\n{SHARED} number {i % 700}") for i in range(20000)] + [(i, f"{SHARED} {i % 50}\nown {i}") for i in range(600)]
+    df = frame(spark, docs).repartition(8)
+    index = LineIndex.build(df)
+    drops = index.drops()
+    assert drops.filter("doc_id is null").count() == 0 and drops.count() == 600 - 50
+    got = lines.dedup(df, index)
+    assert got.filter("doc_id is null and __n_dropped > 0").count() == 0 and got.count() == len(docs)
+    assert sum(r["__n_dropped"] for r in got.filter("doc_id is not null").select("__n_dropped").collect()) == 550
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_task = got.filter("doc_id is null").groupBy(lines.F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in by_task) < 2 * 20000 / n or len(by_task) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(0, 3000), st.integers(1, 4))
+def test_filter_filled_at_once(seed, n, parts):
+    rng = np.random.default_rng(seed)
+    h1, h2 = rng.integers(0, 2**63, (2, n)).astype(np.uint64)
+    f = CuckooFilter.of(h1, h2)
+    assert n == 0 or f.contains(h1, h2).all()
+    assert (f.tags != 0).sum() == n
+    g = CuckooFilter(max(16, n))
+    if all(g.insert_all(a, b) for a, b in zip(np.array_split(h1, parts), np.array_split(h2, parts))):
+        assert (n == 0 or g.contains(h1, h2).all()) and (g.tags != 0).sum() == n
+        assert all(g.delete(a, b) for a, b in zip(h1.tolist(), h2.tolist())) and not g.tags.any()
