@@ -9,11 +9,14 @@ deterministic transducer whose transitions emit token counts, state by state as
 reach them; white space leads back to its start. The paths of known runs are kept as
 one transition each. A chunk of text is a map from entry state to exit state and emitted
 count; maps compose associatively, so the chunks of a text of any length are combined
-by a parallel prefix scan.
+by the up-sweep of a parallel prefix scan. What is open at a chunk's edges is held as
+places in the text, not as bytes. A run that spans chunks is read by a state that goes
+on from window to window: a few characters, a state of the transducer and a count.
 """
 
 from __future__ import annotations
 
+import codecs
 import gc
 import json
 import os
@@ -47,6 +50,10 @@ MARKS = frozenset(".,;:!?|")
 PIECEWISE = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Bytes to a chunk of the transducer.
 CHUNK = 1 << 16
+#: Runs of more bytes are read window by window, and remembered by nobody.
+LONG, WINDOW = 1 << 16, 1 << 16
+#: Characters of an open piece that are kept as context, and characters that can change what stands before them ("'re").
+CONTEXT, AHEAD = 16, 3
 LIMIT = 2048
 
 
@@ -257,19 +264,40 @@ class PieceTransducer:
         self.next[state][byte] = made = place, emitted
         return made
 
-    def count(self, piece: bytes) -> int:
-        """Tokens of a piece that is not empty."""
-        if len(self.states) > STATES:
-            self.restart()
-        state, total, following = 0, 0, self.next
-        for byte in piece[:-1]:
+    def read(self, state: int, data: bytes) -> tuple[int, int]:
+        """(state, emitted) after inner bytes of a piece."""
+        total, following = 0, self.next
+        for byte in data:
             state, emitted = following[state].get(byte) or self.step(state, byte)
             total += emitted
-        byte = piece[-1]
+        return state, total
+
+    def close(self, state: int, byte: int) -> int:
+        """What the last byte of a piece emits."""
         emitted = self.last[state].get(byte)
         if emitted is None:
             emitted = self.last[state][byte] = self.ending(state, byte, self.final)[2]
-        return total + emitted
+        return emitted
+
+    def count(self, piece: bytes) -> int:
+        """Tokens of a piece that is not empty."""
+        if len(self.states) > STATES:
+            self.restart()
+        state, total = self.read(0, piece[:-1])
+        return total + self.close(state, piece[-1])
+
+    def kept(self, state: int) -> int:
+        """The number of a state after starting afresh, where there are too many."""
+        if len(self.states) <= STATES:
+            return state
+        key = self.states[state]
+        self.restart()
+        place = self.places.setdefault(key, len(self.states))
+        if place == len(self.states):
+            self.states.append(key)
+            self.next.append({})
+            self.last.append({})
+        return place
 
 
 def byte_characters() -> dict[int, str]:
@@ -294,9 +322,12 @@ class RunCounter:
         pattern = config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.split = regex.compile(pattern)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in config["added_tokens"]) or r"(?!)")
+        self.reach = max((len(t["content"]) for t in config["added_tokens"]), default=1)
         self.machine, self.pieces = PieceTransducer(config), {}
 
     def piece(self, piece: bytes) -> int:
+        if len(piece) > LONG:
+            return self.machine.count(piece)
         n = self.pieces.get(piece)
         if n is None:
             if len(self.pieces) > PIECES:
@@ -305,16 +336,102 @@ class RunCounter:
         return n
 
     def count(self, run: bytes) -> int:
+        if len(run) > LONG:
+            return LongRun(self).count(run)
         low = run.lower()
         if low.isalpha():
             return self.piece(low)
         text = run.decode("utf-8")
         parts = self.special.split(text) if "<" in text else [text]
-        total = len(parts) - 1
-        for part in parts:
-            normal = part.lower() if part.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
-            total += sum([self.piece(p.encode()) for p in self.split.findall(normal)])
-        return total
+        return len(parts) - 1 + sum([self.piece(p.encode()) for part in parts for p in self.split.findall(normal(part))])
+
+
+def normal(text: str) -> str:
+    return text.lower() if text.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+
+
+def starts_afresh(c: str) -> bool:
+    """Whether normalising what stands before a character cannot depend on it: no mark, and no Hangul vowel or final."""
+    return c < "\x80" or unicodedata.category(c)[0] != "M" and not "\u1160" <= c <= "\u11ff" and not unicodedata.combining(c)
+
+
+class LongRun:
+    """Counts a run of any length window by window.
+
+    ``raw`` are characters that may still belong to a special string or be composed with
+    what follows. ``rest`` are normal characters whose piece may go on. Of a piece that is
+    longer than that, all but its end has been read: ``state`` says where the transducer
+    stands (None: no piece is open), ``held`` is the last byte read, which may be the
+    piece's last, ``context`` its last characters. Only marks without end, which have to
+    be sorted as a whole, make ``raw`` long.
+    """
+
+    def __init__(self, counter: RunCounter):
+        self.counter, self.total = counter, 0
+        self.raw, self.rest, self.context = "", "", ""
+        self.state: int | None = None
+        self.held = b""
+
+    def count(self, run: bytes) -> int:
+        decoder = codecs.getincrementaldecoder("utf-8")()
+        for i in range(0, len(run), WINDOW):
+            self.raw += decoder.decode(run[i : i + WINDOW])
+            self.release(False)
+        self.release(True)
+        self.pieces("", True)
+        return self.total
+
+    def release(self, final: bool) -> None:
+        """Normalise what nothing that follows can change."""
+        cut, specials = len(self.raw), list(self.counter.special.finditer(self.raw)) if "<" in self.raw else []
+        if not final:
+            cut -= self.counter.reach
+            while cut > 0 and not starts_afresh(self.raw[cut]):
+                cut -= 1
+            cut = next((m.start() for m in specials if m.start() < cut < m.end()), cut)
+        if cut <= 0:
+            return
+        at = 0
+        for m in specials:
+            if m.end() <= cut:
+                self.pieces(normal(self.raw[at : m.start()]), True)
+                self.total, at = self.total + 1, m.end()
+        self.pieces(normal(self.raw[at:cut]), False)
+        self.raw = self.raw[cut:]
+
+    def read(self, text: str) -> None:
+        """Characters of the open piece, the last byte of which stays in hand."""
+        machine, data = self.counter.machine, self.held + text.encode()
+        if data:
+            self.state, emitted = machine.read(machine.kept(self.state), data[:-1])
+            self.total, self.held = self.total + emitted, data[-1:]
+
+    def pieces(self, more: str, final: bool) -> None:
+        """Count the pieces that are whole; with ``final`` the last one is."""
+        text = self.context + self.rest + more
+        stop, at = len(text) if final else len(text) - AHEAD, len(self.context)
+        self.rest = ""
+        for m in self.counter.split.finditer(text):
+            whole = m.end() <= stop
+            if self.state is not None:  # the first piece goes on from its context
+                self.read(text[at : m.end() if whole else max(at, m.end() - CONTEXT - AHEAD)])
+                if not whole:
+                    at = max(at, m.end() - CONTEXT - AHEAD)
+                    self.context, self.rest = text[max(0, at - CONTEXT) : at], text[at:]
+                    return
+                self.total += self.counter.machine.close(self.state, self.held[0])
+                self.state, self.held, self.context = None, b"", ""
+            elif whole:
+                self.total += self.counter.piece(m[0].encode())
+            else:
+                at = m.start()
+                if m.end() - at > 4 * CONTEXT:
+                    end = m.end() - CONTEXT - AHEAD
+                    self.state = 0
+                    self.read(text[at:end])
+                    self.context, at = text[end - CONTEXT : end], end
+                self.rest = text[at:]
+                return
 
 
 @dataclass(frozen=True)
@@ -322,22 +439,23 @@ class ChunkMap:
     """What a chunk does to the transducer: from the state of prefix p to its exit state, and the tokens emitted.
 
     ``head`` is the run that continues the prefix on entry, ``tail`` the prefix on
-    exit. Without white space inside (``open``) the chunk only lengthens the prefix.
+    exit, both as places in the text. Without white space inside (``open``) the chunk
+    only lengthens the prefix.
     """
 
-    head: bytes
-    emitted: int | list[bytes]  # before its runs are compiled, these runs
-    tail: bytes
+    head: tuple[int, int]
+    emitted: int
+    tail: tuple[int, int]
     open: bool
 
     def then(self, other: ChunkMap, count) -> ChunkMap:
-        if self.open and other.open:
-            return ChunkMap(self.head + other.head, 0, b"", True)
+        """This chunk and the one that follows it; ``count`` counts the run at a place."""
         if self.open:
-            return ChunkMap(self.head + other.head, other.emitted, other.tail, False)
+            return ChunkMap((self.head[0], other.head[1]), other.emitted, other.tail, other.open)
+        across = self.tail[0], other.head[1]
         if other.open:
-            return ChunkMap(self.head, self.emitted, self.tail + other.head, False)
-        return ChunkMap(self.head, self.emitted + count(self.tail + other.head) + other.emitted, other.tail, False)
+            return ChunkMap(self.head, self.emitted, across, False)
+        return ChunkMap(self.head, self.emitted + count(*across) + other.emitted, other.tail, False)
 
 
 class CountTransducer:
@@ -353,36 +471,41 @@ class CountTransducer:
         self.transitions.update([(r, count(r)) for r in found if r not in self.transitions])
 
     def count(self, run: bytes) -> int:
+        if len(run) > LONG:
+            return self.runs.count(run)
         if run not in self.transitions:
             self.compile({run})
         return self.transitions[run]
 
-    def chunk(self, data: bytes, inner: list[bytes]) -> ChunkMap:
-        """The state map of one chunk. ``inner``: its runs; those that touch an edge are taken out, the others must be compiled."""
+    def chunk(self, data: bytes, start: int) -> ChunkMap:
+        """The state map of the chunk that lies at ``start``."""
+        inner, end = data.split(), start + len(data)
         if not data or len(inner) == 1 and len(inner[0]) == len(data):
-            return ChunkMap(data, 0, b"", True)
-        head = inner.pop(0) if inner and not data[:1].isspace() else b""
-        tail = inner.pop() if inner and not data[-1:].isspace() else b""
-        return ChunkMap(head, inner or 0, tail, False)
+            return ChunkMap((start, end), 0, (end, end), True)
+        head = len(inner.pop(0)) if inner and not data[:1].isspace() else 0
+        tail = len(inner.pop()) if inner and not data[-1:].isspace() else 0
+        try:
+            emitted = sum(map(self.transitions.__getitem__, inner))
+        except KeyError:
+            self.compile(set(inner))
+            emitted = sum(map(self.transitions.__getitem__, inner))
+        return ChunkMap((start, start + head), emitted, (end - tail, end), False)
 
     def counts(self, texts: list[bytes]) -> list[int]:
-        """Tokens of each text: chunk maps, then a scan by doubling over the chunks of each text."""
-        cut = [[t[i : i + CHUNK] for i in range(0, len(t), CHUNK)] or [b""] for t in texts]
-        maps = [[self.chunk(c, c.split()) for c in chunks] for chunks in cut]
-        self.compile(set().union(*(m.emitted for each in maps for m in each if m.emitted)))
-        emit = self.transitions.__getitem__
-        maps = [[ChunkMap(m.head, sum(map(emit, m.emitted)), m.tail, False) if m.emitted else m for m in each] for each in maps]
-        whole = [self.scan(each)[-1] for each in maps]
-        self.compile({r for m in whole for r in (m.head, m.tail)})
-        return [self.count(m.head) + m.emitted + self.count(m.tail) for m in whole]
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """Inclusive prefix compositions, in log2(n) rounds of independent steps."""
-        step = 1
-        while step < len(maps):
-            maps = [maps[i - step].then(m, self.count) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
+        """Tokens of each text: chunk maps, then the up-sweep of a scan over the chunks of each text."""
+        out = []
+        for t in texts:
+            count = lambda i, j, t=t: self.count(t[i:j])
+            whole = self.sweep([self.chunk(t[i : i + CHUNK], i) for i in range(0, len(t), CHUNK)] or [self.chunk(t, 0)], count)
+            out.append(count(*whole.head) + whole.emitted + count(*whole.tail))
+        return out
+
+    def sweep(self, maps: list[ChunkMap], count) -> ChunkMap:
+        """The composition of all maps, in log2(n) rounds of independent steps; each border is crossed once."""
+        while len(maps) > 1:
+            pairs = [a.then(b, count) for a, b in zip(maps[::2], maps[1::2])]
+            maps = pairs + maps[2 * len(pairs) :]
+        return maps[0]
 
 
 def _parts(items: list, n: int) -> Iterator[list]:

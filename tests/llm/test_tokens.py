@@ -61,16 +61,59 @@ def test_transducer_starts_afresh_and_shares_states(monkeypatch):
 def test_composition_is_associative():
     machine = MACHINE
     parts = [b"ab c", b"d", b"", b" ", b"e f gh", b"i"]
-    maps = [machine.chunk(p, p.split()) for p in parts]
-    machine.compile({b"c", b"d", b"f", b"cd", b"ab"})
-    maps = [tokens.ChunkMap(m.head, sum(machine.count(r) for r in m.emitted) if m.emitted else 0, m.tail, m.open) for m in maps]
+    text, at = b"".join(parts), np.cumsum([0, *map(len, parts)]).tolist()
+    count = lambda i, j: machine.count(text[i:j])
+    maps = [machine.chunk(p, i) for p, i in zip(parts, at)]
     left = maps[0]
     for m in maps[1:]:
-        left = left.then(m, machine.count)
+        left = left.then(m, count)
     right = maps[-1]
     for m in maps[-2::-1]:
-        right = m.then(right, machine.count)
-    assert left == right == machine.scan(maps)[-1]
+        right = m.then(right, count)
+    assert left == right == machine.sweep(maps, count)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(ODD, LETTERS, st.sampled_from(["'re", "'r", "e", "a" * 90, "!" * 90, "'" * 70, "é" * 80, "e\u0301" * 40, "\u0301" * 30, "각" * 40, "\u1100\u1161\u11a8" * 20, "漢" * 90, "<|endoftext|>" * 3, "<|endof"])), max_size=8).map("".join), st.integers(1, 40))
+def test_long_runs_are_read_by_windows(text, window):
+    old, tokens.WINDOW, tokens.LONG = (tokens.WINDOW, tokens.LONG), window, 0
+    try:
+        for run in text.encode().split():
+            assert tokens.LongRun(MACHINE.runs).count(run) == len(library(run.decode()))
+        assert MACHINE.counts([text.encode()]) == [len(library(text))]
+    finally:
+        tokens.WINDOW, tokens.LONG = old
+
+
+def test_a_long_piece_starts_afresh(monkeypatch):
+    monkeypatch.setattr(tokens, "STATES", 40)
+    monkeypatch.setattr(tokens, "WINDOW", 50)
+    rng = np.random.default_rng(4)
+    run = "".join(rng.choice(list("etaoinshrdlu"), 3000))
+    counter = tokens.RunCounter(tokens.vocabulary_path())
+    assert tokens.LongRun(counter).count(run.encode()) == len(library(run)) and len(counter.machine.states) < 200
+
+
+def test_a_run_of_many_megabytes_takes_little_memory():
+    """Runs without white space, of one piece and of many, beside their own bytes."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from notegauge.llm import tokens
+machine = tokens.CountTransducer(tokens.vocabulary_path())
+for piece in ("haha", "ab1.", "漢字。", "x<|endoftext|>"):
+    run = piece.encode() * (24_000_000 // len(piece.encode()))
+    n = len(run) // len(piece.encode())
+    per = machine.counts([(piece * 400).encode()])[0] - machine.counts([(piece * 200).encode()])[0]
+    rest = machine.counts([(piece * 200).encode()])[0] - per
+    assert machine.counts([run])[0] == per * n // 200 + rest, piece
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 500
 
 
 def texts():
