@@ -16,15 +16,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegauge.llm.common import SPACE, checkpointed
+from notegauge.llm.common import SPACE, checkpointed, partitions
 
 #: Terms in at least and at most these shares of the documents. There are at most
 #: (mean distinct terms of a document) / LOW such terms, whatever the size of the corpus.
 LOW, HIGH = 0.005, 0.2
 #: Rates 2**-1 to 2**-RATES, so many subsets each.
 RATES, SUBSETS, SEED = 9, 14, 11
-#: Documents to a bucket of neighbouring doc_ids, on average, and quantiles of doc_id from which buckets are cut.
-BUCKET, QUANTILES = 1024, 256
+#: Documents to a bucket of neighbouring doc_ids, at most, while there are no more than BUCKETS buckets; they grow beyond.
+BUCKET, BUCKETS = 1024, 1 << 17
+#: Buckets are looked up in three steps, in so many borders each at most.
+WIDTH = 64
 
 
 def terms(text: Column) -> Column:
@@ -80,7 +82,7 @@ def text_form(fp: str) -> Column:
 def previous(buckets: DataFrame) -> DataFrame:
     """(q, s, before_q, before_s) for distinct (q, s): the next smaller pair, and the largest for the smallest.
 
-    Neighbours are found inside each q, of which there are few more than QUANTILES; the first of a q follows the last of the q before.
+    Neighbours are found inside each q, of which there are WIDTH at most; the first of a q follows the last of the q before.
     """
     inside = buckets.withColumn("__before", F.lag("s").over(Window.partitionBy("q").orderBy("s")))
     lasts = buckets.groupBy("q").agg(F.max("s").alias("last"))
@@ -91,31 +93,46 @@ def previous(buckets: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(over), "q").select("q", "s", F.when(first, F.col("over.q")).otherwise(F.col("q")).alias("before_q"), F.when(first, F.col("over.last")).otherwise(F.col("__before")).alias("before_s"))
 
 
+#: The order of rows: by doc_id, null first, then by the hash of the text; rows alike in both hold one text, and salt parts them.
+ORDER = ("doc_id", "hash", "salt")
+PLACE = "struct<doc_id:bigint,hash:bigint,salt:bigint>"
+
+
+def borders(keys: DataFrame, count: int) -> list[tuple]:
+    """The first key of each bucket, in order: every BUCKET-th row of each part of the sorted keys, so that no bucket has more rows.
+
+    At most BUCKETS and one per part come to the driver, whatever the corpus.
+    """
+    size = max(BUCKET, -(-count // BUCKETS))
+    order = [F.col(ORDER[0]).asc_nulls_first(), *ORDER[1:]]
+    ranked = keys.repartitionByRange(partitions(keys.sparkSession), *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    found = ranked.filter((F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))) % size == 0).select(*ORDER).collect()
+    return sorted((tuple(r) for r in found), key=lambda k: (k[0] is not None, k[0] or 0, *k[1:]))
+
+
 def placed(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text) with q and s: buckets that follow one another as the rows do, of about BUCKET rows however the doc_ids lie.
+    """``rows`` (doc_id, text) with hash, salt, q and s: buckets that follow one another as the rows do, of BUCKET rows at most.
 
-    q counts the quantiles of doc_id that are not above it. Inside, s cuts even widths,
-    counted from ends that the quantiles give. A doc_id that is more than one quantile,
-    or null, is tied: its rows are ordered, and cut into buckets, by the hash of the text.
+    Borders come from the sorted keys, so runs of doc_ids, gaps, ties and nulls make no
+    bucket larger. Salt has only to spread rows that repeat, doc_id and text: any of
+    them may be told apart in another order the next time.
     """
-    shares = [k / QUANTILES for k in range(1, QUANTILES)]
-    count, nulls, low, high, found = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", shares, 100 * QUANTILES)).first()
-    bounds = sorted(set(found or []))
-    each = max(1.0, (count - nulls) / QUANTILES)  # rows to a quantile
-    parts = lambda n: max(1, round(n / BUCKET))
-    tied = {b: parts(each * found.count(b)) for b in bounds if found.count(b) > 1}
-    ends = [low or 0, *bounds, high or 0]
-    shift = [0, *[tied.get(b, 0) for b in bounds]]
-    widths = [max(1.0, (z - a + 1) / parts(each)) for a, z in zip(ends, ends[1:])]
-    listed = lambda xs, kind: F.array(*[F.lit(x).cast(kind) for x in xs])
-    q = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(listed(bounds, "bigint"), lambda b: b <= F.col("doc_id")))).cast("int")
-    share = F.col("hash").cast("double") / 2.0**64 + 0.5
-    df = rows.withColumn("hash", F.xxhash64("text")).withColumn("q", q)
-    ties = F.create_map(*[F.lit(x) for b in tied.items() for x in b]).cast("map<bigint,int>") if tied else F.lit(None).cast("map<bigint,int>")
-    own = F.when(F.col("q") < 0, F.lit(parts(nulls))).otherwise(F.try_element_at(ties, F.col("doc_id")))
-    at = F.greatest(F.col("q"), F.lit(0))
-    even = F.get(listed(shift, "bigint"), at) + F.floor((F.col("doc_id").cast("double") - F.get(listed(ends, "double"), at)) / F.get(listed(widths, "double"), at))
-    return df.withColumn("__own", own).select("doc_id", "text", "hash", "q", F.when(F.col("__own").isNotNull(), F.least(F.floor(share * F.col("__own")), F.col("__own") - 1)).otherwise(even).cast("long").alias("s"))
+    spark = rows.sparkSession
+    df = rows.withColumn("hash", F.xxhash64("text")).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    own = F.struct(*ORDER)
+    found = borders(df.select(*ORDER), rows.count())
+    leaves = [found[i : i + WIDTH] for i in range(0, len(found), WIDTH)] or [[]]
+    upper = max(WIDTH, -(-len(leaves) // WIDTH))  # leaves to a q; more than WIDTH only where there are many parts
+    below = lambda heads: F.greatest(F.lit(0), F.size(F.filter(heads, lambda b: b <= own)) - 1)
+    literal = lambda k: F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(ORDER, k)])
+    tops = [leaves[i][0] for i in range(0, len(leaves), upper) if leaves[i]]
+    inner = [(i // upper, [leaf[0] for leaf in leaves[i : i + upper] if leaf]) for i in range(0, len(leaves), upper)]
+    outer = [(i // upper, i % upper, leaf) for i, leaf in enumerate(leaves)]
+    inner, outer = spark.createDataFrame(inner, f"q int, heads array<{PLACE}>"), spark.createDataFrame(outer, f"q int, __r int, leaf array<{PLACE}>")
+    df = df.withColumn("q", below(F.array(*map(literal, tops))) if len(tops) > 1 else F.lit(0))
+    df = df.join(F.broadcast(inner), "q").withColumn("__r", below(F.col("heads"))).drop("heads")
+    df = df.join(F.broadcast(outer), ["q", "__r"]).withColumn("s", (F.col("__r") * WIDTH + below(F.col("leaf"))).cast("long"))
+    return df.select("doc_id", "text", "hash", "salt", "q", "s")
 
 
 def with_next(rows: DataFrame, derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -123,16 +140,16 @@ def with_next(rows: DataFrame, derive: Callable[[DataFrame], DataFrame] = lambda
 
     Rows move once, to buckets of neighbouring doc_ids. The first row of each bucket
     also goes to the bucket before, as the neighbour of its last row. Repeated
-    doc_ids follow one another in the order of their texts' hashes; null doc_ids come first.
+    doc_ids follow one another in the order of their texts' hashes, and so do null ones, which come first.
     """
     own = placed(rows)
     # the first rows by text alone: nothing is derived for rows that are not first
-    heads = own.groupBy("q", "s").agg(F.min_by("text", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.col("hash"), F.col("text"))).alias("text"))
+    heads = own.groupBy("q", "s").agg(F.min_by("text", F.struct(*ORDER)).alias("text"))
     before = previous(checkpointed(own.select("q", "s").distinct()))
-    guests = heads.join(before, ["q", "s"]).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("hash"), F.col("before_q").alias("q"), F.col("before_s").alias("s"), F.lit(1).alias("__guest"))
+    guests = heads.join(before, ["q", "s"]).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("long").alias("salt"), F.col("before_q").alias("q"), F.col("before_s").alias("s"), F.lit(1).alias("__guest"))
     every = derive(own.withColumn("__guest", F.lit(0))).unionByName(derive(guests))
-    carried = [c for c in every.columns if c not in ("q", "s", "__guest", "doc_id", "hash")]
-    order = Window.partitionBy("q", "s").orderBy("__guest", "doc_id", "hash", "text")
+    carried = [c for c in every.columns if c not in ("q", "s", "__guest", *ORDER)]
+    order = Window.partitionBy("q", "s").orderBy("__guest", *ORDER)
     led = every.select("__guest", "doc_id", *carried, *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
     return led.filter("__guest = 0").drop("__guest")
 

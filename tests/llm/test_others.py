@@ -154,7 +154,7 @@ def test_equal_texts_have_equal_fingerprints(spark):
     assert got.assign(k=got.doc_id % 3).groupby("k").fingerprint.nunique().tolist() == [1, 1, 1]
 
 
-def test_previous_across_quantiles(spark):
+def test_previous_across_groups(spark):
     pairs = sorted({(int(x), int(y)) for x, y in np.random.default_rng(2).integers(-1, 9, (60, 2))})
     got = {(r["q"], r["s"]): (r["before_q"], r["before_s"]) for r in imatch.previous(spark.createDataFrame(pairs, "q int, s long")).collect()}
     assert got == {k: pairs[i - 1] for i, k in enumerate(pairs)}
@@ -170,25 +170,35 @@ def spark_hash(spark, values):
 WIDE = [-(2**63) + 5, 2**63 - 5, 2**62, -1, 0]
 
 
-@pytest.mark.parametrize("ids", ["even", "wide", "tied", "nulls"])
+@pytest.mark.parametrize("ids", ["even", "wide", "tied", "nulls", "runs", "repeats", "one"])
 def test_buckets_follow_the_rows(spark, monkeypatch, ids):
-    """However the doc_ids lie, buckets are small and in order, and each row is followed by the next."""
+    """However the doc_ids lie, no bucket has more than BUCKET rows, they are in order, and each row is followed by the next."""
     monkeypatch.setattr(imatch, "BUCKET", 4)
-    monkeypatch.setattr(imatch, "QUANTILES", 16)
+    monkeypatch.setattr(imatch, "WIDTH", 3)
     rng = np.random.default_rng(3)
-    n = 400
-    given = {"even": range(n), "wide": [*WIDE, *range(10**6, 10**6 + n - len(WIDE))], "tied": [7 if i % 3 == 0 else i for i in range(n)], "nulls": [None if i % 3 == 0 else i for i in range(n)]}[ids]
-    docs = [(i, f"text {k}") for k, i in enumerate(given)]
+    n = 1 if ids == "one" else 400
+    given = {
+        "even": range(n), "wide": [*WIDE, *range(10**6, 10**6 + n - len(WIDE))], "tied": [7 if i % 3 == 0 else i for i in range(n)], "nulls": [None if i % 3 == 0 else i for i in range(n)],
+        "runs": [(i // 40 << 33) + i % 40 for i in range(n)], "repeats": [5 if i % 2 else i for i in range(n)], "one": [3],
+    }[ids]
+    docs = [(i, "copy" if ids == "repeats" and k % 2 else f"text {k}") for k, i in enumerate(given)]
     frame = spark.createDataFrame([docs[k] for k in rng.permutation(n)], "doc_id long, text string")
     rows = imatch.placed(frame).collect()
     hashes = spark_hash(spark, [t for _, t in docs])
     key = lambda d, t: (d is not None, d or 0, hashes[t])
-    rows.sort(key=lambda r: key(r["doc_id"], r["text"]))
+    rows.sort(key=lambda r: (*key(r["doc_id"], r["text"]), r["salt"]))
     places = [(r["q"], r["s"]) for r in rows]
-    assert places == sorted(places) and max(Counter(places).values()) <= 60
+    assert len(rows) == n and places == sorted(places) and max(Counter(places).values()) <= 4
     docs.sort(key=lambda r: key(*r))
-    got = {(r["doc_id"], r["text"]): r["next_text"] for r in imatch.with_next(frame).collect()}
-    assert got == {r: docs[(k + 1) % n][1] for k, r in enumerate(docs)}
+    got = Counter((r["doc_id"], r["text"], r["next_text"]) for r in imatch.with_next(frame).collect())
+    assert got == Counter((*r, docs[(k + 1) % n][1]) for k, r in enumerate(docs))
+
+
+def test_runs_of_many_rows(spark):
+    """Ids in runs far apart, as monotonically_increasing_id makes them."""
+    ids = spark.range(0, 200_000, 1, 23).select(imatch.F.monotonically_increasing_id().alias("doc_id"), imatch.F.lit("x").alias("text"))
+    sizes = imatch.placed(ids).groupBy("q", "s").count().agg(imatch.F.max("count"), imatch.F.sum("count"), imatch.F.count("*")).first()
+    assert sizes[0] <= imatch.BUCKET and sizes[1] == 200_000 and sizes[2] < 220
 
 
 def test_fingerprints_by_definition(spark):
