@@ -1,4 +1,4 @@
-"""Command line: python -m notegauge audit|validate|merge|report|views|prepare|collect|verify-cards|split|verify-plan.
+"""Command line: python -m notegauge audit|difference|validate|merge|report|views|prepare|collect|verify-cards|split|verify-plan.
 
 Every command that reads JSON Lines checks each line against its contract first; the
 first line that breaks it is named path:line on the error stream, and the exit code is 1.
@@ -13,13 +13,15 @@ from collections.abc import Iterable
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from notegauge import config
-from notegauge.operators import anki, audit, batching, contracts, judgments, prompt, remediation, report, runner, validate, views
+from notegauge.operators import anki, audit, batching, contracts, judging, judgments, prompt, remediation, report, reuse, runner, validate, views
+from notegauge.runtime import scratch
 from notegauge.schemas import JUDGMENT
 from notegauge.sources import card_service, jsonl, vault
+from notegauge.sources.runs import Runs
 from notegauge.vocab import PROMPT_VERSION
 
 
@@ -56,13 +58,26 @@ def run_audit(spark, a) -> str:
     settings, started = config.resolve(a.vault), now()
     notes = vault.notes(spark, a.vault, settings["atomic_notes_folder"])
     targets = audit.parent_targets(vault.notes(spark, a.vault, settings["structure_notes_folder"]))
-    rows = audit.audit(notes, targets, a.run_id, {k: str(v) for k, v in settings.items()}, a.fixed)
+    shown = {k: str(v) for k, v in settings.items()}
+    if a.runs:  # rows of the last run are reused, and this run is committed beside it
+        store = Runs(spark, a.runs)
+        store.write(reuse.audit_reusing(notes, targets, store.rows() if store.committed() else None, a.run_id, shown, a.fixed), a.run_id)
+        rows = store.rows(a.run_id)
+    else:
+        rows = audit.audit(notes, targets, a.run_id, shown, a.fixed)
     jsonl.write(rows, a.rows)
     rows = rows_of(spark, a.rows)
     save(a.manifest, audit.manifest(rows, a.run_id, settings, audit.FIXED_TIME if a.fixed else started, audit.FIXED_TIME if a.fixed else now(), {"audit_rows": a.rows, "manifest": a.manifest}))
     return f"rows={rows.count()}"
 
 
+def run_difference(spark, a) -> str:
+    """What changed between two committed runs, as JSON Lines by path; unchanged notes are left out."""
+    found = Runs(spark, a.runs).difference(a.before, a.after).filter("change <> 'same'")
+    found.orderBy("note_path").select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(a.out)
+    return " ".join(f"{r['change']}={r['count']}" for r in found.groupBy("change").count().orderBy("change").collect()) or "no change"
+
+
 def run_validate(spark, a) -> str:
     return f"valid_rows={rows_of(spark, a.rows, not a.non_default_scan).count()}"
 
@@ -102,7 +117,7 @@ def run_prepare(spark, a) -> str:
 
 
 def run_collect(spark, a) -> str:
-    """Judgments of what has none yet, batch by batch: a batch is appended once all its answers hold to the contract."""
+    """Judgments of what has none yet: a batch is appended once all its answers hold to the contract."""
     rows = jsonl.typed_lines(jsonl.strict_lines(spark, a.rows, contracts.audit_row))
     limit = int(a.limit) if a.limit else None
     chosen = rows.orderBy("file", "line").limit(limit) if limit else rows
@@ -111,25 +126,14 @@ def run_collect(spark, a) -> str:
     judgments.require(judgments.duplicates(done), "duplicate model judgment note_path")
     judgments.require(done.filter(~F.col("prompt_version").eqNullSafe(F.lit(PROMPT_VERSION))), "existing judgment of another prompt version")
     notes = vault.notes(spark, a.vault).withColumn("size", F.octet_length("content"))
-    batches = batching.pending_batches(chosen.join(notes.select("note_path", "size"), "note_path", "left"), done, max_notes=int(a.max_notes), max_chars=int(a.max_chars)).cache()
-    run = runner.CommandRunner(a.command, a.vault, int(a.timeout))
-    head = prompt.judgment_prompt(spark)
-    Path(a.work).mkdir(parents=True, exist_ok=True)
-
-    def answered(part: list[dict]) -> list[dict]:
-        text = "\n\n".join([head, *[f"## {r['note_path']}\n\n{vault.resolved(a.vault, r['note_path']).read_text(encoding='utf-8')}" for r in part]])
-        got = runner.asker(run, lambda _: text, a.work)(part)
-        bad = jsonl.violations(spark.createDataFrame([("answer", i + 1, json.dumps(g)) for i, g in enumerate(got)], "file string, line long, value string"), contracts.judgment).orderBy("line").first() if got else None
-        if bad:
-            raise batching.RetryableError(f"answer {bad['line']}: {bad['error']}")
-        return got
-
-    count = 0
-    for batch in range((batches.agg(F.max("batch_id")).first()[0] or 0) + 1 if not batches.isEmpty() else 0):
-        part = [r.asDict() for r in batches.filter(F.col("batch_id") == batch).orderBy("note_path").collect()]  # at most max_notes rows
-        for _, got in batching.collect(part, answered, batch + 1):
-            jsonl.append(spark.createDataFrame([(json.dumps(g, sort_keys=True),) for g in got], "value string"), a.judgments)
-            count += len(got)
+    batches = batching.pending_batches(chosen.join(notes.select("note_path", "size"), "note_path", "left"), done, max_notes=int(a.max_notes), max_chars=int(a.max_chars))
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("note_path")) - 1
+    asked = batches.select((F.col("batch_id") + 1).alias("batch"), "note_path", place.cast("int").alias("pos")).join(notes.select("note_path", "content"), "note_path")
+    # a note that is gone has nothing to ask about; it is missed at the end
+    path = scratch(spark)
+    asked.write.parquet(path)
+    judge = runner.CommandRunner(a.command, a.vault, int(a.timeout))
+    count = judging.judge_all(spark.read.schema(asked.schema).parquet(path), judge, prompt.judgment_prompt(spark), a.work, a.judgments, int(a.askers))
     judgments.require(judgments.missing(chosen, judgments_of(spark, a.judgments)) if Path(a.judgments).exists() else chosen, "missing model judgment")
     return f"judged={count}"
 
@@ -166,13 +170,14 @@ def run_plan(spark, a) -> str:
 
 
 COMMANDS = {
-    "audit": (run_audit, ["vault", "rows", "manifest", "--run-id=run", "--fixed"]),
+    "audit": (run_audit, ["vault", "rows", "manifest", "--run-id=run", "--fixed", "--runs="]),
+    "difference": (run_difference, ["runs", "before", "after", "out"]),
     "validate": (run_validate, ["rows", "--non-default-scan"]),
     "merge": (run_merge, ["rows", "manifest", "judgments", "out", "out_manifest", "--allow-missing"]),
     "report": (run_report, ["rows", "manifest", "out"]),
     "views": (run_views, ["rows", "out"]),
     "prepare": (run_prepare, ["vault", "note_path", "out", "--collector-input="]),
-    "collect": (run_collect, ["vault", "rows", "judgments", "work", "--command=", "--limit=", f"--max-notes={batching.MAX_NOTES}", f"--max-chars={batching.MAX_CHARS}", "--timeout=900"]),
+    "collect": (run_collect, ["vault", "rows", "judgments", "work", "--command=", "--limit=", f"--max-notes={batching.MAX_NOTES}", f"--max-chars={batching.MAX_CHARS}", "--timeout=900", f"--askers={judging.ASKERS}"]),
     "verify-cards": (run_cards, ["spec", "vault"]),
     "split": (run_split, ["vault", "folder"]),
     "verify-plan": (run_plan, ["plan", "out", "--allow-destructive"]),

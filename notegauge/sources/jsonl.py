@@ -9,23 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegauge.functions.text import strip
+from notegauge.runtime import scratch
 from notegauge.schemas import AUDIT_ROW
 
 
+#: Splits whose first lines are broadcast at most, some hundred bytes each; more are joined by a shuffle.
+SPLITS = 100_000
+
+
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of the lines that are not blank.
 
-    Numbers are counted per file without one task for all: each split counts its
-    lines, and a file's earlier splits are added up.
+    A line's number is its place among the ids of its split, after the lines of the
+    file's earlier splits. One small aggregate says where each split begins and goes to
+    all tasks, so no text is moved or sorted. Should the file be split in another way
+    when it is read the second time, that is an error and no wrong number.
     """
     from pyspark.sql import Window
 
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
-    sizes = raw.groupBy("file", "start").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("file", "start").orderBy("id"))
-    lines = raw.withColumn("own", own).join(before.drop("n"), ["file", "start"])
-    return lines.select("file", (F.col("own") + F.col("before")).alias("line"), "value").filter(strip(F.col("value")) != "")
+    splits = raw.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    folder = scratch(spark)
+    splits.select("file", "start", "first", "n", F.coalesce(before, F.lit(0)).alias("before")).write.parquet(folder)
+    begun = spark.read.schema("file string, start long, first long, n long, before long").parquet(folder)
+    lines = raw.join(F.broadcast(begun) if begun.count() <= SPLITS else begun, ["file", "start"], "left")
+    own = F.col("id") - F.col("first")
+    line = F.when(own.between(0, F.col("n") - 1), F.col("before") + own + 1).otherwise(F.raise_error(F.concat(F.lit("the splits of a file have changed while it was read: "), F.col("file"))).cast("long"))
+    return lines.select("file", line.alias("line"), "value").filter(strip(F.col("value")) != "")
 
 
 def errors(lines: DataFrame) -> DataFrame:

@@ -273,6 +273,23 @@ def test_jsonl_lines_are_numbered_across_splits(spark, tmp_path):
     got = {r["line"]: json.loads(r["value"])["i"] for r in jsonl.numbered(spark, str(tmp_path / "x.jsonl")).collect()}
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == {i: i for i in range(1, 5000) if i % 3}
+    (tmp_path / "y.jsonl").write_text("{}\n\n[]")
+    several = jsonl.numbered(spark, f"{tmp_path}/*.jsonl")
+    assert {r["line"] for r in several.filter(F.col("file").endswith("y.jsonl")).collect()} == {1, 3} and several.count() == len(got) + 2
+    plan = several._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Sort [" not in plan
+
+
+def test_lines_of_other_splits_are_refused(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("{}\n" * 5000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    lines = jsonl.numbered(spark, str(tmp_path / "x.jsonl"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        with pytest.raises(Exception, match="splits of a file have changed"):
+            lines.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert jsonl.errors(spark.createDataFrame([("f", 1, "[1]"), ("f", 2, "{}"), ("f", 3, "{x")], "file string, line long, value string")).count() == 2
 
 
