@@ -9,10 +9,13 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns of words, frontmatter and comments, and the phrases of an analogy.
 #: A word: letters, digits and underscores, with apostrophes and hyphens inside.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 FRONTMATTER = r"(?s)^---[ \t]*\r?\n(?:(.*?)\r?\n)?---[ \t]*(?:\r?\n|\z)"
 COMMENT = r"(?s)<!--.*?-->"
+ANALOGY = r"(?U)\b(is|are|was|were) like\b|\blike (a|an|the)\b"
+ANALOGY_PHRASES = ("think of ", "consider ", "can be compared to")
 LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 WHITE = r"[\s\x1c-\x1f\x85   -     　]"
 
@@ -82,7 +85,7 @@ def rendered_words(text: Column) -> Column:
 
 def is_analogy(paragraph: Column) -> Column:
     shown = F.lower(rendered_links(paragraph))
-    return shown.rlike(r"(?U)\b(is|are|was|were) like\b|\blike (a|an|the)\b") | F.greatest(*[shown.contains(x) for x in ("think of ", "consider ", "can be compared to")])
+    return shown.rlike(ANALOGY) | F.greatest(*[shown.contains(x) for x in ANALOGY_PHRASES])
 
 
 def is_example(paragraph: Column) -> Column:

@@ -3,7 +3,8 @@
 Typed reading turns a wrong type into null or text, so it cannot tell what a line held.
 Here a line is parsed to a variant and every check asks for the type that is there. A
 check is an array of messages; where a key is missing or unknown, nothing below it is
-checked, so the first message is the one that a reader of the line meets first.
+checked, so the first message is the one that a reader of the line meets first. The
+messages are fixed values: readers of the reports know them.
 """
 
 from __future__ import annotations
