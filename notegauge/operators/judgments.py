@@ -43,11 +43,20 @@ def require(violations: DataFrame, what: str, key: str = "note_path") -> None:
 
 
 def check(rows: DataFrame, judgments: DataFrame, allow_missing: bool = False) -> None:
-    require(duplicates(judgments), "duplicate model judgment note_path")
-    require(extra(rows, judgments), "judgment for a note that was not audited")
-    require(prompt_mismatches(rows, judgments), "prompt_version mismatch")
-    if not allow_missing:
-        require(missing(rows, judgments), "missing model judgment")
+    """Raise for the first kind of thing that is wrong, naming its smallest path; all kinds are found by one full join. A null path matches none."""
+    told = judgments.groupBy("note_path").agg(F.count("*").alias("n"), F.collect_set(F.coalesce("prompt_version", F.lit(""))).alias("got"))
+    asked = rows.select(F.col("note_path").alias("__path"), "prompt_version")
+    both = asked.join(told, F.col("__path") == F.col("note_path"), "full")
+    row, judged = F.col("prompt_version").isNotNull() | F.col("__path").isNotNull(), F.col("n").isNotNull()
+    other = F.exists("got", lambda v: v != F.col("prompt_version"))
+    kinds = [
+        ("duplicate model judgment note_path", judged & (F.col("n") > 1), "note_path"), ("judgment for a note that was not audited", judged & ~row, "note_path"),
+        ("prompt_version mismatch", row & judged & other, "note_path"), *([] if allow_missing else [("missing model judgment", row & ~judged, "__path")]),
+    ]
+    found = both.agg(*[f(F.when(F.coalesce(test, F.lit(False)), F.struct(F.col(path).alias("path")))) for _, test, path in kinds for f in (F.min, F.count)]).first()
+    for (what, _, _), first, count in zip(kinds, found[::2], found[1::2]):
+        if count:
+            raise ValueError(f"{what}: {first['path']}")
 
 
 def merge(rows: DataFrame, judgments: DataFrame) -> DataFrame:

@@ -49,13 +49,16 @@ def dry_run_facts(notes: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     ``backlinks`` counts the other notes that link to it; a note with cards or a doubt
     about them (``rows`` has the audit's findings) stops the step.
     """
-    link = notes.select("note_path", F.explode(F.array_distinct(F.transform(lexed("content")["links"], X.link_target))).alias("stem")).filter("stem <> ''")
-    own = notes.select(F.col("note_path").alias("__own"), "stem")
-    back = link.join(own, "stem").filter("note_path <> __own").groupBy("__own").agg(F.count("*").alias("backlinks")).withColumnRenamed("__own", "note_path")
-    df = notes.select("note_path", F.size(F.array_distinct(F.filter(F.transform(lexed("content")["links"], X.link_target), lambda x: x != ""))).alias("outgoing"), F.col("content").rlike(anki.CARD_MARK).alias("card_markers"), anki.card_ids(F.col("content")).alias("card_ids"))
-    df = df.join(back, "note_path", "left")
+    told = notes.select("note_path", "stem", "content", F.array_distinct(F.filter(F.transform(lexed("content")["links"], X.link_target), lambda x: x != "")).alias("links"))
+    # links are summed up by the name they give before they meet the notes, so a hub costs one row; a note's link to itself is taken off
+    named = told.select(F.explode("links").alias("stem")).groupBy("stem").agg(F.count("*").alias("__n"))
+    own = F.array_contains("links", F.col("stem")).cast("long")
+    df = told.join(named, "stem", "left").select(
+        "note_path", (F.coalesce("__n", F.lit(0)) - F.coalesce(own, F.lit(0))).alias("backlinks"), F.size("links").alias("outgoing"),
+        F.col("content").rlike(anki.CARD_MARK).alias("card_markers"), anki.card_ids(F.col("content")).alias("card_ids"),
+    )
     if rows is not None:
         df = df.join(rows.select("note_path", scoring.has(F.col("findings"), "anki_yagni").alias("__doubt")), "note_path", "left")
     doubt: Column = F.coalesce("__doubt", F.lit(False)) if rows is not None else F.lit(False)
     stop = F.col("card_markers") | (F.size("card_ids") > 0) | doubt
-    return df.select("note_path", F.coalesce("backlinks", F.lit(0)).cast("long").alias("backlinks"), "outgoing", "card_markers", "card_ids", doubt.alias("card_doubt"), stop.alias("stop"))
+    return df.select("note_path", F.col("backlinks").cast("long").alias("backlinks"), "outgoing", "card_markers", "card_ids", doubt.alias("card_doubt"), stop.alias("stop"))

@@ -1076,11 +1076,15 @@ def yaml_quoting(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", views.yaml_quoted(F.concat(F.lit("a's "), F.col("doc_id").cast("string"))).alias("yaml"))
 
 
-@query("SELECT code, loss, component, bound FROM (VALUES " + ", ".join(f"('{c}', {loss}, {str(c in COMPONENT_CODES).lower()}, CASE WHEN {str(c in COMPONENT_CODES).lower()} THEN 35 ELSE {loss} END)" for c, loss in LOSSES.items()) + ") t(code, loss, component, bound)")
+@query(BASE + ", found AS (SELECT code, count(*) AS notes FROM (SELECT unnest(raw_codes) AS code FROM base) GROUP BY code) SELECT t.code, loss, component, bound, coalesce(notes, 0) AS notes, coalesce(notes, 0) * loss AS lost FROM (VALUES "
++ ", ".join(f"('{c}', {loss}, {str(c in COMPONENT_CODES).lower()}, CASE WHEN {str(c in COMPONENT_CODES).lower()} THEN 35 ELSE {loss} END)" for c, loss in LOSSES.items()) + ") t(code, loss, component, bound) LEFT JOIN found ON t.code = found.code")
 def vocabulary_table(spark, sf_dir):
-    """The vocabulary as the prompt and the scores read it."""
+    """The vocabulary, as the prompt shows it and the scores read it, with how many documents have each finding and what these take before caps."""
     told = F.split(F.lit(prompt.judgment_prompt(spark)), "\n")
-    return vocabulary(spark).filter(F.exists(told, lambda x: F.startswith(x, F.concat(F.lit("| `"), F.col("code"), F.lit("` | "), F.col("loss").cast("string"))))).select("code", "loss", "component", F.when(F.col("component"), 35).otherwise(F.col("loss")).alias("bound"))
+    shown = vocabulary(spark).filter(F.exists(told, lambda x: F.startswith(x, F.concat(F.lit("| `"), F.col("code"), F.lit("` | "), F.col("loss").cast("string")))))
+    found = coded(spark, sf_dir).select(F.explode("raw_codes").alias("code")).groupBy("code").agg(F.count("*").alias("notes"))
+    notes = F.coalesce("notes", F.lit(0)).cast("long")
+    return shown.join(found, "code", "left").select("code", "loss", "component", F.when(F.col("component"), 35).otherwise(F.col("loss")).alias("bound"), notes.alias("notes"), (notes * F.col("loss")).alias("lost"))
 
 
 #: Customers as tasks with a goal and a title of a few words; near ones share half of them.

@@ -1,8 +1,9 @@
 """A Python data source for folders of Markdown notes.
 
 Spark's file sources skip empty files and names that begin with ``_`` or ``.``; a
-vault counts them. The driver lists the upper folders; deeper ones are listed by the
-tasks that read them, and the notes of a large folder are read in chunks.
+vault counts them. The driver lists the upper folders and tasks the deeper ones, which
+gives the paths; these are dealt out evenly and read where they arrive, so a deep folder
+is listed by one task but read by all.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from functools import partial
 from pathlib import Path, PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -64,31 +67,42 @@ class VaultReader(DataSourceReader):
         return [Chunk(found[i : i + self.chunk]) for i in range(0, len(found), self.chunk)] + below or [Chunk([])]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
-        walked = (p for at, _, files in os.walk(partition.folder) for p in self.notes_in(at, files)) if partition.folder else ()
-        for path in (*partition.paths, *walked):
-            full = os.path.join(self.root, path)
-            with open(full, encoding="utf-8") as f:  # any line break is read as \n
-                content = f.read()
-            stem = path.rsplit("/", 1)[-1].removesuffix(".md")
-            yield path, stem, content, datetime.fromtimestamp(int(os.stat(full).st_mtime), timezone.utc)
+        yield from ((path,) for path in partition.paths)
+        if partition.folder:
+            yield from ((p,) for at, _, files in os.walk(partition.folder) for p in self.notes_in(at, files))
 
 
 class VaultSource(DataSource):
-    """Options: path (the vault), folder (within it), chunk (files to a partition)."""
+    """The paths of notes. Options: path (the vault), folder (within it), chunk (files to a partition of the listing)."""
 
     @classmethod
     def name(cls) -> str:
         return "vault"
 
     def schema(self):
-        return NOTE
+        return "note_path string"
 
     def reader(self, schema) -> VaultReader:
         return VaultReader(self.options["path"], self.options.get("folder", ""), int(self.options.get("chunk", CHUNK)))
 
 
+def read_notes(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The notes at the paths of ``batches``, CHUNK at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, CHUNK):
+            rows = []
+            for path in b.column(0).slice(i, CHUNK).to_pylist():
+                full = os.path.join(root, path)
+                with open(full, encoding="utf-8") as f:  # any line break is read as \n
+                    content = f.read()
+                rows.append((path, path.rsplit("/", 1)[-1].removesuffix(".md"), content, datetime.fromtimestamp(int(os.stat(full).st_mtime), timezone.utc)))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [f.name for f in NOTE])
+
+
 def notes(spark: SparkSession, vault: str, folder: str = "") -> DataFrame:
     """(note_path, stem, content, modified_time) of the notes in a folder of a vault."""
     ship(spark)
     spark.dataSource.register(VaultSource)
-    return spark.read.format("vault").option("folder", folder).load(vault)
+    paths = spark.read.format("vault").option("folder", folder).load(vault)
+    return paths.repartition(spark.sparkContext.defaultParallelism).mapInArrow(partial(read_notes, vault), NOTE)
