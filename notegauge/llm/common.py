@@ -3,6 +3,9 @@ skew-proof joins, prefix sums and exact connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -45,10 +48,19 @@ def kept(key: str, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between its tasks: the last large object only, so that stages do not pile up in one worker."""
     if key not in _KEPT:
         _KEPT.clear()
+        give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers live on from stage to stage, and their memory counts beside the heap's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     """Have the driver remove what lies at ``path`` when it ends."""
     sc = spark.sparkContext

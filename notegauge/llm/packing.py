@@ -164,9 +164,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
         context = TaskContext.get()
         packer = Packer(sentence_ids(enc.tokenizer), (context.partitionId() if context else 0) << 32, size)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                coded = enc.encode([t or "" for t in texts[at : at + 256]])
+            for at in range(0, b.num_rows, 256):
+                coded = enc.encode([t or "" for t in b.column(1)[at : at + 256].to_pylist()])
                 for doc_id, data in zip(b.column(0)[at : at + 256].to_pylist(), coded):
                     if packer.add(doc_id, data + closed):
                         yield _batch(packer.flush(), types)

@@ -37,7 +37,7 @@ from notegauge.runtime import ship
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct runs, and pieces of them, remembered by a worker before it starts afresh (memory only).
-MEMO = 1_000_000
+MEMO = 400_000
 #: What a worker's transducer holds before it starts afresh (memory only): states, pairs of tokens, pieces, runs.
 STATES, PAIRS, PIECES, RUNS = 60_000, 300_000, 500_000, 1_000_000
 #: Pieces to a line for the library, and lines to a call.
