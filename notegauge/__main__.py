@@ -9,7 +9,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from collections.abc import Iterable
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -49,11 +48,6 @@ def judgments_of(spark, path: str):
     return jsonl.strict(spark, path, contracts.judgment, JUDGMENT)
 
 
-def lines_to(path: str, lines: Iterable[str]) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(f"{x}\n" for x in lines)
-
-
 def run_audit(spark, a) -> str:
     settings, started = config.resolve(a.vault), now()
     notes = vault.notes(spark, a.vault, settings["atomic_notes_folder"])
@@ -96,12 +90,12 @@ def run_report(spark, a) -> str:
     wrong = validate.manifest_violations(manifest) or validate.pair_consistency(rows, manifest)
     if wrong:
         raise ValueError("; ".join(wrong))
-    lines_to(a.out, report.report_lines(rows, manifest))
+    report.write(a.out, rows, manifest)
     return a.out
 
 
 def run_views(spark, a) -> str:
-    lines_to(a.out, views.view_lines(rows_of(spark, a.rows), a.rows))
+    views.write(a.out, rows_of(spark, a.rows), a.rows)
     return a.out
 
 

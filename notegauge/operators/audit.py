@@ -93,6 +93,11 @@ def kpis(audit_rows: DataFrame) -> DataFrame:
     )
 
 
+def report_order() -> list[Column]:
+    """Bucket, score (unscored last), path."""
+    return [scoring.bucket_rank(F.col("priority")), F.coalesce("score", F.lit(101)), F.coalesce(F.nullif("note_path", F.lit("")), "note_link")]
+
+
 def ordered(audit_rows: DataFrame) -> DataFrame:
-    """Report order: bucket, score (unscored last), path."""
-    return audit_rows.orderBy(scoring.bucket_rank(F.col("priority")), F.coalesce("score", F.lit(101)), F.coalesce(F.nullif("note_path", F.lit("")), "note_link"))
+    """Rows in the order of the report."""
+    return audit_rows.orderBy(*report_order())

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegauge.operators import scoring
+from notegauge.sources import ordered
 
 
 def is_risky():
@@ -46,24 +46,39 @@ def yaml_quoted(text: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
 
 
-def view_lines(rows: DataFrame, source: str) -> Iterator[str]:
-    """The lines of the view file over the rows of ``source``. One ordered pass: the driver holds a partition of it at a time."""
-    yield from [  # fixed values: the head of a view file
+ORDER = ["line"]
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """(section, line): the paths of each view, by its number."""
+    number = F.array_position(F.array(*map(F.lit, tests())), F.col("view")) - 1
+    return saved_views(rows).select(number.cast("int").alias("section"), F.col("note_path").alias("line"))
+
+
+def entry(note_path: str) -> str:
+    return "        - " + quoted("file.path == " + json.dumps(note_path))
+
+
+def blocks(rows: DataFrame, source: str) -> ordered.Blocks:
+    """The text of the view file over the rows of ``source`` between its lists of paths, and the numbers of these."""
+    head = [  # fixed values: the head of a view file
         "# Generated from validated audit JSONL. This Base is a derived triage view, not source of truth.", "formulas:",
         f"  source_jsonl: {quoted(json.dumps(source))}", "properties:", "  formula.source_jsonl:", '    displayName: "Source JSONL"', "  file.path:", '    displayName: "Note Path"', "views:",
     ]
-    held = saved_views(rows)
-    counts = {r["view"]: r["count"] for r in held.groupBy("view").count().collect()}  # at most as many rows as views
-    rank = F.array_position(F.array(*map(F.lit, tests())), F.col("view"))
-    paths = held.orderBy(rank, "note_path").toLocalIterator()
-    for view in tests():
+    counts = {r["view"]: r["count"] for r in saved_views(rows).groupBy("view").count().collect()}  # at most as many rows as views
+    out: ordered.Blocks = ["\n".join(head) + "\n"]
+    for number, view in enumerate(tests()):
         n = counts.get(view, 0)
-        yield from ["  - type: table", f"    name: {json.dumps(view)}", "    filters:", "      and:" if n < 2 else "      or:"]
-        names = (json.dumps(next(paths)["note_path"]) for _ in range(n)) if n else ['"__no_matching_audit_rows__"']
-        yield from (f"        - {quoted('file.path == ' + name)}" for name in names)
-        yield from ["    order:", "      - file.name", "      - file.path", "      - formula.source_jsonl"]
+        out.append(f"  - type: table\n    name: {json.dumps(view)}\n    filters:\n      {'and' if n < 2 else 'or'}:\n")
+        out += [number] if n else [entry("__no_matching_audit_rows__") + "\n"]
+        out.append("    order:\n      - file.name\n      - file.path\n      - formula.source_jsonl\n")
+    return out
+
+
+def write(path: str, rows: DataFrame, source: str) -> None:
+    ordered.write(path, blocks(rows, source), listed(rows), ORDER, entry)
 
 
 def view_file(rows: DataFrame, source: str) -> str:
     """The whole view file as one text, for few rows."""
-    return "\n".join(view_lines(rows, source)) + "\n"
+    return ordered.text(blocks(rows, source), listed(rows), ORDER, entry)

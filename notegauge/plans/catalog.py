@@ -870,7 +870,8 @@ def report_rows(spark, sf_dir):
     """K1: the first cells of each note's row in the report."""
     from notegauge.operators import report
 
-    line = report.table_rows(audited(spark, sf_dir)).select(F.regexp_extract("line", r"^(\| \[\[(\d+)\]\] \| \d+ \| \w+)", 1).alias("cells"))
+    buckets = report.table_rows(audited(spark, sf_dir)).filter(F.col("section") < report.RISKY)
+    line = buckets.select(F.regexp_extract("line", r"^(\| \[\[(\d+)\]\] \| \d+ \| \w+)", 1).alias("cells"))
     return line.select(F.regexp_extract("cells", r"(\d+)", 1).cast("long").alias("doc_id"), "cells")
 
 
