@@ -387,3 +387,11 @@ def test_naming(spark):
     assert [got[str(i)]["filename_aligned"] for i in range(4)] == [n[2] for n in notes]
     assert got["1"]["title_aligned"] is True and got["2"]["title_aligned"] is None
     assert eval1(spark, naming.cloze_cards(F.col("t")), t=("{{c1::a}} {{c2::b}} {{c1::c}}", "string")) == 2
+
+
+def test_references_without_a_semicolon(spark):
+    from notegauge.functions.html import visible
+
+    text = ("<b>a&amp</b> &amp; &ampx; &copy &#60;i&#62; &#60 &nope; &notin;&nbsp;&eacute;", "string")
+    assert eval1(spark, visible(F.col("t"), closed=True), t=text) == "a&amp & &ampx; &copy  &#60 &nope; ∉ é"
+    assert eval1(spark, visible(F.col("t")), t=text) == "a& & &x; ©  < &nope; ∉ é"  # as html.unescape has it
