@@ -17,7 +17,7 @@ RISK_REASON = "Contains factual claims that need verification."
 
 def parent_targets(structure: DataFrame) -> DataFrame:
     """(target), distinct: the notes that structure notes (content) link to."""
-    link = structure.select(F.explode(lexed("content")["links"]).alias("link"))
+    link = structure.select(F.explode(lexed("content", "links")["links"]).alias("link"))
     return link.select(X.link_target(F.col("link")).alias("target")).filter("target <> ''").distinct()
 
 

@@ -27,7 +27,7 @@ COUNTS = "target string, n long, shard int"
 
 def links(notes: DataFrame) -> DataFrame:
     """(note_path, targets): what structure notes (note_path, content) link to; several rows of a path count as one note."""
-    one = notes.select("note_path", F.array_distinct(F.filter(F.transform(lexed("content")["links"], X.link_target), lambda t: t != "")).alias("targets"))
+    one = notes.select("note_path", F.array_distinct(F.filter(F.transform(lexed("content", "links")["links"], X.link_target), lambda t: t != "")).alias("targets"))
     return one.groupBy("note_path").agg(F.array_distinct(F.flatten(F.collect_list("targets"))).alias("targets"))
 
 

@@ -86,7 +86,7 @@ def dry_run(plan: dict) -> dict:
 def split_proposals(notes: DataFrame) -> DataFrame:
     """(source_note_path, pos, note_path, content): a note per level-1 heading, down to the next one."""
     body = X.body(F.col("content"))
-    df = notes.select("note_path", body.alias("body"), F.filter(lexed("content")["headings"], lambda h: h["level"] == 1).alias("tops"))
+    df = notes.select("note_path", body.alias("body"), F.filter(lexed("content", "headings")["headings"], lambda h: h["level"] == 1).alias("tops"))
     df = df.withColumn("rows", F.split("body", "\n"))
     one = df.select("note_path", "rows", "tops", F.posexplode("tops").alias("pos", "top"))
     stop = F.coalesce(F.get("tops", F.col("pos") + 1)["line"], F.size("rows"))

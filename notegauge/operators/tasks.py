@@ -82,7 +82,7 @@ def body_sections(content: Column) -> Column:
         every = F.transform(tops, lambda h, i: F.struct(h["level"].alias("level"), h["text"].alias("name"), F.array_join(F.slice(rows, h["line"] + 2, stop(i) - h["line"] - 1), "\n").alias("text")))
         return F.filter(every, lambda s: s["level"] == 2)
 
-    return X.let(lexed(content)["headings"], cut)
+    return X.let(lexed(content, "headings")["headings"], cut)
 
 
 def body_violations(sections: Column, status: Column) -> Column:

@@ -49,7 +49,7 @@ def dry_run_facts(notes: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     ``backlinks`` counts the other notes that link to it; a note with cards or a doubt
     about them (``rows`` has the audit's findings) stops the step.
     """
-    told = notes.select("note_path", "stem", "content", F.array_distinct(F.filter(F.transform(lexed("content")["links"], X.link_target), lambda x: x != "")).alias("links"))
+    told = notes.select("note_path", "stem", "content", F.array_distinct(F.filter(F.transform(lexed("content", "links")["links"], X.link_target), lambda x: x != "")).alias("links"))
     # links are summed up by the name they give before they meet the notes, so a hub costs one row; a note's link to itself is taken off
     named = told.select(F.explode("links").alias("stem")).groupBy("stem").agg(F.count("*").alias("__n"))
     own = F.array_contains("links", F.col("stem")).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import types as T
 
 from notegauge.vocab import DIMENSIONS
@@ -13,6 +14,15 @@ def struct(**fields: T.DataType | type[T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(k, v if isinstance(v, T.DataType) else v()) for k, v in fields.items()])
 
 
+def arrow_type(t: T.DataType) -> pa.DataType:
+    """The Arrow type of texts, whole numbers, and arrays and structs of them."""
+    if isinstance(t, T.ArrayType):
+        return pa.list_(arrow_type(t.elementType))
+    if isinstance(t, T.StructType):
+        return pa.struct([(f.name, arrow_type(f.dataType)) for f in t])
+    return {T.StringType: pa.string(), T.IntegerType: pa.int32()}[type(t)]
+
+
 FINDING = struct(code=T.StringType, message=T.StringType)
 RECOMMENDATION = struct(mode=T.StringType, message=T.StringType)
 EVIDENCE = struct(excerpt=T.StringType, reason=T.StringType)
