@@ -395,3 +395,17 @@ def test_references_without_a_semicolon(spark):
     text = ("<b>a&amp</b> &amp; &ampx; &copy &#60;i&#62; &#60 &nope; &notin;&nbsp;&eacute;", "string")
     assert eval1(spark, visible(F.col("t"), closed=True), t=text) == "a&amp & &ampx; &copy  &#60 &nope; ∉ é"
     assert eval1(spark, visible(F.col("t")), t=text) == "a& & &x; ©  < &nope; ∉ é"  # as html.unescape has it
+
+
+def test_what_markers_are_judged_by_is_made_once(spark):
+    """Expressions that repeat their input are evaluated as often: the lines of a note had been made dozens of times."""
+    assert str(anki.marker_violations(F.col("of_note"), F.lit("Basic"), F.lit("General"))).count("of_note") == 1
+
+
+@pytest.mark.parametrize("name", ["card_markers"])
+def test_one_file_of_parts_is_dealt_to_all_cores(spark, tmp_path, name):
+    from notegauge.plans import catalog
+
+    spark.range(40).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and df.count() == 40
