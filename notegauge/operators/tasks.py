@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,23 +75,29 @@ LOG_ENTRY = r"^- \d{4}-\d{2}-\d{2} \d{2}:\d{2} \u2014 [^:]+: \S"
 
 def body_sections(content: Column) -> Column:
     """Array of (name, text) of the level-2 headings of a note's structure, each down to the next of its level or above."""
-    body = X.body(X.normalized(content))
+    rows = F.split(X.body(X.normalized(content)), "\n")
+    tops = F.filter(lexed(content, "headings")["headings"], lambda h: h["level"] <= 2)
 
-    def cut(lexed_headings: Column) -> Column:
-        rows = F.split(body, "\n")
-        tops = F.filter(lexed_headings, lambda h: h["level"] <= 2)
+    def cut(of: Column) -> Column:
+        rows, tops = of["rows"], of["tops"]
         stop = lambda i: F.coalesce(F.get(tops, i + 1)["line"], F.size(rows))
         every = F.transform(tops, lambda h, i: F.struct(h["level"].alias("level"), h["text"].alias("name"), F.array_join(F.slice(rows, h["line"] + 2, stop(i) - h["line"] - 1), "\n").alias("text")))
         return F.filter(every, lambda s: s["level"] == 2)
 
-    return X.let(lexed(content, "headings")["headings"], cut)
+    return X.let(F.struct(rows.alias("rows"), tops.alias("tops")), cut)
 
 
 def body_violations(sections: Column, status: Column) -> Column:
     """What the body of a task (its body_sections()) breaks: sections and their order, what the status asks for, the checklist and the work log."""
+    every = dict.fromkeys((*BODY_SECTIONS, *STATUS_SECTIONS.values()))
+    text = lambda name: F.coalesce(F.get(F.filter(sections, lambda s: s["name"] == name), F.lit(0))["text"], F.lit(""))
     names = F.transform(sections, lambda s: s["name"])
+    return X.let(F.struct(names.alias("names"), *[text(n).alias(n) for n in every]), lambda told: _body_violations(told["names"], lambda n: told[n], status))
+
+
+def _body_violations(names: Column, text: Callable[[str], Column], status: Column) -> Column:
+    """body_violations() of the names of the sections and the text of each that is spoken of, empty without it."""
     required = F.array(*map(F.lit, BODY_SECTIONS))
-    text = lambda name: F.coalesce(F.get(F.filter(sections, lambda s: s["name"] == name), F.lit(0))["text"], F.lit(""))
     empty = lambda name: X.strip(text(name)) == ""
     present = lambda name: F.array_contains(names, name)
     lacking = F.array_except(required, names)

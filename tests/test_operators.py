@@ -402,7 +402,7 @@ def test_what_markers_are_judged_by_is_made_once(spark):
     assert str(anki.marker_violations(F.col("of_note"), F.lit("Basic"), F.lit("General"))).count("of_note") == 1
 
 
-@pytest.mark.parametrize("name", ["card_markers"])
+@pytest.mark.parametrize("name", ["card_markers", "task_bodies"])
 def test_one_file_of_parts_is_dealt_to_all_cores(spark, tmp_path, name):
     from notegauge.plans import catalog
 

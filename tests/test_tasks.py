@@ -5,6 +5,7 @@ import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from notegauge.operators import tasks
 
@@ -100,3 +101,10 @@ def test_histories_of_several_versions_and_notes(spark):
     assert rewrites(spark, None, "", note("a")) == []
     rows = [("x", datetime(2024, 1, 1), note("a")), ("y", datetime(2024, 1, 2), note("b")), ("x", datetime(2024, 1, 3), note("a", "c"))]
     assert tasks.history_rewrites(spark.createDataFrame(rows, "path string, ts timestamp, content string")).collect() == []
+
+
+def test_what_a_body_is_judged_by_is_made_once(spark):
+    """Expressions that repeat their input are evaluated as often: what a note costs had grown with the number of rules."""
+    judged = str(tasks.body_violations(F.col("of_note"), F.col("status")))
+    assert judged.count("of_note") == 1 + len(tasks.BODY_SECTIONS) + len(tasks.STATUS_SECTIONS)
+    assert str(tasks.body_sections(F.col("of_note"))).count("of_note") == 2  # for the lines and for the headings
