@@ -248,13 +248,17 @@ def history_rewrites(versions: DataFrame, name: str = "Work log") -> DataFrame:
     order = Window.partitionBy("path").orderBy("ts", "content_hash")
     told = versions.select("path", "ts", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), entries_of(body_sections(F.coalesce("content", F.lit(""))), name).alias("entries"))
     pairs = told.withColumn("before", F.lag("entries").over(order)).filter("before is not null")
-    places = F.sequence(F.lit(1), F.size("before"))
-    equal = F.filter(places, lambda i: ~F.get("before", i - 1).eqNullSafe(F.get("entries", i - 1)))
-    kept = F.when(F.size("before") == 0, 0).otherwise(F.coalesce(F.get(equal, F.lit(0)) - 1, F.size("before")))
-    df = pairs.withColumn("kept", kept.cast("int")).filter(F.col("kept") < F.size("before"))
+    df = pairs.filter(F.slice("entries", F.lit(1), F.size("before")) != F.col("before"))  # most go on, which one comparison tells
+    kept = F.array_position(F.zip_with("before", "entries", lambda x, y: x.eqNullSafe(y)), False) - 1
+    df = df.withColumn("kept", kept.cast("int"))
+
+    def judged(of: Column) -> Column:
+        tail, rest = of["tail"], of["rest"]
+        fewer = F.size(rest) < F.size(tail)  # one of several equal entries may be gone
+        gone, new = (F.size(F.array_except(tail, rest)) > 0) | fewer, F.size(F.array_except(rest, tail)) > 0
+        in_order = F.filter(rest, lambda e: F.array_contains(tail, e)) == tail
+        return X.let(gone, lambda gone: F.when(gone & ~new, "removed").when(gone, "rewritten").when(in_order, "inserted").otherwise("reordered"))
+
     tail, rest = F.slice("before", F.col("kept") + 1, F.size("before")), F.slice("entries", F.col("kept") + 1, F.size("entries"))
-    gone, new = F.size(F.array_except(tail, rest)) > 0, F.size(F.array_except(rest, tail)) > 0
-    in_order = F.filter(rest, lambda e: F.array_contains(tail, e)) == tail
-    fewer = F.size(rest) < F.size(tail)  # one of several equal entries may be gone
-    kind = F.when((gone | fewer) & ~new, "removed").when(gone | fewer, "rewritten").when(in_order, "inserted").otherwise("reordered")
+    kind = X.let(F.struct(tail.alias("tail"), rest.alias("rest")), judged)
     return df.select("path", "ts", "kept", F.size("before").alias("was"), F.size("entries").alias("now"), F.get("before", F.col("kept")).alias("first_lost"), kind.alias("kind"))
