@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from notegauge.functions import text as X
 from notegauge.operators import anki, audit, batching, judgments, remediation, scoring, tasks, validate, views
 from notegauge.schemas import JUDGMENT
 from notegauge.sources import jsonl
@@ -409,3 +411,22 @@ def test_one_file_of_parts_is_dealt_to_all_cores(spark, tmp_path, name):
     spark.range(40).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     df = catalog.QUERIES[name](spark, str(tmp_path))
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and df.count() == 40
+
+
+def test_markers_of_a_note_are_judged_once(spark):
+    """The rows that state an ID and the rows that are told of it were two plans, each with all texts and patterns in it."""
+    spec = spark.createDataFrame([(0, "a", None, None, None, None, ["q"]), (1, "b", None, None, None, None, ["q"])], "entry int, note_path string, anki boolean, expected_model string, expected_deck string, expected_card_count int, representative_text array<string>")
+    notes = spark.createDataFrame([(p, "TARGET DECK: General\nSTART\nBasic\nq\n<!--ID: 7-->\nEND\n") for p in "ab"], "note_path string, content string")
+    df = anki.source_checks(spec, notes)
+    assert "TARGET DECK" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["entry"]: r["violations"] for r in df.collect()} == {0: [], 1: ["duplicate ID 7 also appears in a"]}
+
+
+def test_stripped_lines_are_lines_stripped(spark):
+    """Every line break and blank, alone and mixed, in texts that are ASCII and that are not."""
+    odd = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    draw = random.Random(3)
+    texts = ["".join(draw.choices([*"aé​", "START", "\r\n", "  ", *some], k=draw.randrange(9))) for some in (odd[:10], odd) for _ in range(4000)] + [a + "x" + b + a for a in odd for b in odd] + odd + ["", None]
+    t = F.col("t")
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", X.stripped_lines(t).alias("got"), F.transform(X.lines(t), X.strip).alias("want"))
+    assert df.filter("not (got <=> want)").limit(5).collect() == []
